@@ -156,8 +156,9 @@ def latest_explanation(explanations: DataFrame) -> DataFrame:
     return latest_per(explanations, "location_id", "timestamp")
 
 
-def prompts(risk: DataFrame) -> DataFrame:
+def prompts(risk: DataFrame, keep: list[str] = ["location_id", "timestamp"]) -> DataFrame:
     """The request text for every row, for a writer outside Spark; absent values named so."""
+
     def field(name: str) -> Column:
         if name not in risk.columns:
             return F.lit(PROMPT_DEFAULTS[name])
@@ -168,8 +169,7 @@ def prompts(risk: DataFrame) -> DataFrame:
     for name in PROMPT_DEFAULTS:
         before, rest = rest.split("{" + name + "}", 1)
         text += [F.lit(before), field(name)]
-    keys = [c for c in ("location_id", "timestamp") if c in risk.columns]
-    return risk.select(*keys, F.concat(*text, F.lit(rest)).alias("prompt"))
+    return risk.select(*keep, F.concat(*text, F.lit(rest)).alias("prompt"))
 
 
 def decode_replies(replies: DataFrame, text: str = "reply") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from sitehazard.config import (
     DEFAULT_RULES,
@@ -54,15 +54,23 @@ def weather_features(weather: DataFrame, air: DataFrame, series: Series) -> Data
     return match_nearest(trended, air, series, "timestamp", ["aqi", "co", "so2"])
 
 
-def with_wind_alignment(df: DataFrame) -> DataFrame:
-    """0 to 100, from the hazard at (``hazard_lat``, ``hazard_lon``) to the location."""
-    share = wind_alignment(
-        F.col("hazard_lat"),
-        F.col("hazard_lon"),
-        F.col("latitude"),
-        F.col("longitude"),
-        F.col("wind_direction"),
-    )
+def first_hazard(hazards: DataFrame) -> Row | None:
+    """The hazard listed first, by feed and ``seq``."""
+    return hazards.orderBy("feed", "seq").select("latitude", "longitude").first()
+
+
+def with_wind_alignment(df: DataFrame, hazard: Row | None = None) -> DataFrame:
+    """0 to 100, from a hazard to the location.
+
+    That is each location's nearest one (``hazard_lat``, ``hazard_lon``), unless one hazard is
+    given for all.
+    """
+    lat, lon = F.col("latitude"), F.col("longitude")
+    if hazard is None:
+        from_lat, from_lon = F.col("hazard_lat"), F.col("hazard_lon")
+    else:
+        from_lat, from_lon = F.lit(hazard["latitude"]), F.lit(hazard["longitude"])
+    share = wind_alignment(from_lat, from_lon, lat, lon, F.col("wind_direction"))
     return df.withColumn("wind_alignment_score", F.round(share * 100, 2))
 
 

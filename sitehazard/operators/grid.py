@@ -1,6 +1,6 @@
 """A latitude/longitude grid in several resolutions, for radius and nearest-point questions.
 
-Cells exist at six sizes, each dividing the next larger one. A cell is named by one long. All
+Cells exist at five sizes, each dividing the next larger one. A cell is named by one long. All
 distance bounds between a point and a cell come from the triangle inequality on the sphere, so
 poles and the antimeridian need no special case.
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sitehazard.functions.geo import EARTH_RADIUS_KM, haversine_km
 
 PER_DEGREE = 64  # finest cells per degree
-SIZES = (960, 320, 64, 16, 4, 1)  # cell sides in finest cells: 15°, 5°, 1°, 1/4°, 1/16°, 1/64°
+SIZES = (960, 64, 16, 4, 1)  # cell sides in finest cells: 15°, 1°, 1/4°, 1/16°, 1/64°
 DEGREE = 64
 COLUMNS = 360 * PER_DEGREE
 ROWS = 180 * PER_DEGREE + 1  # latitude 90 starts a row of its own
@@ -44,30 +44,66 @@ def parent_of(cell: Column, size: int, larger: int) -> Column:
     )
 
 
-def _centre(cell: Column, size: int) -> tuple[Column, Column, Column]:
-    """Latitude and longitude of the middle, and a radius that holds the whole cell."""
+def _with_middle(cells: DataFrame, name: str, size: int, prefix: str) -> DataFrame:
+    """Add the middle of a cell, and a radius around it that holds the whole cell."""
     side = size / PER_DEGREE
-    lat = (F.floor(cell / COLUMNS) + 0.5) * side - 90
-    lon = (F.pmod(cell, F.lit(COLUMNS)) + 0.5) * side - 180
+    lat, lon = F.col(f"{prefix}lat"), (F.pmod(F.col(name), F.lit(COLUMNS)) + 0.5) * side - 180
     # Along the meridian, then along the widest parallel.
     widest = F.cos(F.radians(F.greatest(F.lit(0.0), F.abs(lat) - side / 2)))
     half = F.radians(F.lit(side / 2))
-    return lat, lon, half * (widest + 1) * EARTH_RADIUS_KM + SLACK_KM
+    return cells.withColumn(
+        f"{prefix}lat", (F.floor(F.col(name) / COLUMNS) + 0.5) * side - 90
+    ).withColumns(
+        {
+            f"{prefix}lon": lon,
+            f"{prefix}radius": half * (widest + 1) * EARTH_RADIUS_KM + SLACK_KM,
+        }
+    )
 
 
-def _bounds(cell: Column, size: int, lat: Column, lon: Column, own: Column) -> list[Column]:
-    c_lat, c_lon, radius = _centre(cell, size)
-    middle = haversine_km(lat, lon, c_lat, c_lon)
-    return [
-        F.greatest(F.lit(0.0), middle - radius - own).alias("_least"),
-        (middle + radius + own).alias("_most"),
-    ]
+def _judge(pairs: DataFrame, keep: list[str], lat: str, lon: str, own: Column) -> DataFrame:
+    """Least and greatest distance between a place (of radius ``own``) and a cell's points."""
+    return (
+        pairs.withColumn(
+            "_km", haversine_km(F.col(lat), F.col(lon), F.col("_cell_lat"), F.col("_cell_lon"))
+        )
+        .withColumn("_away", F.col("_cell_radius") + own)
+        .select(
+            *keep,
+            F.greatest(F.lit(0.0), F.col("_km") - F.col("_away")).alias("_least"),
+            (F.col("_km") + F.col("_away")).alias("_most"),
+        )
+    )
+
+
+def _occupied(points: DataFrame, size: int) -> DataFrame:
+    """Cells with points: how many rows, the cell's middle, and the next larger cell."""
+    cells = points.groupBy(
+        cell_of(F.col("latitude"), F.col("longitude"), size).alias("cell")
+    ).agg(F.count("*").alias("_n"))
+    return _described(cells, size)
+
+
+def _described(cells: DataFrame, size: int) -> DataFrame:
+    place = SIZES.index(size)
+    larger = SIZES[place - 1] if place else size
+    return _with_middle(cells, "cell", size, "_cell_").withColumn(
+        "_parent", parent_of(F.col("cell"), size, larger)
+    )
+
+
+def _opened(frontier: DataFrame, occupied: DataFrame) -> DataFrame:
+    """Each cell replaced by the occupied cells of the next size inside it."""
+    return frontier.withColumnRenamed("cell", "_parent").join(occupied, "_parent").drop("_parent")
 
 
 def distinct_sites(locations: DataFrame) -> DataFrame:
-    return locations.select(
-        F.col("latitude").alias("site_lat"), F.col("longitude").alias("site_lon")
-    ).where("site_lat is not null and site_lon is not null").distinct()
+    """Every coordinate where locations stand, with their number."""
+    return (
+        locations.where("latitude is not null and longitude is not null")
+        .groupBy(F.col("latitude").alias("site_lat"), F.col("longitude").alias("site_lon"))
+        .agg(F.count("*").alias("locations"))
+    )
 
 
 def leaf_size(points: DataFrame, limit: int) -> int:
@@ -118,43 +154,22 @@ def cover(
     inside: list[tuple[int, DataFrame]] = []
     size = DEGREE
     while size != leaf:
-        occupied = points.select(
-            cell_of(F.col("latitude"), F.col("longitude"), size).alias("cell")
-        ).distinct()
-        judged = frontier.join(occupied, "cell").select(
-            *SITE,
-            "cell",
-            *_bounds(F.col("cell"), size, F.col("site_lat"), F.col("site_lon"), F.lit(0.0)),
-        ).where(F.col("_least") <= max(radii))
+        occupied = _occupied(points, size)
+        met = frontier.join(occupied, "cell") if size == DEGREE else _opened(frontier, occupied)
+        judged = _judge(met, [*SITE, "cell"], "site_lat", "site_lon", F.lit(0.0)).where(
+            F.col("_least") <= max(radii)
+        )
         on_edge = F.lit(False)
         for radius in radii:
             on_edge = on_edge | ((F.col("_least") <= radius) & (F.col("_most") > radius))
         inside.append((size, judged.where(~on_edge).select(*SITE, "cell", "_most")))
-        frontier = _children(judged.where(on_edge).select(*SITE, "cell"), size)
+        frontier = judged.where(on_edge).select(*SITE, "cell")
         size = SIZES[SIZES.index(size) + 1]
+        if size == leaf:
+            frontier = _opened(frontier, _occupied(points, size)).select(*SITE, "cell")
     return inside, frontier
 
 
-def _children(frontier: DataFrame, size: int) -> DataFrame:
-    """The cells of the next size below each cell: 16 of them, from arithmetic alone."""
-    times = size // SIZES[SIZES.index(size) + 1]
-    row = F.floor(F.col("cell") / COLUMNS) * times
-    column = F.pmod(F.col("cell"), F.lit(COLUMNS)) * times
-    offsets = F.array(
-        *[F.lit(r * COLUMNS + c).cast("bigint") for r in range(times) for c in range(times)]
-    )
-    keep = [c for c in frontier.columns if c != "cell"]
-    return frontier.withColumn("_o", F.explode(offsets)).select(
-        *keep, (row * COLUMNS + column + F.col("_o")).alias("cell")
-    )
-
-
-def _occupied(points: DataFrame, size: int) -> DataFrame:
-    return points.groupBy(
-        cell_of(F.col("latitude"), F.col("longitude"), size).alias("cell")
-    ).agg(F.count("*").alias("_n"))
-
-
 def _keep_nearest(judged: DataFrame, group: list[str], k: int, slack_km: float) -> DataFrame:
     """Drop cells that cannot hold one of the k nearest points of the group."""
     order = Window.partitionBy(*group).orderBy("_most", "cell").rowsBetween(
@@ -181,45 +196,40 @@ def nearest_cells(
     these tables have a fixed bound and are broadcast.
     """
     degree = _occupied(points, DEGREE)
-    levels = {DEGREE: degree}
-    for size in reversed(SIZES[: SIZES.index(DEGREE)]):
-        levels[size] = degree.groupBy(
-            parent_of(F.col("cell"), DEGREE, size).alias("cell")
-        ).agg(F.sum("_n").alias("_n"))
-
+    top = SIZES[0]
+    roots = _described(
+        degree.groupBy(parent_of(F.col("cell"), DEGREE, top).alias("cell")).agg(
+            F.sum("_n").alias("_n")
+        ),
+        top,
+    )
     located = sites.withColumn(
         "site_cell", cell_of(F.col("site_lat"), F.col("site_lon"), DEGREE)
     )
-    top = SIZES[0]
+    areas = _with_middle(located.select("site_cell").distinct(), "site_cell", DEGREE, "_site_")
     across = COLUMNS // top
     count = ((ROWS - 1) // top + 1) * across
-    number = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    frontier = (
-        located.select("site_cell")
-        .distinct()
-        .withColumn("_i", number)
-        .select("site_cell", (F.floor(F.col("_i") / across) * COLUMNS + F.col("_i") % across).alias("cell"))
+    number = F.col("_i")
+    area = ["site_cell", "_site_lat", "_site_lon", "_site_radius"]
+    everywhere = areas.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).select(
+        *area, (F.floor(number / across) * COLUMNS + number % across).alias("cell")
     )
-    s_lat, s_lon, s_radius = _centre(F.col("site_cell"), DEGREE)
-    for size in SIZES[: SIZES.index(DEGREE) + 1]:
-        judged = frontier.join(F.broadcast(levels[size]), "cell").select(
-            "site_cell", "cell", "_n", *_bounds(F.col("cell"), size, s_lat, s_lon, s_radius)
+    frontier = everywhere.join(F.broadcast(roots), "cell")
+    for occupied in (None, degree):
+        if occupied is not None:
+            frontier = _opened(frontier.select(*area, "cell"), F.broadcast(occupied))
+        judged = _judge(
+            frontier, [*area, "cell", "_n"], "_site_lat", "_site_lon", F.col("_site_radius")
         )
-        kept = _keep_nearest(judged, ["site_cell"], k, slack_km)
-        frontier = kept if size == DEGREE else _children(kept, size)
+        frontier = _keep_nearest(judged, ["site_cell"], k, slack_km)
 
-    found = located.join(frontier, "site_cell").select(*SITE, "cell")
+    found = located.join(frontier.select("site_cell", "cell"), "site_cell").select(*SITE, "cell")
     size = DEGREE
     while size != leaf:
-        found = _children(found, size)
         size = SIZES[SIZES.index(size) + 1]
-        judged = found.join(_occupied(points, size), "cell").select(
-            *SITE,
-            "cell",
-            "_n",
-            *_bounds(F.col("cell"), size, F.col("site_lat"), F.col("site_lon"), F.lit(0.0)),
-        )
-        found = _keep_nearest(judged, SITE, k, slack_km)
+        opened = _opened(found, _occupied(points, size))
+        judged = _judge(opened, [*SITE, "cell", "_n"], "site_lat", "site_lon", F.lit(0.0))
+        found = _keep_nearest(judged, SITE, k, slack_km).select(*SITE, "cell")
     return found
 
 

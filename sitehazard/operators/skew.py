@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sitehazard.session import settle
+
 
 @dataclass(frozen=True)
 class HotKeys:
@@ -23,8 +25,9 @@ def hot_keys(df: DataFrame, keys: str | list[str], limit: int) -> HotKeys | None
     """Measure the key sizes with one pre-aggregated pass; None when every key is small."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     large = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit)
-    table = large.checkpoint()
-    return HotKeys(tuple(keys), limit, table) if table.take(1) else None
+    if large.isEmpty():
+        return None
+    return HotKeys(tuple(keys), limit, settle(large, "hot-keys"))
 
 
 def join_spread(
@@ -96,8 +99,8 @@ def micros(ts: Column) -> Column:
 def measure_series(df: DataFrame, key: str, ts: str, limit: int) -> Series:
     """Find the series with more than ``limit`` rows and cut them into time chunks.
 
-    The width of the chunks is halved until no chunk of a series exceeds the limit, so bursts
-    are cut as well. Chunk numbers are integer arithmetic on the timestamp: any re-run of a
+    Chunks are narrowed until no chunk of a series exceeds the limit, so bursts are cut as well.
+    Chunk numbers are integer arithmetic on the timestamp: any re-run of a
     task finds the same ones.
     """
     hot = hot_keys(df, key, limit)
@@ -123,8 +126,8 @@ def measure_series(df: DataFrame, key: str, ts: str, limit: int) -> Series:
                 F.floor((F.col("_end") - F.col("_start") + 1) / F.ceil(F.col("_rows") / limit)),
             ).alias("_width"),
         )
-        .checkpoint()
     )
+    cuts = settle(cuts, "series-cuts")
     while True:
         number = F.floor((F.col("_at") - F.col("_start")) / F.col("_width"))
         fullest = (
@@ -140,16 +143,12 @@ def measure_series(df: DataFrame, key: str, ts: str, limit: int) -> Series:
         if times is None:
             return Series(key, ts, cuts, hot)
         finer = fullest.select(key, F.ceil(F.col("_rows") / limit).alias("_times"))
-        cuts = (
-            cuts.join(F.broadcast(finer), key, "left")
-            .select(
-                key,
-                "_start",
-                F.greatest(
-                    F.lit(1), F.floor(F.col("_width") / F.coalesce("_times", F.lit(1)))
-                ).alias("_width"),
-            )
-            .checkpoint()
+        narrower = F.floor(F.col("_width") / F.coalesce("_times", F.lit(1)))
+        cuts = settle(
+            cuts.join(F.broadcast(finer), key, "left").select(
+                key, "_start", F.greatest(F.lit(1), narrower).alias("_width")
+            ),
+            "series-cuts",
         )
 
 

@@ -25,36 +25,44 @@ from sitehazard.functions.geo import haversine_km
 from sitehazard.operators import grid
 from sitehazard.operators.grid import SITE
 from sitehazard.operators.skew import hot_keys, join_few
+from sitehazard.session import settle
 
 
 @dataclass(frozen=True)
 class Sites:
-    """Distinct coordinates of a location table, and whether any of them can be hot.
+    """Distinct coordinates of a location table, and which joins on them need spreading.
 
-    A key below (cell, coordinate) holds each site at most once, so with no more locations than
-    one task takes, no join on such a key needs spreading.
+    A cell or coordinate is met by each site at most once. So with no more sites than one task
+    takes, no join of sites with cells can be hot, and with no more locations at any one
+    coordinate than that, neither can the way back.
     """
 
     locations: DataFrame
     points: DataFrame
     many: bool
+    crowded: bool
     limit: int
 
-    def join(self, many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner"):
+    def join(self, many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
         hot = hot_keys(many, keys, self.limit) if self.many else None
-        return join_few(many, few, keys, hot, how)
+        return join_few(many, few, keys, hot)
 
     def give_back(self, per_site: DataFrame, how: str = "inner") -> DataFrame:
         """Site results for every location standing there."""
         placed = self.locations.withColumns(
             {"site_lat": F.col("latitude"), "site_lon": F.col("longitude")}
         )
-        return self.join(placed, per_site, SITE, how).drop(*SITE)
+        hot = hot_keys(placed, SITE, self.limit) if self.crowded else None
+        return join_few(placed, per_site, SITE, hot, how).drop(*SITE)
 
 
 def sites_of(locations: DataFrame, sizing: Sizing = DEFAULT_SIZING) -> Sites:
-    many = locations.count() > sizing.rows_per_task
-    return Sites(locations, grid.distinct_sites(locations), many, sizing.rows_per_task)
+    points = settle(grid.distinct_sites(locations), "sites")
+    size = points.agg(F.count("*").alias("n"), F.max("locations").alias("most")).first()
+    limit = sizing.rows_per_task
+    return Sites(
+        locations, points.select(*SITE), size["n"] > limit, (size["most"] or 0) > limit, limit
+    )
 
 
 def with_home_distance(df: DataFrame, lat: float, lon: float) -> DataFrame:
@@ -68,6 +76,7 @@ def with_home_distance(df: DataFrame, lat: float, lon: float) -> DataFrame:
 def union_hazards(hazards: DataFrame, quakes: DataFrame) -> DataFrame:
     """Quakes join the hazards by column name, as open ones. ``feed`` keeps hazards first."""
     as_hazards = quakes.select(
+        "id",
         "latitude",
         "longitude",
         "title",
@@ -77,7 +86,8 @@ def union_hazards(hazards: DataFrame, quakes: DataFrame) -> DataFrame:
         "seq",
         F.lit(1).alias("feed"),
     )
-    return hazards.withColumn("feed", F.lit(0)).unionByName(as_hazards, allowMissingColumns=True)
+    named = hazards.withColumns({"id": F.col("event_id"), "feed": F.lit(0)})
+    return named.unionByName(as_hazards, allowMissingColumns=True)
 
 
 def _spots(hazards: DataFrame) -> DataFrame:
@@ -109,7 +119,7 @@ def hazard_profile(
     go by feed, then ``seq``.
     """
     sites = sites_of(locations, sizing)
-    spots = _spots(hazards)
+    spots = settle(_spots(hazards), "hazard-spots")
     leaf = grid.leaf_size(spots, sizing.points_per_cell)
     near = _in_bands(sites, spots, leaf, rules)
     nearest = _nearest(sites, spots, leaf)
@@ -182,7 +192,7 @@ def max_quake_magnitude(
 ) -> DataFrame:
     """Strongest quake within the widest band of every location, else 0."""
     sites = sites_of(locations, sizing)
-    spots = _spots(quakes)
+    spots = settle(_spots(quakes), "quake-spots")
     leaf = grid.leaf_size(spots, sizing.points_per_cell)
     near = _in_bands(sites, spots, leaf, DEFAULT_RULES).select(*SITE, "magnitude")
     return sites.give_back(near, "left").select(
@@ -205,6 +215,7 @@ def nearest_per_site(sites: Sites, hazards: DataFrame, k: int, sizing: Sizing) -
     """
     spot = ["latitude", "longitude"]
     kept = _first_per(hazards.dropna(subset=spot), spot, [F.col("id")], k)
+    kept = settle(kept, "marker-spots")
     coordinates = kept.groupBy(*spot).agg(F.min("id").alias("first_id"))
     leaf = grid.leaf_size(coordinates, sizing.points_per_cell)
     cells = grid.nearest_cells(sites.points, coordinates, k, leaf, slack_km=0.11)
@@ -279,6 +290,7 @@ def quakes_near(
     kept = _first_per(strong, ["latitude", "longitude"], newest, k).select(
         "id", "title", "magnitude", "timestamp", "latitude", "longitude"
     )
+    kept = settle(kept, "quake-spots")
     leaf = grid.leaf_size(kept, sizing.points_per_cell)
     inside, edge = grid.cover(sites.points, kept, [reach_km], leaf)
     celled = kept.withColumn("cell", grid.cell_of(lat, lon, leaf))
