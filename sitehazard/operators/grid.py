@@ -12,6 +12,8 @@ their totals, and only the cells on its edge are opened, down to the finest size
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sitehazard.functions.geo import EARTH_RADIUS_KM, haversine_km
@@ -24,6 +26,13 @@ ROWS = 180 * PER_DEGREE + 1  # latitude 90 starts a row of its own
 SLACK_KM = 1e-6  # covers rounding in the bounds
 SITE = ["site_lat", "site_lon"]
 
+# How a side with many sites per key meets one with few rows per key.
+Join = Callable[[DataFrame, DataFrame, list[str]], DataFrame]
+
+
+def plain_join(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    return many.join(few, keys)
+
 
 def fine_row(lat: Column) -> Column:
     return F.floor((lat + 90) * PER_DEGREE)
@@ -92,9 +101,10 @@ def _described(cells: DataFrame, size: int) -> DataFrame:
     )
 
 
-def _opened(frontier: DataFrame, occupied: DataFrame) -> DataFrame:
+def _opened(frontier: DataFrame, occupied: DataFrame, join: Join = plain_join) -> DataFrame:
     """Each cell replaced by the occupied cells of the next size inside it."""
-    return frontier.withColumnRenamed("cell", "_parent").join(occupied, "_parent").drop("_parent")
+    parents = frontier.withColumnRenamed("cell", "_parent")
+    return join(parents, occupied, ["_parent"]).drop("_parent")
 
 
 def distinct_sites(locations: DataFrame) -> DataFrame:
@@ -141,7 +151,7 @@ def cells_in_reach(sites: DataFrame, reach_km: float) -> DataFrame:
 
 
 def cover(
-    sites: DataFrame, points: DataFrame, radii: list[float], leaf: int
+    sites: DataFrame, points: DataFrame, radii: list[float], leaf: int, join: Join = plain_join
 ) -> tuple[list[tuple[int, DataFrame]], DataFrame]:
     """Split the cells around each site into settled ones and ones on the edge of a radius.
 
@@ -155,7 +165,10 @@ def cover(
     size = DEGREE
     while size != leaf:
         occupied = _occupied(points, size)
-        met = frontier.join(occupied, "cell") if size == DEGREE else _opened(frontier, occupied)
+        if size == DEGREE:  # at most 181 × 360 rows
+            met = frontier.join(F.broadcast(occupied), "cell")
+        else:
+            met = _opened(frontier, occupied, join)
         judged = _judge(met, [*SITE, "cell"], "site_lat", "site_lon", F.lit(0.0)).where(
             F.col("_least") <= max(radii)
         )
@@ -166,7 +179,7 @@ def cover(
         frontier = judged.where(on_edge).select(*SITE, "cell")
         size = SIZES[SIZES.index(size) + 1]
         if size == leaf:
-            frontier = _opened(frontier, _occupied(points, size)).select(*SITE, "cell")
+            frontier = _opened(frontier, _occupied(points, size), join).select(*SITE, "cell")
     return inside, frontier
 
 
@@ -186,7 +199,12 @@ def _keep_nearest(judged: DataFrame, group: list[str], k: int, slack_km: float)
 
 
 def nearest_cells(
-    sites: DataFrame, points: DataFrame, k: int, leaf: int, slack_km: float = 0.0
+    sites: DataFrame,
+    points: DataFrame,
+    k: int,
+    leaf: int,
+    slack_km: float = 0.0,
+    join: Join = plain_join,
 ) -> DataFrame:
     """(site, cell) at the leaf size: every cell that can hold one of the k nearest points.
 
@@ -223,11 +241,11 @@ def nearest_cells(
         )
         frontier = _keep_nearest(judged, ["site_cell"], k, slack_km)
 
-    found = located.join(frontier.select("site_cell", "cell"), "site_cell").select(*SITE, "cell")
+    found = join(located, frontier.select("site_cell", "cell"), ["site_cell"]).select(*SITE, "cell")
     size = DEGREE
     while size != leaf:
         size = SIZES[SIZES.index(size) + 1]
-        opened = _opened(found, _occupied(points, size))
+        opened = _opened(found, _occupied(points, size), join)
         judged = _judge(opened, [*SITE, "cell", "_n"], "site_lat", "site_lon", F.lit(0.0))
         found = _keep_nearest(judged, SITE, k, slack_km).select(*SITE, "cell")
     return found

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sitehazard.config import FORECAST_LIMIT, PLACE_LIMIT
+from sitehazard.config import DEFAULT_SIZING, FORECAST_LIMIT, PLACE_LIMIT, Sizing
 from sitehazard.functions.text import risk_colour, risk_mark
+from sitehazard.operators.skew import hot_keys, join_few
 from sitehazard.sources.tables import latest_per
 
 
@@ -114,7 +115,12 @@ def _normal(text: Column) -> Column:
     return F.lower(F.trim(text))
 
 
-def place_lookup(requests: DataFrame, locations: DataFrame, limit: int = PLACE_LIMIT) -> DataFrame:
+def place_lookup(
+    requests: DataFrame,
+    locations: DataFrame,
+    limit: int = PLACE_LIMIT,
+    sizing: Sizing = DEFAULT_SIZING,
+) -> DataFrame:
     """Up to ``limit`` places per typed text, by the start of their name or city.
 
     The places are indexed by every prefix that is asked for and cut to ``limit`` there, so a
@@ -152,4 +158,5 @@ def place_lookup(requests: DataFrame, locations: DataFrame, limit: int = PLACE_L
             "longitude",
         )
     )
-    return asked.join(index, "_prefix").drop("_prefix")
+    hot = hot_keys(asked, "_prefix", sizing.rows_per_task)
+    return join_few(asked, index, ["_prefix"], hot).drop("_prefix")

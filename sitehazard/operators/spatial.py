@@ -24,7 +24,7 @@ from sitehazard.config import (
 from sitehazard.functions.geo import haversine_km
 from sitehazard.operators import grid
 from sitehazard.operators.grid import SITE
-from sitehazard.operators.skew import hot_keys, join_few
+from sitehazard.operators.skew import HotKeys, hot_keys, join_few
 from sitehazard.session import settle
 
 
@@ -65,6 +65,12 @@ def sites_of(locations: DataFrame, sizing: Sizing = DEFAULT_SIZING) -> Sites:
     )
 
 
+def with_place(df: DataFrame, locations: DataFrame, hot: HotKeys | None) -> DataFrame:
+    """The position of each row's location beside the row."""
+    place = locations.select("location_id", "latitude", "longitude")
+    return join_few(df, place, ["location_id"], hot)
+
+
 def with_home_distance(df: DataFrame, lat: float, lon: float) -> DataFrame:
     """Distance of every row to one target point."""
     return df.withColumn(
@@ -150,7 +156,7 @@ def _in_bands(sites: Sites, spots: DataFrame, leaf: int, rules: RiskRules) -> Da
             for band in bands
         ]
 
-    inside, edge = grid.cover(sites.points, spots, bands, leaf)
+    inside, edge = grid.cover(sites.points, spots, bands, leaf, sites.join)
     lat, lon = F.col("latitude"), F.col("longitude")
     celled = spots.withColumn("cell", grid.cell_of(lat, lon, leaf))
     pairs = grid.with_distance(sites.join(edge, celled, ["cell"]))
@@ -178,7 +184,7 @@ def _nearest(sites: Sites, spots: DataFrame, leaf: int) -> DataFrame:
         F.min("turn").alias("turn"), F.min_by("category", "turn").alias("category")
     )
     lat, lon = F.col("latitude"), F.col("longitude")
-    cells = grid.nearest_cells(sites.points, coordinates, 1, leaf)
+    cells = grid.nearest_cells(sites.points, coordinates, 1, leaf, join=sites.join)
     celled = coordinates.withColumn("cell", grid.cell_of(lat, lon, leaf))
     pairs = grid.with_distance(sites.join(cells, celled, ["cell"]))
     return pairs.groupBy(*SITE).agg(
@@ -218,7 +224,7 @@ def nearest_per_site(sites: Sites, hazards: DataFrame, k: int, sizing: Sizing) -
     kept = settle(kept, "marker-spots")
     coordinates = kept.groupBy(*spot).agg(F.min("id").alias("first_id"))
     leaf = grid.leaf_size(coordinates, sizing.points_per_cell)
-    cells = grid.nearest_cells(sites.points, coordinates, k, leaf, slack_km=0.11)
+    cells = grid.nearest_cells(sites.points, coordinates, k, leaf, 0.11, sites.join)
     celled = coordinates.withColumn(
         "cell", grid.cell_of(F.col("latitude"), F.col("longitude"), leaf)
     )
@@ -292,7 +298,7 @@ def quakes_near(
     )
     kept = settle(kept, "quake-spots")
     leaf = grid.leaf_size(kept, sizing.points_per_cell)
-    inside, edge = grid.cover(sites.points, kept, [reach_km], leaf)
+    inside, edge = grid.cover(sites.points, kept, [reach_km], leaf, sites.join)
     celled = kept.withColumn("cell", grid.cell_of(lat, lon, leaf))
     exact = grid.with_distance(sites.join(edge, celled, ["cell"]))
     found = exact.where(F.col("km") <= reach_km).select(*SITE, *kept.columns)

@@ -24,7 +24,7 @@ from sitehazard.operators.series import (
     time_features,
     trend_features,
 )
-from sitehazard.operators.skew import Series, measure_series
+from sitehazard.operators.skew import HotKeys, Series, hot_keys, measure_series
 from sitehazard.plans import pipeline, views
 from sitehazard.schemas import add_missing_columns, align_to_table
 from sitehazard.session import shared_path, tune
@@ -72,6 +72,9 @@ class Tables:
     def all_hazards(self) -> DataFrame:
         return features.hazards_and_quakes(self.raw_hazards, self.raw_quakes)
 
+    def hot_locations(self) -> HotKeys | None:
+        return hot_keys(self.raw_weather, "location_id", DEFAULT_SIZING.rows_per_task)
+
     def risk_series(self) -> Series:
         series = measure_series(
             self.raw_weather, "location_id", "forecast_timestamp", DEFAULT_SIZING.rows_per_task
@@ -225,7 +228,7 @@ def _reading() -> list[Column]:
 
 @query
 def forecast_json_flatten(t):
-    placed = t.raw_weather.join(t.locations, "location_id")
+    placed = spatial.with_place(t.raw_weather, t.locations, t.hot_locations())
     document = F.to_json(F.struct(F.array(F.struct(*_reading())).alias("list")))
     documents = placed.select("location_id", "seq", "latitude", "longitude", document.alias("document"))
     parsed = feeds.parse_documents(documents, "forecast")
@@ -339,7 +342,7 @@ QUERIES["time_features"] = QUERIES.pop("time_features_of_events")
 
 @query
 def uv_index_of_weather(t):
-    placed = t.raw_weather.join(t.locations, "location_id")
+    placed = spatial.with_place(t.raw_weather, t.locations, t.hot_locations())
     uv = uv_index(F.col("latitude"), F.col("longitude"), F.col("forecast_timestamp"))
     return placed.select("seq", uv.alias("uv"))
 
@@ -440,7 +443,8 @@ def wind_alignment(t):
 
 @query
 def wind_alignment_first(t):
-    weather = cleaning.clean_weather(t.raw_weather).join(t.locations, "location_id")
+    weather = cleaning.clean_weather(t.raw_weather)
+    weather = spatial.with_place(weather, t.locations, t.hot_locations())
     first = features.first_hazard(t.all_hazards())
     return features.with_wind_alignment(weather, first).select("seq", "wind_alignment_score")
 
@@ -724,8 +728,8 @@ def latest_snapshot(t):
 def latest_snapshot_per_location(t):
     day = F.date_trunc("day", "forecast_timestamp")
     snapshots = t.raw_weather.select("location_id", "seq", day.alias("snapshot"))
-    series = t.risk_series()
-    return tables.latest_snapshot(snapshots, "location_id", hot=series.hot).select("location_id", "seq")
+    hot = t.hot_locations()
+    return tables.latest_snapshot(snapshots, "location_id", hot=hot).select("location_id", "seq")
 
 
 @query
