@@ -126,7 +126,7 @@ class Sizing:
     """Bounds the plans are chosen by. They steer the strategy, never the result."""
 
     # A key with more rows than this is split over several tasks.
-    rows_per_task: int = 5_000_000
+    rows_per_task: int = 1_000_000
     # A grid cell with more distinct points than this is refined.
     points_per_cell: int = 4_096
 

@@ -15,7 +15,7 @@ from sitehazard.functions.geo import wind_alignment
 from sitehazard.functions.scoring import with_risk
 from sitehazard.operators.cleaning import active_hazards, clean_hazards, clean_weather
 from sitehazard.operators.series import match_nearest, time_features, trend_features
-from sitehazard.operators.skew import Series, join_few, measure_series
+from sitehazard.operators.skew import Series, bring_together, join_few, measure_series
 from sitehazard.operators.spatial import hazard_profile, union_hazards
 
 FEATURES = [
@@ -50,7 +50,7 @@ def weather_series(weather: DataFrame, air: DataFrame, sizing: Sizing = DEFAULT_
 
 def weather_features(weather: DataFrame, air: DataFrame, series: Series) -> DataFrame:
     """Cleaned weather with its trends and the air quality nearest in time."""
-    trended = trend_features(clean_weather(weather), series)
+    trended = trend_features(clean_weather(bring_together(weather, series)), series)
     return match_nearest(trended, air, series, "timestamp", ["aqi", "co", "so2"])
 
 

@@ -118,6 +118,8 @@ def distinct_sites(locations: DataFrame) -> DataFrame:
 
 def leaf_size(points: DataFrame, limit: int) -> int:
     """Largest cell side from 1° down at which no cell holds more than ``limit`` rows."""
+    if points.count() <= limit:
+        return DEGREE
     for size in SIZES[SIZES.index(DEGREE):]:
         cell = cell_of(F.col("latitude"), F.col("longitude"), size)
         fullest = points.groupBy(cell.alias("c")).count().agg(F.max("count")).first()[0]

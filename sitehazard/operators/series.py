@@ -92,8 +92,10 @@ def hourly_grid(
     key, ts = series.key, series.ts
     kind = dict(observations.dtypes)[ts]
     marked = mark_chunks(observations.where(F.col(ts).isNotNull()), series)
+    # Times are turned into numbers here, once per observation, not once per hour and column.
+    at = micros(F.col(ts)).alias("at")
     point = {
-        name: F.when(F.col(name).isNotNull(), F.struct(F.col(ts).alias("at"), F.col(name).alias("v")))
+        name: F.when(F.col(name).isNotNull(), F.struct(at, F.col(name).alias("v")))
         for name in numeric + text
     }
     # Frames that look ahead are written as frames that look back in descending order: Spark
@@ -106,25 +108,26 @@ def hourly_grid(
         | {"_next": F.lag(ts).over(series.window(F.col(ts).desc()))}
     )
     if series.cuts is not None:
-        carried = {**point, "_row": F.struct(F.col(ts).alias("at"))}
+        carried = {**point, "_row": F.struct(F.col(ts).alias("ts"))}
         carry = chunk_carry(marked, series, carried, F.col(ts))
         rows = rows.join(carry, [key, "_chunk"], "left").withColumns(
             {f"_p_{n}": F.coalesce(f"_p_{n}", f"_before_{n}") for n in point}
             | {f"_n_{n}": F.coalesce(f"_n_{n}", f"_after_{n}") for n in numeric}
-            | {"_next": F.coalesce("_next", "_after__row.at")}
+            | {"_next": F.coalesce("_next", "_after__row.ts")}
         )
-    first = _hour_at_or_after(F.col(ts))
+    rows = rows.withColumns({"_first": _hour_at_or_after(F.col(ts))})
+    first = F.col("_first")
     stop = F.coalesce(_hour_at_or_after(F.col("_next")), F.col(ts) + F.expr("interval 1 microsecond"))
     last = F.date_trunc("hour", stop - F.expr("interval 1 microsecond"))
     hours = F.when(first <= last, F.sequence(first, last, F.expr("interval 1 hour")))
-    spread = rows.withColumn("_hour", F.explode(hours))
+    spread = rows.withColumn("_hour", F.explode(hours))  # a zoned timestamp either way
 
     def at_hour(name: str) -> Column:
         before, after = F.col(f"_p_{name}"), F.col(f"_n_{name}")
-        start = micros(before["at"])
-        share = (micros(F.col("_hour")) - start) / (micros(after["at"]) - start)
+        now = F.unix_micros("_hour")
+        share = (now - before["at"]) / (after["at"] - before["at"])
         between = before["v"] + (after["v"] - before["v"]) * share
-        return F.when(after.isNull() | (before["at"] == F.col("_hour")), before["v"]).otherwise(between)
+        return F.when(after.isNull() | (before["at"] == now), before["v"]).otherwise(between)
 
     return spread.select(
         key,
@@ -147,55 +150,76 @@ def match_nearest(
 
     At most ``tolerance_us`` apart, ends included; nulls otherwise. Of two equally near rows
     the earlier one counts; of right rows at the same time the last when looking back, the
-    first when looking ahead. Both sides are merged into one ordered pass, so the cost is a
-    sort, whatever the two densities.
+    first when looking ahead.
+
+    Every right row is first told its successor, and the first of a series gets a twin that
+    sorts before everything. Then one ordered pass over both sides finds, as the latest right
+    row, both neighbours of a left row: the row itself and its successor.
     """
     key, ts = series.key, series.ts
     entry = F.struct(
-        F.col(right_ts).alias("at"), F.col(right_order).alias("turn"), *[F.col(c) for c in columns]
+        micros(F.col(right_ts)).alias("at"), F.col(right_order).alias("turn"), *[F.col(c) for c in columns]
     )
-    left_rows = left.where(F.col(ts).isNotNull()).select(
-        key,
-        ts,
-        F.struct(*[F.col(c) for c in left.columns]).alias("_left"),
-        F.lit(1).alias("_side"),
-        F.lit(None).cast("bigint").alias("_turn"),
+    stamped = right.where(F.col(right_ts).isNotNull()).select(
+        key, F.col(right_ts).alias(ts), F.col(right_order).cast("bigint").alias("_turn"), entry.alias("_right")
     )
-    right_rows = right.where(F.col(right_ts).isNotNull()).select(
-        key,
-        F.col(right_ts).alias(ts),
+    known = mark_chunks(stamped, series)
+    in_order = series.window(F.col(ts), F.col("_turn"))
+    linked = known.withColumns(
+        {"_next": F.lead("_right").over(in_order), "_nth": F.row_number().over(in_order)}
+    )
+    nobody = F.lit(None)
+    pair = F.struct(F.lit(False).alias("start"), F.col("_right").alias("back"), F.col("_next").alias("ahead"))
+    start = F.struct(
+        F.lit(True).alias("start"),
+        nobody.cast(known.schema["_right"].dataType).alias("back"),
+        F.col("_right").alias("ahead"),
+    )
+    twins = F.when(F.col("_nth") == 1, F.array(start, pair)).otherwise(F.array(pair))
+    right_rows = linked.withColumn("_pair", F.explode(twins)).select(
+        *series.group,
+        # Nulls sort first, so the twin precedes every row of its group.
+        F.when(~F.col("_pair.start"), F.col(ts)).alias(ts),
         F.lit(0).alias("_side"),
-        F.col(right_order).cast("bigint").alias("_turn"),
-        entry.alias("_right"),
+        "_turn",
+        "_pair",
     )
-    merged = mark_chunks(left_rows.unionByName(right_rows, allowMissingColumns=True), series)
-    now = F.col(ts)
-    back = series.window(now, F.col("_side"), F.col("_turn")).rowsBetween(
-        Window.unboundedPreceding, 0
+    rest = [c for c in left.columns if c not in (key, ts)]
+    left_rows = mark_chunks(left.where(F.col(ts).isNotNull()), series).select(
+        *series.group,
+        ts,
+        F.lit(1).alias("_side"),
+        nobody.cast("bigint").alias("_turn"),
+        F.struct(*[F.col(c) for c in rest] or [F.lit(0).alias("none")]).alias("_left"),
     )
-    ahead = series.window(now.desc(), F.col("_side"), F.col("_turn").desc()).rowsBetween(
+    merged = left_rows.unionByName(right_rows, allowMissingColumns=True)
+    so_far = series.window(F.col(ts), F.col("_side"), F.col("_turn")).rowsBetween(
         Window.unboundedPreceding, 0
     )
-    paired = merged.withColumns(
-        {
-            "_back": F.last("_right", True).over(back),
-            "_ahead": F.last("_right", True).over(ahead),
-        }
-    ).where("_side = 1")
+    paired = merged.withColumn("_found", F.last("_pair", True).over(so_far)).where("_side = 1")
+    paired = paired.withColumns({"_back": F.col("_found.back"), "_ahead": F.col("_found.ahead")})
     if series.cuts is not None:
+        # Chunks with left rows only need their neighbours too.
+        chunks = left_rows.select(*series.group).distinct().withColumn("_cut", F.lit(True))
+        everywhere = known.where("_cut").unionByName(chunks, allowMissingColumns=True)
         order = F.struct(F.col("_right.at"), F.col("_right.turn"))
-        carry = chunk_carry(merged, series, {"right": F.col("_right")}, order)
+        carry = chunk_carry(everywhere, series, {"right": F.col("_right")}, order)
         paired = paired.join(carry, [key, "_chunk"], "left").withColumns(
             {
                 "_back": F.coalesce("_back", "_before_right"),
                 "_ahead": F.coalesce("_ahead", "_after_right"),
             }
         )
-    gap_back = micros(now) - micros(F.col("_back.at"))
-    gap_ahead = micros(F.col("_ahead.at")) - micros(now)
-    choice = (
-        F.when(gap_back.isNull() | (gap_ahead < gap_back), F.col("_ahead")).otherwise(F.col("_back"))
+    now = micros(F.col(ts))
+    nearer = paired.withColumns(
+        {"_gap_back": now - F.col("_back.at"), "_gap_ahead": F.col("_ahead.at") - now}
+    ).withColumn("_later", F.col("_gap_back").isNull() | (F.col("_gap_ahead") < F.col("_gap_back")))
+    chosen = F.when(F.col("_later"), F.col("_ahead")).otherwise(F.col("_back"))
+    gap = F.when(F.col("_later"), F.col("_gap_ahead")).otherwise(F.col("_gap_back"))
+    matched = nearer.withColumn("_match", F.when(gap <= tolerance_us, chosen))
+    return matched.select(
+        key,
+        ts,
+        *[F.col(f"_left.{c}").alias(c) for c in rest],
+        *[F.col(f"_match.{c}").alias(c) for c in columns],
     )
-    gap = F.when(gap_back.isNull() | (gap_ahead < gap_back), gap_ahead).otherwise(gap_back)
-    chosen = paired.withColumn("_match", F.when(gap <= tolerance_us, choice))
-    return chosen.select("_left.*", *[F.col(f"_match.{c}").alias(c) for c in columns])

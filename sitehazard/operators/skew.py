@@ -152,6 +152,15 @@ def measure_series(df: DataFrame, key: str, ts: str, limit: int) -> Series:
         )
 
 
+def bring_together(df: DataFrame, series: Series) -> DataFrame:
+    """Shuffle by the series' key at once, where no series is too long for a task.
+
+    Deduplication by (key, time) and all windows by key then run on that one shuffle. With
+    long series the rows stay as they are: copies are thinned out before they are moved.
+    """
+    return df.repartition(series.key) if series.cuts is None else df
+
+
 def mark_chunks(df: DataFrame, series: Series) -> DataFrame:
     """Add ``_chunk``: 0 for a whole series, the time chunk's number for a cut one."""
     if series.cuts is None:

@@ -24,7 +24,7 @@ from sitehazard.operators.series import (
     time_features,
     trend_features,
 )
-from sitehazard.operators.skew import HotKeys, Series, hot_keys, measure_series
+from sitehazard.operators.skew import HotKeys, Series, bring_together, hot_keys, measure_series
 from sitehazard.plans import pipeline, views
 from sitehazard.schemas import add_missing_columns, align_to_table
 from sitehazard.session import shared_path, tune
@@ -76,9 +76,7 @@ class Tables:
         return hot_keys(self.raw_weather, "location_id", DEFAULT_SIZING.rows_per_task)
 
     def risk_series(self) -> Series:
-        series = measure_series(
-            self.raw_weather, "location_id", "forecast_timestamp", DEFAULT_SIZING.rows_per_task
-        )
+        series = _weather_series(self)
         return Series("location_id", "timestamp", series.cuts, series.hot)
 
     def held(self) -> DataFrame:
@@ -353,23 +351,26 @@ QUERIES["uv_index"] = QUERIES.pop("uv_index_of_weather")
 # --- time series ---------------------------------------------------------------------------------
 
 
+def _weather_series(t) -> Series:
+    return measure_series(
+        t.raw_weather, "location_id", "forecast_timestamp", DEFAULT_SIZING.rows_per_task
+    )
+
+
 @query
 def hourly_resample(t):
+    series = _weather_series(t)
     hour = F.date_trunc("hour", "forecast_timestamp").cast("timestamp_ntz")
-    on_hour = t.raw_weather.withColumn("forecast_timestamp", hour)
+    on_hour = bring_together(t.raw_weather, series).withColumn("forecast_timestamp", hour)
     observed = cleaning.keep_last(on_hour, ["location_id", "forecast_timestamp"])
-    series = measure_series(
-        t.raw_weather, "location_id", "forecast_timestamp", DEFAULT_SIZING.rows_per_task
-    )
     return rounded(hourly_grid(observed, series, GRID, ["condition_text"]), GRID, 8)
 
 
 @query
 def weather_trends(t):
-    series = measure_series(
-        t.raw_weather, "location_id", "forecast_timestamp", DEFAULT_SIZING.rows_per_task
-    )
-    trended = trend_features(cleaning.clean_weather(t.raw_weather), series)
+    series = _weather_series(t)
+    clean = cleaning.clean_weather(bring_together(t.raw_weather, series))
+    trended = trend_features(clean, series)
     return rounded(trended, TRENDS).select("location_id", "forecast_timestamp", *TRENDS)
 
 
@@ -379,7 +380,8 @@ QUERIES["trend_features"] = QUERIES.pop("weather_trends")
 @query
 def asof_air_quality(t):
     series = features.weather_series(t.raw_weather, t.raw_air)
-    weather = cleaning.clean_weather(t.raw_weather).select("location_id", "forecast_timestamp", "seq")
+    clean = cleaning.clean_weather(bring_together(t.raw_weather, series))
+    weather = clean.select("location_id", "forecast_timestamp", "seq")
     return match_nearest(weather, t.raw_air, series, "timestamp", ["aqi", "co", "so2"])
 
 

@@ -69,6 +69,10 @@ def parse_documents(df: DataFrame, feed: str, text: str = "document") -> DataFra
     return parsed.select(*rest, "_doc.*")
 
 
+# Documents are opened with ``explode_outer`` and a filter: a plain ``explode`` makes the
+# optimizer test the array for being empty below it, which would parse every document twice.
+
+
 def _or(value: Column, default: object) -> Column:
     return F.coalesce(value, F.lit(default))
 
@@ -78,7 +82,7 @@ def flatten_hazards(documents: DataFrame, keep: list[str] = []) -> DataFrame:
     event = F.col("event")
     last = F.try_element_at(event["geometry"], F.lit(-1))
     return (
-        documents.select(*keep, F.explode("events").alias("event"))
+        documents.select(*keep, F.explode_outer("events").alias("event"))
         .select(*keep, "event", last.alias("place"))
         .where(F.size("place.coordinates") == 2)
         .select(
@@ -116,8 +120,8 @@ def flatten_forecast(documents: DataFrame, keep: list[str] = ["location_id"]) ->
     Needs the location's ``latitude`` and ``longitude`` beside the document for the UV index.
     """
     exploded = documents.select(
-        *keep, "latitude", "longitude", F.explode("list").alias("reading")
-    )
+        *keep, "latitude", "longitude", F.explode_outer("list").alias("reading")
+    ).where("reading is not null")
     reading = lambda name: F.col("reading")[name]
     wet = _or(reading("rain")["3h"], 0.0) + _or(reading("snow")["3h"], 0.0)
     return exploded.select(
@@ -142,7 +146,8 @@ def fall_back_to_current(
 
 def flatten_air(documents: DataFrame, keep: list[str] = ["location_id"]) -> DataFrame:
     index = F.col("reading.main.aqi")
-    return documents.select(*keep, F.explode("list").alias("reading")).select(
+    readings = documents.select(*keep, F.explode_outer("list").alias("reading"))
+    return readings.where("reading is not null").select(
         *keep,
         F.timestamp_seconds("reading.dt").alias("timestamp"),
         index.alias("aqi"),
@@ -154,7 +159,8 @@ def flatten_air(documents: DataFrame, keep: list[str] = ["location_id"]) -> Data
 def flatten_quakes(documents: DataFrame, keep: list[str] = []) -> DataFrame:
     """A quake without a magnitude keeps its row; the magnitude filter drops it later."""
     place = F.col("quake.geometry.coordinates")
-    return documents.select(*keep, F.explode("features").alias("quake")).select(
+    quakes = documents.select(*keep, F.explode_outer("features").alias("quake"))
+    return quakes.where("quake is not null").select(
         *keep,
         _or(F.col("quake.id"), "").alias("id"),
         _or(F.col("quake.properties.title"), "Earthquake").alias("title"),
