@@ -7,16 +7,19 @@ from pyspark.sql import Column, functions as F
 EARTH_RADIUS_KM = 6371.0  # fixed value
 
 
-def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    phi1, phi2 = F.radians(lat1), F.radians(lat2)
-    half_dlat = (phi2 - phi1) / 2
-    half_dlon = (F.radians(lon2) - F.radians(lon1)) / 2
+def haversine_km(lat1: object, lon1: object, lat2: object, lon2: object) -> Column:
+    """Distance between two points; arguments are column names, SQL text or numbers.
+
+    One parsed expression instead of two dozen composed columns: plans hold many of these.
+    """
+    half_lat = f"((radians({lat2}) - radians({lat1})) / 2)"
+    half_lon = f"((radians({lon2}) - radians({lon1})) / 2)"
     chord = (
-        F.sin(half_dlat) * F.sin(half_dlat)
-        + F.cos(phi1) * F.cos(phi2) * F.sin(half_dlon) * F.sin(half_dlon)
+        f"sin({half_lat}) * sin({half_lat}) + "
+        f"cos(radians({lat1})) * cos(radians({lat2})) * sin({half_lon}) * sin({half_lon})"
     )
     # Rounding can push the root of an antipodal chord just past 1.
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(chord)))
+    return F.expr(f"{2 * EARTH_RADIUS_KM}D * asin(least(1D, sqrt({chord})))")
 
 
 def wind_alignment(

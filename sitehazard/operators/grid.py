@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sitehazard.functions.geo import EARTH_RADIUS_KM, haversine_km
 
@@ -34,71 +34,57 @@ def plain_join(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
     return many.join(few, keys)
 
 
-def fine_row(lat: Column) -> Column:
-    return F.floor((lat + 90) * PER_DEGREE)
+# Cell arithmetic is SQL text over column names, which keeps the many plans small to build.
 
 
-def fine_column(lon: Column) -> Column:
-    return F.pmod(F.floor((lon + 180) * PER_DEGREE), F.lit(COLUMNS))
+def cell_of(lat: str, lon: str, size: int) -> Column:
+    row = f"floor(({lat} + 90) * {PER_DEGREE})"
+    column = f"pmod(floor(({lon} + 180) * {PER_DEGREE}), {COLUMNS})"
+    return F.expr(f"floor({row} / {size}) * {COLUMNS} + floor({column} / {size})")
 
 
-def cell_of(lat: Column, lon: Column, size: int) -> Column:
-    return F.floor(fine_row(lat) / size) * COLUMNS + F.floor(fine_column(lon) / size)
-
-
-def parent_of(cell: Column, size: int, larger: int) -> Column:
+def parent_of(cell: str, size: int, larger: int) -> Column:
     times = larger // size
-    return F.floor(F.floor(cell / COLUMNS) / times) * COLUMNS + F.floor(
-        F.pmod(cell, F.lit(COLUMNS)) / times
+    return F.expr(
+        f"floor(floor({cell} / {COLUMNS}) / {times}) * {COLUMNS}"
+        f" + floor(pmod({cell}, {COLUMNS}) / {times})"
     )
 
 
-def _with_middle(cells: DataFrame, name: str, size: int, prefix: str) -> DataFrame:
-    """Add the middle of a cell, and a radius around it that holds the whole cell."""
+def _middle(cell: str, size: int, prefix: str) -> list[Column]:
+    """The middle of a cell, and a radius around it that holds the whole cell."""
     side = size / PER_DEGREE
-    lat, lon = F.col(f"{prefix}lat"), (F.pmod(F.col(name), F.lit(COLUMNS)) + 0.5) * side - 180
+    lat = f"((floor({cell} / {COLUMNS}) + 0.5D) * {side}D - 90)"
+    lon = f"((pmod({cell}, {COLUMNS}) + 0.5D) * {side}D - 180)"
     # Along the meridian, then along the widest parallel.
-    widest = F.cos(F.radians(F.greatest(F.lit(0.0), F.abs(lat) - side / 2)))
-    half = F.radians(F.lit(side / 2))
-    return cells.withColumn(
-        f"{prefix}lat", (F.floor(F.col(name) / COLUMNS) + 0.5) * side - 90
-    ).withColumns(
-        {
-            f"{prefix}lon": lon,
-            f"{prefix}radius": half * (widest + 1) * EARTH_RADIUS_KM + SLACK_KM,
-        }
-    )
+    widest = f"cos(radians(greatest(0D, abs({lat}) - {side / 2}D)))"
+    radius = f"radians({side / 2}D) * ({widest} + 1) * {EARTH_RADIUS_KM}D + {SLACK_KM:.7f}D"
+    return [
+        F.expr(lat).alias(f"{prefix}lat"),
+        F.expr(lon).alias(f"{prefix}lon"),
+        F.expr(radius).alias(f"{prefix}radius"),
+    ]
 
 
-def _judge(pairs: DataFrame, keep: list[str], lat: str, lon: str, own: Column) -> DataFrame:
+def _judge(pairs: DataFrame, keep: list[str], lat: str, lon: str, own: str = "0D") -> DataFrame:
     """Least and greatest distance between a place (of radius ``own``) and a cell's points."""
-    return (
-        pairs.withColumn(
-            "_km", haversine_km(F.col(lat), F.col(lon), F.col("_cell_lat"), F.col("_cell_lon"))
-        )
-        .withColumn("_away", F.col("_cell_radius") + own)
-        .select(
-            *keep,
-            F.greatest(F.lit(0.0), F.col("_km") - F.col("_away")).alias("_least"),
-            (F.col("_km") + F.col("_away")).alias("_most"),
-        )
-    )
+    middle = haversine_km(lat, lon, "_cell_lat", "_cell_lon")
+    return pairs.select(
+        *keep, middle.alias("_km"), F.expr(f"_cell_radius + {own}").alias("_away")
+    ).selectExpr(*keep, "greatest(0D, _km - _away) AS _least", "_km + _away AS _most")
 
 
 def _occupied(points: DataFrame, size: int) -> DataFrame:
     """Cells with points: how many rows, the cell's middle, and the next larger cell."""
-    cells = points.groupBy(
-        cell_of(F.col("latitude"), F.col("longitude"), size).alias("cell")
-    ).agg(F.count("*").alias("_n"))
-    return _described(cells, size)
+    cells = points.groupBy(cell_of("latitude", "longitude", size).alias("cell"))
+    return _described(cells.agg(F.count("*").alias("_n")), size)
 
 
 def _described(cells: DataFrame, size: int) -> DataFrame:
     place = SIZES.index(size)
     larger = SIZES[place - 1] if place else size
-    return _with_middle(cells, "cell", size, "_cell_").withColumn(
-        "_parent", parent_of(F.col("cell"), size, larger)
-    )
+    parent = parent_of("cell", size, larger).alias("_parent")
+    return cells.select("cell", "_n", *_middle("cell", size, "_cell_"), parent)
 
 
 def _opened(frontier: DataFrame, occupied: DataFrame, join: Join = plain_join) -> DataFrame:
@@ -121,7 +107,7 @@ def leaf_size(points: DataFrame, limit: int) -> int:
     if points.count() <= limit:
         return DEGREE
     for size in SIZES[SIZES.index(DEGREE):]:
-        cell = cell_of(F.col("latitude"), F.col("longitude"), size)
+        cell = cell_of("latitude", "longitude", size)
         fullest = points.groupBy(cell.alias("c")).count().agg(F.max("count")).first()[0]
         if fullest is None or fullest <= limit:
             return size
@@ -171,7 +157,7 @@ def cover(
             met = frontier.join(F.broadcast(occupied), "cell")
         else:
             met = _opened(frontier, occupied, join)
-        judged = _judge(met, [*SITE, "cell"], "site_lat", "site_lon", F.lit(0.0)).where(
+        judged = _judge(met, [*SITE, "cell"], "site_lat", "site_lon").where(
             F.col("_least") <= max(radii)
         )
         on_edge = F.lit(False)
@@ -187,16 +173,15 @@ def cover(
 
 def _keep_nearest(judged: DataFrame, group: list[str], k: int, slack_km: float) -> DataFrame:
     """Drop cells that cannot hold one of the k nearest points of the group."""
-    order = Window.partitionBy(*group).orderBy("_most", "cell").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    whole = Window.partitionBy(*group)
-    enough = F.min(F.when(F.col("_sum") >= k, F.col("_most"))).over(whole)
+    kept = [c for c in judged.columns if c not in ("_least", "_most", "_n")]
+    names = ", ".join(group)
+    so_far = f"sum(_n) OVER (PARTITION BY {names} ORDER BY _most, cell ROWS UNBOUNDED PRECEDING)"
+    reach = f"min(CASE WHEN _sum >= {k} THEN _most END) OVER (PARTITION BY {names})"
     return (
-        judged.withColumn("_sum", F.sum("_n").over(order))
-        .withColumn("_reach", enough)
-        .where(F.col("_reach").isNull() | (F.col("_least") <= F.col("_reach") + slack_km))
-        .drop("_sum", "_reach", "_least", "_most", "_n")
+        judged.selectExpr("*", f"{so_far} AS _sum")
+        .selectExpr("*", f"{reach} AS _reach")
+        .where(f"_reach IS NULL OR _least <= _reach + {slack_km}D")
+        .select(*kept)
     )
 
 
@@ -218,29 +203,27 @@ def nearest_cells(
     degree = _occupied(points, DEGREE)
     top = SIZES[0]
     roots = _described(
-        degree.groupBy(parent_of(F.col("cell"), DEGREE, top).alias("cell")).agg(
+        degree.groupBy(parent_of("cell", DEGREE, top).alias("cell")).agg(
             F.sum("_n").alias("_n")
         ),
         top,
     )
-    located = sites.withColumn(
-        "site_cell", cell_of(F.col("site_lat"), F.col("site_lon"), DEGREE)
-    )
-    areas = _with_middle(located.select("site_cell").distinct(), "site_cell", DEGREE, "_site_")
+    located = sites.withColumn("site_cell", cell_of("site_lat", "site_lon", DEGREE))
+    areas = located.select("site_cell").distinct()
     across = COLUMNS // top
     count = ((ROWS - 1) // top + 1) * across
-    number = F.col("_i")
     area = ["site_cell", "_site_lat", "_site_lon", "_site_radius"]
-    everywhere = areas.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).select(
-        *area, (F.floor(number / across) * COLUMNS + number % across).alias("cell")
-    )
+    everywhere = areas.select(
+        "site_cell",
+        *_middle("site_cell", DEGREE, "_site_"),
+        F.expr(f"explode(sequence(0, {count - 1}))").alias("_i"),
+    ).selectExpr(*area, f"floor(_i / {across}) * {COLUMNS} + _i % {across} AS cell")
     frontier = everywhere.join(F.broadcast(roots), "cell")
     for occupied in (None, degree):
         if occupied is not None:
             frontier = _opened(frontier.select(*area, "cell"), F.broadcast(occupied))
-        judged = _judge(
-            frontier, [*area, "cell", "_n"], "_site_lat", "_site_lon", F.col("_site_radius")
-        )
+        keep = [*area, "cell", "_n"]
+        judged = _judge(frontier, keep, "_site_lat", "_site_lon", "_site_radius")
         frontier = _keep_nearest(judged, ["site_cell"], k, slack_km)
 
     found = join(located, frontier.select("site_cell", "cell"), ["site_cell"]).select(*SITE, "cell")
@@ -248,15 +231,10 @@ def nearest_cells(
     while size != leaf:
         size = SIZES[SIZES.index(size) + 1]
         opened = _opened(found, _occupied(points, size), join)
-        judged = _judge(opened, [*SITE, "cell", "_n"], "site_lat", "site_lon", F.lit(0.0))
+        judged = _judge(opened, [*SITE, "cell", "_n"], "site_lat", "site_lon")
         found = _keep_nearest(judged, SITE, k, slack_km).select(*SITE, "cell")
     return found
 
 
 def with_distance(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn(
-        "km",
-        haversine_km(
-            F.col("latitude"), F.col("longitude"), F.col("site_lat"), F.col("site_lon")
-        ),
-    )
+    return pairs.withColumn("km", haversine_km("latitude", "longitude", *SITE))

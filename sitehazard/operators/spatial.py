@@ -75,7 +75,7 @@ def with_home_distance(df: DataFrame, lat: float, lon: float) -> DataFrame:
     """Distance of every row to one target point."""
     return df.withColumn(
         "distance_km",
-        F.round(haversine_km(F.col("latitude"), F.col("longitude"), F.lit(lat), F.lit(lon)), 2),
+        F.round(haversine_km("latitude", "longitude", f"({lat}D)", f"({lon}D)"), 2),
     )
 
 
@@ -157,7 +157,7 @@ def _in_bands(sites: Sites, spots: DataFrame, leaf: int, rules: RiskRules) -> Da
         ]
 
     inside, edge = grid.cover(sites.points, spots, bands, leaf, sites.join)
-    lat, lon = F.col("latitude"), F.col("longitude")
+    lat, lon = "latitude", "longitude"
     celled = spots.withColumn("cell", grid.cell_of(lat, lon, leaf))
     pairs = grid.with_distance(sites.join(edge, celled, ["cell"]))
     found = pairs.where(F.col("km") <= bands[-1]).select(
@@ -183,7 +183,7 @@ def _nearest(sites: Sites, spots: DataFrame, leaf: int) -> DataFrame:
     coordinates = spots.groupBy("latitude", "longitude").agg(
         F.min("turn").alias("turn"), F.min_by("category", "turn").alias("category")
     )
-    lat, lon = F.col("latitude"), F.col("longitude")
+    lat, lon = "latitude", "longitude"
     cells = grid.nearest_cells(sites.points, coordinates, 1, leaf, join=sites.join)
     celled = coordinates.withColumn("cell", grid.cell_of(lat, lon, leaf))
     pairs = grid.with_distance(sites.join(cells, celled, ["cell"]))
@@ -226,7 +226,7 @@ def nearest_per_site(sites: Sites, hazards: DataFrame, k: int, sizing: Sizing) -
     leaf = grid.leaf_size(coordinates, sizing.points_per_cell)
     cells = grid.nearest_cells(sites.points, coordinates, k, leaf, 0.11, sites.join)
     celled = coordinates.withColumn(
-        "cell", grid.cell_of(F.col("latitude"), F.col("longitude"), leaf)
+        "cell", grid.cell_of("latitude", "longitude", leaf)
     )
     pairs = grid.with_distance(sites.join(cells, celled, ["cell"]))
     pairs = pairs.withColumn("distance_km", F.round("km", 1))
@@ -291,8 +291,8 @@ def quakes_near(
     """
     sites = sites_of(locations.select("location_id", "latitude", "longitude"), sizing)
     newest = [F.col("timestamp").desc(), F.col("id")]
-    lat, lon = F.col("latitude"), F.col("longitude")
-    strong = quakes.where((F.col("magnitude") >= min_magnitude) & lat.isNotNull() & lon.isNotNull())
+    lat, lon = "latitude", "longitude"
+    strong = quakes.where(F.col("magnitude") >= min_magnitude).dropna(subset=[lat, lon])
     kept = _first_per(strong, ["latitude", "longitude"], newest, k).select(
         "id", "title", "magnitude", "timestamp", "latitude", "longitude"
     )
@@ -306,8 +306,7 @@ def quakes_near(
         top = _first_per(kept.withColumn("cell", grid.cell_of(lat, lon, size)), ["cell"], newest, k)
         found = found.unionByName(sites.join(cells, top, ["cell"]).select(*SITE, *kept.columns))
     ranked = _first_per(found, SITE, newest, k).withColumn(
-        "distance_km",
-        F.round(haversine_km(lat, lon, F.col("site_lat"), F.col("site_lon")), 2),
+        "distance_km", F.round(haversine_km(lat, lon, *SITE), 2)
     )
     return sites.give_back(ranked.drop("latitude", "longitude")).select(
         "location_id", "id", "title", "magnitude", "timestamp", "distance_km"
