@@ -11,6 +11,7 @@ from sitehazard.config import DEFAULT_RULES, DEFAULT_SIZING, RiskRules, Sizing
 from sitehazard.operators.explain import explain, with_explanation
 from sitehazard.operators.features import risk_table
 from sitehazard.operators.forecast import predict
+from sitehazard.operators.skew import hot_keys, join_few
 from sitehazard.schemas import align_to_table
 from sitehazard.sources.tables import latest_snapshot, read_table, store
 
@@ -64,12 +65,15 @@ def refresh(
     """
     facts = fact_table(inputs, models, sizing=sizing)
     names = inputs.locations.select("location_id", "location_name")
-    store(facts.join(names, "location_id", "left"), f"{path}/fact_environment_risk", snapshot)
+    hot = hot_keys(inputs.weather, "location_id", sizing.rows_per_task)
+    named = join_few(facts, names, ["location_id"], hot, "left")
+    store(named, f"{path}/fact_environment_risk", snapshot)
     stored = read_table(facts.sparkSession, f"{path}/fact_environment_risk/snapshot={snapshot}")
     store(explain(stored), f"{path}/explanations", snapshot, name=None)
 
 
-def refreshed(spark: SparkSession, path: str) -> DataFrame:
+def refreshed(spark: SparkSession, path: str, sizing: Sizing = DEFAULT_SIZING) -> DataFrame:
     """The current facts: each location's newest snapshot."""
     table = read_table(spark, f"{path}/fact_environment_risk")
-    return latest_snapshot(table, "location_id").drop(*SNAPSHOT_COLUMNS)
+    hot = hot_keys(table, "location_id", sizing.rows_per_task)
+    return latest_snapshot(table, "location_id", hot=hot).drop(*SNAPSHOT_COLUMNS)
