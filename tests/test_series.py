@@ -1,7 +1,6 @@
 """Series operators, once whole and once cut into chunks: both must equal brute force."""
 
 import datetime as dt
-import math
 import random
 
 import pytest
