@@ -174,9 +174,14 @@ def fit(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> VoteModel:
     return model
 
 
-def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The given columns plus counts, ``votes``, ``posterior``, ``base_failed`` and ``kept``."""
-    counted = settle(with_votes(with_counts(docs, text)), "quality")
+def judge(
+    docs: DataFrame, text: str = "text", threshold: float = 0.5, drop: tuple[str, ...] = ()
+) -> DataFrame:
+    """The given columns plus counts, ``votes``, ``posterior``, ``base_failed`` and ``kept``.
+
+    Columns in ``drop`` (such as the text) are not carried along.
+    """
+    counted = settle(with_votes(with_counts(docs, text)).drop(*drop), "quality")
     patterns = {
         tuple(row["votes"]): row["n"]
         for row in counted.groupBy("votes").agg(F.count("*").alias("n")).collect()
