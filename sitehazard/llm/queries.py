@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitehazard.llm import quality_rules
+from sitehazard.llm import bpe, quality_rules
 from sitehazard.llm.common import documents
 from sitehazard.session import tune
 
@@ -22,7 +23,16 @@ def query(build):
 @query
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
-    counted = quality_rules.judge(docs.withColumnRenamed("text", "_text"), "_text")
+    counted = quality_rules.judge(docs, drop=("text",))
     return counted.select(
-        "doc_id", *quality_rules.COUNTS, "base_failed", "kept", F.round("posterior", 6).alias("posterior")
+        "doc_id",
+        *quality_rules.COUNTS,
+        "base_failed",
+        "kept",
+        F.round("posterior", 6).alias("posterior"),
     )
+
+
+@query
+def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
