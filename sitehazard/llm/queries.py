@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitehazard.llm import bpe, quality_rules
-from sitehazard.llm.common import documents
+from sitehazard.llm import bpe, decontaminate, quality_rules, secrets
+from sitehazard.llm.common import documents, table
 from sitehazard.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,28 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
+
+
+@query
+def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.secrets(documents(spark, folder), ["doc_id"])
+    counts = [f"CAST(size(filter(base, s -> s.kind = '{k}')) AS bigint) AS n_{k}" for k in ("assign", "access", "hex")]
+    return found.selectExpr(
+        "doc_id",
+        *counts,
+        f"sha2({secrets.listed('base')}, 256) AS base_sha256",
+        f"{secrets.listed('spans')} AS spans",
+    )
+
+
+@query
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    return decontaminate.scan(docs, table(spark, folder, "benchmark")).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
