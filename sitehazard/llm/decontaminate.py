@@ -95,14 +95,10 @@ def hits(
     marks = _with_fingerprints(long, []).select(F.explode("_marks").alias("mark"))
     for size in short:
         same = split.where(F.size("_words") == size)
-        marks = marks.unionAll(
-            same.select(F.explode(F.expr(_hashes(size))).alias("mark"))
-        )
+        marks = marks.unionAll(same.select(F.explode(F.expr(_hashes(size))).alias("mark")))
     marks = settle(marks.distinct(), "item-marks")
-    own = _windows(sizes)
-    pairs = split.select("_item", F.explode(own).alias("w")).where(
-        f"w.size = {WINDOW} OR w.size = size(_words)"
-    ) if not short else split.select("_item", F.size("_words").alias("n"), F.explode(own).alias("w")).where(
+    own = F.explode(_windows(sizes)).alias("w")
+    pairs = split.select("_item", F.size("_words").alias("n"), own).where(
         f"w.size = least(n, {WINDOW})"
     )
     pairs = settle(pairs.select("_item", "w.words").distinct(), "item-windows")

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -134,9 +135,11 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, fl
     order = KINDS.index
     base.sort(key=lambda s: (s[1], order(s[0]), s[2]))
     runs = []
+    taken = sorted((e, s) for _, s, e in base)
     for m in RUN.finditer(text):
         start, end = m.span()
-        if any(s < end and start < e for _, s, e in base):
+        after = bisect_right(taken, (start, end))  # base spans that end behind the run's start
+        if any(s < end and e > start for e, s in taken[after : after + len(KINDS)]):
             continue
         if (found := evidence(m.group())) is not None:
             runs.append((start, end, found))
