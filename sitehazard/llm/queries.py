@@ -7,13 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitehazard.llm import bpe, decontaminate, quality_rules, secrets
+from sitehazard.llm import bpe, decontaminate, pii, quality_rules, secrets
 from sitehazard.llm.common import documents, table
 from sitehazard.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+#: For tests only; a job passes its own secret.
+PII_KEY = "key of the test queries"
+
 
 def query(build):
     QUERIES[build.__name__] = lambda spark, folder: build(tune(spark), folder)
@@ -61,3 +64,9 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    return pii.with_pseudonyms(docs, PII_KEY).select("doc_id", "n_replaced", "text")

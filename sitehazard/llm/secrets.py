@@ -135,11 +135,18 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, fl
     order = KINDS.index
     base.sort(key=lambda s: (s[1], order(s[0]), s[2]))
     runs = []
-    taken = sorted((e, s) for _, s, e in base)
+    starts: list[int] = []  # of the base spans, joined where they overlap
+    ends: list[int] = []
+    for _, start, end in base:
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
     for m in RUN.finditer(text):
         start, end = m.span()
-        after = bisect_right(taken, (start, end))  # base spans that end behind the run's start
-        if any(s < end and e > start for e, s in taken[after : after + len(KINDS)]):
+        next_one = bisect_right(ends, start)
+        if next_one < len(starts) and starts[next_one] < end:
             continue
         if (found := evidence(m.group())) is not None:
             runs.append((start, end, found))
