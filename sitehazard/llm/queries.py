@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitehazard.llm import bpe, decontaminate, pii, quality_rules, secrets
+from sitehazard.llm import bpe, decontaminate, jaccard_join, pii, quality_rules, secrets
 from sitehazard.llm.common import documents, table
 from sitehazard.session import tune
 
@@ -70,3 +70,9 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
     return pii.with_pseudonyms(docs, PII_KEY).select("doc_id", "n_replaced", "text")
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard_join.groups(documents(spark, folder), "doc_id")
+    return found.select("doc_id", "n_shingles", "component_id")
