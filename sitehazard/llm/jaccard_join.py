@@ -232,8 +232,9 @@ def _shared(docs: DataFrame, frequent: BitFilter, percent: int) -> DataFrame:
     ).dropDuplicates(["sig", "key"])
 
 
-def _sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, tokens) of the texts with one of the keys, and of a few more."""
+def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, tokens) of the texts in pairs (a, b), and of a few more."""
+    keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b"))
     wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(keys, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +250,7 @@ def _sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
                 )
 
     found = docs.select("key", "_text").mapInArrow(run, "key bigint, tokens binary")
-    return found.dropDuplicates(["key"])
+    return settle(found.dropDuplicates(["key"]), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -287,22 +288,31 @@ def links(docs: DataFrame, often: DataFrame, percent: int) -> DataFrame:
     )
     lead = (
         shared.groupBy("sig")
-        .agg(F.min(F.struct("rare", "key", "n")).alias("lead"), F.count("*").alias("texts"))
+        .agg(F.min(F.struct("rare", "key", "n", "at")).alias("lead"), F.count("*").alias("texts"))
         .where("texts > 1")
     )
+    # All tokens up to the last shared one are known on both sides, so what two documents have in
+    # common is at most what they share there and what either has left.
+    bound = f"NOT single OR {total} * (shared + least(x_rest, y_rest)) >= {percent} * n"
     first = (
         shared.join(lead, "sig")
         .where("key <> lead.key")
         .where(near.format("", "lead.") + " AND " + rare.format("", "lead."))
         .groupBy(F.col("key").alias("a"), F.col("lead.key").alias("b"))
-        .count()
+        .agg(
+            F.min(F.expr("sig % 2 <> 0")).alias("single"),
+            F.count("*").alias("shared"),
+            F.first(F.expr("n + lead.n")).alias("n"),
+            F.min(F.expr("n - at - 1")).alias("x_rest"),
+            F.min(F.expr("lead.n - lead.at - 1")).alias("y_rest"),
+        )
+        .where(bound)
         .groupBy("a")
-        .agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+        .agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
     )
     first = settle(first, "first-pairs")
     several = shared.join(lead.select("sig"), "sig", "left_semi")
-    sets = settle(_sets(docs, several.select("key").distinct()), "sets")
-    one = settle(_verified(first, sets, percent), "first-links")
+    one = settle(_verified(first, _sets(docs, first), percent), "first-links")
     tied = settle(components(one, "a", "b"), "first-components")
 
     own = several.join(tied.withColumnRenamed("node", "key"), "key", "left").withColumn(
@@ -336,9 +346,10 @@ def links(docs: DataFrame, often: DataFrame, percent: int) -> DataFrame:
             F.min(F.expr("x_n - x_at - 1")).alias("x_rest"),
             F.min(F.expr("y_n - y_at - 1")).alias("y_rest"),
         )
-        .where(f"NOT single OR {total} * (shared + least(x_rest, y_rest)) >= {percent} * n")
+        .where(bound)
     )
-    two = _verified(settle(second.select("a", "b"), "second-pairs"), sets, percent)
+    second = settle(second.select("a", "b"), "second-pairs")
+    two = _verified(second, _sets(docs, second), percent)
     # Linking components is linking their least texts, so the first result goes on as links.
     both = tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(two)
     return components(both, "a", "b")
