@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitehazard.llm import bpe, decontaminate, jaccard_join, pii, quality_rules, secrets
+from sitehazard.llm import bloom_lm, bpe, decontaminate, jaccard_join, pii, quality_rules, secrets
 from sitehazard.llm.common import documents, table
 from sitehazard.session import tune
 
@@ -76,3 +76,9 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     found = jaccard_join.groups(documents(spark, folder), "doc_id")
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op2_bloom_lm(spark: SparkSession, folder: str) -> DataFrame:
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return bloom_lm.scores(documents(spark, folder), "doc_id", F.crc32(number) % 10 == 0)
