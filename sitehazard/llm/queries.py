@@ -7,7 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitehazard.llm import bloom_lm, bpe, decontaminate, jaccard_join, pii, quality_rules, secrets
+from sitehazard.llm import (
+    bloom_lm,
+    bpe,
+    decontaminate,
+    jaccard_join,
+    pii,
+    quality_rules,
+    secrets,
+    suffix_dedup,
+)
 from sitehazard.llm.common import documents, table
 from sitehazard.session import tune
 
@@ -82,3 +91,8 @@ def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 def op2_bloom_lm(spark: SparkSession, folder: str) -> DataFrame:
     number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     return bloom_lm.scores(documents(spark, folder), "doc_id", F.crc32(number) % 10 == 0)
+
+
+@query
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.deduplicated(documents(spark, folder), ["doc_id"], whole=False)
