@@ -1,19 +1,58 @@
-"""The corpus pipeline: quality rules first, then the stages that need what they keep."""
+"""The corpus pipeline: quality, near duplicates, benchmark passages, personal data, tokens.
+
+Each stage reads all rows that the one before kept, and all but the last give back the columns
+of the documents table.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sitehazard.llm import quality_rules
+from sitehazard.llm import bpe, decontaminate, jaccard_join, pii, quality_rules
 from sitehazard.session import shared_path, tune
 
+#: For the shared test tables; a job passes its own secret.
+KEY = "key of the test pipeline"
+#: Near duplicates: words in a shingle, and the least similarity in hundredths.
+SHINGLE, SIMILAR = 5, 80
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weighed quality rules keep."""
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality_rules", good_documents)]
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of near duplicates."""
+    return jaccard_join.first_of_each(docs, percent=SIMILAR, shingle=SHINGLE)
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no ten words in a row with a benchmark item."""
+    return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def under_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal numbers, dates and addresses replaced in the text."""
+    return pii.with_pseudonyms(docs, KEY).select(docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and the digest of their round trip."""
+    rows = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), docs.columns)
+    return rows.drop("text", "decoded")
+
+
+STAGES = [
+    ("quality_rules", good_documents),
+    ("jaccard_join", one_of_each_group),
+    ("decontamination", without_benchmarks),
+    ("pii", under_pseudonyms),
+    ("bpe", encoded),
+]
+#: Not expressible: the votes' weights are fitted in rounds, groups are closed transitively, and
+#: merges depend on each other.
 ORACLE_SQL = None
 
 

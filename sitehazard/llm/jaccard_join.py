@@ -40,6 +40,7 @@ from sitehazard.llm.bits import BitFilter, bit_filter
 from sitehazard.llm.common import WordHashes, folded_words, settle, text_key
 from sitehazard.llm.components import components
 
+#: Words in a shingle, unless the caller says otherwise.
 SHINGLE = 4
 #: A token reported from so many documents is frequent.
 FREQUENT = 32
@@ -58,19 +59,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def tokens(text: str | None, hashes: WordHashes) -> np.ndarray:
+def tokens(text: str | None, hashes: WordHashes, shingle: int = SHINGLE) -> np.ndarray:
     """The sorted set of a text's hashed shingles."""
     words = folded_words(text)
     if not words:
         return np.empty(0, np.uint64)
     raw = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    if len(raw) < SHINGLE:
+    if len(raw) < shingle:
         whole = np.array([len(raw)], np.uint64)
         for k in range(len(raw)):
-            whole = mixed(whole * MIX[0] + raw[k : k + 1] * MIX[k + 1])
+            whole = mixed(whole * MIX[0] + raw[k : k + 1] * MIX[3])
         return whole
-    end = len(raw) - SHINGLE + 1
-    return np.unique(mixed(sum((raw[k : end + k] * MIX[k] for k in range(SHINGLE)), np.uint64(0))))
+    end = len(raw) - shingle + 1
+    gram = np.zeros(end, np.uint64)
+    for k in range(shingle):
+        gram = gram * MIX[0] + raw[k : end + k]
+    return np.unique(mixed(gram))
 
 
 def signatures(own: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -91,7 +95,7 @@ def signatures(own: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.
     return np.concatenate([single, pair]), len(rare)
 
 
-def _frequent(docs: DataFrame, rest: list[str]) -> tuple[DataFrame, DataFrame]:
+def _frequent(docs: DataFrame, rest: list[str], shingle: int) -> tuple[DataFrame, DataFrame]:
     """The documents with key and number of tokens, and tokens found in several documents.
 
     A worker reports what at least two of the different texts of its chunk hold.
@@ -121,7 +125,7 @@ def _frequent(docs: DataFrame, rest: list[str]) -> tuple[DataFrame, DataFrame]:
             counts = []
             keys = batch.column(len(rest)).to_pylist()
             for key, cell in zip(keys, batch.column(len(rest) + 1), strict=True):
-                own = tokens(cell.as_py(), hashes)
+                own = tokens(cell.as_py(), hashes, shingle)
                 counts.append(len(own))
                 if len(own) and key not in seen:
                     seen.add(key)
@@ -147,7 +151,7 @@ def _frequent(docs: DataFrame, rest: list[str]) -> tuple[DataFrame, DataFrame]:
 ROW = np.dtype([("sig", "<u8"), ("key", "<i8"), ("n", "<i4"), ("rare", "<i4"), ("at", "<i4")])
 
 
-def _shared(docs: DataFrame, frequent: BitFilter, percent: int) -> DataFrame:
+def _shared(docs: DataFrame, frequent: BitFilter, percent: int, shingle: int) -> DataFrame:
     """Signatures that several texts have: ``sig``, ``key``, ``n``, ``rare``, ``at``."""
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(frequent)
@@ -161,7 +165,7 @@ def _shared(docs: DataFrame, frequent: BitFilter, percent: int) -> DataFrame:
                 if key in seen:
                     continue
                 seen.add(key)
-                own = tokens(cell.as_py(), hashes)
+                own = tokens(cell.as_py(), hashes, shingle)
                 if not len(own):
                     continue
                 sig, rare = signatures(own, known.value.has(own), percent)
@@ -232,7 +236,7 @@ def _shared(docs: DataFrame, frequent: BitFilter, percent: int) -> DataFrame:
     ).dropDuplicates(["sig", "key"])
 
 
-def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """(key, tokens) of the texts in pairs (a, b), and of a few more."""
     keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b"))
     wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(keys, "key"))
@@ -244,7 +248,7 @@ def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             at = np.flatnonzero(wanted.value.has(raw))
             for start in range(0, len(at), 500):
                 part = at[start : start + 500]
-                sets = [tokens(batch.column(1)[int(i)].as_py(), hashes).tobytes() for i in part]
+                sets = [tokens(batch.column(1)[int(i)].as_py(), hashes, shingle).tobytes() for i in part]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(raw[part].view(np.int64)), pa.array(sets, pa.binary())], ["key", "tokens"]
                 )
@@ -277,9 +281,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "of_a", "of_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def links(docs: DataFrame, often: DataFrame, percent: int) -> DataFrame:
+def links(docs: DataFrame, often: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFrame:
     """(node, component) by text key, for all texts that link to a different one."""
-    shared = settle(_shared(docs, bit_filter(often, "token"), percent), "signatures")
+    shared = settle(_shared(docs, bit_filter(often, "token"), percent, shingle), "signatures")
     total = percent + 100
     # What two documents may share at most, against what they must.
     near = f"100 * least({{0}}n, {{1}}n) >= {percent} * greatest({{0}}n, {{1}}n)"
@@ -287,6 +291,11 @@ def links(docs: DataFrame, often: DataFrame, percent: int) -> DataFrame:
         f"({{0}}sig % 2 <> 0 OR {total} * least({{0}}n - {{0}}rare, {{1}}n - {{1}}rare) "
         f">= {percent} * ({{0}}n + {{1}}n))"
     )
+    # A pair's first shared rare token leaves enough after it on both sides; later ones add nothing.
+    early = (
+        f"({{0}}sig % 2 = 0 OR {total} * least({{0}}n - {{0}}at, {{1}}n - {{1}}at) "
+        f">= {percent} * ({{0}}n + {{1}}n))"
+    )
     lead = (
         shared.groupBy("sig")
         .agg(F.min(F.struct("rare", "key", "n", "at")).alias("lead"), F.count("*").alias("texts"))
@@ -313,7 +322,7 @@ def links(docs: DataFrame, often: DataFrame, percent: int) -> DataFrame:
     )
     first = settle(first, "first-pairs")
     several = shared.join(lead.select("sig"), "sig", "left_semi")
-    one = settle(_verified(first, _sets(docs, first), percent), "first-links")
+    one = settle(_verified(first, _sets(docs, first, shingle), percent), "first-links")
     tied = settle(components(one, "a", "b"), "first-components")
 
     own = several.join(tied.withColumnRenamed("node", "key"), "key", "left").withColumn(
@@ -337,6 +346,8 @@ def links(docs: DataFrame, often: DataFrame, percent: int) -> DataFrame:
                 + near.format("x_", "y_")
                 + " AND "
                 + rare.format("x_", "y_")
+                + " AND "
+                + early.format("x_", "y_")
             ),
         )
         .groupBy(F.col("x_key").alias("a"), F.col("y_key").alias("b"))
@@ -350,14 +361,19 @@ def links(docs: DataFrame, often: DataFrame, percent: int) -> DataFrame:
         .where(bound)
     )
     second = settle(second.select("a", "b"), "second-pairs")
-    two = _verified(second, _sets(docs, second), percent)
+    two = _verified(second, _sets(docs, second, shingle), percent)
     # Linking components is linking their least texts, so the first result goes on as links.
     both = tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(two)
     return components(both, "a", "b")
 
 
 def groups(
-    docs: DataFrame, id_column: str, text: str = "text", percent: int = 85, keep: tuple[str, ...] = ()
+    docs: DataFrame,
+    id_column: str,
+    text: str = "text",
+    percent: int = 85,
+    shingle: int = SHINGLE,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """``id_column``, the columns in ``keep``, ``key``, ``n_shingles`` and ``component_id``.
 
@@ -365,8 +381,8 @@ def groups(
     """
     rest = [id_column, *(c for c in keep if c != id_column)]
     source = docs.select(*rest, text_key(text).alias("key"), F.col(text).alias("_text"))
-    base, often = _frequent(source, rest)
-    tied = settle(links(source, often, percent), "components")
+    base, often = _frequent(source, rest, shingle)
+    tied = settle(links(source, often, percent, shingle), "components")
     ids = base.where("n_shingles > 0").groupBy("key").agg(F.min(id_column).alias("least"))
     named = (
         ids.join(tied.withColumnRenamed("node", "key"), "key", "left")
@@ -380,13 +396,15 @@ def groups(
     return linked.select(*rest, "key", "n_shingles", "component_id").unionByName(alone)
 
 
-def first_of_each(docs: DataFrame, id_column: str = "doc_id", percent: int = 85) -> DataFrame:
+def first_of_each(
+    docs: DataFrame, id_column: str = "doc_id", percent: int = 80, shingle: int = 5
+) -> DataFrame:
     """One document of each group, the one with the least id, as it came.
 
     Of rows that share that id in a group, the one with the least text key stays, once.
     Documents without words are left alone.
     """
-    found = settle(groups(docs, id_column, percent=percent), "groups")
+    found = settle(groups(docs, id_column, percent=percent, shingle=shingle), "groups")
     kept = found.where("n_shingles > 0").where(F.col(id_column).eqNullSafe(F.col("component_id")))
     kept = kept.groupBy("component_id").agg(F.min("key").alias("key"))
     kept = kept.select(F.col("component_id").alias("_id"), F.col("key").alias("_key"))

@@ -12,10 +12,12 @@ from sitehazard.llm import (
     bpe,
     decontaminate,
     jaccard_join,
+    licences,
     pii,
     quality_rules,
     secrets,
     suffix_dedup,
+    warc,
 )
 from sitehazard.llm.common import documents, table
 from sitehazard.session import tune
@@ -96,3 +98,55 @@ def op2_bloom_lm(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.deduplicated(documents(spark, folder), ["doc_id"], whole=False)
+
+
+@query
+def op8_licences(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.scan(documents(spark, folder), ["doc_id"])
+    return found.select(
+        "doc_id",
+        F.array_join("licences", ",").alias("licences"),
+        "best",
+        F.round("similarity", 6).alias("similarity"),
+    )
+
+
+def captures(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages as archive records, one a minute.
+
+    Every third page number is a revisit: of these, some state the digest of what they found,
+    some an entity tag made from the language in the URL, so that all outcomes occur.
+    """
+    number = F.col("page_id")
+    revisit = F.coalesce(number % 3 == 2, F.lit(False))
+    digest = F.sha1(F.coalesce("html", F.lit("")))
+    tag = F.concat(F.lit('"'), F.regexp_extract("url", "/([a-z]{2})/", 1), F.lit('"'))
+    block = F.concat(
+        F.when(number % 2 == 0, F.concat(F.lit("ETag: "), tag, F.lit("\r\n"))).otherwise(""),
+        F.concat(F.lit("Date: "), number.cast("string"), F.lit("\r\n")),
+        F.concat(F.lit("Content-Length: "), F.octet_length("html").cast("string"), F.lit("\r\n")),
+    )
+    return table(spark, folder, "pages").select(
+        number.alias("record_id"),
+        "url",
+        F.timestamp_seconds(number * 60).alias("ts"),
+        F.when(revisit, "revisit").otherwise("response").alias("kind"),
+        F.when(revisit, 304).otherwise(200).alias("http_status"),
+        warc.header_map(block).alias("headers"),
+        digest.alias("digest"),
+    )
+
+
+@query
+def op5_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.resolved(captures(spark, folder))
+    headers = F.array_sort(F.map_entries("headers"))
+    return found.select(
+        F.col("record_id").alias("page_id"),
+        "place",
+        "status",
+        F.col("payload_record"),
+        F.array_join(F.transform(headers, lambda h: F.concat_ws("=", h["key"], h["value"])), ";").alias(
+            "headers"
+        ),
+    )
