@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sitehazard.llm import bpe, decontaminate, jaccard_join, pii, quality_rules
+from sitehazard.llm.common import importable
 from sitehazard.session import shared_path, tune
 
 #: For the shared test tables; a job passes its own secret.
@@ -58,7 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each writes Parquet that the next one reads."""
-    docs = tune(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = importable(tune(spark)).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = shared_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)

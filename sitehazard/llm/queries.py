@@ -19,7 +19,7 @@ from sitehazard.llm import (
     suffix_dedup,
     warc,
 )
-from sitehazard.llm.common import documents, table
+from sitehazard.llm.common import documents, importable, table
 from sitehazard.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,7 +30,7 @@ PII_KEY = "key of the test queries"
 
 
 def query(build):
-    QUERIES[build.__name__] = lambda spark, folder: build(tune(spark), folder)
+    QUERIES[build.__name__] = lambda spark, folder: build(importable(tune(spark)), folder)
     return build
 
 
