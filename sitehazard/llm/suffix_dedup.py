@@ -20,6 +20,7 @@ rows. Only the columns asked for are read; those added win over given ones of th
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ LENGTH, GRAM = 400, 32
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 1 << 19
 #: Bytes of stretches that are sorted together at least, unless there are no more.
-BATCH = 500_000
+BATCH = 150_000
 BETWEEN = 255  # in no UTF-8 text
 
 
@@ -222,7 +223,13 @@ def _repeats(stretches: DataFrame, tasks: int) -> DataFrame:
 
     def judge(rows: list[tuple]) -> pa.RecordBatch:
         keys, lows, highs = [], [], []
-        for (key, start, _), found in zip(rows, repeated([r[2] for r in rows]), strict=True):
+        # Equal stretches repeat each other from end to end; one of them is sorted with the rest.
+        often = Counter(stretch for _, _, stretch in rows)
+        each = dict(zip(often, repeated(list(often)), strict=True))
+        for key, start, stretch in rows:
+            found = each[stretch]
+            if often[stretch] > 1:
+                found = np.arange(len(stretch) - LENGTH + 1)
             if len(found):
                 low, high = joined(found + start)
                 keys += [key] * len(low)
@@ -233,15 +240,18 @@ def _repeats(stretches: DataFrame, tasks: int) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
+        held, size, last, met = [], 0, None, set()
         for batch in batches:
             for anchor, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if anchor != last and size >= BATCH:
                     yield judge(held)
                     held, size = [], 0
-                last = anchor
+                if anchor != last:
+                    last, met = anchor, set()
                 held.append(tuple(row))
-                size += len(row[2])
+                if row[2] not in met:  # only different stretches are sorted
+                    met.add(row[2])
+                    size += len(row[2])
         if held:
             yield judge(held)
 

@@ -77,15 +77,13 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), "^W/", "")
 
 
-FULL = F.struct("record_id", "headers", "digest", "ts")
-
-
 def resolved(records: DataFrame, stretch: int = 86_400) -> DataFrame:
     """Every record with its ``status``, ``payload_record`` and merged ``headers``.
 
     Needs record_id, url, ts (timestamp), kind ('response' or 'revisit'), http_status (int),
     headers (map with names in lower case), digest. ``stretch`` is in seconds.
     """
+    response = F.struct("record_id", "headers", "digest", "ts")
     order = [F.col("ts"), F.col("full").desc(), F.col("record_id")]
     base = records.select(
         "record_id",
@@ -100,7 +98,7 @@ def resolved(records: DataFrame, stretch: int = 86_400) -> DataFrame:
     last = (
         known.where("full")
         .groupBy("place", "part")
-        .agg(F.max_by(FULL, F.struct("ts", "record_id")).alias("ended"))
+        .agg(F.max_by(response, F.struct("ts", "record_id")).alias("ended"))
     )
     parts = known.groupBy("place", "part").agg(F.lit(1).alias("one")).join(last, ["place", "part"], "left")
     before = Window.partitionBy("place").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -110,7 +108,7 @@ def resolved(records: DataFrame, stretch: int = 86_400) -> DataFrame:
     so_far = (
         Window.partitionBy("place", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    own = F.last(F.when(F.col("full"), FULL), ignorenulls=True).over(so_far)
+    own = F.last(F.when(F.col("full"), response), ignorenulls=True).over(so_far)
     found = (
         known.withColumn("own", own)
         .join(carried, ["place", "part"], "left")
