@@ -97,7 +97,7 @@ def findings(
     )
     low, high = least / (2 - least), (2 - least) / least
     common = (
-        grams.join(known, "gram")
+        grams.join(F.broadcast(known), "gram")  # the fixed templates
         .where((F.col("n") >= low * F.col("of")) & (F.col("n") <= high * F.col("of")))
         .groupBy("key", "unit", "n", "licence", "of")
         .agg(F.count_distinct("gram").alias("common"))
