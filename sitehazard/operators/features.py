@@ -13,7 +13,7 @@ from sitehazard.config import (
 )
 from sitehazard.functions.geo import wind_alignment
 from sitehazard.functions.scoring import with_risk
-from sitehazard.operators.cleaning import active_hazards, clean_hazards, clean_weather
+from sitehazard.operators.cleaning import active_hazards, clean_hazards, clean_weather, valid_coordinates
 from sitehazard.operators.series import match_nearest, time_features, trend_features
 from sitehazard.operators.skew import Series, bring_together, join_few, measure_series
 from sitehazard.operators.spatial import hazard_profile, union_hazards
@@ -36,7 +36,7 @@ def strong_quakes(quakes: DataFrame) -> DataFrame:
 
 def hazards_and_quakes(hazards: DataFrame, quakes: DataFrame) -> DataFrame:
     """What counts as a hazard: cleaned active events, then located quakes of the feed."""
-    located = strong_quakes(quakes).where("latitude is not null and longitude is not null")
+    located = valid_coordinates(strong_quakes(quakes))
     return union_hazards(active_hazards(clean_hazards(hazards)), located)
 
 

@@ -101,13 +101,25 @@ def locations_with_data(locations: DataFrame, risk: DataFrame) -> DataFrame:
 
 
 def requested_locations(requests: DataFrame) -> DataFrame:
-    """Requests with numbers for coordinates, and a name made of them where none is given."""
+    """Requests with numbers for coordinates, and a name made of them where none is given.
+
+    Requests whose coordinates are missing, empty or no numbers are left out.
+    """
     made = F.concat_ws(", ", F.col("lat").cast("string"), F.col("lon").cast("string"))
-    return requests.where("lat is not null and lon is not null").select(
-        *[c for c in requests.columns if c not in ("lat", "lon", "name")],
-        F.coalesce(F.when(F.col("name") != "", F.col("name")), made).alias("name"),
-        F.col("lat").cast("double").alias("latitude"),
-        F.col("lon").cast("double").alias("longitude"),
+    return (
+        requests.withColumns(
+            {
+                "latitude": F.expr("try_cast(lat AS double)"),
+                "longitude": F.expr("try_cast(lon AS double)"),
+            }
+        )
+        .where("latitude is not null and longitude is not null")
+        .select(
+            *[c for c in requests.columns if c not in ("lat", "lon", "name")],
+            F.coalesce(F.when(F.col("name") != "", F.col("name")), made).alias("name"),
+            "latitude",
+            "longitude",
+        )
     )
 
 

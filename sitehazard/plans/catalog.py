@@ -750,11 +750,6 @@ def loaded_hazards(t):
     return tables.read_table(t.spark, path).withColumns(unzoned("event_timestamp"))
 
 
-@query
-def table_files(t):
-    return tables.list_files(t.spark, t.folder)
-
-
 @query
 def location_refresh_times(t):
     path = shared_path(t.spark, "locations")

@@ -94,7 +94,7 @@ FEEDS = {
             "status": "'open'",
             "category": "'Earthquakes'",
         },
-        "event_type='purchase' AND event_id%4=0",
+        "event_type='purchase'",
     ),
     "raw_weather": Feed(
         "events",

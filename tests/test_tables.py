@@ -117,6 +117,7 @@ def test_place_lookup(spark):
 
 def test_requested_locations(spark):
     rows = [(1, "19.0", "72.5", None), (2, "1", "2", "Here"), (3, None, "2", "x"), (4, "0", "0", "")]
+    rows += [(5, "abc", "2", "x"), (6, "", "2", "x"), (7, "1", " ", "x")]
     requests = spark.createDataFrame(rows, "i int, lat string, lon string, name string")
     got = {r["i"]: (r["name"], r["latitude"], r["longitude"]) for r in serving.requested_locations(requests).collect()}
     assert got == {1: ("19.0, 72.5", 19.0, 72.5), 2: ("Here", 1.0, 2.0), 4: ("0, 0", 0.0, 0.0)}
