@@ -18,7 +18,10 @@ reaches a threshold t; documents are then grouped by their links. The join is ex
 * First, each document is verified against the document with which it shares the most signatures
   among those with the fewest rare tokens, which ties copies to their original by a number of
   checks in proportion to the documents. Then only pairs between different components are looked
-  at, after bounds on length, rare tokens and position; pairs within one can't change the result.
+  at, after bounds on length, rare tokens, position and parity; pairs within one can't change the
+  result. The parity sketch of a set tells, for each of 512 classes of tokens, whether it holds an
+  odd number of them. Where two sketches differ the sets do, so sketches that differ in more
+  places than the threshold allows rule the pair out, and no linked pair is.
 
 Texts that are equal are handled once, by their key. Defined results: null and empty texts and
 texts of white space have no tokens, link to nothing and are their own component, even if equal.
@@ -44,6 +47,8 @@ from sitehazard.llm.components import components
 SHINGLE = 4
 #: A token reported from so many documents is frequent.
 FREQUENT = 32
+#: Columns of the parity sketch, of 64 bits each.
+SKETCH = [f"sketch_{i}" for i in range(8)]
 #: Tokens that a worker counts at a time.
 CHUNK = 2_000_000
 FIRST, LAST = np.uint64(1), np.uint64(2**64 - 2)
@@ -77,6 +82,13 @@ def tokens(text: str | None, hashes: WordHashes, shingle: int = SHINGLE) -> np.n
     return np.unique(mixed(gram))
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """The parity of a set's tokens in each class, as 64-bit numbers."""
+    size = 64 * len(SKETCH)
+    odd = np.bincount((own % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(own: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """Signatures of a sorted set, in order, and its number of rare tokens.
 
@@ -96,13 +108,14 @@ def signatures(own: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.
 
 
 def _frequent(docs: DataFrame, rest: list[str], shingle: int) -> tuple[DataFrame, DataFrame]:
-    """The documents with key and number of tokens, and tokens found in several documents.
+    """The documents with key, number of tokens and sketch, and tokens found in several documents.
 
     A worker reports what at least two of the different texts of its chunk hold.
     """
     plain = [docs.schema[c] for c in rest]
+    own_columns = ["n_shingles", *SKETCH]
     schema = StructType(
-        [*plain, *(StructField(c, LongType()) for c in ("key", "n_shingles", "token", "n"))]
+        [*plain, *(StructField(c, LongType()) for c in ("key", *own_columns, "token", "n"))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,18 +127,18 @@ def _frequent(docs: DataFrame, rest: list[str], shingle: int) -> tuple[DataFrame
             count = np.diff(np.r_[start, len(all_tokens)])
             several = count > 1
             token = all_tokens[start[several]].view(np.int64)
-            none = [pa.nulls(len(token), f.type) for f in types[: len(rest) + 2]]
+            none = [pa.nulls(len(token), t) for t in types]
             columns = [*none, pa.array(token), pa.array(count[several].astype(np.int64))]
             return pa.RecordBatch.from_arrays(columns, names)
 
-        types = None
+        types, names = None, [*rest, "key", *own_columns, "token", "n"]
         for batch in batches:
-            names = [*rest, "key", "n_shingles", "token", "n"]
-            types = [*batch.schema][: len(rest) + 1] + [pa.field("n_shingles", pa.int64())]
-            counts = []
+            types = [f.type for f in batch.schema][: len(rest) + 1] + [pa.int64()] * len(own_columns)
+            counts, sketches = [], np.zeros((len(SKETCH), batch.num_rows), np.int64)
             keys = batch.column(len(rest)).to_pylist()
             for key, cell in zip(keys, batch.column(len(rest) + 1), strict=True):
                 own = tokens(cell.as_py(), hashes, shingle)
+                sketches[:, len(counts)] = sketch(own)
                 counts.append(len(own))
                 if len(own) and key not in seen:
                     seen.add(key)
@@ -137,13 +150,13 @@ def _frequent(docs: DataFrame, rest: list[str], shingle: int) -> tuple[DataFrame
             columns = [batch.column(i) for i in range(len(rest) + 1)]
             none = pa.nulls(len(counts), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(counts, pa.int64()), none, none], names
+                [*columns, pa.array(counts, pa.int64()), *map(pa.array, sketches), none, none], names
             )
         if held:
             yield report()
 
     both = settle(docs.select(*rest, "key", "_text").mapInArrow(run, schema), "tokens")
-    base = both.where("n_shingles IS NOT NULL").select(*rest, "key", "n_shingles")
+    base = both.where("n_shingles IS NOT NULL").select(*rest, "key", *own_columns)
     often = both.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n"))
     return base, often.where(F.col("n") >= FREQUENT).select("token")
 
@@ -281,8 +294,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "of_a", "of_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def links(docs: DataFrame, often: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFrame:
-    """(node, component) by text key, for all texts that link to a different one."""
+def links(
+    docs: DataFrame, base: DataFrame, often: DataFrame, percent: int, shingle: int = SHINGLE
+) -> DataFrame:
+    """(node, component) by text key, for all texts that link to a different one.
+
+    ``base`` and ``often`` are what is known of the documents and of frequent tokens.
+    """
     shared = settle(_shared(docs, bit_filter(often, "token"), percent, shingle), "signatures")
     total = percent + 100
     # What two documents may share at most, against what they must.
@@ -296,6 +314,8 @@ def links(docs: DataFrame, often: DataFrame, percent: int, shingle: int = SHINGL
         f"({{0}}sig % 2 = 0 OR {total} * least({{0}}n - {{0}}at, {{1}}n - {{1}}at) "
         f">= {percent} * ({{0}}n + {{1}}n))"
     )
+    differ = " + ".join(f"bit_count(x_{c} ^ y_{c})" for c in SKETCH)
+    alike = f"{total} * ({differ}) <= {100 - percent} * (x_n + y_n)"
     lead = (
         shared.groupBy("sig")
         .agg(F.min(F.struct("rare", "key", "n", "at")).alias("lead"), F.count("*").alias("texts"))
@@ -335,7 +355,8 @@ def links(docs: DataFrame, often: DataFrame, percent: int, shingle: int = SHINGL
         .where("least <> most")
         .select("sig")
     )
-    own = own.join(apart, "sig", "left_semi")
+    sketches = base.where("n_shingles > 0").select("key", *SKETCH).dropDuplicates(["key"])
+    own = own.join(apart, "sig", "left_semi").join(sketches, "key")
     left = own.select(*(F.col(c).alias(f"x_{c}") for c in own.columns))
     right = own.select(*(F.col(c).alias(f"y_{c}") for c in own.columns))
     second = (
@@ -348,6 +369,8 @@ def links(docs: DataFrame, often: DataFrame, percent: int, shingle: int = SHINGL
                 + rare.format("x_", "y_")
                 + " AND "
                 + early.format("x_", "y_")
+                + " AND "
+                + alike
             ),
         )
         .groupBy(F.col("x_key").alias("a"), F.col("y_key").alias("b"))
@@ -382,7 +405,7 @@ def groups(
     rest = [id_column, *(c for c in keep if c != id_column)]
     source = docs.select(*rest, text_key(text).alias("key"), F.col(text).alias("_text"))
     base, often = _frequent(source, rest, shingle)
-    tied = settle(links(source, often, percent, shingle), "components")
+    tied = settle(links(source, base, often, percent, shingle), "components")
     ids = base.where("n_shingles > 0").groupBy("key").agg(F.min(id_column).alias("least"))
     named = (
         ids.join(tied.withColumnRenamed("node", "key"), "key", "left")
@@ -392,7 +415,7 @@ def groups(
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_key = named.join(least, "component").select("key", "component_id")
     linked = base.where("n_shingles > 0").join(by_key, "key")
-    alone = base.where("n_shingles = 0").withColumn("component_id", F.col(id_column))
+    alone = base.where("n_shingles = 0").drop(*SKETCH).withColumn("component_id", F.col(id_column))
     return linked.select(*rest, "key", "n_shingles", "component_id").unionByName(alone)
 
 
