@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sitehazard.config import DEFAULT_RULES, DEFAULT_SIZING, RiskRules, Sizing
 from sitehazard.operators.explain import explain, with_explanation
@@ -72,6 +72,25 @@ def refresh(
     store(explain(stored), f"{path}/explanations", snapshot, name=None)
 
 
+def purge(spark: SparkSession, path: str) -> list[int]:
+    """Delete the snapshots in which no location has its newest rows; gives their numbers.
+
+    One row per snapshot reaches the driver. Readers that have planned a read of a deleted
+    snapshot must plan again.
+    """
+    facts = f"{path}/fact_environment_risk"
+    held = read_table(spark, facts).select("location_id", "snapshot").distinct()
+    newest = held.groupBy("location_id").agg(F.max("snapshot").alias("snapshot"))
+    old = held.select("snapshot").distinct().join(newest, "snapshot", "left_anti")
+    numbers = sorted(row["snapshot"] for row in old.toLocalIterator())
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for number in numbers:
+        for table in (f"{path}/explanations", facts):
+            folder = hadoop.Path(f"{table}/snapshot={number}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return numbers
+
+
 def refreshed(spark: SparkSession, path: str, sizing: Sizing = DEFAULT_SIZING) -> DataFrame:
     """The current facts: each location's newest snapshot."""
     table = read_table(spark, f"{path}/fact_environment_risk")

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from sitehazard.config import DEFAULT_RULES, RiskRules
+from sitehazard.config import DEFAULT_RULES, DEFAULT_SIZING, RiskRules, Sizing
 from sitehazard.functions.scoring import with_risk
 from sitehazard.operators.cleaning import keep_last
-from sitehazard.plans.pipeline import Inputs, refresh
+from sitehazard.plans.pipeline import Inputs, purge, refresh
+
+#: Feeds that arrive, as named in ``Inputs``.
+FEEDS = ("hazards", "quakes", "weather", "air")
 
 
 def _run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -62,15 +65,39 @@ def score(
 
 
 def refresh_on_arrival(
-    stream: DataFrame, inputs_for: Callable[[DataFrame], Inputs], path: str, checkpoint: str
+    stream: DataFrame,
+    arrivals: Callable[[DataFrame], dict[str, DataFrame]],
+    locations: DataFrame,
+    path: str,
+    checkpoint: str,
+    sizing: Sizing = DEFAULT_SIZING,
 ) -> StreamingQuery:
-    """Recompute what each micro-batch touches and store it as the snapshot of its number.
-
-    ``inputs_for`` turns the arrived rows into the feeds of the locations to refresh.
+    """Keep the facts of all locations up to date with what arrives.
+
+    ``arrivals`` turns the arrived rows into raw rows of the ``FEEDS``. They are kept by batch
+    beside the facts. Locations with new weather or air quality are recomputed from everything
+    that has arrived so far; new hazards or quakes can change any location, so then all are.
+    Each recomputed location is replaced whole, as the snapshot of the batch's number, and
+    snapshots that no location needs any more are deleted. A batch that is run again overwrites
+    what it wrote.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        if not batch.isEmpty():
-            refresh(inputs_for(batch), path, number)
+        spark = batch.sparkSession
+        if batch.isEmpty():
+            return
+        for name, rows in arrivals(batch).items():
+            rows.write.mode("overwrite").parquet(f"{path}/raw/{name}/batch={number}")
+        new = {name: spark.read.parquet(f"{path}/raw/{name}/batch={number}") for name in FEEDS}
+        feeds = {name: spark.read.parquet(f"{path}/raw/{name}").drop("batch") for name in FEEDS}
+        wanted = locations
+        if new["hazards"].isEmpty() and new["quakes"].isEmpty():
+            touched = new["weather"].select("location_id").unionAll(new["air"].select("location_id"))
+            touched = touched.distinct()
+            wanted = locations.join(touched, "location_id", "left_semi")
+            for name in ("weather", "air"):
+                feeds[name] = feeds[name].join(touched, "location_id", "left_semi")
+        refresh(Inputs(wanted, **feeds), path, number, sizing=sizing)
+        purge(spark, path)
 
     return _run(stream, checkpoint, run)

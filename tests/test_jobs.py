@@ -194,7 +194,7 @@ def test_every_sql_check_belongs_to_a_query():
 # The whole list is compared by check_queries.py; these run here as well.
 @pytest.mark.parametrize(
     "name", ["clean_hazards", "hazard_bands", "asof_air_quality", "hourly_resample", "risk_scores",
-             "explanations", "place_lookup", "refresh_stream", "bulk_row_scoring"],
+             "explanations", "place_lookup", "refresh_stream", "refreshed_risk", "bulk_row_scoring"],
 )
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
