@@ -310,9 +310,15 @@ def links(
         f">= {percent} * ({{0}}n + {{1}}n))"
     )
     # A pair's first shared rare token leaves enough after it on both sides; later ones add nothing.
+    # Else no rare token is shared. Then the first shared neighbours come after at most as many
+    # parted ones as frequent tokens that only one side has, and these tokens themselves.
+    only = f"({total} * ({{0}}n - {{0}}rare) - {percent} * (x_n + y_n))"
+    only_x, only_y = only.format("x_"), only.format("y_")
     early = (
-        f"({{0}}sig % 2 = 0 OR {total} * least({{0}}n - {{0}}at, {{1}}n - {{1}}at) "
-        f">= {percent} * ({{0}}n + {{1}}n))"
+        f"CASE WHEN x_sig % 2 <> 0 THEN {total} * least(x_n - x_at, y_n - y_at) "
+        f">= {percent} * (x_n + y_n) "
+        f"ELSE {total} * (x_at - x_rare) <= 2 * {only_x} + {only_y} "
+        f"AND {total} * (y_at - y_rare) <= {only_x} + 2 * {only_y} END"
     )
     differ = " + ".join(f"bit_count(x_{c} ^ y_{c})" for c in SKETCH)
     alike = f"{total} * ({differ}) <= {100 - percent} * (x_n + y_n)"
@@ -341,11 +347,10 @@ def links(
         .agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
     )
     first = settle(first, "first-pairs")
-    several = shared.join(lead.select("sig"), "sig", "left_semi")
     one = settle(_verified(first, _sets(docs, first, shingle), percent), "first-links")
     tied = settle(components(one, "a", "b"), "first-components")
 
-    own = several.join(tied.withColumnRenamed("node", "key"), "key", "left").withColumn(
+    own = shared.join(tied.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key")
     )
     own = settle(own, "between")
@@ -368,7 +373,7 @@ def links(
                 + " AND "
                 + rare.format("x_", "y_")
                 + " AND "
-                + early.format("x_", "y_")
+                + early
                 + " AND "
                 + alike
             ),
