@@ -10,7 +10,7 @@ EARTH_RADIUS_KM = 6371.0  # fixed value
 def haversine_km(lat1: object, lon1: object, lat2: object, lon2: object) -> Column:
     """Distance between two points; arguments are column names, SQL text or numbers.
 
-    One parsed expression instead of two dozen composed columns: plans hold many of these.
+    Null if a coordinate is null or NaN. One parsed expression instead of two dozen composed columns: plans hold many of these.
     """
     half_lat = f"((radians({lat2}) - radians({lat1})) / 2)"
     half_lon = f"((radians({lon2}) - radians({lon1})) / 2)"
@@ -18,8 +18,9 @@ def haversine_km(lat1: object, lon1: object, lat2: object, lon2: object) -> Colu
         f"sin({half_lat}) * sin({half_lat}) + "
         f"cos(radians({lat1})) * cos(radians({lat2})) * sin({half_lon}) * sin({half_lon})"
     )
-    # Rounding can push the root of an antipodal chord just past 1.
-    return F.expr(f"{2 * EARTH_RADIUS_KM}D * asin(least(1D, sqrt({chord})))")
+    # Rounding can push the root of an antipodal chord just past 1. Neither a null nor a NaN chord
+    # is below 2; ``least`` would read both as 1.
+    return F.expr(f"IF({chord} < 2D, {2 * EARTH_RADIUS_KM}D * asin(least(1D, sqrt({chord}))), NULL)")
 
 
 def wind_alignment(

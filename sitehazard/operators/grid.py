@@ -17,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitehazard.functions.geo import EARTH_RADIUS_KM, haversine_km
+from sitehazard.operators.cleaning import valid_coordinates
 
 PER_DEGREE = 64  # finest cells per degree
 SIZES = (960, 64, 16, 4, 1)  # cell sides in finest cells: 15°, 1°, 1/4°, 1/16°, 1/64°
@@ -94,9 +95,9 @@ def _opened(frontier: DataFrame, occupied: DataFrame, join: Join = plain_join) -
 
 
 def distinct_sites(locations: DataFrame) -> DataFrame:
-    """Every coordinate where locations stand, with their number."""
+    """Every coordinate on the globe where locations stand, with their number."""
     return (
-        locations.where("latitude is not null and longitude is not null")
+        valid_coordinates(locations)
         .groupBy(F.col("latitude").alias("site_lat"), F.col("longitude").alias("site_lon"))
         .agg(F.count("*").alias("locations"))
     )

@@ -23,6 +23,7 @@ from sitehazard.config import (
 )
 from sitehazard.functions.geo import haversine_km
 from sitehazard.operators import grid
+from sitehazard.operators.cleaning import valid_coordinates
 from sitehazard.operators.grid import SITE
 from sitehazard.operators.skew import HotKeys, hot_keys, join_few
 from sitehazard.session import settle
@@ -102,7 +103,7 @@ def _spots(hazards: DataFrame) -> DataFrame:
     seq = F.col("seq") if "seq" in columns else F.monotonically_increasing_id()
     magnitude = F.col("magnitude") if "magnitude" in columns else F.lit(None).cast("double")
     return (
-        hazards.where("latitude is not null and longitude is not null")
+        valid_coordinates(hazards)
         .groupBy("latitude", "longitude", F.col("category"))
         .agg(
             F.count("*").alias("n"),

@@ -159,3 +159,24 @@ def test_map_merges_quakes_and_leaves_out_placeholders(spark):
     rows.sort(key=lambda r: (r["distance_km"], r["id"]))
     assert [r["id"] for r in rows] == ["a", "us1", "us2"]
     assert rows[1]["category"] == "Earthquakes"
+
+
+def test_places_off_the_globe_are_no_places(spark):
+    point = "double, latitude double, longitude double"
+    places = [(1, 10.0, 20.0), (2, math.nan, 20.0), (3, 10.0, 190.0), (4, None, 20.0), (5, -91.0, 20.0)]
+    locations = spark.createDataFrame(places, "location_id long, latitude double, longitude double")
+    kinds = ["A", "B", "C", "D"]
+    spots = [(10.0, 20.5), (math.nan, 20.0), (10.0, math.inf), (200.0, None)]
+    hazards = spark.createDataFrame(
+        [(float(i), *spot, kind) for i, (spot, kind) in enumerate(zip(spots, kinds))],
+        f"seq {point}, category string",
+    )
+    rows = {r["location_id"]: r for r in spatial.hazard_profile(locations, hazards).collect()}
+    assert len(rows) == 5
+    assert rows[1]["nearest_hazard_distance_km"] == pytest.approx(km(10, 20, 10, 20.5), abs=0.0051)
+    assert (rows[1]["hazard_types"], rows[1]["hazard_count_100km"]) == ("A", 1)
+    for i in (2, 3, 4, 5):
+        assert rows[i]["nearest_hazard_distance_km"] is None and rows[i]["hazard_count_100km"] == 0
+    far = locations.select("location_id", haversine_km("latitude", "longitude", "10D", "20D").alias("d"))
+    found = {r["location_id"]: r["d"] for r in far.collect()}
+    assert found[1] == 0 and found[2] is None and found[4] is None
