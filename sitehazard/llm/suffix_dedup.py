@@ -145,8 +145,50 @@ def suffix_order(text: bytes, key: np.ndarray) -> np.ndarray:
     return np.concatenate(order) if order else np.empty(0, np.int64)
 
 
+def start_keys(stretches: list[bytes]) -> np.ndarray:
+    """Hashes of all 400-byte strings of the stretches, one after another, made in parts."""
+    out, at = [], 0
+    while at < len(stretches):
+        end, size = at, 0
+        while end < len(stretches) and size < BATCH:
+            size += len(stretches[end])
+            end += 1
+        data = np.frombuffer(b"".join(stretches[at:end]), np.uint8)
+        sizes = np.array([len(s) for s in stretches[at:end]], np.int64)
+        starts = sizes - LENGTH + 1
+        shift = (np.cumsum(sizes) - sizes) - (np.cumsum(starts) - starts)
+        out.append(rolled(data, LENGTH)[np.arange(starts.sum()) + np.repeat(shift, starts)])
+        at = end
+    return np.concatenate(out)
+
+
 def repeated(stretches: list[bytes]) -> list[np.ndarray]:
-    """For each stretch, the starts of 400-byte strings that also start elsewhere in the list."""
+    """For each stretch, the starts of 400-byte strings that also start elsewhere in the list.
+
+    Of each stretch, only what lies between strings whose hash occurs again is sorted.
+    """
+    found = [np.empty(0, np.int64)] * len(stretches)
+    if not stretches:
+        return found
+    starts = np.array([len(s) - LENGTH + 1 for s in stretches], np.int64)
+    _, of_key, often = np.unique(start_keys(stretches), return_inverse=True, return_counts=True)
+    again = np.flatnonzero(often[of_key] > 1)
+    base = np.cumsum(starts) - starts
+    of = np.searchsorted(base, again, "right") - 1
+    rows, first = np.unique(of, return_index=True)
+    last = np.r_[first[1:], len(of)] - 1
+    low, high = (again[first] - base[rows]).tolist(), (again[last[: len(rows)]] - base[rows]).tolist()
+    parts = [
+        stretches[row][a : b + LENGTH] for row, a, b in zip(rows.tolist(), low, high, strict=True)
+    ]
+    if parts:
+        for row, a, places in zip(rows.tolist(), low, sorted_repeats(parts), strict=True):
+            found[row] = places + a
+    return found
+
+
+def sorted_repeats(stretches: list[bytes]) -> list[np.ndarray]:
+    """The same by sorting all suffixes and comparing neighbours."""
     text = bytes([BETWEEN]).join(stretches) + bytes([BETWEEN]) * (LENGTH + 1)
     data = np.frombuffer(text, np.uint8)
     sizes = np.array([len(s) for s in stretches], np.int64)

@@ -208,3 +208,24 @@ def test_repeated_passages_by_brute_force(spark, monkeypatch):
     columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     assert sorted(map(tuple, found.select(columns).collect())) == wanted
     assert suffix_dedup.deduplicated(frame(spark, []).drop("key"), ["doc_id"]).count() == 0
+
+
+def test_repeats_within_stretches():
+    import random
+    from collections import Counter
+
+    r = random.Random(2)
+    assert suffix_dedup.repeated([]) == []
+    for _ in range(30):
+        bases = [bytes(r.choices(b"abcdefgh ", k=700)) for _ in range(3)]
+        stretches = []
+        for _ in range(r.randint(1, 9)):
+            own = bytearray(r.choice(bases))
+            if r.random() < 0.6:
+                own[r.randrange(700)] = 120
+            begin = r.randint(0, 150)
+            stretches.append(bytes(own[begin : begin + 400 + r.randint(0, 150)]))
+        stretches = list(dict.fromkeys(stretches))
+        often = Counter(s[i : i + 400] for s in stretches for i in range(len(s) - 399))
+        want = [[i for i in range(len(s) - 399) if often[s[i : i + 400]] > 1] for s in stretches]
+        assert [found.tolist() for found in suffix_dedup.repeated(stretches)] == want
