@@ -19,9 +19,11 @@ reaches a threshold t; documents are then grouped by their links. The join is ex
   among those with the fewest rare tokens, which ties copies to their original by a number of
   checks in proportion to the documents. Then only pairs between different components are looked
   at, after bounds on length, rare tokens, position and parity; pairs within one can't change the
-  result. The parity sketch of a set tells, for each of 512 classes of tokens, whether it holds an
+  result. The parity sketch of a set tells, for each of 2048 classes of tokens, whether it holds an
   odd number of them. Where two sketches differ the sets do, so sketches that differ in more
-  places than the threshold allows rule the pair out, and no linked pair is.
+  places than the threshold allows rule the pair out, and no linked pair is. A large set has a
+  second sketch of as many bits as it has tokens or more, which is looked at once for each pair
+  that is left, before whole sets are shipped. Of two such sketches the longer is folded.
 
 Texts that are equal are handled once, by their key. Defined results: null and empty texts and
 texts of white space have no tokens, link to nothing and are their own component, even if equal.
@@ -37,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from sitehazard.llm.bits import BitFilter, bit_filter
 from sitehazard.llm.common import WordHashes, folded_words, settle, text_key
@@ -48,7 +50,9 @@ SHINGLE = 4
 #: A token reported from so many documents is frequent.
 FREQUENT = 32
 #: Columns of the parity sketch, of 64 bits each.
-SKETCH = [f"sketch_{i}" for i in range(8)]
+SKETCH = [f"sketch_{i}" for i in range(32)]
+#: Sets of more tokens have the second sketch.
+LARGE = 1024
 #: Tokens that a worker counts at a time.
 CHUNK = 2_000_000
 FIRST, LAST = np.uint64(1), np.uint64(2**64 - 2)
@@ -82,13 +86,26 @@ def tokens(text: str | None, hashes: WordHashes, shingle: int = SHINGLE) -> np.n
     return np.unique(mixed(gram))
 
 
-def sketch(own: np.ndarray) -> np.ndarray:
-    """The parity of a set's tokens in each class, as 64-bit numbers."""
-    size = 64 * len(SKETCH)
+def sketch(own: np.ndarray, size: int = 64 * len(SKETCH)) -> np.ndarray:
+    """The parity of a set's tokens in each of ``size`` classes, as 64-bit numbers."""
     odd = np.bincount((own % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def own_sketch(own: np.ndarray) -> bytes | None:
+    """The sketch of a large set, of the least power of two bits that its size doesn't pass."""
+    return sketch(own, 1 << (len(own) - 1).bit_length()).tobytes() if len(own) > LARGE else None
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """In how many places two sketches differ, the longer folded to the other's length."""
+    short, long = sorted((np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")), key=len)
+    while len(long) > len(short):
+        half = len(long) // 2
+        long = long[:half] ^ long[half:]
+    return int(np.bitwise_count(short ^ long).sum())
+
+
 def signatures(own: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """Signatures of a sorted set, in order, and its number of rare tokens.
 
@@ -115,7 +132,12 @@ def _frequent(docs: DataFrame, rest: list[str], shingle: int) -> tuple[DataFrame
     plain = [docs.schema[c] for c in rest]
     own_columns = ["n_shingles", *SKETCH]
     schema = StructType(
-        [*plain, *(StructField(c, LongType()) for c in ("key", *own_columns, "token", "n"))]
+        [
+            *plain,
+            *(StructField(c, LongType()) for c in ("key", *own_columns)),
+            StructField("wide", BinaryType()),
+            *(StructField(c, LongType()) for c in ("token", "n")),
+        ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,15 +153,18 @@ def _frequent(docs: DataFrame, rest: list[str], shingle: int) -> tuple[DataFrame
             columns = [*none, pa.array(token), pa.array(count[several].astype(np.int64))]
             return pa.RecordBatch.from_arrays(columns, names)
 
-        types, names = None, [*rest, "key", *own_columns, "token", "n"]
+        types, names = None, [*rest, "key", *own_columns, "wide", "token", "n"]
         for batch in batches:
-            types = [f.type for f in batch.schema][: len(rest) + 1] + [pa.int64()] * len(own_columns)
+            types = [f.type for f in batch.schema][: len(rest) + 1]
+            types += [*[pa.int64()] * len(own_columns), pa.binary()]
+            wide: list[bytes | None] = []
             counts, sketches = [], np.zeros((len(SKETCH), batch.num_rows), np.int64)
             keys = batch.column(len(rest)).to_pylist()
             for key, cell in zip(keys, batch.column(len(rest) + 1), strict=True):
                 own = tokens(cell.as_py(), hashes, shingle)
                 sketches[:, len(counts)] = sketch(own)
                 counts.append(len(own))
+                wide.append(own_sketch(own))
                 if len(own) and key not in seen:
                     seen.add(key)
                     held.append(own)
@@ -149,14 +174,14 @@ def _frequent(docs: DataFrame, rest: list[str], shingle: int) -> tuple[DataFrame
                     held, size, seen = [], 0, set()
             columns = [batch.column(i) for i in range(len(rest) + 1)]
             none = pa.nulls(len(counts), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(counts, pa.int64()), *map(pa.array, sketches), none, none], names
-            )
+            columns += [pa.array(counts, pa.int64()), *map(pa.array, sketches)]
+            columns += [pa.array(wide, pa.binary()), none, none]
+            yield pa.RecordBatch.from_arrays(columns, names)
         if held:
             yield report()
 
     both = settle(docs.select(*rest, "key", "_text").mapInArrow(run, schema), "tokens")
-    base = both.where("n_shingles IS NOT NULL").select(*rest, "key", *own_columns)
+    base = both.where("n_shingles IS NOT NULL").select(*rest, "key", *own_columns, "wide")
     often = both.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n"))
     return base, often.where(F.col("n") >= FREQUENT).select("token")
 
@@ -249,6 +274,28 @@ def _shared(docs: DataFrame, frequent: BitFilter, percent: int, shingle: int) ->
     ).dropDuplicates(["sig", "key"])
 
 
+def _likely(pairs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of ``n`` tokens on both sides that the large sets' sketches don't rule out."""
+    known = base.where("wide IS NOT NULL").select("key", "wide").dropDuplicates(["key"])
+    one = known.select(F.col("key").alias("a"), F.col("wide").alias("of_a"))
+    two = known.select(F.col("key").alias("b"), F.col("wide").alias("of_b"))
+    joined = pairs.select("a", "b", "n").join(one, "a", "left").join(two, "b", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("n", "of_a", "of_b"))
+            keep = [
+                x is None or y is None or (percent + 100) * differing(x, y) <= (100 - percent) * n
+                for n, x, y in zip(*columns, strict=True)
+            ]
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"]
+            )
+
+    return joined.select("a", "b", "n", "of_a", "of_b").mapInArrow(run, "a bigint, b bigint")
+
+
 def _sets(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """(key, tokens) of the texts in pairs (a, b), and of a few more."""
     keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b"))
@@ -344,9 +391,10 @@ def links(
         )
         .where(bound)
         .groupBy("a")
-        .agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+        .agg(F.max_by(F.struct("b", "n"), F.struct("shared", "b")).alias("best"))
+        .select("a", "best.b", "best.n")
     )
-    first = settle(first, "first-pairs")
+    first = settle(_likely(first, base, percent), "first-pairs")
     one = settle(_verified(first, _sets(docs, first, shingle), percent), "first-links")
     tied = settle(components(one, "a", "b"), "first-components")
 
@@ -360,7 +408,10 @@ def links(
         .where("least <> most")
         .select("sig")
     )
+    # Known not to be null, the words need no checks in the join's compiled loop, which would
+    # otherwise be too long a method for the JIT.
     sketches = base.where("n_shingles > 0").select("key", *SKETCH).dropDuplicates(["key"])
+    sketches = sketches.select("key", *(F.coalesce(c, F.lit(0)).alias(c) for c in SKETCH))
     own = own.join(apart, "sig", "left_semi").join(sketches, "key")
     left = own.select(*(F.col(c).alias(f"x_{c}") for c in own.columns))
     right = own.select(*(F.col(c).alias(f"y_{c}") for c in own.columns))
@@ -388,7 +439,7 @@ def links(
         )
         .where(bound)
     )
-    second = settle(second.select("a", "b"), "second-pairs")
+    second = settle(_likely(second, base, percent), "second-pairs")
     two = _verified(second, _sets(docs, second, shingle), percent)
     # Linking components is linking their least texts, so the first result goes on as links.
     both = tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(two)
@@ -420,7 +471,7 @@ def groups(
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_key = named.join(least, "component").select("key", "component_id")
     linked = base.where("n_shingles > 0").join(by_key, "key")
-    alone = base.where("n_shingles = 0").drop(*SKETCH).withColumn("component_id", F.col(id_column))
+    alone = base.where("n_shingles = 0").drop(*SKETCH, "wide").withColumn("component_id", F.col(id_column))
     return linked.select(*rest, "key", "n_shingles", "component_id").unionByName(alone)
 
 

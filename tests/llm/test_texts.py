@@ -158,6 +158,34 @@ def test_similarity_join_by_brute_force(spark, monkeypatch, size, percent, frequ
     assert got == brute_groups(docs, size, percent)
 
 
+def test_similarity_join_of_long_texts(spark):
+    rng = random.Random(9)
+    docs = []
+    for length in (1020, 1500, 2050, 2300):
+        base = [rng.choice("abcdefghijklmnop") + rng.choice("xyz") for _ in range(length)]
+        for changed in (0, 10, 20, 40, 60, 70, 80, 90, 120, 180):
+            words = list(base[: length - rng.choice([0, 0, 40])])
+            for at in rng.sample(range(len(words)), changed):
+                words[at] = "q" + rng.choice("uvw")
+            docs.append((len(docs), " ".join(words)))
+    found = jaccard_join.groups(frame(spark, [t for _, t in docs]).drop("key"), "doc_id", percent=80)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect())
+    assert got == brute_groups(docs, 4, 80)
+
+
+def test_sketches_never_differ_more_than_their_sets():
+    rng = np.random.default_rng(4)
+    for n in (1025, 2048, 2049, 5000):
+        one = np.unique(rng.integers(0, 2**63, n, np.int64).astype(np.uint64))
+        for kept in (0, n // 2, n - 40, n):
+            new = rng.integers(0, 2**63, n // 3 + 1, np.int64).astype(np.uint64)
+            two = np.unique(np.concatenate([one[:kept], new]))
+            x, y = (jaccard_join.sketch(s, 1 << (len(s) - 1).bit_length()).tobytes() for s in (one, two))
+            assert jaccard_join.differing(x, x) == 0
+            assert jaccard_join.differing(x, y) <= len(np.setxor1d(one, two))
+    assert jaccard_join.own_sketch(one[:1024]) is None
+
+
 def test_one_row_of_each_group_stays(spark):
     texts = ["a b c d e f g"] * 3 + ["A b c d e f g", None, "", "", "other words that stand alone here"]
     kept = jaccard_join.first_of_each(frame(spark, texts).drop("key")).collect()
