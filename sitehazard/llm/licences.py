@@ -16,9 +16,12 @@ template with the lesser name is taken. An empty table gives no rows.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sitehazard.llm.common import text_key
+from sitehazard.llm.licence_texts import TEXTS
 
 #: Notices by which works state their licence.
 TEMPLATES = {
@@ -43,6 +46,7 @@ TEMPLATES = {
     "distribute, sublicense, and/or sell copies of the Software",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "all rights reserved": "Copyright. All rights reserved.",
+    **TEXTS,
 }
 LEAST = 0.8
 
@@ -83,9 +87,11 @@ def findings(
     unit = texts.select("key", F.explode(units).alias("unit")).select(
         "key", words(F.col("unit")).alias("w")
     )
-    most = max(sizes, default=0) * (2 - least) / least
+    share = Fraction(str(least))  # bounds and comparisons in whole numbers
+    p, q = share.numerator, share.denominator
+    most = max(sizes, default=0) * (2 * q - p) // p
     # Distinct bigrams are no more than words - 1, so short units can be dropped by their words.
-    fewest = min(sizes, default=0) * least / (2 - least)
+    fewest = -(-min(sizes, default=0) * p // (2 * q - p))
     unit = unit.where(F.size("w") - 1 >= fewest).withColumn("grams", F.expr(bigrams("w")))
     # An outer explode, as a filter on the set would be moved down and build it again per word.
     fits = F.when((F.size("grams") >= fewest) & (F.size("grams") <= most), F.col("grams"))
@@ -95,16 +101,15 @@ def findings(
         F.size("grams").alias("n"),
         F.explode_outer(fits).alias("gram"),
     )
-    low, high = least / (2 - least), (2 - least) / least
     common = (
         grams.join(F.broadcast(known), "gram")  # the fixed templates
-        .where((F.col("n") >= low * F.col("of")) & (F.col("n") <= high * F.col("of")))
+        .where(f"n * {2 * q - p} >= {p} * of AND n * {p} <= {2 * q - p} * of")
         .groupBy("key", "unit", "n", "licence", "of")
         .agg(F.count_distinct("gram").alias("common"))
         .withColumn("similarity", 2 * F.col("common") / (F.col("n") + F.col("of")))
     )
     return (
-        common.where(F.col("similarity") >= least)
+        common.where(f"{2 * q} * common >= {p} * (n + of)")
         .groupBy("key", "licence")
         .agg(F.max("similarity").alias("similarity"))
     )

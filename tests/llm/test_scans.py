@@ -187,3 +187,17 @@ def test_revisits_by_brute_force(spark):
         if agrees:
             merged = stored | {k: v for k, v in mine.items() if k not in warc.NOT_UPDATED}
             assert (row["payload_record"], row["headers"]) == (found[0], merged)
+
+
+def test_licence_lines_of_the_tables(spark):
+    texts = {
+        "All rights reserved.": "all rights reserved",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0 short",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "Released under the MIT License.": "MIT",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        licences.TEMPLATES["MIT text"]: "MIT text",
+    }
+    rows = {r["doc_id"]: r for r in licences.scan(frame(spark, list(texts)), ["doc_id"]).collect()}
+    assert [rows[i]["best"] for i in range(len(texts))] == list(texts.values())
+    assert rows[0]["similarity"] == 0.8
