@@ -201,3 +201,36 @@ def test_licence_lines_of_the_tables(spark):
     rows = {r["doc_id"]: r for r in licences.scan(frame(spark, list(texts)), ["doc_id"]).collect()}
     assert [rows[i]["best"] for i in range(len(texts))] == list(texts.values())
     assert rows[0]["similarity"] == 0.8
+
+
+def test_licences_inside_texts(spark):
+    header = licences.TEMPLATES["Apache-2.0 header"].split()
+    wrapped = "\n# ".join(" ".join(header[i : i + 9]) for i in range(0, len(header), 9))
+    texts = {
+        "Some prose first. Released under the MIT License. And more of it follows here.": "MIT",
+        f"import os\n# {wrapped}\nprint(os.getcwd())\nfor x in range(3): pass": "Apache-2.0 header",
+        "x " * 300 + licences.TEMPLATES["MIT text"] + " y" * 300: "MIT text",
+        "MIT all licences under the sun, released rights reserved for work": None,
+    }
+    rows = {r["doc_id"]: r for r in licences.scan(frame(spark, list(texts)), ["doc_id"]).collect()}
+    for i, licence in enumerate(texts.values()):
+        assert licence in rows[i]["licences"] if licence else rows[i]["licences"] == []
+
+
+def test_licence_runs_by_brute_force(spark):
+    rng = random.Random(8)
+    pool = "released under the mit license gnu general public version 3 licensed all rights copyright".split()
+    texts = [" ".join(rng.choices(pool, k=rng.randrange(30))) for _ in range(60)]
+    rows = {r["doc_id"]: r for r in licences.scan(frame(spark, texts), ["doc_id"]).collect()}
+    for i, text in enumerate(texts):
+        words, wanted = text.split(), {}
+        for name, body in licences.TEMPLATES.items():
+            own = re.findall("[a-z0-9]+", body.lower())
+            b, longest = set(zip(own, own[1:], strict=False)), 3 * (len(own) - 1) // 2
+            for s in range(len(words)):
+                for e in {*range(s + 2, min(s + 1 + longest, len(words)) + 1), *([len(words)] if s == 0 else [])}:
+                    a = set(zip(words[s:e], words[s + 1 : e], strict=False))
+                    if a and 10 * len(a & b) >= 4 * (len(a) + len(b)):
+                        wanted[name] = max(wanted.get(name, 0), 2 * len(a & b) / (len(a) + len(b)))
+        assert rows[i]["licences"] == sorted(wanted)
+        assert (rows[i]["similarity"] or 0) == pytest.approx(max(wanted.values(), default=0))
