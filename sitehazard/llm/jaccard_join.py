@@ -129,7 +129,8 @@ def _frequent(docs: DataFrame, rest: list[str], shingle: int) -> tuple[DataFrame
 
     A worker reports what at least two of the different texts of its chunk hold.
     """
-    plain = [docs.schema[c] for c in rest]
+    # Rows of tokens have null in all of them.
+    plain = [StructField(c, docs.schema[c].dataType) for c in rest]
     own_columns = ["n_shingles", *SKETCH]
     schema = StructType(
         [
@@ -454,9 +455,10 @@ def groups(
     shingle: int = SHINGLE,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``id_column``, the columns in ``keep``, ``key``, ``n_shingles`` and ``component_id``.
+    """``id_column``, the columns in ``keep``, ``key``, ``n_shingles``, ``component_id``, ``component``.
 
-    ``percent`` is the least similarity in hundredths.
+    ``percent`` is the least similarity in hundredths. ``component`` is the text key that stands
+    for the component whatever the ids are; null for texts without words.
     """
     rest = [id_column, *(c for c in keep if c != id_column)]
     source = docs.select(*rest, text_key(text).alias("key"), F.col(text).alias("_text"))
@@ -469,10 +471,12 @@ def groups(
     )
     named = settle(named, "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_key = named.join(least, "component").select("key", "component_id")
+    by_key = named.join(least, "component").select("key", "component_id", "component")
     linked = base.where("n_shingles > 0").join(by_key, "key")
-    alone = base.where("n_shingles = 0").drop(*SKETCH, "wide").withColumn("component_id", F.col(id_column))
-    return linked.select(*rest, "key", "n_shingles", "component_id").unionByName(alone)
+    alone = base.where("n_shingles = 0").drop(*SKETCH, "wide").withColumns(
+        {"component_id": F.col(id_column), "component": F.lit(None).cast("bigint")}
+    )
+    return linked.select(*rest, "key", "n_shingles", "component_id", "component").unionByName(alone)
 
 
 def first_of_each(
@@ -480,15 +484,20 @@ def first_of_each(
 ) -> DataFrame:
     """One document of each group, the one with the least id, as it came.
 
-    Of rows that share that id in a group, the one with the least text key stays, once.
+    Ids may be null or repeated: a null id comes after all others; of rows that share the least id
+    in a group, the one with the least text key stays, then the one with the least hash of its row.
     Documents without words are left alone.
     """
-    found = settle(groups(docs, id_column, percent=percent, shingle=shingle), "groups")
-    kept = found.where("n_shingles > 0").where(F.col(id_column).eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy("component_id").agg(F.min("key").alias("key"))
-    kept = kept.select(F.col("component_id").alias("_id"), F.col("key").alias("_key"))
-    own = docs.withColumn("_own", text_key())
-    same = own[id_column].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key"))
-    once = own.join(kept, same, "left_semi").drop("_own")
+    own = docs.withColumns({"_own": text_key(), "_row": F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))})
+    found = settle(groups(own, id_column, percent=percent, shingle=shingle, keep=("_row",)), "groups")
+    lead = F.struct(F.col(id_column).isNull(), F.col(id_column).alias("id"), "key", F.col("_row").alias("row"))
+    kept = found.where("n_shingles > 0").groupBy("component").agg(F.min(lead).alias("lead"))
+    kept = kept.selectExpr("lead.id AS _lead_id", "lead.key AS _lead_key", "lead.row AS _lead_row")
+    same = (
+        own[id_column].eqNullSafe(F.col("_lead_id"))
+        & (F.col("_own") == F.col("_lead_key"))
+        & (F.col("_row") == F.col("_lead_row"))
+    )
+    once = own.join(kept, same, "left_semi").drop("_own", "_row")
     empty = docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t-\\r]"))
     return once.dropDuplicates().unionByName(empty).select(docs.columns)

@@ -12,8 +12,9 @@ import pytest
 import tokenizers
 from pyspark.sql import functions as F
 
-from sitehazard.llm import bloom_lm, bpe, decontaminate, jaccard_join, suffix_dedup
-from sitehazard.llm.common import importable
+import corpus_pipeline
+from sitehazard.llm import bloom_lm, bpe, decontaminate, jaccard_join, quality_rules, suffix_dedup
+from sitehazard.llm.common import importable, text_key
 from sitehazard.llm.components import components
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -192,6 +193,45 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in kept) == [0, 4, 5, 6, 7]
 
 
+def brute_first(df):
+    """(id, text) of the rows that stay."""
+    rows = [(r["doc_id"] is None, r["doc_id"] or 0, r["k"], r["doc_id"], r["text"]) for r in df.withColumn("k", text_key()).collect()]
+    wordy = [r for r in rows if (r[4] or "").split()]
+    groups = defaultdict(list)
+    for n, _, top in brute_groups([(n, r[4]) for n, r in enumerate(wordy)], 5, 80):
+        groups[top].append(wordy[n])
+    kept = [min(g, key=lambda r: r[:3]) for g in groups.values()] + [r for r in rows if not (r[4] or "").split()]
+    return Counter(r[3:] for r in kept)
+
+
+def test_null_and_repeated_ids_lose_no_group(spark):
+    near = "the same long passage of words that comes again and again in this small table of texts"
+    rows = [(None, f"unrelated text number {n} with own words {n * 7} and {n * 13} more") for n in range(8)]
+    rows += [(5, f"another text {n * 3} that shares an id {n * 17} with others {n}") for n in range(6)]
+    rows += [(9, near), (9, near + " x"), (None, near), *[(None, "twice the same text, without an id")] * 2]
+    rows += [(None, None), (None, ""), (3, " ")]
+    df = spark.createDataFrame([(*r, f"s{n}") for n, r in enumerate(rows)], "doc_id long, text string, source string")
+    got = Counter((r["doc_id"], r["text"]) for r in jaccard_join.first_of_each(df).collect())
+    assert got == brute_first(df)
+    assert got.total() == 8 + 6 + 1 + 1 + 3
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn(
+        "doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 30)
+    )
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    good = quality_rules.keep_good(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    first = list(brute_first(good).elements())
+    assert sum(i is None for i, _ in first) > 10
+    hits = brute_hits([(n, t) for n, (_, t) in enumerate(first)], [(r["item_id"], r["text"]) for r in items.collect()])
+    clean = Counter(first[n][0] for n, _, hit, _ in hits if not hit)
+    assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == clean
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(40)] + [(7, 7)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect())
