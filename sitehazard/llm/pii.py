@@ -11,7 +11,9 @@ a and b. The formats' sizes are exact products a * b, so no value falls outside
 be walked back in: the Gregorian calendar's 400 years have 146,097 = 189 * 773 days, for one.
 
 Whatever doesn't validate (a card number with a wrong check digit, the 31st of June) is left as
-it is. Texts without a digit or an at sign are passed through unread.
+it is. Texts without a digit or an at sign are passed through unread. Where cards stand among other
+digits, another run of the same digits may check after the change; to undo it there, the places
+must be known.
 
 Defined results: a null text stays null, an empty one empty, both with no finding. Repeated rows
 are separate rows with equal results; tables without rows stay empty. The text column is replaced
@@ -28,16 +30,20 @@ MAIL = (
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@"
     r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
 )
-PHONE = r"(?:\+1 \(\d{3}\) |\(\d{3}\) |\+1[ -]\d{3}[ -])\d{3}-\d{4}"
+#: Without brackets or a country code, area and exchange begin with 2 to 9, as all real ones do.
+PHONE = "|".join(
+    [r"(?:\+1 \(\d{3}\) |\(\d{3}\) ?|\+1[ -]\d{3}[ -])\d{3}-\d{4}"]
+    + [rf"(?:\+?1[-. ])?[2-9]\d\d{sep}[2-9]\d\d{sep}\d{{4}}" for sep in ("-", r"\.", " ")]
+)
 SSN = r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}"
 ADDRESS = r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 ISO_DATE = r"(?:1[89]|2[01])\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])"
 SLASHED = r"(?:0[1-9]|1[0-2])/(?:0[1-9]|[12]\d|3[01])/(?:1[89]|2[01])\d{2}"
-CARD = r"\d(?:[ -]?\d){12,18}"
-EDGE = r"(?![A-Za-z0-9])(?!\.\d)"
-NUMBERS = (
-    r"(?<![A-Za-z0-9.+])(?:" + "|".join([PHONE, SSN, ADDRESS, ISO_DATE, SLASHED, CARD]) + ")" + EDGE
-)
+DOTTED = r"(?:0[1-9]|[12]\d|3[01])\.(?:0[1-9]|1[0-2])\.(?:1[89]|2[01])\d{2}"
+START, EDGE = r"(?<![A-Za-z0-9.+])", r"(?![A-Za-z0-9])(?!\.\d)"
+NUMBERS = START + "(?:" + "|".join([PHONE, SSN, ADDRESS, ISO_DATE, SLASHED, DOTTED]) + ")" + EDGE
+#: Digits, spaces and hyphens in which cards are looked for, with what the last digits touch.
+RUN = START + r"\d[0-9 -]{12,}+(?:[A-Za-z@]|\.(?=\d))?"
 KINDS = ("mail", "phone", "ssn", "address", "date", "card")
 
 
@@ -91,7 +97,7 @@ def _luhn(digits: str, doubled: int) -> str:
 
 
 def _card(key: str) -> str:
-    """All digits but the last are permuted, and the last one made to check."""
+    """Of the digits ``d``, all but the last are permuted, and the last one made to check."""
     size = "(length(d) - 1)"
     low = f"({size} DIV 2)"
     power = "CAST(rpad('1', {} + 1, '0') AS bigint)"
@@ -105,18 +111,74 @@ def _card(key: str) -> str:
     )
     body = f"concat(lpad(CAST(p.l AS string), {low}, '0'), lpad(CAST(p.r AS string), {size} - {low}, '0'))"
     check = f"CAST(pmod(10 - {_luhn('q', 1)} % 10, 10) AS string)"
-    whole = _bind(new, "p", _bind(body, "q", _bind(f"concat(q, {check})", "w", _refill("m", "w"))))
-    return _bind(_digits(), "d", f"CASE WHEN {_luhn('d', 0)} % 10 = 0 THEN {whole} ELSE m END")
+    return _bind(new, "p", _bind(body, "q", f"concat(q, {check})"))
+
+
+def _cards(key: str) -> str:
+    """SQL: a run ``m`` of digits with the cards in it replaced, as (text, how many changed).
+
+    A card is one group of digits or several with the same single space or hyphen between, 13 to
+    19 digits that check: the whole run, or else, from the left, the longest that is one group or
+    has a group of four and then groups of four to six, the last one of up to six. The whole run
+    doesn't count if it holds a value of another kind.
+    """
+    groups = "filter(split(m, '[^0-9]+'), x -> x <> '')"
+    gaps = "regexp_extract_all(m, '[^0-9]+', 0)"
+    usable = "(size(g) - CASE WHEN m rlike '[0-9][A-Za-z@.]$' THEN 1 ELSE 0 END)"
+    whole = f"(k = 0 AND j = n - 1 AND NOT m rlike {_sql(NUMBERS)})"
+    shape = (
+        "(j >= k + 2 AND length(g[k]) = 4 AND length(g[j]) <= 6 AND "
+        "forall(slice(g, k + 2, j - k - 1), x -> length(x) BETWEEN 4 AND 6))"
+    )
+    joined = (
+        "(j = k OR (s[k] IN (' ', '-') AND size(array_distinct(slice(s, k + 1, j - k))) = 1 "
+        f"AND ({whole} OR {shape})))"
+    )
+    digits = "array_join(slice(g, k + 1, j - k + 1), '')"
+    checks = _bind(digits, "d", f"length(d) BETWEEN 13 AND 19 AND {_luhn('d', 0)} % 10 = 0")
+    # A card has 19 groups at most.
+    ends = f"filter(sequence(k, least(k + 18, n - 1)), j -> {joined} AND {checks})"
+    end = f"coalesce(array_max({ends}), -1)"
+    all_ends = f"transform(sequence(0, n - 1), k -> struct(k AS k, {end} AS j))"
+    picked = (
+        f"aggregate(filter({all_ends}, c -> c.j >= 0), CAST(array() AS array<struct<k: int, j: int>>), "
+        "(a, c) -> CASE WHEN size(a) = 0 OR element_at(a, -1).j < c.k THEN array_append(a, c) ELSE a END)"
+    )
+    value = "array_join(slice(g, c.k + 1, c.j - c.k + 1), '')"
+    new = _bind(value, "d", f"struct(c.k AS k, c.j AS j, d AS old, {_card(key)} AS new)")
+    cards = f"transform({picked}, c -> {new})"
+    at = "1 + length(array_join(slice(g, c.k + 1, i - c.k), ''))"
+    group = (
+        "coalesce(element_at(transform(filter(cards, c -> i BETWEEN c.k AND c.j), "
+        f"c -> substr(c.new, {at}, length(x))), 1), x)"
+    )
+    group = group.replace("element_at(", "try_element_at(")
+    text = f"array_join(zip_with(transform(g, (x, i) -> {group}), s, (x, y) -> concat(x, coalesce(y, ''))), '')"
+    changed = "size(filter(cards, c -> c.old <> c.new))"
+    out = (
+        f"CASE WHEN size(cards) = 0 THEN struct(m AS text, 0 AS n) "
+        f"ELSE struct({text} AS text, {changed} AS n) END"
+    )
+    inner = _bind(f"CASE WHEN n > 0 THEN {cards} ELSE array() END", "cards", out)
+    return _bind(groups, "g", _bind(gaps, "s", _bind(usable, "n", inner)))
 
 
 def _phone(key: str) -> str:
-    """The ten digits are permuted; the country code 1 is kept."""
-    d = f"right({_digits()}, 10)"
-    new = feistel(key, "'phone'", "substr(d, 1, 3)", "substr(d, 4, 7)", "1000", "10000000")
+    """The ten digits are permuted; the country code 1 is kept.
+
+    Numbers whose area and exchange begin with 2 to 9 stay among these, in any way of writing.
+    """
+    area, rest = "CAST(substr(d, 1, 3) AS bigint)", "CAST(substr(d, 4, 7) AS bigint)"
+    low = f"CASE WHEN {area} >= 200 THEN 200 ELSE 0 END"
+    low_rest = f"CASE WHEN {area} >= 200 AND {rest} >= 2000000 THEN 2000000 ELSE 0 END"
+    a = f"CASE WHEN {area} >= 200 THEN 800 ELSE 200 END"
+    b = f"CASE WHEN {area} < 200 THEN 10000000 WHEN {rest} >= 2000000 THEN 8000000 ELSE 2000000 END"
+    new = feistel(key, f"concat('phone', {b})", f"{area} - {low}", f"{rest} - {low_rest}", a, b)
     number = (
-        "concat(CASE WHEN m LIKE '+%' THEN '1' ELSE '' END, lpad(CAST(p.l AS string), 3, '0'), "
-        "lpad(CAST(p.r AS string), 7, '0'))"
+        f"concat(CASE WHEN length({_digits()}) > 10 THEN '1' ELSE '' END, "
+        f"lpad(CAST(p.l + {low} AS string), 3, '0'), lpad(CAST(p.r + {low_rest} AS string), 7, '0'))"
     )
+    d = f"right({_digits()}, 10)"
     return _bind(d, "d", _bind(new, "p", _bind(number, "w", _refill("m", "w"))))
 
 
@@ -200,7 +262,7 @@ def _kind(m: str = "m") -> str:
     tests = [("mail", ".*@.*"), ("phone", PHONE), ("ssn", SSN), ("address", ADDRESS)]
     tests += [("iso", ISO_DATE), ("slashed", SLASHED)]
     cases = " ".join(f"WHEN {m} rlike {_sql('^(?:' + p + ')$')} THEN '{k}'" for k, p in tests)
-    return f"CASE {cases} ELSE 'card' END"
+    return f"CASE {cases} ELSE 'dotted' END"
 
 
 def pseudonym(key: str) -> str:
@@ -212,7 +274,7 @@ def pseudonym(key: str) -> str:
         "address": _address(key),
         "iso": _date(key, "yyyy-MM-dd"),
         "slashed": _date(key, "MM/dd/yyyy"),
-        "card": _card(key),
+        "dotted": _date(key, "dd.MM.yyyy"),
     }
     cases = " ".join(f"WHEN '{k}' THEN {body}" for k, body in of.items())
     return f"CASE {_kind()} {cases} END"
@@ -221,31 +283,43 @@ def pseudonym(key: str) -> str:
 def with_pseudonyms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The rows with the text rewritten, and ``n_replaced`` (long), the values that changed.
 
-    Columns named ``n_replaced``, ``_found`` or ``_new`` are replaced or dropped.
+    Columns named ``n_replaced``, ``_text``, ``_found``, ``_new`` or ``_cards`` are replaced or dropped.
     """
-    order = [c for c in docs.columns if c not in ("n_replaced", "_found", "_new")]
-    both = _sql(f"(?:{MAIL})|(?:{NUMBERS})")
-    numbers = _sql(NUMBERS)
-    df = docs.select(*(F.col(f"`{c}`") for c in order)).withColumn(
-        "_found",
-        F.expr(
-            f"CASE WHEN contains(`{text}`, '@') THEN regexp_extract_all(`{text}`, {both}, 0) "
-            f"WHEN `{text}` rlike '[0-9]' THEN regexp_extract_all(`{text}`, {numbers}, 0) END"
-        ),
-    )
+    order = [c for c in docs.columns if c not in ("n_replaced", "_text", "_found", "_new", "_cards")]
+    df = docs.select(*(F.col(f"`{c}`") for c in order))
+
+    def found(text: str, pattern: str) -> str:
+        both = f"(?:{MAIL})|(?:{pattern})"
+        return (
+            f"CASE WHEN contains({text}, '@') THEN regexp_extract_all({text}, {_sql(both)}, 0) "
+            f"WHEN {text} rlike '[0-9]' THEN regexp_extract_all({text}, {_sql(pattern)}, 0) END"
+        )
+
+    def rewritten(text: str, pattern: str, new: str) -> str:
+        both = f"(?:{MAIL})|(?:{pattern})"
+        return (
+            f"CASE WHEN {new} IS NULL THEN {text} ELSE array_join(zip_with("
+            f"CASE WHEN contains({text}, '@') THEN split({text}, {_sql(both)}) "
+            f"ELSE split({text}, {_sql(pattern)}) END, {new}, (x, y) -> concat(x, coalesce(y, ''))), '') END"
+        )
+
+    # Cards first, as the runs of digits that hold them may hold other values too. Mail addresses
+    # are found with them, so that digits inside are left for the second step.
+    card = f"CASE WHEN m LIKE '%@' OR NOT contains(m, '@') THEN {_cards(key)} ELSE struct(m AS text, 0 AS n) END"
+    long_run = f"`{text}` rlike '[0-9][0-9 -]{{11}}[0-9]'"
+    df = df.withColumn("_found", F.expr(f"CASE WHEN {long_run} THEN {found(f'`{text}`', RUN)} END"))
+    df = df.withColumn("_cards", F.expr(f"CASE WHEN size(_found) > 0 THEN transform(_found, m -> {card}) END"))
+    new_cards = "transform(_cards, c -> c.text)"
+    df = df.withColumn("_text", F.expr(rewritten(f"`{text}`", RUN, new_cards)))
+    df = df.withColumn("_found", F.expr(found("_text", NUMBERS)))
     df = df.withColumn(
         "_new",
         F.expr(f"CASE WHEN size(_found) > 0 THEN transform(_found, m -> {pseudonym(key)}) END"),
     )
     changed = (
-        "CAST(CASE WHEN _new IS NULL THEN 0 ELSE size(filter(zip_with(_found, _new, "
-        "(x, y) -> x <> y), z -> z)) END AS bigint)"
-    )
-    rewritten = (
-        f"CASE WHEN _new IS NULL THEN `{text}` ELSE array_join(zip_with("
-        f"CASE WHEN contains(`{text}`, '@') THEN split(`{text}`, {both}) "
-        f"ELSE split(`{text}`, {numbers}) END, _new, (x, y) -> concat(x, coalesce(y, ''))), '') END"
+        "CAST(coalesce(aggregate(_cards, 0, (a, c) -> a + c.n), 0) + CASE WHEN _new IS NULL THEN 0 "
+        "ELSE size(filter(zip_with(_found, _new, (x, y) -> x <> y), z -> z)) END AS bigint)"
     )
-    return df.withColumns({"n_replaced": F.expr(changed), text: F.expr(rewritten)}).select(
+    return df.withColumns({"n_replaced": F.expr(changed), text: F.expr(rewritten("_text", NUMBERS, "_new"))}).select(
         *(F.col(f"`{c}`") for c in order), "n_replaced"
     )

@@ -70,6 +70,27 @@ def test_pseudonyms_keep_format_link_and_permute(spark):
     assert new[7].count(re.search(r"\+1 .*\d", new[0])[0]) == 2
 
 
+def test_cards_beside_digits_plain_telephones_and_dotted_dates(spark):
+    card, grouped = "4111111111111111", "4111 1111 1111 1111"
+    texts = [
+        f"{grouped} 123", f"{card} 12/27", f"10 {card}.", f"{card} 2024-05-06 123-45-6789", f"{card} {card}",
+        f"no 12ab {card} 77x", f"{grouped.replace(' ', '-')}-123", "3782-822463-10005 1234", f"pay {card}, thanks", "1 2 " * 9_000 + card,
+        "212-555-0147", "1-212-555-0147", "212.555.0147", "(212) 555-0147", "+1 212 555 0147", "31.12.1984",
+        "31.06.1984", f"{card}@mail.org", "4111 1111-1111 1111", "112-555-0147", "12.34.56.7890",
+    ]
+    rows = sorted(pii.with_pseudonyms(frame(spark, texts), "k").collect())
+    new = [r["text"] for r in rows]
+    assert [r["n_replaced"] for r in rows] == [1, 1, 1, 3, 2, 1, 1, 1, 1, 1] + [1] * 6 + [0, 1, 0, 0, 0]
+    assert all(card not in n.replace(" ", "").replace("-", "") for n in new[:10])
+    hidden = re.search(r"\d{16}", new[1])[0]
+    assert new[0] == f"{' '.join(hidden[i : i + 4] for i in (0, 4, 8, 12))} 123"
+    assert new[2] == f"10 {hidden}." and new[4] == f"{hidden} {hidden}" and new[9] == "1 2 " * 9_000 + hidden
+    assert new[5] == f"no 12ab {hidden} 77x"
+    digits = {re.sub(r"\D", "", n)[-10:] for n in new[10:15]}
+    assert len(digits) == 1 and re.fullmatch("[2-9]..[2-9]......", digits.pop())
+    assert re.fullmatch(r"\d\d\.\d\d\.\d{4}", new[15])
+
+
 def test_dates_are_a_permutation(spark):
     days = spark.range(146_097).selectExpr(
         "id", "date_format(date_add(DATE'1800-01-01', CAST(id AS int)), 'yyyy-MM-dd') AS text"
