@@ -73,6 +73,20 @@ def test_language_model_counts_and_scores(spark, monkeypatch):
     assert bloom_lm.scores(frame(spark, []), "doc_id", out).count() == 0
 
 
+def test_scores_do_not_depend_on_partitions_or_chunks(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["a", "Bb", "bcd", f"w{rng.randrange(99)}", f"v{rng.randrange(9)}"]) for _ in range(40)) for _ in range(90)]
+    texts += ["zq" * n for n in (200, 400, 4000)]
+    out = F.col("doc_id") >= 85
+    results = []
+    for parts, chunk in ((1, 10**6), (7, 10**6), (3, 50)):
+        monkeypatch.setattr(bloom_lm, "CHUNK", chunk)
+        results.append({r["doc_id"]: r["score"] for r in bloom_lm.scores(frame(spark, texts, parts), "doc_id", out).collect()})
+    assert results[1] == pytest.approx(results[0], rel=1e-9) and results[2] == pytest.approx(results[0], rel=1e-9)
+    one, two, many = (results[0][i] for i in (90, 91, 92))
+    assert many < 9 * two < 17 * one < -17 * 300
+
+
 def test_filter_reads_back_levels():
     rng = np.random.default_rng(1)
     hashes = rng.integers(1, 2**63, 5000).astype(np.uint64)
