@@ -338,9 +338,9 @@ SELECT CAST((SELECT count(*) FROM raw_hazards) AS BIGINT) AS rows_in,
     "round(temp_6h_avg, 4) AS temp_6h_avg, round(temp_1h_change, 4) AS temp_1h_change, "
     "round(temp_3h_change, 4) AS temp_3h_change, round(wind_3h_avg, 4) AS wind_3h_avg, "
     "round(wind_1h_change, 4) AS wind_1h_change, round(precip_3h_sum, 4) AS precip_3h_sum FROM trends",
-    "target_distance": "SELECT seq, round("
+    "target_distance": "SELECT seq, CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN round("
     + _km("latitude", "longitude", "CAST(19.076 AS DOUBLE)", "CAST(72.8777 AS DOUBLE)")
-    + ", 2) AS distance_km FROM raw_hazards",
+    + ", 2) END AS distance_km FROM raw_hazards",
     "hazard_bands": f"SELECT location_id, {_INT_COUNTS} FROM counted",
     "hazard_types_near": "SELECT location_id, hazard_types FROM counted",
     "nearest_hazard": "SELECT location_id, nearest_hazard_distance_km, nearest_hazard_type FROM closest",
