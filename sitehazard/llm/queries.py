@@ -13,6 +13,7 @@ from sitehazard.llm import (
     decontaminate,
     jaccard_join,
     licences,
+    piece_codec,
     pii,
     quality_rules,
     secrets,
@@ -150,3 +151,9 @@ def op5_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
             "headers"
         ),
     )
+
+
+@query
+def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return piece_codec.digests(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
