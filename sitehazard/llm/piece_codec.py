@@ -402,8 +402,12 @@ def _run(docs: DataFrame, model: str, keep: list[str], text: str, schema: str) -
     if whole:
         names = ["ids", "spans", "decoded", *names]
     keep = [c for c in keep if c not in names]
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`"))
-    kept = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
+    # Kept columns go by number through Python, which can't read names with dots.
+    own = [f"c{i}" for i in range(len(keep))]
+    source = docs.select(
+        *(F.col(f"`{c}`").alias(o) for c, o in zip(keep, own, strict=True)), F.col(f"`{text}`").alias("text")
+    )
+    kept = ", ".join(f"{o} {source.schema[o].dataType.simpleString()}" for o in own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = held(spec.value)
@@ -422,6 +426,6 @@ def _run(docs: DataFrame, model: str, keep: list[str], text: str, schema: str) -
                     out["decoded"].append(decoded)
             columns = [batch.column(i) for i in range(len(keep))]
             columns += [pa.array(out[c], kinds.get(c, pa.string())) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
+            yield pa.RecordBatch.from_arrays(columns, [*own, *names])
 
-    return source.mapInArrow(run, ", ".join(filter(None, [kept, schema])))
+    return source.mapInArrow(run, ", ".join(filter(None, [kept, schema]))).toDF(*keep, *names)
