@@ -18,6 +18,7 @@ from sitehazard.llm import (
     quality_rules,
     secrets,
     suffix_dedup,
+    turn_trie,
     warc,
 )
 from sitehazard.llm.common import documents, importable, table
@@ -157,3 +158,59 @@ def op5_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
 def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return piece_codec.digests(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    hundred = F.expr("conv_id - conv_id % 100")
+    return turn_trie.prefix_trie(table(spark, folder, "conversations"), hundred, turn_trie.of_hundred)
+
+
+# CRC-32 a bit at a time; each conversation's nodes by its own path; subtrees by going up from
+# the smallest member of each node.
+SQL["op13_conversation_trie"] = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn,
+    sha256(concat(CAST(strlen(coalesce(role, '')) AS VARCHAR), ':', coalesce(role, ''), coalesce(text, ''))) AS id
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, id) AS said
+  FROM turns GROUP BY conv_id),
+lent AS (
+  SELECT conv_id, said, xor(list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT),
+      list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda crc, code: list_reduce(
+      list_prepend(xor(crc, code), range(8)),
+      lambda c, i: xor(c >> 1, (c & 1) * CAST(3988292384 AS BIGINT)))), 4294967295) % 6 AS h
+  FROM own),
+built AS (
+  SELECT l.conv_id, list_concat(coalesce(b.said[1:l.h], []), coalesce(l.said[l.h + 1:], [])) AS said
+  FROM lent l LEFT JOIN own b ON b.conv_id = l.conv_id - l.conv_id % 100),
+steps AS (
+  SELECT conv_id, said, unnest(range(len(said) + 1)) AS depth FROM built),
+placed AS (
+  SELECT conv_id, depth, len(said) = depth AS ending, said[1:depth] AS path,
+    min(conv_id) OVER (PARTITION BY said[1:depth]) AS top
+  FROM steps),
+nodes AS (
+  SELECT top AS conv_id, depth, count(*) AS n_convs, any_value(path) AS path,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ending), '')) AS ends_sha256
+  FROM placed GROUP BY top, depth),
+linked AS (
+  SELECT n.*, a.top AS parent_conv_id
+  FROM nodes n LEFT JOIN placed a ON a.conv_id = n.conv_id AND a.depth = n.depth - 1),
+children AS (
+  SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children
+  FROM linked WHERE depth > 0 GROUP BY 1, 2),
+weighed AS (
+  SELECT l.*, coalesce(c.n_children, 0) AS n_children,
+    CASE WHEN l.depth > 0 THEN (l.n_convs - 1) * length(l.path[l.depth].text) ELSE 0 END AS weight
+  FROM linked l LEFT JOIN children c USING (conv_id, depth)),
+sums AS (
+  SELECT a.top AS conv_id, a.depth, count(*) FILTER (WHERE w.n_children = 0) AS n_leaves,
+    sum(w.weight) AS saved_tokens
+  FROM weighed w JOIN placed a ON a.conv_id = w.conv_id AND a.depth <= w.depth GROUP BY 1, 2)
+SELECT w.conv_id, w.depth, w.parent_conv_id, w.n_convs, w.n_children, s.n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, w.ends_sha256
+FROM weighed w JOIN sums s USING (conv_id, depth)"""
