@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 BLANK = "▁"
-MOST_UNITS = 200_000
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+MOST_UNITS = 400_000
 LONG_UNIT = 48
 #: Ways to cut a text, the finest first; a cut depends on the two characters beside it alone.
 CUTS = (
-    rf"{BLANK}*[^\W\d_]+|{BLANK}*[\x00-\x1f]|{BLANK}*[^\w{BLANK}\x00-\x1f]+|{BLANK}*[\d_]+|{BLANK}+",
+    rf"{BLANK}*[{LATIN}]+|{BLANK}*\d|{BLANK}*[^{LATIN}\d{BLANK}\n]+|{BLANK}*\n|{BLANK}+",
     rf"{BLANK}*[^{BLANK}\n]+|{BLANK}*\n|{BLANK}+",
     rf"{BLANK}*[^{BLANK}]+|{BLANK}+",
 )
