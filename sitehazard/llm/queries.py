@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sitehazard.llm import (
     bloom_lm,
     bpe,
+    collocations,
     decontaminate,
     jaccard_join,
     licences,
@@ -214,3 +215,52 @@ sums AS (
 SELECT w.conv_id, w.depth, w.parent_conv_id, w.n_convs, w.n_children, s.n_leaves,
   CAST(s.saved_tokens AS BIGINT) AS saved_tokens, w.ends_sha256
 FROM weighed w JOIN sums s USING (conv_id, depth)"""
+
+
+@query
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    found = collocations.collocations(documents(spark, folder))
+    ranked = collocations.first_of_each(found, 2000)
+    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+# Every phrase of one to five words is counted, each cut of the frequent ones scored.
+SQL["op12_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+said AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM said GROUP BY lang),
+sizes AS (SELECT unnest(range(1, 6)) AS size),
+starts AS (
+  SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS place
+  FROM said JOIN sizes ON len(words) >= size),
+counts AS (
+  SELECT lang, size, array_to_string(words[place:place + size - 1], ' ') AS phrase, count(*) AS f
+  FROM starts GROUP BY ALL HAVING count(*) >= 100),
+candidates AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS words FROM counts WHERE size >= 2),
+inner_sizes AS (
+  SELECT c.lang, c.a, c.size, c.words, s.size AS part FROM candidates c JOIN sizes s ON s.size < c.size),
+inner_phrases AS (
+  SELECT lang, a, words, part, unnest(range(1, size - part + 2)) AS place FROM inner_sizes),
+covers AS (
+  SELECT lang, array_to_string(words[place:place + part - 1], ' ') AS phrase, max(a) AS most
+  FROM inner_phrases GROUP BY ALL),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM candidates),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, t.n,
+    (CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM cuts c
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:c.k], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[c.k + 1:], ' ')
+  JOIN totals t ON t.lang = c.lang),
+best AS (
+  SELECT * FROM scored
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank,
+  b.phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM best b LEFT JOIN covers c ON c.lang = b.lang AND c.phrase = b.phrase
+WHERE c.most IS NULL OR 100 * c.most < 100 * b.a
+QUALIFY rank <= 2000"""
