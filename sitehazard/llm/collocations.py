@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sitehazard.llm.bits import BitFilter, bit_filter
 from sitehazard.llm.common import settle
 
-#: Words counted at a time in a task, and the most that a text's part may add to them at once.
+#: Words counted at a time in a task; a text is counted whole.
 CHUNK = 1_000_000
 #: Occurrences from which a prefix has its stripe split, and into how many.
 HEAVY, PARTS = 1 << 20, 1024
@@ -153,7 +153,9 @@ def _stripes_of(
         )
 
 
-def stripes(docs: DataFrame, level: int, frequent: BitFilter | None, heavy: BitFilter | None) -> DataFrame:
+def stripes(
+    docs: DataFrame, level: int, frequent: BitFilter | None, heavy: BitFilter | None, chunk: int = CHUNK
+) -> DataFrame:
     """Stripes of all prefixes of ``level`` - 1 words, counted within the tasks."""
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((frequent, heavy))
@@ -174,7 +176,7 @@ def stripes(docs: DataFrame, level: int, frequent: BitFilter | None, heavy: BitF
                 before = vocabulary.words
                 vocabulary.add(cell.as_py())
                 total += vocabulary.words - before
-                if total >= CHUNK:
+                if total >= chunk:
                     yield from given()
                     total = 0
         yield from given()
@@ -208,13 +210,15 @@ def _filter_of(phrases: DataFrame, power: int) -> BitFilter:
     return bit_filter(phrases.select("lang", "phrase").mapInArrow(run, "value bigint"), "value", power)
 
 
-def frequent_phrases(docs: DataFrame, most_words: int, least: int) -> DataFrame:
+def frequent_phrases(
+    docs: DataFrame, most_words: int, least: int, split_from: int = HEAVY, chunk: int = CHUNK
+) -> DataFrame:
     """(lang, phrase, words, f) of all phrases with ``least`` occurrences or more, and of the
     empty phrase, whose count is that of all words."""
     levels: list[DataFrame] = []
     frequent = heavy = None
     for level in range(1, most_words + 1):
-        counted = merged(stripes(docs, level, frequent, heavy))
+        counted = merged(stripes(docs, level, frequent, heavy, chunk))
         if level == 1:  # rare words only count for the total
             often = F.when(F.col("n") >= least, F.col("word")).alias("word")
             counted = settle(counted.groupBy("lang", often).agg(F.sum("n").alias("n")), "words")
@@ -230,7 +234,7 @@ def frequent_phrases(docs: DataFrame, most_words: int, least: int) -> DataFrame:
         if level == most_words or kept.isEmpty():
             break
         frequent = _filter_of(kept, POWER)
-        heavy = _filter_of(kept.where(F.col("f") >= HEAVY), HEAVY_POWER)
+        heavy = _filter_of(kept.where(F.col("f") >= split_from), HEAVY_POWER)
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -245,18 +249,21 @@ def collocations(
     cover: int = 100,
     lang: str = "lang",
     text: str = "text",
+    split_from: int = HEAVY,
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """Phrases of 2 to ``most_words`` words with their counts and lowest-scoring cut.
 
     Columns: lang, phrase, words, a, l, r, n, k, score; score is floor(1000 * a * n / (l * r)) of the
     cut after k words. Phrases within a longer one that has ``cover`` hundredths of their
-    occurrences are dropped.
+    occurrences are dropped. Stripes are split from ``split_from`` occurrences of their prefix;
+    ``chunk`` words are counted at a time.
     """
     source = docs.select(
         F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"),
         F.col(f"`{text}`").alias("text"),
     ).where("text IS NOT NULL AND text <> ''")
-    counts = settle(frequent_phrases(source, most_words, least), "phrases")
+    counts = settle(frequent_phrases(source, most_words, least, split_from, chunk), "phrases")
     whole = (F.xxhash64("phrase") % SALT).cast("int")
     candidates = counts.where("words >= 2").select(
         "lang", "phrase", "words", F.col("f").alias("a"), F.abs(whole).alias("salt")
