@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -38,7 +39,10 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: The characters with the property White_Space.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
-MOST_UNITS = 250_000
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+
+#: Units and pieces remembered at a time, twice: those in use, and those before them.
+MOST_UNITS = 300_000
 MOST_PAIRS = 2_000_000
 
 
@@ -82,9 +86,13 @@ class Tokenizer:
         self.matches.make_automaton()
         self.fits: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
         self.known_pieces: dict[str, list[int]] = {}
+        self.older_pieces: dict[str, list[int]] = {}
         self.pieces = regex.compile(PIECES)
-        self.units = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+        # A run of letters before something that surely is none ends a piece there.
+        word = f" ?[{LATIN}]+(?=[ -@[-`{{-~{SPACE}]|\\Z)"
+        self.units = re.compile(f"{word}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
         self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
 
     @cached_property
@@ -126,9 +134,10 @@ class Tokenizer:
     def piece(self, piece: str) -> list[int]:
         """Ids of a piece that the pattern doesn't split any more, remembered if it is short."""
         if (ids := self.known_pieces.get(piece)) is None:
-            ids = self.encode_piece(piece)
+            if (ids := self.older_pieces.get(piece)) is None:
+                ids = self.encode_piece(piece)
             if len(self.known_pieces) >= MOST_UNITS:
-                self.known_pieces.clear()
+                self.older_pieces, self.known_pieces = self.known_pieces, {}
             if len(piece) <= 64:
                 self.known_pieces[piece] = ids
         return ids
@@ -164,10 +173,11 @@ class Tokenizer:
 
     def unit(self, unit: str) -> tuple[str, bytes]:
         """Ids of a unit, as decimal text and as 32-bit numbers."""
-        ids = [i for piece in self.pieces.findall(unit) for i in self.piece(piece)]
-        value = ",".join(map(str, ids)), np.array(ids, np.int32).tobytes()
+        if (value := self.older.get(unit)) is None:
+            ids = [i for piece in self.pieces.findall(unit) for i in self.piece(piece)]
+            value = ",".join(map(str, ids)), array("i", ids).tobytes()
         if len(self.known) >= MOST_UNITS:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         if len(unit) <= 64:
             self.known[unit] = value
         return value
@@ -176,17 +186,20 @@ class Tokenizer:
         """Ids of a whole text, as decimals joined by commas and as an array."""
         joined: list[str] = []
         raw: list[bytes] = []
-        get, at = self.known.get, 0
+        at = 0
         cuts = [m.span() for m in self.cut.finditer(text)] if self.added else []
         for start, end in [*cuts, (len(text), len(text))]:
-            for unit in self.units.findall(text[at:start] if cuts else text):
-                decimals, numbers = get(unit) or self.unit(unit)
-                joined.append(decimals)
-                raw.append(numbers)
+            if units := self.units.findall(text[at:start] if cuts else text):
+                found = list(map(self.known.get, units))
+                if None in found:
+                    found = [v or self.unit(u) for u, v in zip(units, found, strict=True)]
+                decimals, numbers = zip(*found, strict=True)
+                joined += decimals
+                raw += numbers
             if end > start:
                 number = self.added[text[start:end]]
                 joined.append(str(number))
-                raw.append(np.array([number], np.int32).tobytes())
+                raw.append(array("i", [number]).tobytes())
             at = end
         return ",".join(joined), np.frombuffer(b"".join(raw), np.int32)
 
@@ -239,8 +252,12 @@ def digests(docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text
 def _run(docs, spec, keep, text, schema, whole) -> DataFrame:
     added = [part.split()[0] for part in schema.split(", ")]
     keep = [c for c in keep if c not in added]
-    source = docs.select(*keep, F.col(text).alias("_text"))
-    fields = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep), schema])
+    # Kept columns go by number through Python, so they can have any name.
+    own = [f"c{i}" for i in range(len(keep))]
+    source = docs.select(
+        *(F.col(f"`{c}`").alias(o) for c, o in zip(keep, own, strict=True)), F.col(f"`{text}`").alias("text")
+    )
+    fields = ", ".join([*(f"{o} {source.schema[o].dataType.simpleString()}" for o in own), schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = held(spec.value)
@@ -261,6 +278,6 @@ def _run(docs, spec, keep, text, schema, whole) -> DataFrame:
             kinds = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
             columns = [batch.column(i) for i in range(len(keep))]
             columns += [pa.array(out[c], kinds.get(c, pa.string())) for c in added]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, *added])
+            yield pa.RecordBatch.from_arrays(columns, [*own, *added])
 
-    return source.mapInArrow(run, fields)
+    return source.mapInArrow(run, fields).toDF(*keep, *added)
