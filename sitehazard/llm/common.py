@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sitehazard.session import settle
 
 __all__ = [
-    "WordHashes", "documents", "folded_words", "importable", "settle", "table", "text_key",
+    "WordHashes", "documents", "folded_words", "importable", "settle", "placed", "table", "text_key",
 ]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,6 +46,25 @@ def text_key(column: str = "text"):
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """``row``, a struct of the given columns, and ``place``, which tells each row from all others.
+
+    The place is the same in every job: the file's name and the row's number in it. Rows that don't
+    come from files are written to the shared folder first.
+    """
+    place = F.concat_ws(":", "_metadata.file_path", "_metadata.row_index").alias("place")
+    names = own = df.columns
+    try:
+        if "_metadata" in names:
+            raise AnalysisException("the name is taken")
+        df.select(place)
+    except AnalysisException:
+        own = [f"c{i}" for i in range(len(names))]
+        df = settle(df.toDF(*own), "rows")
+    fields = [F.col(f"`{o}`").alias(name) for o, name in zip(own, names, strict=True)]
+    return df.select(F.struct(*fields).alias("row"), place)
+
+
 def folded_words(text: str | None) -> list[bytes]:
     """Words between ASCII white space, with A-Z in lower case; none for null."""
     return text.encode("utf-8", "replace").lower().split() if text else []

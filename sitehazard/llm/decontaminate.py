@@ -165,6 +165,5 @@ def remove(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The documents that share no window with any item, as they came."""
     found, _ = hits(docs, items, text)
     dirty = settle(found.select("_key"), "dirty")
-    return (
-        docs.withColumn("_key", text_key(text)).join(dirty, "_key", "left_anti").select(docs.columns)
-    )
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_key(text).alias("_key"))
+    return rows.join(dirty, "_key", "left_anti").select("row.*")

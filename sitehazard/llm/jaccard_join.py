@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from sitehazard.llm.bits import BitFilter, bit_filter
-from sitehazard.llm.common import WordHashes, folded_words, settle, text_key
+from sitehazard.llm.common import WordHashes, folded_words, placed, settle, text_key
 from sitehazard.llm.components import components
 
 #: Words in a shingle, unless the caller says otherwise.
@@ -485,19 +485,23 @@ def first_of_each(
     """One document of each group, the one with the least id, as it came.
 
     Ids may be null or repeated: a null id comes after all others; of rows that share the least id
-    in a group, the one with the least text key stays, then the one with the least hash of its row.
-    Documents without words are left alone.
+    in a group, the one with the least text key stays, then the one with the least hash of its row;
+    of equal rows, one. Documents without words are left alone. All columns come back untouched,
+    whatever their names.
+
+    Each row is told from all others by its place. Groups are found on narrow rows; whole documents
+    only meet the list of places that stay, once.
     """
-    own = docs.withColumns({"_own": text_key(), "_row": F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))})
-    found = settle(groups(own, id_column, percent=percent, shingle=shingle, keep=("_row",)), "groups")
-    lead = F.struct(F.col(id_column).isNull(), F.col(id_column).alias("id"), "key", F.col("_row").alias("row"))
-    kept = found.where("n_shingles > 0").groupBy("component").agg(F.min(lead).alias("lead"))
-    kept = kept.selectExpr("lead.id AS _lead_id", "lead.key AS _lead_key", "lead.row AS _lead_row")
-    same = (
-        own[id_column].eqNullSafe(F.col("_lead_id"))
-        & (F.col("_own") == F.col("_lead_key"))
-        & (F.col("_row") == F.col("_lead_row"))
+    rows = placed(docs)
+    own = rows.select(
+        F.col(f"row.`{id_column}`").alias("doc_id"),
+        F.col("row.text").alias("text"),
+        F.xxhash64("row").alias("hash"),
+        "place",
     )
-    once = own.join(kept, same, "left_semi").drop("_own", "_row")
-    empty = docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t-\\r]"))
-    return once.dropDuplicates().unionByName(empty).select(docs.columns)
+    found = settle(groups(own, "doc_id", percent=percent, shingle=shingle, keep=("hash", "place")), "groups")
+    lead = F.struct(F.col("doc_id").isNull(), "doc_id", "key", "hash", "place")
+    first = found.where("n_shingles > 0").groupBy("component").agg(F.min(lead).alias("lead"))
+    wordless = found.where("n_shingles = 0").select("place")
+    kept = settle(first.select("lead.place").unionByName(wordless), "places")
+    return rows.join(kept, "place", "left_semi").select("row.*")

@@ -22,7 +22,7 @@ in place and all others are kept. Values that touch letters or further digits ar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 ROUNDS = 10
 #: Possessive and bounded by what stands before, so that scanning takes linear time.
@@ -283,10 +283,29 @@ def pseudonym(key: str) -> str:
 def with_pseudonyms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The rows with the text rewritten, and ``n_replaced`` (long), the values that changed.
 
-    Columns named ``n_replaced``, ``_text``, ``_found``, ``_new`` or ``_cards`` are replaced or dropped.
+    Only a column named ``n_replaced`` is replaced; all others come back untouched.
     """
-    order = [c for c in docs.columns if c not in ("n_replaced", "_text", "_found", "_new", "_cards")]
-    df = docs.select(*(F.col(f"`{c}`") for c in order))
+    return _rewritten(docs, key, text).select(*_source(docs, text, ("n_replaced",)), "n_replaced")
+
+
+def rewrite(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The rows with the text rewritten and all other columns as they came, whatever their names."""
+    return _rewritten(docs, key, text).select(*_source(docs, text))
+
+
+def _source(docs: DataFrame, text: str, but: tuple[str, ...] = ()) -> list[Column]:
+    return [
+        F.col("new_text").alias(text) if c == text else F.col(f"row.`{c}`").alias(c)
+        for c in docs.columns
+        if c not in but
+    ]
+
+
+def _rewritten(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``row`` (the given columns but the text), ``new_text`` and ``n_replaced``."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    df = docs.select(F.struct(*rest or [F.lit(0).alias("none")]).alias("row"), F.col(f"`{text}`").alias("text"))
+    text = "text"
 
     def found(text: str, pattern: str) -> str:
         both = f"(?:{MAIL})|(?:{pattern})"
@@ -320,6 +339,4 @@ def with_pseudonyms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         "CAST(coalesce(aggregate(_cards, 0, (a, c) -> a + c.n), 0) + CASE WHEN _new IS NULL THEN 0 "
         "ELSE size(filter(zip_with(_found, _new, (x, y) -> x <> y), z -> z)) END AS bigint)"
     )
-    return df.withColumns({"n_replaced": F.expr(changed), text: F.expr(rewritten("_text", NUMBERS, "_new"))}).select(
-        *(F.col(f"`{c}`") for c in order), "n_replaced"
-    )
+    return df.select("row", F.expr(rewritten("_text", NUMBERS, "_new")).alias("new_text"), F.expr(changed).alias("n_replaced"))

@@ -199,5 +199,6 @@ def judge(
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with the columns they came with."""
-    return judge(docs).where("kept").select(docs.columns)
+    """The documents that pass, with all columns as they came, whatever their names."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
+    return judge(rows, drop=("text",)).where("kept").select("row.*")

@@ -311,3 +311,33 @@ def test_repeats_within_stretches():
         often = Counter(s[i : i + 400] for s in stretches for i in range(len(s) - 399))
         want = [[i for i in range(len(s) - 399) if often[s[i : i + 400]] > 1] for s in stretches]
         assert [found.tolist() for found in suffix_dedup.repeated(stretches)] == want
+
+
+def test_stages_leave_clashing_columns_alone(spark, tmp_path):
+    """Columns with names that the operators use inside come back with the owner's values."""
+    sf = "/root/testdata/sf0.001"
+    names = ["_body", "_text", "_found", "_new", "_cards", "_words", "_lines", "_own", "_row", "row", "place"]
+    names += ["n_words", "votes", "kept", "posterior", "key", "_key", "n_replaced", "hash", "component", "_rest", "a b"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    given = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    plain = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, given, str(tmp_path))
+        assert found.columns == given.columns, name
+        rows = found.collect()
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in names), name
+        wanted = stage(spark, plain, sf).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted((r["doc_id"], r["text"]) for r in wanted), name
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in names)
+
+
+def test_first_of_each_on_rows_without_files_and_taken_names(spark):
+    rows = [(1, "one two three four five six", "x"), (1, "one two three four five six", "x"), (None, "", "y"), (2, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k string").withColumnRenamed("k", "_metadata")
+    found = jaccard_join.first_of_each(docs)
+    assert found.columns == docs.columns
+    assert Counter(tuple(r) for r in found.collect()) == Counter(rows[1:])
