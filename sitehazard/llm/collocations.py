@@ -11,8 +11,8 @@ frequent on the level before: no other phrase can be frequent. Tasks learn this
 fixed size. Its false positives cost work, they change no result: every phrase is counted by its
 own text and compared with the least count afterwards.
 
-A stripe can be as long as the vocabulary. The prefixes with very many occurrences, told by a
-second filter, have theirs split by a hash of the next word, the empty prefix always. Within a task,
+A stripe can be as long as the vocabulary. The few prefixes with a large share of all words have
+theirs split by a hash of the next word, as has the empty prefix. Within a task,
 chunks of the text are counted by sorting numbers, so memory is bounded by the chunk.
 
 Scores come from joins of the candidates' parts with the counts. Parts like the empty prefix or a
@@ -26,7 +26,6 @@ columns can have any name. Words of any length are counted whole.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -40,14 +39,19 @@ from sitehazard.llm.bits import BitFilter, bit_filter
 from sitehazard.llm.common import settle
 
 #: Words counted at a time in a task; a text is counted whole.
-CHUNK = 1_000_000
-#: Occurrences from which a prefix has its stripe split, and into how many.
-HEAVY, PARTS = 1 << 20, 1024
+CHUNK = 2_000_000
+#: A prefix with this part of all words has its stripe split. There are at most as many of them.
+HEAVY = 256
+#: Into how many parts the stripes of such prefixes, and that of the empty one, are split.
+PARTS, FIRST_PARTS = 32, 1024
 SALT = 16
-#: Bits of the filters, as a power of two: 8 MB and 0.5 MB.
-POWER, HEAVY_POWER = 26, 22
-ENDS = re.compile(rb"[.,;:!?\n-\r]+")
-FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t", b"abcdefghijklmnopqrstuvwxyz ")
+#: Bits of the filter, as a power of two: 8 MB.
+POWER = 26
+#: Capitals are folded, blanks made alike, and what ends a piece becomes a byte that no text has.
+END = b"\xff"
+FOLD = bytes.maketrans(
+    b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + END * 10
+)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 STRIPE = "lang string, prefix string, part int, words array<string>, counts array<int>"
 
@@ -69,35 +73,39 @@ def phrase_hashes(start: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
     return value
 
 
+class Numbers(dict):
+    """Words by number, in the order they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Vocabulary:
     """The words of a chunk by number; number 0 ends a piece."""
 
     def __init__(self):
-        self.numbers: dict[bytes, int] = {}
+        self.numbers = Numbers({END: 0})
         self.found: list[np.ndarray] = []
         self.words = 0
 
     def add(self, text: str) -> None:
-        numbers, out = self.numbers, []
-        for piece in ENDS.split(text.encode().translate(FOLD)):
-            if words := piece.split():  # only blanks are left as white space
-                out += [numbers.setdefault(w, len(numbers) + 1) for w in words]
-                out.append(0)
-                self.words += len(words)
-        if out:
-            self.found.append(np.array(out, np.int64))
+        words = text.encode().translate(FOLD).replace(END, b" \xff ").split()
+        words.append(END)
+        self.found.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
+        self.words += len(words)
 
 
 def _stripes_of(
-    lang: str, held: Vocabulary, level: int, frequent: BitFilter | None, heavy: BitFilter | None
+    lang: str, held: Vocabulary, level: int, frequent: BitFilter | None, heavy: np.ndarray | None
 ) -> Iterator[pa.RecordBatch]:
     """The chunk's stripes for phrases of so many words."""
     flow = np.concatenate(held.found)
-    words = list(held.numbers)
-    texts = pa.array([b"", *words], pa.binary()).cast(pa.string())
-    hashes = np.array([0, *map(word_hash, words)], np.uint64)
+    words = [b"", *(w for w in held.numbers if w != END)]
+    texts = pa.array(words, pa.binary()).cast(pa.string())
+    hashes = np.array(list(map(word_hash, words)), np.uint64)
     start = np.array([word_hash(lang.encode())], np.uint64)
-    size = len(words) + 1
+    size = len(words)
     at = np.arange(len(flow) - level + 1) if len(flow) >= level else np.empty(0, np.int64)
     for k in range(level):
         at = at[flow[at + k] > 0]
@@ -126,10 +134,11 @@ def _stripes_of(
     prefix, follows = both // size, both % size
     place = at[one]  # of each prefix
     if level == 1:
-        split = np.ones(1, bool)
+        parts = np.array([FIRST_PARTS], np.uint64)
     else:
-        split = heavy.has(phrase_hashes(start, [hashes[flow[place + k]] for k in range(level - 1)]))
-    part = np.where(split[prefix], (hashes[follows] % np.uint64(PARTS)).astype(np.int64), 0)
+        split = np.isin(phrase_hashes(start, [hashes[flow[place + k]] for k in range(level - 1)]), heavy)
+        parts = np.where(split, PARTS, 1).astype(np.uint64)
+    part = (hashes[follows] % parts[prefix]).astype(np.int64)
     order = np.lexsort((part, prefix))
     prefix, follows, counts, part = prefix[order], follows[order], counts[order], part[order]
     new = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])])
@@ -154,7 +163,7 @@ def _stripes_of(
 
 
 def stripes(
-    docs: DataFrame, level: int, frequent: BitFilter | None, heavy: BitFilter | None, chunk: int = CHUNK
+    docs: DataFrame, level: int, frequent: BitFilter | None, heavy: np.ndarray | None, chunk: int = CHUNK
 ) -> DataFrame:
     """Stripes of all prefixes of ``level`` - 1 words, counted within the tasks."""
     context = docs.sparkSession.sparkContext
@@ -197,7 +206,7 @@ def merged(found: DataFrame) -> DataFrame:
     )
 
 
-def _filter_of(phrases: DataFrame, power: int) -> BitFilter:
+def _hashed(phrases: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -207,16 +216,17 @@ def _filter_of(phrases: DataFrame, power: int) -> BitFilter:
                 out.append(int(phrase_hashes(start, words).view(np.int64)[0]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["value"])
 
-    return bit_filter(phrases.select("lang", "phrase").mapInArrow(run, "value bigint"), "value", power)
+    return phrases.select("lang", "phrase").mapInArrow(run, "value bigint")
 
 
 def frequent_phrases(
-    docs: DataFrame, most_words: int, least: int, split_from: int = HEAVY, chunk: int = CHUNK
+    docs: DataFrame, most_words: int, least: int, share: int = HEAVY, chunk: int = CHUNK
 ) -> DataFrame:
     """(lang, phrase, words, f) of all phrases with ``least`` occurrences or more, and of the
     empty phrase, whose count is that of all words."""
     levels: list[DataFrame] = []
     frequent = heavy = None
+    everything = 0
     for level in range(1, most_words + 1):
         counted = merged(stripes(docs, level, frequent, heavy, chunk))
         if level == 1:  # rare words only count for the total
@@ -224,6 +234,7 @@ def frequent_phrases(
             counted = settle(counted.groupBy("lang", often).agg(F.sum("n").alias("n")), "words")
             total = counted.groupBy("lang").agg(F.sum("n").alias("f"))
             levels.append(total.select("lang", F.lit("").alias("phrase"), F.lit(0).alias("words"), "f"))
+            everything = counted.agg(F.sum("n")).first()[0] or 0
             counted = counted.where("word IS NOT NULL")
         phrase = F.col("word") if level == 1 else F.concat_ws(" ", "prefix", "word")
         kept = counted.where(F.col("n") >= least).select(
@@ -233,8 +244,10 @@ def frequent_phrases(
         levels.append(kept)
         if level == most_words or kept.isEmpty():
             break
-        frequent = _filter_of(kept, POWER)
-        heavy = _filter_of(kept.where(F.col("f") >= split_from), HEAVY_POWER)
+        frequent = bit_filter(_hashed(kept), "value", POWER)
+        # Counts add up to no more than all words, so these are at most ``share`` numbers.
+        large = _hashed(kept.where(F.col("f") * share >= everything)).collect()
+        heavy = np.array([r["value"] for r in large], np.int64).view(np.uint64)
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -249,21 +262,21 @@ def collocations(
     cover: int = 100,
     lang: str = "lang",
     text: str = "text",
-    split_from: int = HEAVY,
+    share: int = HEAVY,
     chunk: int = CHUNK,
 ) -> DataFrame:
     """Phrases of 2 to ``most_words`` words with their counts and lowest-scoring cut.
 
     Columns: lang, phrase, words, a, l, r, n, k, score; score is floor(1000 * a * n / (l * r)) of the
     cut after k words. Phrases within a longer one that has ``cover`` hundredths of their
-    occurrences are dropped. Stripes are split from ``split_from`` occurrences of their prefix;
-    ``chunk`` words are counted at a time.
+    occurrences are dropped. Stripes are split if their prefix has one of ``share`` parts of all
+    words; ``chunk`` words are counted at a time.
     """
     source = docs.select(
         F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"),
         F.col(f"`{text}`").alias("text"),
     ).where("text IS NOT NULL AND text <> ''")
-    counts = settle(frequent_phrases(source, most_words, least, split_from, chunk), "phrases")
+    counts = settle(frequent_phrases(source, most_words, least, share, chunk), "phrases")
     whole = (F.xxhash64("phrase") % SALT).cast("int")
     candidates = counts.where("words >= 2").select(
         "lang", "phrase", "words", F.col("f").alias("a"), F.abs(whole).alias("salt")

@@ -64,7 +64,7 @@ def random_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize("settings", [{}, {"split_from": 1, "chunk": 50}, {"split_from": 20, "chunk": 500}])
+@pytest.mark.parametrize("settings", [{}, {"share": 10**6, "chunk": 50}, {"share": 20, "chunk": 500}])
 def test_phrases(spark, settings):
     rows = random_rows(1)
     frame = spark.createDataFrame(rows, "lang string, text string").repartition(6)
@@ -83,7 +83,8 @@ def test_cover_and_lengths(spark):
 def test_a_full_filter_changes_nothing(spark, monkeypatch):
     rows = random_rows(3)
     frame = spark.createDataFrame(rows, "lang string, text string")
-    monkeypatch.setattr(collocations, "_filter_of", lambda phrases, power: collocations.BitFilter(np.full(1 << 4, -1, np.int64).view(np.uint64), 10))
+    full = collocations.BitFilter(np.full(1 << 4, -1, np.int64).view(np.uint64), 10)
+    monkeypatch.setattr(collocations, "bit_filter", lambda *_: full)
     assert given(collocations.collocations(frame, least=10)) == plain(rows, 10)
 
 
