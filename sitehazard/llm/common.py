@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sitehazard.session import settle
 
 __all__ = [
-    "WordHashes", "documents", "folded_words", "importable", "settle", "placed", "table", "text_key",
+    "WordHashes", "documents", "folded_words", "importable", "named_as", "numbered", "placed", "settle",
+    "table", "text_key",
 ]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,23 +47,31 @@ def text_key(column: str = "text"):
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The rows with columns c0, c1 and so on, so that no name meets one of an operator's own."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def named_as(df: DataFrame, names: list[str]) -> DataFrame:
+    """The numbered columns under their names again, without any others."""
+    return df.select(*(F.col(f"c{i}").alias(name) for i, name in enumerate(names)))
+
+
 def placed(df: DataFrame) -> DataFrame:
-    """``row``, a struct of the given columns, and ``place``, which tells each row from all others.
+    """The rows, numbered columns, and ``place``, which tells each row from all others.
 
     The place is the same in every job: the file's name and the row's number in it. Rows that don't
     come from files are written to the shared folder first.
     """
     place = F.concat_ws(":", "_metadata.file_path", "_metadata.row_index").alias("place")
-    names = own = df.columns
+    rows = numbered(df)
     try:
-        if "_metadata" in names:
+        if "_metadata" in df.columns:
             raise AnalysisException("the name is taken")
-        df.select(place)
+        rows.select(place)
     except AnalysisException:
-        own = [f"c{i}" for i in range(len(names))]
-        df = settle(df.toDF(*own), "rows")
-    fields = [F.col(f"`{o}`").alias(name) for o, name in zip(own, names, strict=True)]
-    return df.select(F.struct(*fields).alias("row"), place)
+        rows = settle(rows, "rows")
+    return rows.select("*", place)
 
 
 def folded_words(text: str | None) -> list[bytes]:

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitehazard.llm.common import LOWER, UPPER, settle, text_key
+from sitehazard.llm.common import LOWER, UPPER, named_as, numbered, settle, text_key
 
 GRAM, WINDOW = 5, 10
 BORDER = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -165,5 +165,6 @@ def remove(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The documents that share no window with any item, as they came."""
     found, _ = hits(docs, items, text)
     dirty = settle(found.select("_key"), "dirty")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_key(text).alias("_key"))
-    return rows.join(dirty, "_key", "left_anti").select("row.*")
+    own = f"c{docs.columns.index(text)}"
+    rows = numbered(docs).withColumn("_key", text_key(own))
+    return named_as(rows.join(dirty, "_key", "left_anti"), docs.columns)

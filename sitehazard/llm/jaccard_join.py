@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from sitehazard.llm.bits import BitFilter, bit_filter
-from sitehazard.llm.common import WordHashes, folded_words, placed, settle, text_key
+from sitehazard.llm.common import WordHashes, folded_words, named_as, placed, settle, text_key
 from sitehazard.llm.components import components
 
 #: Words in a shingle, unless the caller says otherwise.
@@ -492,11 +492,13 @@ def first_of_each(
     Each row is told from all others by its place. Groups are found on narrow rows; whole documents
     only meet the list of places that stay, once.
     """
+    names = docs.columns
+    number, text = (f"c{names.index(c)}" for c in (id_column, "text"))
     rows = placed(docs)
     own = rows.select(
-        F.col(f"row.`{id_column}`").alias("doc_id"),
-        F.col("row.text").alias("text"),
-        F.xxhash64("row").alias("hash"),
+        F.col(number).alias("doc_id"),
+        F.col(text).alias("text"),
+        F.xxhash64(*(f"c{i}" for i in range(len(names)))).alias("hash"),
         "place",
     )
     found = settle(groups(own, "doc_id", percent=percent, shingle=shingle, keep=("hash", "place")), "groups")
@@ -504,4 +506,4 @@ def first_of_each(
     first = found.where("n_shingles > 0").groupBy("component").agg(F.min(lead).alias("lead"))
     wordless = found.where("n_shingles = 0").select("place")
     kept = settle(first.select("lead.place").unionByName(wordless), "places")
-    return rows.join(kept, "place", "left_semi").select("row.*")
+    return named_as(rows.join(kept, "place", "left_semi"), names)

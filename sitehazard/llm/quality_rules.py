@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitehazard.llm.common import WORD_GAP, settle
+from sitehazard.llm.common import WORD_GAP, named_as, numbered, settle
 
 GAPS = "\t\n\x0b\x0c\r "
 SYMBOLS = "[#*$%&|<>]"
@@ -182,23 +182,29 @@ def judge(
     Columns in ``drop`` (such as the text) are not carried along.
     """
     counted = settle(with_votes(with_counts(docs, text)).drop(*drop), "quality")
+    return (
+        _weighed(counted.drop("posterior"))
+        .withColumn("base_failed", F.expr(BASE_FAILED))
+        .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+    )
+
+
+def _weighed(counted: DataFrame) -> DataFrame:
+    """Adds the posterior of each row's votes, from a model fitted to all rows' votes."""
     patterns = {
         tuple(row["votes"]): row["n"]
         for row in counted.groupBy("votes").agg(F.count("*").alias("n")).collect()
     }
     model = fit(patterns)
     rows = [(list(votes), model.posterior(votes)) for votes in patterns]
-    known = docs.sparkSession.createDataFrame(rows, "_votes array<int>, posterior double")
-    return (
-        counted.drop("posterior")
-        .join(F.broadcast(known), F.col("votes") == F.col("_votes"), "left")
-        .withColumn("base_failed", F.expr(BASE_FAILED))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
-        .drop("_votes")
-    )
+    known = counted.sparkSession.createDataFrame(rows, "_votes array<int>, posterior double")
+    return counted.join(F.broadcast(known), F.col("votes") == F.col("_votes"), "left").drop("_votes")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that pass, with all columns as they came, whatever their names."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
-    return judge(rows, drop=("text",)).where("kept").select("row.*")
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    counted = with_votes(with_counts(numbered(docs), own[docs.columns.index("text")]))
+    verdicts = counted.select(*own, "votes", F.expr(BASE_FAILED).alias("base_failed"))
+    judged = _weighed(settle(verdicts, "quality"))
+    return named_as(judged.where(~F.col("base_failed") & (F.col("posterior") >= threshold)), docs.columns)
