@@ -41,8 +41,8 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 
-#: Units and pieces remembered at a time, twice: those in use, and those before them.
-MOST_UNITS = 300_000
+#: Units and pieces remembered at a time; of units, those before them as well.
+MOST_UNITS = 150_000
 MOST_PAIRS = 2_000_000
 
 
@@ -88,7 +88,6 @@ class Tokenizer:
         self.known: dict[str, tuple[str, bytes]] = {}
         self.older: dict[str, tuple[str, bytes]] = {}
         self.known_pieces: dict[str, list[int]] = {}
-        self.older_pieces: dict[str, list[int]] = {}
         self.pieces = regex.compile(PIECES)
         # A run of letters before something that surely is none ends a piece there.
         word = f" ?[{LATIN}]+(?=[ -@[-`{{-~{SPACE}]|\\Z)"
@@ -134,10 +133,9 @@ class Tokenizer:
     def piece(self, piece: str) -> list[int]:
         """Ids of a piece that the pattern doesn't split any more, remembered if it is short."""
         if (ids := self.known_pieces.get(piece)) is None:
-            if (ids := self.older_pieces.get(piece)) is None:
-                ids = self.encode_piece(piece)
+            ids = self.encode_piece(piece)
             if len(self.known_pieces) >= MOST_UNITS:
-                self.older_pieces, self.known_pieces = self.known_pieces, {}
+                self.known_pieces.clear()
             if len(piece) <= 64:
                 self.known_pieces[piece] = ids
         return ids
@@ -171,6 +169,10 @@ class Tokenizer:
                 at = starts[-1]
         return out
 
+    def forget(self) -> None:
+        """Give back the memory of what was remembered."""
+        self.known, self.older, self.known_pieces, self.fits = {}, {}, {}, {}
+
     def unit(self, unit: str) -> tuple[str, bytes]:
         """Ids of a unit, as decimal text and as 32-bit numbers."""
         if (value := self.older.get(unit)) is None:
@@ -279,5 +281,6 @@ def _run(docs, spec, keep, text, schema, whole) -> DataFrame:
             columns = [batch.column(i) for i in range(len(keep))]
             columns += [pa.array(out[c], kinds.get(c, pa.string())) for c in added]
             yield pa.RecordBatch.from_arrays(columns, [*own, *added])
+        tokenizer.forget()  # the worker stays, for other work
 
     return source.mapInArrow(run, fields).toDF(*keep, *added)
