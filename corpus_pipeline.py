@@ -19,6 +19,11 @@ KEY = "key of the test pipeline"
 SHINGLE, SIMILAR = 5, 80
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole documents go to Python workers by a few MB at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weighed quality rules keep."""
     return quality_rules.keep_good(docs)
@@ -26,6 +31,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near duplicates."""
+    small_batches(spark)
     return jaccard_join.first_of_each(docs, percent=SIMILAR, shingle=SHINGLE)
 
 
@@ -41,6 +47,7 @@ def under_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the digest of their round trip."""
+    small_batches(spark)
     rows = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), docs.columns)
     return rows.drop("text", "decoded")
 

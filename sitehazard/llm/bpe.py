@@ -31,6 +31,7 @@ from functools import cached_property
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
@@ -169,10 +170,6 @@ class Tokenizer:
                 at = starts[-1]
         return out
 
-    def forget(self) -> None:
-        """Give back the memory of what was remembered."""
-        self.known, self.older, self.known_pieces, self.fits = {}, {}, {}, {}
-
     def unit(self, unit: str) -> tuple[str, bytes]:
         """Ids of a unit, as decimal text and as 32-bit numbers."""
         if (value := self.older.get(unit)) is None:
@@ -220,7 +217,7 @@ _held: dict[str, Tokenizer] = {}
 
 
 def held(spec: str) -> Tokenizer:
-    """The worker's tokenizer for a vocabulary file's text; one is kept."""
+    """The task's tokenizer for a vocabulary file's text; one is kept."""
     key = hashlib.md5(spec.encode()).hexdigest()
     if key not in _held:
         _held.clear()
@@ -229,6 +226,17 @@ def held(spec: str) -> Tokenizer:
 
 
 STEP = 20_000  # ids decoded at a time
+PART = 4 << 20  # bytes of texts whose results are given out together, or one text
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few bytes of text, so results of few texts are held at a time."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+        part = np.cumsum(sizes, dtype=np.int64) // PART
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+        for low, high in zip(cuts, [*cuts[1:], len(part)], strict=True):
+            yield batch.slice(int(low), int(high - low))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text") -> DataFrame:
@@ -263,7 +271,7 @@ def _run(docs, spec, keep, text, schema, whole) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = held(spec.value)
-        for batch in batches:
+        for batch in in_parts(batches, len(keep)):
             out: dict[str, list] = {name: [] for name in added}
             for cell in batch.column(len(keep)):
                 decimals, ids = tokenizer.encode(cell.as_py() or "")
@@ -281,6 +289,8 @@ def _run(docs, spec, keep, text, schema, whole) -> DataFrame:
             columns = [batch.column(i) for i in range(len(keep))]
             columns += [pa.array(out[c], kinds.get(c, pa.string())) for c in added]
             yield pa.RecordBatch.from_arrays(columns, [*own, *added])
-        tokenizer.forget()  # the worker stays, for other work
+        # The worker stays, for other work.
+        _held.clear()
+        pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, fields).toDF(*keep, *added)
