@@ -44,6 +44,8 @@ CHUNK = 2_000_000
 HEAVY = 256
 #: Into how many parts the stripes of such prefixes, and that of the empty one, are split.
 PARTS, FIRST_PARTS = 32, 1024
+#: Stripes travel together by a hash of their prefix and part, in so many buckets.
+BUCKETS = 1024
 SALT = 16
 #: Bits of the filter, as a power of two: 8 MB.
 POWER = 26
@@ -53,7 +55,9 @@ FOLD = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + END * 10
 )
 MIX = np.uint64(0x9E3779B97F4A7C15)
-STRIPE = "lang string, prefix string, part int, words array<string>, counts array<int>"
+STRIPES = (
+    "lang string, bucket int, stripes array<struct<prefix: string, words: array<string>, counts: array<int>>>"
+)
 
 
 def word_hash(word: bytes) -> int:
@@ -134,32 +138,39 @@ def _stripes_of(
     prefix, follows = both // size, both % size
     place = at[one]  # of each prefix
     if level == 1:
-        parts = np.array([FIRST_PARTS], np.uint64)
+        names, parts = start, np.array([FIRST_PARTS], np.uint64)
     else:
-        split = np.isin(phrase_hashes(start, [hashes[flow[place + k]] for k in range(level - 1)]), heavy)
-        parts = np.where(split, PARTS, 1).astype(np.uint64)
-    part = (hashes[follows] % parts[prefix]).astype(np.int64)
-    order = np.lexsort((part, prefix))
-    prefix, follows, counts, part = prefix[order], follows[order], counts[order], part[order]
-    new = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])])
-    step = 20_000
-    for i in range(0, len(new), step):
-        rows = new[i : i + step]
-        stop = int(new[i + step]) if i + step < len(new) else len(prefix)
-        low = int(rows[0])
-        offsets = pa.array(np.r_[rows, stop] - low, pa.int32())
-        parts = [texts.take(pa.array(flow[place[prefix[rows]] + k])) for k in range(level - 1)]
-        names = pc.binary_join_element_wise(*parts, " ") if parts else pa.array([""] * len(rows))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([lang] * len(rows), pa.string()),
-                names,
-                pa.array(part[rows], pa.int32()),
-                pa.ListArray.from_arrays(offsets, texts.take(pa.array(follows[low:stop]))),
-                pa.ListArray.from_arrays(offsets, pa.array(counts[low:stop], pa.int32())),
-            ],
-            ["lang", "prefix", "part", "words", "counts"],
-        )
+        names = phrase_hashes(start, [hashes[flow[place + k]] for k in range(level - 1)])
+        parts = np.where(np.isin(names, heavy), PARTS, 1).astype(np.uint64)
+    part = hashes[follows] % parts[prefix]
+    bucket = (_spread(names[prefix] + part * MIX) % np.uint64(BUCKETS)).astype(np.int64)
+    order = np.lexsort((prefix, bucket))
+    prefix, follows, counts, bucket = prefix[order], follows[order], counts[order], bucket[order]
+    new = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (bucket[1:] != bucket[:-1])])
+    where = place[prefix[new]]
+    words = [texts.take(pa.array(flow[where + k])) for k in range(level - 1)]
+    prefixes = pc.binary_join_element_wise(*words, " ") if words else pa.array([""] * len(new))
+    inner = pa.array(np.r_[new, len(prefix)], pa.int32())
+    each = pa.StructArray.from_arrays(
+        [
+            prefixes,
+            pa.ListArray.from_arrays(inner, texts.take(pa.array(follows))),
+            pa.ListArray.from_arrays(inner, pa.array(counts, pa.int32())),
+        ],
+        ["prefix", "words", "counts"],
+    )
+    of = bucket[new]
+    rows = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    batch = pa.RecordBatch.from_arrays(
+        [
+            pa.array([lang] * len(rows), pa.string()),
+            pa.array(of[rows], pa.int32()),
+            pa.ListArray.from_arrays(pa.array(np.r_[rows, len(of)], pa.int32()), each),
+        ],
+        ["lang", "bucket", "stripes"],
+    )
+    for at in range(0, len(rows), 128):
+        yield batch.slice(at, 128)
 
 
 def stripes(
@@ -190,19 +201,19 @@ def stripes(
                     total = 0
         yield from given()
 
-    return docs.mapInArrow(run, STRIPE)
+    return docs.mapInArrow(run, STRIPES)
 
 
 def merged(found: DataFrame) -> DataFrame:
     """Stripes merged element by element: (lang, prefix, word, n)."""
-    dealt = found.repartition("lang", "prefix", "part")
-    each = dealt.select("lang", "prefix", "part", F.explode(F.arrays_zip("words", "counts")).alias("e"))
+    dealt = found.repartition("lang", "bucket").select("lang", "bucket", F.explode("stripes").alias("s"))
+    each = dealt.select("lang", "bucket", "s.prefix", F.explode(F.arrays_zip("s.words", "s.counts")).alias("e"))
     # The grouping refines how the stripes were dealt, so nothing is moved again.
     return (
-        each.select("lang", "prefix", "part", F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
-        .groupBy("lang", "prefix", "part", "word")
+        each.select("lang", "bucket", "prefix", F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
+        .groupBy("lang", "bucket", "prefix", "word")
         .agg(F.sum("n").alias("n"))
-        .drop("part")
+        .drop("bucket")
     )
 
 
