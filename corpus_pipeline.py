@@ -15,6 +15,8 @@ from sitehazard.session import shared_path, tune
 
 #: For the shared test tables; a job passes its own secret.
 KEY = "key of the test pipeline"
+#: Words whose ids a task of the last stage remembers: few, beside what earlier stages hold.
+REMEMBERED = 100_000
 #: Near duplicates: words in a shingle, and the least similarity in hundredths.
 SHINGLE, SIMILAR = 5, 80
 
@@ -48,7 +50,8 @@ def under_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the digest of their round trip."""
     small_batches(spark)
-    rows = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), docs.columns)
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    rows = bpe.encode_decode(docs, vocabulary, docs.columns, remember=REMEMBERED)
     return rows.drop("text", "decoded")
 
 

@@ -43,7 +43,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 
 #: Units and pieces remembered at a time; of units, those before them as well.
-MOST_UNITS = 150_000
+MOST_UNITS = 300_000
 MOST_PAIRS = 2_000_000
 
 
@@ -57,8 +57,9 @@ def byte_letters() -> dict[str, int]:
 class Tokenizer:
     """One vocabulary, held by each worker that uses it."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, most: int = MOST_UNITS):
         spec = json.loads(text)
+        self.most = most
         letters = byte_letters()
         to_bytes = {t: bytes(letters[c] for c in t) for t in spec["model"]["vocab"]}
         ids = spec["model"]["vocab"]
@@ -135,7 +136,7 @@ class Tokenizer:
         """Ids of a piece that the pattern doesn't split any more, remembered if it is short."""
         if (ids := self.known_pieces.get(piece)) is None:
             ids = self.encode_piece(piece)
-            if len(self.known_pieces) >= MOST_UNITS:
+            if len(self.known_pieces) >= self.most:
                 self.known_pieces.clear()
             if len(piece) <= 64:
                 self.known_pieces[piece] = ids
@@ -175,7 +176,7 @@ class Tokenizer:
         if (value := self.older.get(unit)) is None:
             ids = [i for piece in self.pieces.findall(unit) for i in self.piece(piece)]
             value = ",".join(map(str, ids)), array("i", ids).tobytes()
-        if len(self.known) >= MOST_UNITS:
+        if len(self.known) >= self.most:
             self.older, self.known = self.known, {}
         if len(unit) <= 64:
             self.known[unit] = value
@@ -216,12 +217,12 @@ class Tokenizer:
 _held: dict[str, Tokenizer] = {}
 
 
-def held(spec: str) -> Tokenizer:
+def held(spec: str, most: int) -> Tokenizer:
     """The task's tokenizer for a vocabulary file's text; one is kept."""
     key = hashlib.md5(spec.encode()).hexdigest()
     if key not in _held:
         _held.clear()
-        _held[key] = Tokenizer(spec)
+        _held[key] = Tokenizer(spec, most)
     return _held[key]
 
 
@@ -239,16 +240,19 @@ def in_parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Reco
             yield batch.slice(int(low), int(high - low))
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text") -> DataFrame:
+def encode_decode(
+    docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text", remember: int = MOST_UNITS
+) -> DataFrame:
     """Adds ``ids`` (array), ``n_tokens``, ``ids_sha256``, ``decoded`` and ``decoded_sha256``.
 
     ``vocabulary`` is the path of a tokenizer file on the driver. Its text, a few MB whatever
-    the corpus, is broadcast. The columns in ``keep`` are kept; those added win over them.
+    the corpus, is broadcast. The columns in ``keep`` are kept; those added win over them. A task
+    remembers the ids of up to twice ``remember`` words, at about 300 bytes each.
     """
     with open(vocabulary, encoding="utf-8") as file:
         spec = docs.sparkSession.sparkContext.broadcast(file.read())
     schema = "ids array<int>, n_tokens bigint, ids_sha256 string, decoded string, decoded_sha256 string"
-    return _run(docs, spec, keep, text, schema, whole=True)
+    return _run(docs, spec, keep, text, schema, remember, whole=True)
 
 
 def digests(docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text") -> DataFrame:
@@ -256,10 +260,10 @@ def digests(docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text
     with open(vocabulary, encoding="utf-8") as file:
         spec = docs.sparkSession.sparkContext.broadcast(file.read())
     schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return _run(docs, spec, keep, text, schema, whole=False)
+    return _run(docs, spec, keep, text, schema, MOST_UNITS, whole=False)
 
 
-def _run(docs, spec, keep, text, schema, whole) -> DataFrame:
+def _run(docs, spec, keep, text, schema, most, whole) -> DataFrame:
     added = [part.split()[0] for part in schema.split(", ")]
     keep = [c for c in keep if c not in added]
     # Kept columns go by number through Python, so they can have any name.
@@ -270,7 +274,7 @@ def _run(docs, spec, keep, text, schema, whole) -> DataFrame:
     fields = ", ".join([*(f"{o} {source.schema[o].dataType.simpleString()}" for o in own), schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = held(spec.value)
+        tokenizer = held(spec.value, most)
         for batch in in_parts(batches, len(keep)):
             out: dict[str, list] = {name: [] for name in added}
             for cell in batch.column(len(keep)):
