@@ -141,6 +141,37 @@ def explain(risk: DataFrame) -> DataFrame:
     )
 
 
+def choose(
+    explanations: DataFrame,
+    replies: DataFrame,
+    keys: tuple[str, ...] = ("location_id", "timestamp"),
+    provider: str = "model",
+) -> DataFrame:
+    """The outside writer's answer where its reply can be read, else the one by rules.
+
+    ``replies`` has the keys and ``reply``. A reply without any of the expected fields counts as
+    none, and fields it leaves out stay those of the rules. ``provider`` says which it was. Of
+    several replies to one row the last by its text is taken.
+    """
+    one = replies.groupBy(*keys).agg(F.max("reply").alias("reply"))
+    read = decode_replies(one)
+    fields = {"recommendation": "recommendation", "confidence": "confidence", "summary": "explanation"}
+    fields["top_reasons"] = "top_reasons"
+    answered = (
+        F.col("recommendation").isNotNull()
+        | F.col("explanation").isNotNull()
+        | F.col("confidence").isNotNull()
+        | F.col("top_reasons").isNotNull()
+    )
+    answers = read.where(answered).select(
+        *keys, F.struct(*(F.col(source).alias(name) for name, source in fields.items())).alias("_answer")
+    )
+    joined = explanations.join(answers, list(keys), "left")
+    chosen = {name: F.coalesce(F.col(f"_answer.{name}"), F.col(name)) for name in fields}
+    by = F.when(F.col("_answer").isNotNull(), provider).otherwise(F.col("provider"))
+    return joined.withColumns({**chosen, "provider": by}).select(explanations.columns)
+
+
 def with_explanation(risk: DataFrame) -> DataFrame:
     """Fill the fact table's own explanation columns."""
     found = risk.withColumn("_reasons", reasons())

@@ -74,6 +74,18 @@ def with_wind_alignment(df: DataFrame, hazard: Row | None = None) -> DataFrame:
     return df.withColumn("wind_alignment_score", F.round(share * 100, 2))
 
 
+def location_profile(
+    locations: DataFrame,
+    hazards: DataFrame,
+    quakes: DataFrame,
+    rules: RiskRules = DEFAULT_RULES,
+    sizing: Sizing = DEFAULT_SIZING,
+) -> DataFrame:
+    """Each location's place and what the raw hazards and quakes mean for it."""
+    places = locations.select("location_id", "latitude", "longitude")
+    return hazard_profile(places, hazards_and_quakes(hazards, quakes), rules, sizing)
+
+
 def feature_table(
     locations: DataFrame,
     hazards: DataFrame,
@@ -82,16 +94,16 @@ def feature_table(
     air: DataFrame,
     rules: RiskRules = DEFAULT_RULES,
     sizing: Sizing = DEFAULT_SIZING,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
-    """Spatial aggregates are computed once per location, then joined to its hours."""
+    """Spatial aggregates are computed once per location, then joined to its hours.
+
+    A stored ``profile`` of the locations takes the place of the hazards and quakes.
+    """
     series = weather_series(weather, air, sizing)
     hourly = weather_features(weather, air, series).drop("seq")
-    profile = hazard_profile(
-        locations.select("location_id", "latitude", "longitude"),
-        hazards_and_quakes(hazards, quakes),
-        rules,
-        sizing,
-    )
+    if profile is None:
+        profile = location_profile(locations, hazards, quakes, rules, sizing)
     joined = join_few(hourly, profile, ["location_id"], series.hot, "left")
     counts = [c for c in profile.columns if c.startswith("hazard_count_")]
     complete = joined.withColumnRenamed("forecast_timestamp", "timestamp").withColumns(

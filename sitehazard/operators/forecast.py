@@ -21,6 +21,9 @@ INPUTS = [
 ]
 
 
+PRIME = 1_000_003
+
+
 def model_inputs(df: DataFrame) -> DataFrame:
     """Every input as a number: absent columns and missing values are 0.
 
@@ -58,14 +61,22 @@ def errors(pairs: DataFrame, actual: str, predicted: str, digits: int = 3) -> Da
 
 
 def is_test_row(percent: int = TEST_PERCENT):
-    """A fixed share of rows by a hash of their key, the same on every re-run."""
-    dealt = F.pmod(F.xxhash64("location_id", "timestamp", F.lit(FOREST["seed"])), F.lit(100))
-    return dealt < percent
+    """A fixed share of rows by arithmetic on their key, the same on every re-run.
+
+    Location and second are spread over the rest classes of a prime. A row without a key is no test row.
+    """
+    place = f"pmod(location_id, {PRIME}) * 7919"
+    second = f"pmod(unix_seconds(CAST(timestamp AS timestamp)), {PRIME}) * 104729"
+    dealt = F.expr(f"({place} + {second} + {FOREST['seed']}) % {PRIME} % 100")
+    return F.coalesce(dealt < percent, F.lit(False))
 
 
 def train(risk: DataFrame, series: Series, work: str, direction: str = "lead"):
     """Fit one forest per horizon. Returns ({target: model}, metrics table or None).
 
+    The metrics are those of the test rows; ``mean_mae`` is the error of always predicting the
+    training rows' mean, which a model should stay below.
+
     The labelled inputs are written under ``work`` once, since a forest reads them many times.
     Under ten scored rows there is nothing to train; a target with under ten labels is left out.
     """
@@ -87,12 +98,18 @@ def train(risk: DataFrame, series: Series, work: str, direction: str = "lead"):
             featuresCol="inputs", labelCol=target, predictionCol="predicted", **FOREST
         )
         pipeline = Pipeline(stages=[VectorAssembler(inputCols=INPUTS, outputCol="inputs"), forest])
-        models[target] = pipeline.fit(known.where(~is_test_row()))
+        trained = known.where(~is_test_row())
+        models[target] = pipeline.fit(trained)
         scored = models[target].transform(known.where(is_test_row()))
-        quality = errors(scored, target, "predicted").select(
+        mean = trained.agg(F.avg(target)).first()[0]
+        scored = scored.withColumn("mean", F.lit(mean).cast("double"))
+        by_mean = errors(scored, target, "mean").select(F.col("mae").alias("mean_mae"))
+        quality = errors(scored, target, "predicted").join(by_mean).select(
             F.lit(target).alias("target"),
             "mae",
             "rmse",
+            "r2",
+            "mean_mae",
             (F.lit(sizes[target]) - F.col("n")).alias("n_train"),
             F.col("n").alias("n_test"),
         )

@@ -119,8 +119,15 @@ def hourly_grid(
     first = F.col("_first")
     stop = F.coalesce(_hour_at_or_after(F.col("_next")), F.col(ts) + F.expr("interval 1 microsecond"))
     last = F.date_trunc("hour", stop - F.expr("interval 1 microsecond"))
-    hours = F.when(first <= last, F.sequence(first, last, F.expr("interval 1 hour")))
-    spread = rows.withColumn("_hour", F.explode(hours))  # a zoned timestamp either way
+    # A gap is opened in two steps, days and then their hours, so that no row holds a list of all
+    # hours of a long gap. Times are zoned either way.
+    day, hour = F.expr("interval 1 day"), F.expr("interval 1 hour")
+    opened = rows.withColumns({"_first": first, "_last": last}).where(first <= last)
+    days = F.sequence(F.date_trunc("day", "_first"), F.date_trunc("day", "_last"), day)
+    opened = opened.withColumn("_day", F.explode(days))
+    start = F.greatest(F.col("_first").cast("timestamp"), F.col("_day"))
+    end = F.least(F.col("_last").cast("timestamp"), F.col("_day") + F.expr("interval 23 hours"))
+    spread = opened.withColumn("_hour", F.explode(F.sequence(start, end, hour)))
 
     def at_hour(name: str) -> Column:
         before, after = F.col(f"_p_{name}"), F.col(f"_n_{name}")
@@ -137,6 +144,17 @@ def hourly_grid(
     )
 
 
+def _ends_of_instants(stamped: DataFrame, key: str, ts: str) -> DataFrame:
+    """Of the rows of a key at one time the first and the last by turn; no other can be matched.
+
+    They are combined before they are moved, however many share the time.
+    """
+    row = F.struct("_turn", "_right")
+    ends = stamped.groupBy(key, ts).agg(F.min(row).alias("a"), F.max(row).alias("b"))
+    both = ends.select(key, ts, F.explode(F.array_distinct(F.array("a", "b"))).alias("_end"))
+    return both.select(key, ts, "_end._turn", "_end._right")
+
+
 def match_nearest(
     left: DataFrame,
     right: DataFrame,
@@ -163,6 +181,8 @@ def match_nearest(
     stamped = right.where(F.col(right_ts).isNotNull()).select(
         key, F.col(right_ts).alias(ts), F.col(right_order).cast("bigint").alias("_turn"), entry.alias("_right")
     )
+    if series.cuts is not None:  # a burst at one instant can't be cut
+        stamped = _ends_of_instants(stamped, key, ts)
     known = mark_chunks(stamped, series)
     in_order = series.window(F.col(ts), F.col("_turn"))
     linked = known.withColumns(

@@ -97,7 +97,7 @@ def union_hazards(hazards: DataFrame, quakes: DataFrame) -> DataFrame:
     return named.unionByName(as_hazards, allowMissingColumns=True)
 
 
-def _spots(hazards: DataFrame) -> DataFrame:
+def distinct_spots(hazards: DataFrame) -> DataFrame:
     columns = hazards.columns
     feed = F.col("feed") if "feed" in columns else F.lit(0)
     seq = F.col("seq") if "seq" in columns else F.monotonically_increasing_id()
@@ -126,10 +126,10 @@ def hazard_profile(
     go by feed, then ``seq``.
     """
     sites = sites_of(locations, sizing)
-    spots = settle(_spots(hazards), "hazard-spots")
+    spots = settle(distinct_spots(hazards), "hazard-spots")
     leaf = grid.leaf_size(spots, sizing.points_per_cell)
-    near = _in_bands(sites, spots, leaf, rules)
-    nearest = _nearest(sites, spots, leaf)
+    near = in_bands(sites, spots, leaf, rules)
+    nearest = nearest_spot(sites, spots, leaf)
     per_site = nearest.join(near, SITE, "left")
     counts = {
         f"hazard_count_{band:g}km": F.coalesce(F.col(f"_in_{band:g}"), F.lit(0)).cast("int")
@@ -148,7 +148,7 @@ def hazard_profile(
     )
 
 
-def _in_bands(sites: Sites, spots: DataFrame, leaf: int, rules: RiskRules) -> DataFrame:
+def in_bands(sites: Sites, spots: DataFrame, leaf: int, rules: RiskRules) -> DataFrame:
     bands = list(rules.bands_km)
 
     def counted(reached: Column) -> list[Column]:
@@ -180,7 +180,7 @@ def _in_bands(sites: Sites, spots: DataFrame, leaf: int, rules: RiskRules) -> Da
     )
 
 
-def _nearest(sites: Sites, spots: DataFrame, leaf: int) -> DataFrame:
+def nearest_spot(sites: Sites, spots: DataFrame, leaf: int) -> DataFrame:
     coordinates = spots.groupBy("latitude", "longitude").agg(
         F.min("turn").alias("turn"), F.min_by("category", "turn").alias("category")
     )
@@ -199,9 +199,9 @@ def max_quake_magnitude(
 ) -> DataFrame:
     """Strongest quake within the widest band of every location, else 0."""
     sites = sites_of(locations, sizing)
-    spots = settle(_spots(quakes), "quake-spots")
+    spots = settle(distinct_spots(quakes), "quake-spots")
     leaf = grid.leaf_size(spots, sizing.points_per_cell)
-    near = _in_bands(sites, spots, leaf, DEFAULT_RULES).select(*SITE, "magnitude")
+    near = in_bands(sites, spots, leaf, DEFAULT_RULES).select(*SITE, "magnitude")
     return sites.give_back(near, "left").select(
         *locations.columns, F.coalesce("magnitude", F.lit(0.0)).alias("max_eq_magnitude")
     )

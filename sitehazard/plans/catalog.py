@@ -25,7 +25,7 @@ from sitehazard.operators.series import (
     trend_features,
 )
 from sitehazard.operators.skew import HotKeys, Series, bring_together, hot_keys, measure_series
-from sitehazard.plans import pipeline, views
+from sitehazard.plans import documents, pipeline, views
 from sitehazard.schemas import add_missing_columns, align_to_table
 from sitehazard.session import shared_path, tune
 from sitehazard.sources import feeds, tables
@@ -235,13 +235,92 @@ def forecast_json_flatten(t):
     )
 
 
+def _cut_short(document: Column, when: Column) -> Column:
+    """A document whose end got lost."""
+    return F.when(when, F.expr("left(document, length(document) - 3)")).otherwise(document)
+
+
+def _forecast_documents(t) -> DataFrame:
+    """A document a reading, on the full hour. Some are cut short, some missing, some list nothing."""
+    full_hour = t.raw_weather.withColumn("forecast_timestamp", F.date_trunc("hour", "forecast_timestamp"))
+    listed = F.to_json(F.struct(F.array(F.struct(*_reading())).alias("list")))
+    document = (
+        F.when(F.col("location_id") % 10 == 0, '{"list": []}')
+        .when(F.col("seq") % 19 == 0, F.lit(None))
+        .otherwise(listed)
+    )
+    texts = full_hour.select("location_id", "seq", document.alias("document"))
+    return texts.withColumn("document", _cut_short(F.col("document"), F.col("seq") % 13 == 0))
+
+
+def _current_documents(t) -> DataFrame:
+    """A document a location; some have a word where a number belongs."""
+    number = F.col("location_id")
+    reading = F.struct(
+        (F.lit(1704067200) + number * 60).alias("dt"),
+        F.struct(
+            F.when(number % 17 == 0, F.lit("mild")).otherwise((number % 40).cast("string")).alias("temp"),
+            F.lit(75).alias("humidity"),
+            F.lit(1001.5).alias("pressure"),
+        ).alias("main"),
+        F.when(number % 11 != 0, F.array(F.struct(F.lit("light rain").alias("description")))).alias("weather"),
+        F.struct(
+            (number % 70).alias("speed"), F.when(number % 5 != 0, number % 360).alias("deg")
+        ).alias("wind"),
+    )
+    # Numbers stand without quotes in a document.
+    plain = F.regexp_replace(F.to_json(reading), '"temp":"([0-9]+)"', '"temp":$1')
+    return t.locations.select("location_id", number.alias("seq"), plain.alias("document"))
+
+
+def _documented(t):
+    return documents.weather(_forecast_documents(t), _current_documents(t), t.locations)
+
+
 @query
 def current_weather_fallback(t):
     """Locations without a forecast fall back to their current conditions."""
-    forecast_rows = t.raw_weather.select("location_id", F.lit("forecast").alias("origin"))
-    current = t.locations.select("location_id", F.lit("current").alias("origin"))
-    either = feeds.fall_back_to_current(forecast_rows, current)
-    return either.groupBy("location_id", "origin").agg(F.count("*").alias("readings"))
+    good, _ = feeds.opened(_current_documents(t), "current")
+    placed = good.join(t.locations.select("location_id", "latitude", "longitude"), "location_id")
+    current = feeds.flatten_current(placed)
+    either = feeds.fall_back_to_current(t.raw_weather.select(*current.columns[:1], *(
+        F.col(c) if c in t.raw_weather.columns else F.lit(None).cast("double").alias(c) for c in current.columns[1:]
+    )), current.withColumns(unzoned("forecast_timestamp")))
+    return either.select(
+        "location_id", "forecast_timestamp", "temperature", "humidity", "wind_speed", "wind_direction",
+        "precipitation", "pressure", "condition_text",
+    )
+
+
+@query
+def documents_to_facts(t):
+    """Landed forecasts and current conditions to hourly, scored rows."""
+    weather = _documented(t).rows.withColumns(unzoned("forecast_timestamp"))
+    risk = features.risk_table(t.locations, t.raw_hazards, t.raw_quakes, weather, t.raw_air)
+    return risk.select(
+        "location_id",
+        "timestamp",
+        F.round("temperature", 6).alias("temperature"),
+        F.round("wind_speed", 6).alias("wind_speed"),
+        "aqi",
+        "risk_score",
+        "risk_band",
+    )
+
+
+@query
+def rejected_documents(t):
+    """How many documents of each feed weren't read, and why."""
+    return _documented(t).rejected.groupBy("feed", "reason").agg(F.count("*").alias("documents"))
+
+
+@query
+def enriched_weather(t):
+    """The columns that a load adds to weather from documents."""
+    rows = _documented(t).rows
+    return rows.groupBy("location_id", "source_name").agg(
+        F.count("*").alias("hours"), F.count("ingestion_ts").alias("stamped")
+    )
 
 
 @query
@@ -281,12 +360,10 @@ def landed_documents(t):
     """Documents written as files, read back with the feed's schema and flattened."""
     path = shared_path(t.spark, "landing")
     _hazard_documents(t).select("document").write.text(path)
-    documents = feeds.read_documents(t.spark, "hazards", path)
-    flat = feeds.flatten_hazards(documents).select("event_id", "latitude", "longitude")
-    plain = t.raw_hazards.where("longitude is not null")
-    # The documents carry no sequence; their rows are matched back by event and place.
-    rows = plain.select("seq", "event_id", "category", "latitude", "longitude")
-    return rows.join(flat.distinct(), ["event_id", "latitude", "longitude"], "left_semi")
+    flat = feeds.flatten_hazards(feeds.read_documents(t.spark, "hazards", path))
+    return flat.select(
+        "event_id", "category", "title", "status", "event_timestamp", "latitude", "longitude"
+    ).withColumns(unzoned("event_timestamp"))
 
 
 # --- scalar functions --------------------------------------------------------------------------
@@ -623,10 +700,28 @@ def latest_explanation(t):
     return explain.latest_explanation(_explanations(t)).select("location_id", "summary", "top_reasons")
 
 
+@query
+def chosen_explanations(t):
+    """Replies for two thirds of the rows, half of them unreadable, one in four without reasons."""
+    risk = t.risk()
+    written = F.struct(
+        F.lit("Wait until later").alias("recommendation"),
+        (F.col("risk_score") / 200).alias("confidence"),
+        F.concat(F.lit("Score "), F.col("risk_band")).alias("explanation"),
+        F.when(F.col("hour") % 4 != 0, F.array(F.col("risk_band"), F.lit("air"))).alias("top_reasons"),
+    )
+    number = F.col("location_id") % 3
+    reply = F.when(number == 0, F.concat(F.lit("```json\n"), F.to_json(written), F.lit("\n```"))).when(
+        number == 1, "Sorry, no answer."
+    )
+    replies = risk.select("location_id", "timestamp", reply.alias("reply"))
+    chosen = explain.choose(explain.explain(risk), replies)
+    return chosen.withColumn("top_reasons", F.array_join("top_reasons", "; "))
+
+
 @query
 def explain_prompts(t):
-    scored = with_risk(t.bulk_rows).withColumn("risk_score", F.col("risk_score").cast("int"))
-    return explain.prompts(scored, keep=LINE)
+    return explain.prompts(with_risk(t.bulk_rows), keep=LINE)
 
 
 @query
@@ -676,6 +771,37 @@ def forecast_errors(t):
     return forecast.errors(t.held(), "risk_score", "predicted_risk_6h")
 
 
+def _trained(t):
+    """Risk rows as a file, and both horizons' models with their test measures."""
+    work = shared_path(t.spark, "forecast")
+    t.risk().write.parquet(f"{work}/facts")
+    risk = tables.read_table(t.spark, f"{work}/facts")
+    return risk, *forecast.train(risk, t.risk_series(), work)
+
+
+@query
+def forecast_quality(t):
+    """How the models do on the test rows, as what must hold whatever the forest."""
+    _, _, metrics = _trained(t)
+    return metrics.select(
+        "target",
+        "n_train",
+        "n_test",
+        (F.col("mae") <= F.col("rmse")).alias("mae_within_rmse"),
+        (F.col("mae") < F.col("mean_mae")).alias("beats_mean"),
+        (F.col("r2") > 0).alias("explains"),
+    )
+
+
+@query
+def forecast_rows(t):
+    """Every fact with both predictions, in range."""
+    _, models, _ = _trained(t)
+    facts = pipeline.fact_table(t.inputs(), models)
+    ok = {f"{c}_ok": F.coalesce(F.col(c).between(0, 100), F.lit(False)) for c in ("predicted_risk_6h", "predicted_risk_12h")}
+    return facts.withColumns(ok).select("location_id", "timestamp", "risk_score", *ok)
+
+
 @query
 def rf_forecast(t):
     """Train both horizons, keep and reload the models, predict every row."""
@@ -743,6 +869,49 @@ def stored_locations(t):
     )
 
 
+@query
+def newest_snapshot(t):
+    """A table stored by day, and the rows of its newest."""
+    path = shared_path(t.spark, "daily-hazards")
+    days = t.raw_hazards.withColumn("snapshot", F.date_format("event_timestamp", "yyyy-MM-dd"))
+    days.write.partitionBy("snapshot").parquet(path)
+    return tables.newest_snapshot(t.spark, path).select("seq", "event_id", F.col("snapshot").cast("string"))
+
+
+@query
+def one_location_scan(t):
+    """One location's stored rows, newest first."""
+    path = shared_path(t.spark, "weather-by-location")
+    named = t.raw_weather.withColumn("location_name", F.concat(F.lit("Site "), F.col("location_id").cast("string")))
+    tables.store(named, path, 0)
+    rows = tables.scan_location(t.spark, path, "Site 7")
+    return tables.newest_first(rows, "forecast_timestamp").select("location_id", "seq", "forecast_timestamp")
+
+
+@query
+def served_forecast(t):
+    """The newest rows of each location as kept beside the facts."""
+    path = shared_path(t.spark, "served")
+    pipeline.refresh(t.inputs(), path, 1)
+    return pipeline.served(t.spark, path).select("location_id", "timestamp", "risk_score", "risk_band")
+
+
+@query
+def stored_components(t):
+    """The stored facts' components, which add up to the score before it is cut to 0 to 100."""
+    path = shared_path(t.spark, "components")
+    pipeline.refresh(t.inputs(), path, 1)
+    parts = [c for c in pipeline.refreshed(t.spark, path).columns if c.startswith("component_")]
+    total = sum((F.col(c) for c in parts), F.lit(0.0))
+    facts = pipeline.refreshed(t.spark, path)
+    return facts.select(
+        "location_id",
+        "timestamp",
+        "component_earthquake",
+        (F.least(F.lit(100.0), F.greatest(F.lit(0.0), total)) == F.col("risk_score")).alias("adds_up"),
+    )
+
+
 @query
 def loaded_hazards(t):
     path = shared_path(t.spark, "raw-hazards")

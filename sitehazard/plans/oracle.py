@@ -73,6 +73,15 @@ def _sun(ts: str) -> str:
     )
 
 
+def _between(c: str) -> str:
+    """A column's value on the line between its anchors around an hour."""
+    return (
+        f"CASE WHEN {c}_t0 = forecast_timestamp OR {c}_t1 IS NULL THEN {c}_v0 ELSE {c}_v0 + "
+        f"({c}_v1 - {c}_v0) * ((epoch_us(forecast_timestamp) - epoch_us({c}_t0)) / "
+        f"CAST(epoch_us({c}_t1) - epoch_us({c}_t0) AS DOUBLE)) END"
+    )
+
+
 _TRENDS = """
   avg(temperature) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS temp_3h_avg,
   avg(temperature) OVER (w ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS temp_6h_avg,
@@ -247,6 +256,62 @@ FROM locations l CROSS JOIN raw_quakes q WHERE NOT starts_with(q.id, 'mock_')
 QUALIFY row_number() OVER (PARTITION BY l.location_id ORDER BY distance_km, id) <= 20""",
 }
 
+# The same steps from landed documents: readings on the hour, a grid for each location, current
+# conditions where there is none.
+STEPS |= {
+    "current_rows": f"""
+SELECT location_id, on_time AS forecast_timestamp, CAST(location_id % 40 AS DOUBLE) AS temperature,
+  CAST(75 AS DOUBLE) AS humidity, CAST(location_id % 70 AS DOUBLE) AS wind_speed,
+  CAST(CASE WHEN location_id % 5 = 0 THEN 0 ELSE location_id % 360 END AS DOUBLE) AS wind_direction,
+  CAST(0 AS DOUBLE) AS precipitation, CAST(1001.5 AS DOUBLE) AS pressure, {_UV} AS uv_index,
+  CASE WHEN location_id % 11 = 0 THEN 'Clear' ELSE 'Light Rain' END AS condition_text
+FROM (SELECT *, {_sun('on_time')} AS height FROM (
+  SELECT *, TIMESTAMP '2024-01-01' + to_minutes(CAST(location_id AS INT)) AS on_time FROM locations))
+WHERE location_id % 17 <> 0""",
+    "doc_readings": f"""
+SELECT location_id, seq, on_time AS forecast_timestamp, temperature, humidity, wind_speed,
+  CASE WHEN seq % 5 = 0 THEN CAST(0 AS DOUBLE) ELSE wind_direction END AS wind_direction,
+  (CASE WHEN seq % 2 = 0 THEN precipitation ELSE 0 END) + (CASE WHEN seq % 7 = 0 THEN CAST(1 AS DOUBLE) ELSE 0 END)
+    AS precipitation, pressure, {_UV} AS uv_index,
+  CASE WHEN seq % 11 = 0 THEN 'Clear' ELSE condition_text END AS condition_text
+FROM (SELECT *, {_sun('on_time')} AS height FROM (
+  SELECT w.*, date_trunc('hour', forecast_timestamp) AS on_time, latitude, longitude
+  FROM raw_weather w JOIN locations USING (location_id)))
+WHERE location_id % 10 <> 0 AND seq % 19 <> 0 AND seq % 13 <> 0""",
+    "doc_hourly_weather": "SELECT * FROM doc_readings " + _LAST.format("location_id, forecast_timestamp", "seq"),
+}
+
+
+def _renamed(steps: list[str]) -> dict[str, str]:
+    """Steps that read each other's documents variant."""
+    names = "|".join(["hourly_weather", "clean_weather", *steps])
+    return {
+        f"doc_{step}": re.sub(rf"\b(FROM|JOIN)\s+({names})\b", r"\1 doc_\2", STEPS[step]) for step in steps
+    }
+
+
+STEPS |= _renamed(["hours", "gridded", "anchored"])
+STEPS |= {
+    "doc_weather": "SELECT location_id, forecast_timestamp, condition_text, "
+    + ", ".join(f"{_between(c)} AS {c}" for c in _RESAMPLED)
+    + " FROM doc_anchored UNION ALL SELECT location_id, forecast_timestamp, condition_text, "
+    + ", ".join(_RESAMPLED)
+    + " FROM current_rows WHERE location_id NOT IN (SELECT location_id FROM doc_hourly_weather)",
+    "doc_clean_weather": """
+SELECT location_id, location_id * 10000000 + CAST(floor(epoch(forecast_timestamp) / 3600) AS BIGINT) AS seq,
+  forecast_timestamp, coalesce(temperature, 25) AS temperature,
+  coalesce(humidity, 50) AS humidity, coalesce(wind_speed, 0) AS wind_speed,
+  coalesce(wind_direction, 0) AS wind_direction, coalesce(precipitation, 0) AS precipitation,
+  coalesce(pressure, 1013) AS pressure, coalesce(uv_index, 0) AS uv_index, condition_text
+FROM doc_weather""",
+}
+STEPS |= _renamed(["trends", "back", "ahead", "matched", "features", "risk"])
+STEPS["labelled"] = """
+SELECT *, lead(risk_score, 6) OVER w AS risk_6h, lead(risk_score, 12) OVER w AS risk_12h,
+  (location_id % 1000003 * 7919 + CAST(floor(epoch(timestamp)) AS BIGINT) % 1000003 * 104729 + 42)
+    % 1000003 % 100 < 20 AS tested
+FROM risk WINDOW w AS (PARTITION BY location_id ORDER BY timestamp)"""
+
 _FEATURE_OUT = """location_id, timestamp, hazard_count_10km, hazard_count_50km, hazard_count_100km,
   nearest_hazard_distance_km, nearest_hazard_type, hazard_types, temperature, humidity, wind_speed,
   wind_direction, precipitation, pressure, uv_index, wind_alignment_score, aqi, co, so2,
@@ -289,9 +354,11 @@ SELECT location_id, seq, date_trunc('second', forecast_timestamp) AS forecast_ti
 FROM (SELECT w.*, latitude, longitude, {_sun('forecast_timestamp')} AS height
   FROM raw_weather w JOIN locations USING (location_id))""",
     "current_weather_fallback": """
-SELECT location_id, 'forecast' AS origin, count(*) AS readings FROM raw_weather GROUP BY location_id
-UNION ALL SELECT location_id, 'current', 1 FROM locations
-  WHERE location_id NOT IN (SELECT location_id FROM raw_weather)""",
+SELECT location_id, forecast_timestamp, temperature, humidity, wind_speed, wind_direction, precipitation,
+  pressure, condition_text FROM raw_weather
+UNION ALL SELECT location_id, forecast_timestamp, temperature, humidity, wind_speed, wind_direction,
+  precipitation, pressure, condition_text FROM current_rows
+WHERE location_id NOT IN (SELECT location_id FROM raw_weather)""",
     "air_json_flatten": """
 SELECT location_id, seq, date_trunc('second', timestamp) AS timestamp, aqi,
   CASE aqi WHEN 1 THEN 'Good' WHEN 2 THEN 'Fair' WHEN 3 THEN 'Moderate' WHEN 4 THEN 'Poor'
@@ -327,12 +394,7 @@ SELECT CAST((SELECT count(*) FROM raw_hazards) AS BIGINT) AS rows_in,
     "uv_index": f"SELECT seq, {_UV} AS uv FROM (SELECT seq, latitude, longitude, {_sun('forecast_timestamp')} "
     "AS height FROM raw_weather JOIN locations USING (location_id))",
     "hourly_resample": "SELECT location_id, forecast_timestamp, condition_text, "
-    + ", ".join(
-        f"round(CASE WHEN {c}_t0 = forecast_timestamp OR {c}_t1 IS NULL THEN {c}_v0 ELSE {c}_v0 + "
-        f"({c}_v1 - {c}_v0) * ((epoch_us(forecast_timestamp) - epoch_us({c}_t0)) / "
-        f"CAST(epoch_us({c}_t1) - epoch_us({c}_t0) AS DOUBLE)) END, 8) AS {c}"
-        for c in _RESAMPLED
-    )
+    + ", ".join(f"round({_between(c)}, 8) AS {c}" for c in _RESAMPLED)
     + " FROM anchored",
     "trend_features": "SELECT location_id, forecast_timestamp, round(temp_3h_avg, 4) AS temp_3h_avg, "
     "round(temp_6h_avg, 4) AS temp_6h_avg, round(temp_1h_change, 4) AS temp_1h_change, "
@@ -432,7 +494,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat(
 'You are an environmental safety advisor. Given the following data, provide a recommendation.
 
 Location: Mumbai
-Current risk score: ', CAST(CAST(risk_score AS INT) AS VARCHAR), '/100
+Current risk score: ', printf('%.1f', risk_score), '/100
 Risk band: ', risk_band, '
 Active hazards within 100 km: ', coalesce(hazard_types, 'None'), '
 Nearest hazard: None at ', CASE WHEN nearest_hazard_distance_km IS NULL THEN 'N/A'
@@ -487,7 +549,43 @@ WHERE length(trim(r.text)) >= 2 QUALIFY rank <= 5""",
     "stored_locations": "SELECT location_id, location_name, latitude, longitude, "
     "replace(lower(location_name), ' ', '_') AS location_slug FROM locations",
     "loaded_hazards": "SELECT event_id, category, title, status, event_timestamp, latitude, longitude FROM clean_hazards",
-    "landed_documents": "SELECT seq, event_id, category, latitude, longitude FROM raw_hazards WHERE longitude IS NOT NULL",
+    "landed_documents": """
+SELECT event_id, CASE WHEN seq % 7 = 0 THEN 'Unknown' ELSE category END AS category,
+  CASE WHEN seq % 11 = 0 THEN '' ELSE title END AS title, 'open' AS status,
+  date_trunc('second', event_timestamp) AS event_timestamp, latitude, longitude
+FROM raw_hazards WHERE longitude IS NOT NULL""",
+    "newest_snapshot": "SELECT seq, event_id, strftime(event_timestamp, '%Y-%m-%d') AS snapshot FROM raw_hazards "
+    "WHERE date_trunc('day', event_timestamp) = (SELECT max(date_trunc('day', event_timestamp)) FROM raw_hazards)",
+    "one_location_scan": "SELECT location_id, seq, forecast_timestamp FROM raw_weather WHERE location_id = 7",
+    "served_forecast": "SELECT location_id, timestamp, risk_score, risk_band FROM risk QUALIFY row_number() OVER "
+    "(PARTITION BY location_id ORDER BY timestamp DESC) <= 48",
+    "stored_components": "SELECT location_id, timestamp, c_quake AS component_earthquake, true AS adds_up FROM risk",
+    "documents_to_facts": "SELECT location_id, timestamp, round(temperature, 6) AS temperature, "
+    "round(wind_speed, 6) AS wind_speed, aqi, risk_score, risk_band FROM doc_risk",
+    "rejected_documents": """
+SELECT 'forecast' AS feed, CASE WHEN seq % 19 = 0 AND location_id % 10 <> 0 THEN 'missing' ELSE 'malformed' END
+  AS reason, count(*) AS documents
+FROM raw_weather WHERE (seq % 19 = 0 AND location_id % 10 <> 0) OR seq % 13 = 0 GROUP BY ALL
+UNION ALL SELECT 'current', 'malformed', count(*) FROM locations WHERE location_id % 17 = 0 GROUP BY ALL""",
+    "enriched_weather": "SELECT location_id, 'openweathermap' AS source_name, count(*) AS hours, "
+    "count(*) AS stamped FROM doc_weather GROUP BY location_id",
+    "chosen_explanations": """
+SELECT location_id, timestamp, risk_band, risk_score,
+  CASE WHEN location_id % 3 = 0 THEN 'Wait until later' ELSE recommendation END AS recommendation,
+  CASE WHEN location_id % 3 = 0 THEN concat('Score ', risk_band) ELSE summary END AS summary,
+  CASE WHEN location_id % 3 = 0 AND hour(timestamp) % 4 <> 0 THEN concat(risk_band, '; air') ELSE top_reasons END
+    AS top_reasons,
+  CASE WHEN location_id % 3 = 0 THEN risk_score / 200 ELSE confidence END AS confidence,
+  CASE WHEN location_id % 3 = 0 THEN 'model' ELSE provider END AS provider
+FROM explained""",
+    "forecast_quality": "\nUNION ALL ".join(
+        f"SELECT 'risk_{n}h' AS target, count(risk_{n}h) FILTER (WHERE NOT tested) AS n_train, "
+        f"count(risk_{n}h) FILTER (WHERE tested) AS n_test, true AS mae_within_rmse, true AS beats_mean, "
+        f"true AS explains FROM labelled"
+        for n in (6, 12)
+    ),
+    "forecast_rows": "SELECT location_id, timestamp, risk_score, true AS predicted_risk_6h_ok, "
+    "true AS predicted_risk_12h_ok FROM risk",
     "sql_query": "SELECT city, count(*) AS locations, round(max(latitude), 2) AS northmost FROM locations GROUP BY city",
     "refresh_stream": "SELECT event_id, seq, category, status, latitude, longitude FROM clean_hazards",
     "stream_scoring": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, risk_score, risk_band FROM bulk_scored",

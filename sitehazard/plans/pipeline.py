@@ -7,15 +7,15 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitehazard.config import DEFAULT_RULES, DEFAULT_SIZING, RiskRules, Sizing
+from sitehazard.config import DEFAULT_RULES, DEFAULT_SIZING, FORECAST_LIMIT, RiskRules, Sizing
 from sitehazard.operators.explain import explain, with_explanation
 from sitehazard.operators.features import risk_table
 from sitehazard.operators.forecast import predict
 from sitehazard.operators.skew import hot_keys, join_few
 from sitehazard.schemas import align_to_table
-from sitehazard.sources.tables import latest_snapshot, read_table, store
+from sitehazard.sources.tables import latest_snapshot, newest_rows, read_table, store
 
-SNAPSHOT_COLUMNS = ["snapshot", "location_bucket"]
+SNAPSHOT_COLUMNS = ["snapshot", "location_bucket", "location_hash"]
 
 
 @dataclass(frozen=True)
@@ -35,8 +35,12 @@ def fact_table(
     rules: RiskRules = DEFAULT_RULES,
     sizing: Sizing = DEFAULT_SIZING,
     timestamps: str = "timestamp_ntz",
+    profile: DataFrame | None = None,
 ) -> DataFrame:
-    """Scored, predicted and explained rows in the stored table's schema."""
+    """Scored, predicted and explained rows in the stored table's schema.
+
+    A stored ``profile`` of the locations takes the place of the hazards and quakes.
+    """
     risk = risk_table(
         inputs.locations,
         inputs.hazards,
@@ -45,6 +49,7 @@ def fact_table(
         inputs.air,
         rules=rules,
         sizing=sizing,
+        profile=profile,
     )
     forecast = predict(risk, models) if models else risk
     return align_to_table(with_explanation(forecast), "fact_environment_risk", timestamps)
@@ -56,6 +61,7 @@ def refresh(
     snapshot: int,
     models: dict[str, PipelineModel] | None = None,
     sizing: Sizing = DEFAULT_SIZING,
+    profile: DataFrame | None = None,
 ) -> None:
     """Recompute the given locations and store them as one snapshot.
 
@@ -63,13 +69,15 @@ def refresh(
     running the same snapshot again changes nothing. The stored facts feed the explanations,
     so they are computed once.
     """
-    facts = fact_table(inputs, models, sizing=sizing)
+    facts = fact_table(inputs, models, sizing=sizing, profile=profile)
     names = inputs.locations.select("location_id", "location_name")
     hot = hot_keys(inputs.weather, "location_id", sizing.rows_per_task)
     named = join_few(facts, names, ["location_id"], hot, "left")
     store(named, f"{path}/fact_environment_risk", snapshot)
     stored = read_table(facts.sparkSession, f"{path}/fact_environment_risk/snapshot={snapshot}")
     store(explain(stored), f"{path}/explanations", snapshot, name=None)
+    newest = newest_rows(stored, "location_id", "timestamp", FORECAST_LIMIT)
+    store(newest.drop(*SNAPSHOT_COLUMNS), f"{path}/newest", snapshot, name=None)
 
 
 def purge(spark: SparkSession, path: str) -> list[int]:
@@ -85,7 +93,7 @@ def purge(spark: SparkSession, path: str) -> list[int]:
     numbers = sorted(row["snapshot"] for row in old.toLocalIterator())
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     for number in numbers:
-        for table in (f"{path}/explanations", facts):
+        for table in (f"{path}/explanations", f"{path}/newest", facts):
             folder = hadoop.Path(f"{table}/snapshot={number}")
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
     return numbers
@@ -96,3 +104,11 @@ def refreshed(spark: SparkSession, path: str, sizing: Sizing = DEFAULT_SIZING) -
     table = read_table(spark, f"{path}/fact_environment_risk")
     hot = hot_keys(table, "location_id", sizing.rows_per_task)
     return latest_snapshot(table, "location_id", hot=hot).drop(*SNAPSHOT_COLUMNS)
+
+
+def served(spark: SparkSession, path: str) -> DataFrame:
+    """Each location's newest rows, at most ``FORECAST_LIMIT``, without reading the facts.
+
+    A location is always replaced whole, so its newest rows lie in its newest snapshot.
+    """
+    return latest_snapshot(read_table(spark, f"{path}/newest"), "location_id").drop("snapshot")

@@ -49,7 +49,7 @@ TABLES: dict[str, str] = {
         temp_3h_change double, wind_3h_avg double, wind_1h_change double,
         precip_3h_sum double, risk_score double, risk_band string, recommendation string,
         component_hazard double, component_proximity double, component_weather double,
-        component_trend double, component_multi_hazard double, component_air_quality double,
+        component_trend double, component_multi_hazard double, component_air_quality double, component_earthquake double,
         predicted_risk_6h double, predicted_risk_12h double, confidence_score double,
         explanation_text string""",
 }
@@ -74,6 +74,7 @@ DEFAULTS: dict[str, dict[str, object]] = {
         "component_trend": 0.0,
         "component_multi_hazard": 0.0,
         "component_air_quality": 0.0,
+        "component_earthquake": 0.0,
         "confidence_score": 0.8,
     },
 }

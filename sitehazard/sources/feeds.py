@@ -57,11 +57,6 @@ def read_documents(spark: SparkSession, feed: str, path: str) -> DataFrame:
     return spark.read.schema(DOCUMENTS[feed]).json(path)
 
 
-def stream_documents(spark: SparkSession, feed: str, path: str) -> DataFrame:
-    """The same folder as a stream of newly landed files."""
-    return spark.readStream.schema(DOCUMENTS[feed]).json(path)
-
-
 def parse_documents(df: DataFrame, feed: str, text: str = "document") -> DataFrame:
     """Documents held as JSON text in a column; the other columns stay."""
     rest = [c for c in df.columns if c != text]
@@ -69,6 +64,24 @@ def parse_documents(df: DataFrame, feed: str, text: str = "document") -> DataFra
     return parsed.select(*rest, "_doc.*")
 
 
+def opened(landed: DataFrame, feed: str, text: str = "document") -> tuple[DataFrame, DataFrame]:
+    """Landed documents parsed, and those that can't be, with ``reason``; the other columns stay.
+
+    A document is rejected whole if it is missing, isn't JSON, or has a value of another type than
+    the feed's. Absent fields are no fault.
+    """
+    rest = [c for c in landed.columns if c != text]
+    settings = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"}
+    parsed = landed.withColumn("_doc", F.from_json(text, f"{DOCUMENTS[feed]}, _unread string", settings))
+    missing = F.coalesce(F.trim(F.col(text)), F.lit("")) == ""
+    unread = F.col("_doc._unread").isNotNull() | F.col("_doc").isNull()
+    reason = F.when(missing, "missing").when(unread, "malformed")
+    judged = parsed.withColumn("_reason", reason)
+    good = judged.where("_reason IS NULL").select(*rest, "_doc.*").drop("_unread")
+    bad = judged.where("_reason IS NOT NULL").select(*rest, text, F.col("_reason").alias("reason"))
+    return good, bad
+
+
 # Documents are opened with ``explode_outer`` and a filter: a plain ``explode`` makes the
 # optimizer test the array for being empty below it, which would parse every document twice.
 

@@ -1,8 +1,10 @@
-"""Stored tables: Parquet folders, snapshots, per-location scans, loads, file listing."""
+"""Stored tables: Parquet folders, snapshots, per-location scans, loads."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from sitehazard.config import WEATHER_PROVIDER
 from sitehazard.functions.text import refresh_stamp, slug
@@ -16,6 +18,12 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a folder, wherever the path points."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def bucket_of(location_slug: Column) -> Column:
     return F.pmod(F.xxhash64(location_slug), F.lit(BUCKETS)).cast("int")
 
@@ -24,7 +32,8 @@ def store(df: DataFrame, path: str, snapshot: int | str, name: str | None = "loc
     """Write one snapshot of a table, laid out for per-location reads.
 
     A folder per location would mean millions of folders, so locations share a fixed number of
-    bucket folders; within one, files are sorted by slug and their statistics skip the rest.
+    bucket folders by a hash of their slug. Within one, files are sorted by that hash, so the
+    statistics of their row groups, each a narrow range of it, skip all but a location's own.
     ``rebalance`` splits the bucket of a very large location over several files and keeps small
     ones whole. Writing the same snapshot again replaces it, so a retried job is harmless.
     """
@@ -33,10 +42,12 @@ def store(df: DataFrame, path: str, snapshot: int | str, name: str | None = "loc
         df.write.mode("overwrite").parquet(target)
         return target
     slugged = df.withColumn("location_slug", slug(F.col(name)))
-    laid = slugged.withColumn("location_bucket", bucket_of(F.col("location_slug")))
+    laid = slugged.withColumn("location_hash", F.xxhash64("location_slug")).withColumn(
+        "location_bucket", bucket_of(F.col("location_slug"))
+    )
     (
         laid.hint("rebalance", "location_bucket")
-        .sortWithinPartitions("location_bucket", "location_slug")
+        .sortWithinPartitions("location_bucket", "location_hash")
         .write.mode("overwrite")
         .partitionBy("location_bucket")
         .parquet(target)
@@ -56,21 +67,58 @@ def latest_snapshot(
 
 
 def scan_location(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
-    """A location's rows, reading only its bucket folder; without a name the whole table."""
+    """A location's rows, reading only its bucket folder and hash; without a name the whole table.
+
+    The name's slug and hash are constants that the optimizer folds, so both filters reach the scan.
+    """
     table = spark.read.parquet(path)
     if name is None:
         return table
-    wanted = name.lower().replace(" ", "_").translate(str.maketrans("", "", ",()"))
-    bucket = spark.range(1).select(bucket_of(F.lit(wanted))).first()[0]
-    return table.where((F.col("location_bucket") == bucket) & (F.col("location_slug") == wanted))
+    wanted = F.lit(name.lower().replace(" ", "_").translate(str.maketrans("", "", ",()")))
+    return table.where(
+        (F.col("location_bucket") == bucket_of(wanted))
+        & (F.col("location_hash") == F.xxhash64(wanted))
+        & (F.col("location_slug") == wanted)
+    )
+
+
+def newest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a stored table's newest snapshot, found by its folders' names alone.
+
+    Numbers compare as numbers, other names (dates) as text. Folders without a snapshot are left out.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot=*")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in files.globStatus(folder) or []]
+    values = [unquote(name.split("=", 1)[1]) for name in names]
+    table = spark.read.parquet(path)
+    if not values:
+        return table
+    newest = max(values, key=lambda v: (v.lstrip("-").isdigit(), int(v) if v.lstrip("-").isdigit() else 0, v))
+    kind = table.schema["snapshot"].dataType
+    return table.where(F.col("snapshot") == F.lit(newest).cast(kind))
 
 
 def load(df: DataFrame, path: str, table: str) -> int:
-    """Replace a table's rows by the given ones in its schema. Empty input changes nothing."""
-    if df.isEmpty():
-        return 0
-    align_to_table(df, table).write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path).count()
+    """Replace a table's rows by the given ones in its schema; gives their number.
+
+    The rows are written beside the table and counted as they are, in one job. If there are any,
+    they take its place; empty input changes nothing.
+    """
+    spark, beside = df.sparkSession, f"{path}.loading"
+    counted = Observation()
+    rows = align_to_table(df, table).observe(counted, F.count(F.lit(1)).alias("rows"))
+    rows.write.mode("overwrite").parquet(beside)
+    loaded = counted.get["rows"]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target, source = hadoop.Path(path), hadoop.Path(beside)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if loaded:
+        files.delete(target, True)
+        files.rename(source, target)
+    else:
+        files.delete(source, True)
+    return loaded
 
 
 def enrich(df: DataFrame, provider: str = WEATHER_PROVIDER) -> DataFrame:
@@ -96,17 +144,6 @@ def query(spark: SparkSession, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """Data files below a folder, without reading their contents."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet")
-        .load(path)
-        .select("path", "length", F.col("modificationTime").alias("modified"))
-    )
-
-
 def last_refresh(spark: SparkSession, path: str) -> DataFrame:
     """When each location's rows were last written."""
     table = spark.read.parquet(path).select(
@@ -126,3 +163,9 @@ def latest_per(df: DataFrame, key: str, ts: str, tie: str | None = None) -> Data
     order = [F.col(ts).desc()] + ([F.col(tie).desc()] if tie else [])
     ranked = df.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     return ranked.where("_nth = 1").drop("_nth")
+
+
+def newest_rows(df: DataFrame, key: str, ts: str, most: int) -> DataFrame:
+    """The last rows of every key by time, ``most`` at most; cut before the shuffle as well."""
+    newest = Window.partitionBy(key).orderBy(F.col(ts).desc())
+    return df.withColumn("_nth", F.row_number().over(newest)).where(F.col("_nth") <= most).drop("_nth")

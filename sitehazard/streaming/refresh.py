@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sitehazard.config import DEFAULT_RULES, DEFAULT_SIZING, RiskRules, Sizing
 from sitehazard.functions.scoring import with_risk
+from sitehazard.operators.changes import changed_spots, reached
 from sitehazard.operators.cleaning import keep_last
+from sitehazard.operators.features import hazards_and_quakes, location_profile
 from sitehazard.plans.pipeline import Inputs, purge, refresh
+from sitehazard.session import settle
+from sitehazard.sources.tables import exists, latest_per
 
 #: Feeds that arrive, as named in ``Inputs``.
 FEEDS = ("hazards", "quakes", "weather", "air")
@@ -75,11 +79,16 @@ def refresh_on_arrival(
     """Keep the facts of all locations up to date with what arrives.
 
     ``arrivals`` turns the arrived rows into raw rows of the ``FEEDS``. They are kept by batch
-    beside the facts. Locations with new weather or air quality are recomputed from everything
-    that has arrived so far; new hazards or quakes can change any location, so then all are.
+    beside the facts, as are the locations' spatial profiles. What a batch changes is followed:
+
+    * Its hazards, against earlier versions of the same events, and its quakes give the changed
+      spots. Only locations that these reach get a new profile.
+    * Only locations whose profile differs from the one before, or with new weather or air
+      quality, are recomputed, from their own weather and air quality so far and their profile.
+
     Each recomputed location is replaced whole, as the snapshot of the batch's number, and
-    snapshots that no location needs any more are deleted. A batch that is run again overwrites
-    what it wrote.
+    snapshots that no location needs any more are deleted. A batch that is run again reads what
+    came before it only, and overwrites what it wrote.
     """
 
     def run(batch: DataFrame, number: int) -> None:
@@ -89,15 +98,66 @@ def refresh_on_arrival(
         for name, rows in arrivals(batch).items():
             rows.write.mode("overwrite").parquet(f"{path}/raw/{name}/batch={number}")
         new = {name: spark.read.parquet(f"{path}/raw/{name}/batch={number}") for name in FEEDS}
-        feeds = {name: spark.read.parquet(f"{path}/raw/{name}").drop("batch") for name in FEEDS}
-        wanted = locations
-        if new["hazards"].isEmpty() and new["quakes"].isEmpty():
-            touched = new["weather"].select("location_id").unionAll(new["air"].select("location_id"))
-            touched = touched.distinct()
+        so_far = {name: _until(spark, f"{path}/raw/{name}", number + 1) for name in FEEDS}
+        altered = _profiled(spark, path, number, locations, new, so_far, sizing)
+        touched = new["weather"].select("location_id").unionByName(new["air"].select("location_id"))
+        touched = settle(touched.unionByName(altered).distinct(), "touched")
+        if not touched.isEmpty():
             wanted = locations.join(touched, "location_id", "left_semi")
+            profile = stored_profiles(spark, path, number + 1).join(touched, "location_id", "left_semi")
             for name in ("weather", "air"):
-                feeds[name] = feeds[name].join(touched, "location_id", "left_semi")
-        refresh(Inputs(wanted, **feeds), path, number, sizing=sizing)
+                so_far[name] = so_far[name].join(touched, "location_id", "left_semi")
+            refresh(Inputs(wanted, **so_far), path, number, sizing=sizing, profile=profile)
         purge(spark, path)
 
     return _run(stream, checkpoint, run)
+
+
+def _until(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """What the batches before one with the number stored; whole folders are left out."""
+    return spark.read.parquet(path).where(F.col("batch") < number).drop("batch")
+
+
+def stored_profiles(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """Each location's newest profile from the batches before one with the number."""
+    stored = spark.read.parquet(f"{path}/profiles").where(F.col("batch") < number)
+    return latest_per(stored, "location_id", "batch").drop("batch")
+
+
+def _profiled(
+    spark: SparkSession,
+    path: str,
+    number: int,
+    locations: DataFrame,
+    new: dict[str, DataFrame],
+    so_far: dict[str, DataFrame],
+    sizing: Sizing,
+) -> DataFrame:
+    """Store the profiles that the batch can change; ids of those that it did."""
+    target = f"{path}/profiles/batch={number}"
+    ids = locations.select("location_id")
+    if not exists(spark, f"{path}/profiles") or stored_profiles(spark, path, number).isEmpty():
+        first = location_profile(locations, so_far["hazards"], so_far["quakes"], sizing=sizing)
+        first.write.mode("overwrite").parquet(target)
+        return ids
+    before = settle(stored_profiles(spark, path, number), "profiles-before")
+    stale = ids.join(before, "location_id", "left_anti")
+    if not (new["hazards"].isEmpty() and new["quakes"].isEmpty()):
+        older = _until(spark, f"{path}/raw/hazards", number)
+        arrived = new["hazards"].select(F.col("event_id").alias("arrived_id")).distinct()
+        older = older.join(arrived, F.expr("event_id <=> arrived_id"), "left_semi")
+        changed = changed_spots(
+            hazards_and_quakes(older, new["quakes"].where("false")),
+            hazards_and_quakes(older.unionByName(new["hazards"]), new["quakes"]),
+        )
+        changed = settle(changed, "changed")
+        if not changed.isEmpty():
+            stale = stale.unionByName(reached(before, changed, sizing=sizing))
+    stale = settle(stale.distinct(), "stale")
+    if stale.isEmpty():
+        return ids.where("false")
+    again = locations.join(stale, "location_id", "left_semi")
+    profiles = location_profile(again, so_far["hazards"], so_far["quakes"], sizing=sizing)
+    profiles.write.mode("overwrite").parquet(target)
+    written = spark.read.parquet(target)
+    return written.exceptAll(before.select(written.columns)).select("location_id")

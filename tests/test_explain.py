@@ -116,3 +116,26 @@ def test_prompt_names_what_is_missing(spark):
     assert "Current risk score: 42.0/100" in prompt and "within 100 km: None" in prompt
     assert "Nearest hazard: None at N/A km" in prompt and prompt.endswith("explanation, top_reasons.")
     assert prompt == prompt.strip()
+
+
+def test_a_reply_that_can_be_read_wins(spark):
+    rules = spark.createDataFrame(
+        [(i, i, "Go now", "Safe", 20.0, "by rules", ["one"], 0.7, "rules") for i in range(1, 8)],
+        "location_id long, timestamp long, recommendation string, risk_band string, risk_score double, "
+        "summary string, top_reasons array<string>, confidence double, provider string",
+    )
+    whole = '{"recommendation": "Avoid today", "confidence": 0.25, "explanation": "smoke", "top_reasons": ["fire", "wind"]}'
+    replies = [(1, 1, whole), (2, 2, "no idea"), (3, 3, None), (4, 4, "{}"), (5, 5, "```json\n" + whole + "\n```"),
+               (6, 6, '{"explanation": "only this"}'), (6, 6, None), (9, 9, whole)]
+    frame = spark.createDataFrame(replies, "location_id long, timestamp long, reply string")
+    got = explain.choose(rules, frame, provider="writer")
+    assert got.columns == rules.columns
+    rows = {r["location_id"]: r for r in got.collect()}
+    assert set(rows) == set(range(1, 8))
+    for i in (2, 3, 4, 7):
+        assert (rows[i]["provider"], rows[i]["summary"], rows[i]["recommendation"]) == ("rules", "by rules", "Go now")
+    for i in (1, 5):
+        row = rows[i]
+        assert (row["provider"], row["summary"], row["recommendation"]) == ("writer", "smoke", "Avoid today")
+        assert (row["confidence"], row["top_reasons"], row["risk_score"]) == (0.25, ["fire", "wind"], 20.0)
+    assert (rows[6]["provider"], rows[6]["summary"], rows[6]["confidence"]) == ("writer", "only this", 0.7)

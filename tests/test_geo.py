@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sitehazard.config import Sizing
 from sitehazard.functions.geo import haversine_km, wind_alignment
-from sitehazard.operators import grid, spatial
+from sitehazard.operators import changes, grid, spatial
 
 SETTINGS = [
     Sizing(),
@@ -53,6 +53,25 @@ def tables(spark, seed=1):
     return sites, hazards, locations, events
 
 
+@pytest.mark.parametrize("sizing", SETTINGS)
+def test_changed_spots_reach_the_locations_whose_profile_they_can_alter(spark, sizing):
+    sites, _, locations, events = tables(spark)
+    old = spatial.hazard_profile(locations, events.where("seq % 9 > 1"), sizing=sizing)
+    new = spatial.hazard_profile(locations, events.where("seq % 9 <> 2"), sizing=sizing)
+    altered = {r["location_id"] for r in new.exceptAll(old).collect()}
+    changed = changes.changed_spots(*(
+        events.where(c).withColumn("feed", F.lit(0)) for c in ("seq % 9 > 1", "seq % 9 <> 2")
+    ))
+    wanted = {(lat, lon) for i, (lat, lon) in enumerate(world(101)) if i % 9 < 3}
+    spots = [tuple(r) for r in changed.collect()]
+    assert set(spots) <= wanted and len(spots) == len(set(spots))
+    so_far = {r["location_id"]: r["nearest_hazard_distance_km"] for r in old.collect()}
+    reach = {i: min((km(lat, lon, *s) for s in spots)) for i, lat, lon in sites}
+    expected = {i for i in reach if reach[i] <= max(100.0, so_far[i] + 0.01)}
+    found = {r["location_id"] for r in changes.reached(old, changed, sizing=sizing).collect()}
+    assert found == expected and altered <= found and len(altered) > 20 and len(found) < len(sites)
+
+
 def test_haversine(spark):
     pairs = [(19.076, 72.8777, 19.076, 72.8777), (19.076, 72.8777, 19.176, 72.8777), (10.0, 20.0, -10.0, -160.0)]
     df = spark.createDataFrame(pairs, "a double, b double, c double, d double")

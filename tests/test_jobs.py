@@ -2,6 +2,7 @@
 
 import json
 import os
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +126,7 @@ def test_models(spark, risk, tmp_path):
         assert 0 <= rows[target]["mae"] <= rows[target]["rmse"] < 60
         share = rows[target]["n_test"] / (rows[target]["n_test"] + rows[target]["n_train"])
         assert 0.12 < share < 0.28
+        assert rows[target]["mae"] < rows[target]["mean_mae"] and rows[target]["r2"] > 0
     forecast.save_models(models, str(tmp_path / "models"))
     loaded = forecast.load_models(str(tmp_path / "models"))
     predicted = forecast.predict(risk, loaded)
@@ -135,6 +137,18 @@ def test_models(spark, risk, tmp_path):
     same(sparse.select("temperature", *KEYS), risk.select("temperature", *KEYS))
 
 
+def test_test_rows_are_told_by_arithmetic_on_their_key(spark, risk):
+    def tested(place, at):
+        seconds = int((at - datetime(1970, 1, 1)).total_seconds() // 1)
+        return (place % 1000003 * 7919 + seconds % 1000003 * 104729 + 42) % 1000003 % 100 < 20
+
+    rows = risk.select(*KEYS, forecast.is_test_row().alias("t")).collect()
+    assert all(r["t"] == tested(r["location_id"], r["timestamp"]) for r in rows)
+    odd = spark.createDataFrame([(-5, datetime(1950, 1, 1)), (None, datetime(2024, 1, 1)), (1, None)], "location_id long, timestamp timestamp_ntz")
+    first, *others = [r["t"] for r in odd.select(forecast.is_test_row().alias("t")).collect()]
+    assert first == tested(-5, datetime(1950, 1, 1)) and others == [False, False]
+
+
 def test_too_few_rows_train_nothing(spark, risk, tmp_path):
     series = Series("location_id", "timestamp")
     models, metrics = forecast.train(risk.limit(9), series, str(tmp_path / "a"))
@@ -180,6 +194,109 @@ def test_stream_keeps_the_last_version_over_several_runs(spark, tmp_path):
     assert streaming.upserted(spark, target, ["event_id"]).count() == 3
 
 
+ARRIVING = "kind string, id string, seq long, place long, ts timestamp_ntz, lat double, lon double, value double, state string"
+
+
+def arrivals(batch):
+    """Raw feeds out of one table of arrivals."""
+    of = {name: batch.where(F.col("kind") == name) for name in streaming.FEEDS}
+    time = F.col("ts").alias("timestamp")
+    place = [F.col("lat").alias("latitude"), F.col("lon").alias("longitude")]
+    return {
+        "hazards": of["hazards"].select(
+            F.col("id").alias("event_id"), "seq", F.lit("Floods").alias("category"), F.col("id").alias("title"),
+            *place, F.col("ts").alias("event_timestamp"), F.col("state").alias("status"),
+        ),
+        "quakes": of["quakes"].select(
+            "id", "seq", F.col("id").alias("title"), F.col("value").alias("magnitude"), F.lit(5.0).alias("depth_km"),
+            *place, time, F.lit("open").alias("status"), F.lit("Earthquakes").alias("category"),
+        ),
+        "weather": of["weather"].select(
+            F.col("place").alias("location_id"), "seq", F.col("ts").alias("forecast_timestamp"),
+            *[F.col("value").alias(c) for c in ("temperature", "humidity", "wind_speed", "wind_direction", "precipitation", "pressure", "uv_index")],
+            F.lit("Clear").alias("condition_text"),
+        ),
+        "air": of["air"].select(
+            F.col("place").alias("location_id"), "seq", time, F.lit(3).alias("aqi"), F.col("value").alias("co"), F.col("value").alias("so2"),
+        ),
+    }
+
+
+def weather_of(place, hours, seq=0):
+    return [("weather", None, seq + h, place, datetime(2024, 1, 1, h), None, None, 10.0 + h, None) for h in hours]
+
+
+def hazard_at(name, seq, lat, lon, state="open"):
+    return ("hazards", name, seq, None, datetime(2024, 1, 1), lat, lon, None, state)
+
+
+def test_refresh_recomputes_what_changed_and_no_more(spark, tmp_path):
+    """Each step: what arrives, and the locations that it can change."""
+    places = {1: (10.0, 10.0), 2: (10.3, 10.0), 3: (13.0, 10.0), 4: (-60.0, 179.99), 5: (-60.0, -179.99), 6: (40.0, -100.0), 7: (None, None)}
+    locations = spark.createDataFrame(
+        [(i, f"Place {i}", *at) for i, at in places.items()],
+        "location_id long, location_name string, latitude double, longitude double",
+    )
+    everywhere = [row for place in places for row in weather_of(place, range(3))]
+    steps = [
+        ([*everywhere, hazard_at("a", 1, 10.1, 10.0), hazard_at("b", 1, 10.0, 20.0)], {1, 2, 3, 4, 5, 6, 7}),
+        ([hazard_at("c", 2, 10.0, 10.001)], {1, 2}),  # in reach of two
+        # In no one's reach, but nearer to the remote ones than any before.
+        ([hazard_at("d", 3, 30.0, -100.0)], {4, 5, 6}),
+        ([hazard_at("e", 4, -60.5, -179.9)], {4, 5}),  # across the antimeridian
+        (weather_of(3, [5], 50), {3}),
+        ([("air", None, 1, 2, datetime(2024, 1, 1, 1), None, None, 30.0, None)], {2}),
+        ([hazard_at("c", 5, 13.1, 10.0)], {1, 2, 3}),  # moved: gone from two, new to one
+        ([hazard_at("d", 6, 30.0, -100.0, "closed")], {6}),  # its nearest is gone
+        ([hazard_at("a", 7, 10.1, 10.0)], set()),  # a new version that says the same
+        ([hazard_at("x", 8, 95.0, 10.0)], set()),  # not on the globe
+        ([hazard_at("b", 9, 10.0, 20.0, "closed")], set()),  # was no one's nearest any more
+        ([("quakes", "q", 1, None, datetime(2024, 1, 1), 10.0, 10.2, 6.5, None)], {1, 2}),
+        ([("quakes", "weak", 2, None, datetime(2024, 1, 1), 10.0, 10.2, 1.5, None)], set()),
+        ([hazard_at(None, 10, 41.0, -100.0)], {6}),
+        ([hazard_at(None, 11, 41.0, -101.0)], {6}),  # events without an id are one event
+    ]
+    landed, path, state = (str(tmp_path / n) for n in ("landed", "tables", "state"))
+    schema = spark.createDataFrame([], ARRIVING).schema
+    for number, (rows, wanted) in enumerate(steps):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(schema).parquet(landed)
+        streaming.refresh_on_arrival(stream, arrivals, locations, path, state).awaitTermination()
+        facts = tables.read_table(spark, f"{path}/fact_environment_risk")
+        changed = {r[0] for r in facts.where(F.col("snapshot") == number).select("location_id").distinct().collect()}
+        assert changed == wanted, number
+    everything = arrivals(spark.read.schema(schema).parquet(landed))
+    whole = features.risk_table(locations, *[everything[n] for n in streaming.FEEDS])
+    facts = pipeline.refreshed(spark, path)
+    columns = [c for c in features.FEATURES if c in facts.columns] + ["risk_score", "risk_band"]
+    digits = {c: F.round(c, 6) for c, kind in whole.dtypes if kind == "double" and c in columns}
+    same(facts.select(columns).withColumns(digits), whole.select(columns).withColumns(digits))
+    same(pipeline.served(spark, path).select(columns), facts.select(columns))
+    # Snapshots that no location needs are gone, with all that belongs to them.
+    kept = {int(n.split("=")[1]) for n in os.listdir(f"{path}/fact_environment_risk") if "=" in n}
+    assert kept == {r[0] for r in facts_newest(spark, path)}
+    for table in ("explanations", "newest"):
+        assert {int(n.split("=")[1]) for n in os.listdir(f"{path}/{table}") if "=" in n} == kept
+
+
+def facts_newest(spark, path):
+    table = tables.read_table(spark, f"{path}/fact_environment_risk")
+    return table.groupBy("location_id").agg(F.max("snapshot")).select(F.col("max(snapshot)")).distinct().collect()
+
+
+def test_purge(spark, tmp_path):
+    path = str(tmp_path / "tables")
+    for number, ids in ((1, [1, 2]), (2, [2]), (3, [1])):
+        for table in ("fact_environment_risk", "explanations", "newest"):
+            rows = spark.createDataFrame([(i,) for i in ids], "location_id long")
+            rows.write.parquet(f"{path}/{table}/snapshot={number}")
+    assert pipeline.purge(spark, path) == [1]
+    assert pipeline.purge(spark, path) == []
+    for table in ("fact_environment_risk", "explanations", "newest"):
+        left = spark.read.parquet(f"{path}/{table}")
+        assert sorted(map(tuple, left.select("snapshot", "location_id").collect())) == [(2, 2), (3, 1)]
+
+
 def test_entry(spark):
     frame = entry(spark)
     assert frame.columns == ["location_id", "timestamp", "risk_score", "risk_band", "recommendation"]
@@ -194,7 +311,9 @@ def test_every_sql_check_belongs_to_a_query():
 # The whole list is compared by check_queries.py; these run here as well.
 @pytest.mark.parametrize(
     "name", ["clean_hazards", "hazard_bands", "asof_air_quality", "hourly_resample", "risk_scores",
-             "explanations", "place_lookup", "refresh_stream", "refreshed_risk", "bulk_row_scoring"],
+             "explanations", "place_lookup", "refresh_stream", "refreshed_risk", "bulk_row_scoring",
+             "documents_to_facts", "rejected_documents", "chosen_explanations", "one_location_scan",
+             "newest_snapshot", "forecast_quality", "forecast_rows", "stored_components", "target_distance"],
 )
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")

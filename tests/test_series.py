@@ -153,6 +153,47 @@ def test_match_nearest(spark, limit):
     assert 0 < matched < len(rows)
 
 
+@pytest.mark.parametrize("limit", LIMITS)
+def test_bursts_at_one_instant(spark, limit):
+    """Half of all air rows share one time; only its first and last can be matched."""
+    dice = random.Random(9)
+    weather = [(1, i, START + dt.timedelta(minutes=10 * i), 1.0, 1.0, 1.0) for i in range(30)]
+    burst = START + dt.timedelta(minutes=95)
+    air = [(1, i, START + dt.timedelta(seconds=dice.randrange(18_000)), 1, float(i)) for i in range(200)]
+    air += [(1, i, burst, 2, float(i)) for i in range(200, 400)]
+    dice.shuffle(air)
+    df, right = spark.createDataFrame(weather, WEATHER), spark.createDataFrame(air, AIR).repartition(4)
+    stamps = df.select("location_id", "forecast_timestamp").union(right.select("location_id", "timestamp"))
+    series = measure_series(stamps, "location_id", "forecast_timestamp", limit)
+    got = {r["seq"]: r for r in ops.match_nearest(df, right, series, "timestamp", ["aqi", "co"]).collect()}
+    for row in weather:
+        want = nearest(row[2], air)
+        assert (got[row[1]]["aqi"], got[row[1]]["co"]) == (want[3], want[4])
+    stamped = right.select("location_id", "timestamp", F.col("seq").alias("_turn"), F.struct("co").alias("_right"))
+    left = ops._ends_of_instants(stamped, "location_id", "timestamp").groupBy("timestamp").count()
+    assert left.agg(F.max("count")).first()[0] == 2
+    assert sorted(r["_turn"] for r in ops._ends_of_instants(stamped, "location_id", "timestamp").where(F.col("timestamp") == burst).collect()) == [200, 399]
+
+
+@pytest.mark.parametrize("limit", [10_000, 2])
+def test_a_stray_time_opens_a_long_gap(spark, limit):
+    """Half a million hours after one row of 1970; no row holds a list of them all."""
+    rows = [(1, 0, dt.datetime(1970, 1, 1, 0, 30), 0.0, 1.0, 0.0), (1, 1, dt.datetime(1970, 1, 2), 47.0, 1.0, 0.0),
+            (1, 2, START, 5.0, 3.0, 0.0), (1, 3, START + dt.timedelta(hours=2), 9.0, 3.0, 0.0)]
+    df = spark.createDataFrame(rows, WEATHER)
+    series = measure_series(df, "location_id", "forecast_timestamp", limit)
+    out = ops.hourly_grid(df, series, ["temperature", "wind_speed"], [])
+    hours = int((START + dt.timedelta(hours=2) - dt.datetime(1970, 1, 1, 1)) / dt.timedelta(hours=1)) + 1
+    assert out.agg(F.count("*"), F.count_distinct("forecast_timestamp")).first()[:] == (hours, hours)
+    middle = out.where(F.col("forecast_timestamp") == dt.datetime(1997, 1, 1, 6)).first()
+    share = (dt.datetime(1997, 1, 1, 6) - dt.datetime(1970, 1, 2)) / (START - dt.datetime(1970, 1, 2))
+    assert middle["temperature"] == pytest.approx(47 - 42 * share)
+    assert middle["wind_speed"] == pytest.approx(1 + 2 * share)
+    assert out.orderBy(F.col("forecast_timestamp").desc()).first()["temperature"] == 9.0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode(sequence(") == 2
+
+
 def hourly_reference(group, index):
     """Values on every hour between the first and last row, linear between known anchors."""
     anchors = [(r[2], r[index]) for r in group if r[index] is not None]
