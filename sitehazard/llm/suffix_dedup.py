@@ -12,6 +12,12 @@ their successor are sorted directly, by their 400 bytes; all others are induced
 of what has been placed. Suffixes that share 400 bytes end up side by side, and the common
 prefixes of neighbours, compared byte by byte, tell the repeated ones.
 
+Shorter passages. 400 bytes are more than 50 words, so a passage of 51 words may be too short to
+lose bytes. ``n_shared_words`` tells such passages without removing them: of every 26 neighbouring
+runs of 26 words the least hash is a fingerprint, and the words of fingerprints that another
+document has as well are counted. Every passage of 51 words that another document has holds one
+(letters A-Z in either case, however the words are spaced).
+
 Texts that occur twice as a whole are known by their key; one of them stands for all in the sort.
 Defined results: a null text is empty; texts under 400 bytes keep every byte. Repeated rows are
 copies of each other, so with 400 bytes or more they lose all bytes. An empty table gives no
@@ -27,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sitehazard.llm.common import settle, text_key
+from sitehazard.llm.common import WORD_GAP, WordHashes, folded_words, settle, text_key
 
 LENGTH, GRAM = 400, 32
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -35,6 +41,8 @@ BLOCK = 1 << 19
 #: Bytes of stretches that are sorted together at least, unless there are no more.
 BATCH = 150_000
 BETWEEN = 255  # in no UTF-8 text
+#: Words in a fingerprint, of which one is chosen in any so many neighbours: 51 words hold one.
+RUN = 26
 
 
 def _power(n: int) -> np.ndarray:
@@ -337,8 +345,63 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return by_key, copies.select("key")
 
 
+def chosen(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of a text's word hashes, and the word that each begins with."""
+    grams = rolled(words, RUN)
+    grams = (grams ^ (grams >> np.uint64(32))) * ODD
+    width = len(grams) - RUN + 1
+    low = grams.copy()
+    have = 1
+    while have * 2 <= RUN:
+        low = np.minimum(low[: len(low) - have], low[have:])
+        have *= 2
+    low = np.minimum(low[:width], low[RUN - have : RUN - have + width])
+    marks = np.unique(low)
+    at = np.flatnonzero(np.isin(grams, marks))
+    return grams[at], at
+
+
+def _marks(texts: DataFrame) -> DataFrame:
+    """Rows (mark, key, at) of the different texts of 51 words and more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            out: list[tuple] = []
+            seen = set()
+            for key, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if key in seen:
+                    continue
+                seen.add(key)
+                words = folded_words(cell.as_py())
+                if len(words) >= 2 * RUN - 1:
+                    own = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+                    marks, at = chosen(own)
+                    out.append((marks.view(np.int64), np.full(len(at), key, np.int64), at))
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["mark", "key", "at"]
+                )
+
+    return texts.select("key", "_text").mapInArrow(run, "mark bigint, key bigint, at bigint")
+
+
+def shared_words(docs: DataFrame) -> DataFrame:
+    """By key, how many words lie in fingerprints that texts with another key have; not where none."""
+    marks = settle(_marks(docs), "marks")
+    again = marks.groupBy("mark").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b")
+    places = marks.join(again.select("mark"), "mark", "left_semi").groupBy("key")
+    covered = (
+        "aggregate(zip_with(slice(ats, 1, size(ats) - 1), slice(ats, 2, size(ats) - 1), "
+        f"(a, b) -> least({RUN}, b - a)), {RUN}L, (s, x) -> s + x)"
+    )
+    listed = places.agg(F.array_sort(F.collect_set("at")).alias("ats"))
+    return listed.select("key", F.expr(covered).alias("shared"))
+
+
 def deduplicated(docs: DataFrame, keep: list[str], text: str = "text", whole: bool = True) -> DataFrame:
-    """``keep``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, if whole, the text.
+    """``keep``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``n_shared_words`` and,
+    if whole, the text.
 
     What is left need not be valid UTF-8; in ``text`` cut characters read as U+FFFD, while
     ``kept_sha256`` is that of the bytes.
@@ -348,7 +411,16 @@ def deduplicated(docs: DataFrame, keep: list[str], text: str = "text", whole: bo
     by_key, copies = spans(source.select("key", "_text"))
     by_key = settle(by_key, "spans")
     copies = settle(copies, "copies").withColumn("_copied", F.lit(True))
-    marked = source.join(copies, "key", "left").withColumn("n_bytes", size)
+    shared = settle(shared_words(source), "shared")
+    marked = source.join(copies, "key", "left").join(shared, "key", "left").withColumn("n_bytes", size)
+    own_words = f"size(filter(split(_text, '{WORD_GAP}'), w -> w <> ''))"
+    marked = marked.withColumn(
+        "n_shared_words",
+        F.expr(
+            f"CAST(CASE WHEN _copied AND {own_words} >= {2 * RUN - 1} THEN {own_words} "
+            "ELSE coalesce(shared, 0) END AS bigint)"
+        ),
+    )
     long_copy = F.coalesce("_copied", F.lit(False)) & (F.col("n_bytes") >= LENGTH)
     all_of_it = F.when(
         long_copy,
@@ -356,21 +428,22 @@ def deduplicated(docs: DataFrame, keep: list[str], text: str = "text", whole: bo
     )
     marked = marked.withColumn("_all", all_of_it).join(by_key, "key", "left")
     marked = marked.withColumn("spans", F.coalesce("_all", "spans"))
-    names = [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text"] if whole else [])]
+    names = [*keep, "n_bytes", "n_shared_words", "n_removed", "n_spans", "kept_sha256", *(["text"] if whole else [])]
     zero = F.lit(0).cast("long")
     clean = marked.where("spans IS NULL").select(
         *keep,
         "n_bytes",
+        "n_shared_words",
         zero.alias("n_removed"),
         zero.alias("n_spans"),
         F.sha2("_text", 256).alias("kept_sha256"),
         *([F.col("_text").alias("text")] if whole else []),
     )
-    dirty = marked.where("spans IS NOT NULL").select(*keep, "n_bytes", "spans", "_text")
+    dirty = marked.where("spans IS NOT NULL").select(*keep, "n_bytes", "n_shared_words", "spans", "_text")
     fields = ", ".join(
         [
             *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep),
-            "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+            "n_bytes bigint, n_shared_words bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
             *(["text string"] if whole else []),
         ]
     )
@@ -381,7 +454,7 @@ def deduplicated(docs: DataFrame, keep: list[str], text: str = "text", whole: bo
         n = len(keep)
         for batch in batches:
             removed, runs, digests, texts = [], [], [], []
-            for listed, cell in zip(batch.column(n + 1), batch.column(n + 2), strict=True):
+            for listed, cell in zip(batch.column(n + 2), batch.column(n + 3), strict=True):
                 raw = cell.as_py().encode()
                 gone, kept, count, at = 0, [], 0, 0
                 high = None
@@ -399,7 +472,7 @@ def deduplicated(docs: DataFrame, keep: list[str], text: str = "text", whole: bo
                 runs.append(count)
                 digests.append(hashlib.sha256(left).hexdigest())
                 texts.append(left.decode("utf-8", "replace") if whole else None)
-            columns = [batch.column(i) for i in range(n + 1)]
+            columns = [batch.column(i) for i in range(n + 2)]
             columns += [pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())]
             columns += [pa.array(texts, pa.string())] if whole else []
             yield pa.RecordBatch.from_arrays(columns, names)

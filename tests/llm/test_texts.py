@@ -341,3 +341,35 @@ def test_first_of_each_on_rows_without_files_and_taken_names(spark):
     found = jaccard_join.first_of_each(docs)
     assert found.columns == docs.columns
     assert Counter(tuple(r) for r in found.collect()) == Counter(rows[1:])
+
+
+def test_shared_passages_of_51_words(spark):
+    """Every text that shares 51 words has a count; texts that share no 26 have none."""
+    rng = random.Random(12)
+    def words(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    passage, short = words(51), words(25)
+    texts = [" ".join([*words(rng.randrange(40)), *passage, *words(rng.randrange(90))]).upper() for _ in range(6)]
+    texts += ["\t".join([*words(10), *passage[:49], "x", *words(60)]), "\n ".join(words(30) + passage[1:])]
+    texts += [" ".join([*words(60), *short, *words(60)]) for _ in range(5)]
+    texts += [" ".join(words(n)) for n in (0, 1, 50, 51, 52, 300)]
+    own = " ".join(words(200))
+    texts += [own, own, own + " and more", None, "a b", "a b", " ".join(["same"] * 500), " ".join([*words(9), *["same"] * 60])]
+    texts += [" ".join(words(50))] * 2
+    rows = suffix_dedup.deduplicated(frame(spark, texts).drop("key"), ["doc_id"], whole=False).collect()
+    got = {r["doc_id"]: r["n_shared_words"] for r in rows}
+    split = [(t or "").lower().split() for t in texts]
+
+    def runs(size, of):
+        return {tuple(of[i : i + size]) for i in range(len(of) - size + 1)}
+
+    for i, text in enumerate(texts):
+        others = [split[j] for j in range(len(texts)) if texts[j] != text]
+        if texts.count(text) > 1:
+            n = len(split[i])
+            assert got[i] == (n if n >= 51 else 0) or (n >= 51 and got[i] > 0)
+        elif runs(51, split[i]) & set().union(*(runs(51, o) for o in others)):
+            assert 26 <= got[i] <= len(split[i])
+        elif not runs(26, split[i]) & set().union(*(runs(26, o) for o in others)):
+            assert got[i] == 0
