@@ -92,7 +92,7 @@ def test_filter_reads_back_levels():
     hashes = rng.integers(1, 2**63, 5000).astype(np.uint64)
     totals = rng.integers(1, 10_000, 5000).astype(np.uint64)
     bits = 12 * int(bloom_lm.level(totals).sum()) // 8 * 8
-    model = bloom_lm.Model(np.frombuffer(bloom_lm.block(hashes, bloom_lm.level(totals), bits), np.uint8), 1, bits, 1, 1, 1.0)
+    model = bloom_lm.Model(np.frombuffer(bloom_lm.block(hashes, bloom_lm.level(totals), bits), np.uint8), 1, bits, 1, 1, 1.0, int(bloom_lm.level(totals).max()))
     read, stored = model.counts(hashes), bloom_lm.middle(bloom_lm.level(totals))
     assert (read >= stored).all() and (read == stored).mean() > 0.97
     assert (model.counts(rng.integers(1, 2**63, 5000).astype(np.uint64)) > 0).mean() < 0.03
@@ -373,3 +373,19 @@ def test_shared_passages_of_51_words(spark):
             assert 26 <= got[i] <= len(split[i])
         elif not runs(26, split[i]) & set().union(*(runs(26, o) for o in others)):
             assert got[i] == 0
+
+
+def test_a_full_filter_ends_and_a_small_one_reads_counts():
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    counts = rng.integers(1, 5000, 400)
+    levels = bloom_lm.level(counts)
+    top = int(levels.max())
+    bits = 1 << 18
+    words = np.frombuffer(bloom_lm.block(hashes, levels, bits), np.uint8)
+    model = bloom_lm.Model(words, 1, bits, 1, 1, 1.0, top)
+    assert model.counts(hashes).tolist() == bloom_lm.middle(levels).tolist()
+    assert model.counts(rng.integers(0, 2**63, 2000, dtype=np.uint64)).max() <= bloom_lm.middle(np.array([1]))[0]
+    full = bloom_lm.Model(np.full(128, 255, np.uint8), 1, 1024, 1, 1, 1.0, top)
+    assert set(full.counts(hashes)) == {bloom_lm.middle(np.array([top]))[0]}
+    assert set(bloom_lm.Model(np.full(128, 255, np.uint8), 1, 1024, 0, 0, 0.0, 0).counts(hashes)) == {0.0}
