@@ -6,7 +6,7 @@ there, so neither copies of a hazard nor locations sharing a spot multiply the w
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -29,6 +29,10 @@ from sitehazard.operators.skew import HotKeys, hot_keys, join_few
 from sitehazard.session import settle
 
 
+#: The part of all quakes that is looked at first for the newest ones.
+RECENT_SHARE = 1 / 16
+
+
 @dataclass(frozen=True)
 class Sites:
     """Distinct coordinates of a location table, and which joins on them need spreading.
@@ -131,23 +135,42 @@ def hazard_profile(
     near = in_bands(sites, spots, leaf, rules)
     nearest = nearest_spot(sites, spots, leaf)
     per_site = nearest.join(near, SITE, "left")
-    counts = {
-        f"hazard_count_{band:g}km": F.coalesce(F.col(f"_in_{band:g}"), F.lit(0)).cast("int")
-        for band in rules.bands_km
-    }
+    *counts, types, magnitude = _band_columns(rules)
     return sites.give_back(per_site, "left").select(
         *locations.columns,
-        *[value.alias(name) for name, value in counts.items()],
+        *counts,
         F.round("nearest.km", 2).alias("nearest_hazard_distance_km"),
         F.when(F.col("nearest").isNotNull(), F.coalesce("nearest.category", F.lit("Unknown")))
         .alias("nearest_hazard_type"),
-        F.coalesce("hazard_types", F.lit("")).alias("hazard_types"),
+        types,
         F.col("nearest.latitude").alias("hazard_lat"),
         F.col("nearest.longitude").alias("hazard_lon"),
-        F.coalesce("magnitude", F.lit(0.0)).alias("max_eq_magnitude"),
+        magnitude,
     )
 
 
+def band_counts(
+    locations: DataFrame,
+    hazards: DataFrame,
+    rules: RiskRules = DEFAULT_RULES,
+    sizing: Sizing = DEFAULT_SIZING,
+) -> DataFrame:
+    """The part of a location's profile that lies in the bands, without the nearest search."""
+    sites = sites_of(locations, sizing)
+    spots = settle(distinct_spots(hazards), "hazard-spots")
+    near = in_bands(sites, spots, grid.leaf_size(spots, sizing.points_per_cell), rules)
+    return sites.give_back(near, "left").select(*locations.columns, *_band_columns(rules))
+
+
+def _band_columns(rules: RiskRules) -> list[Column]:
+    counts = [
+        F.coalesce(F.col(f"_in_{band:g}"), F.lit(0)).cast("int").alias(f"hazard_count_{band:g}km")
+        for band in rules.bands_km
+    ]
+    types = F.coalesce("hazard_types", F.lit("")).alias("hazard_types")
+    return [*counts, types, F.coalesce("magnitude", F.lit(0.0)).alias("max_eq_magnitude")]
+
+
 def in_bands(sites: Sites, spots: DataFrame, leaf: int, rules: RiskRules) -> DataFrame:
     bands = list(rules.bands_km)
 
@@ -278,6 +301,21 @@ def hazard_and_quake_map(
     return sites.give_back(merged).select("location_id", "id", "category", "title", "distance_km")
 
 
+def _newest_in_reach(
+    sites: Sites, quakes: DataFrame, reach_km: float, newest: list[Column], k: int, sizing: Sizing
+) -> DataFrame:
+    lat, lon = "latitude", "longitude"
+    leaf = grid.leaf_size(quakes, sizing.points_per_cell)
+    inside, edge = grid.cover(sites.points, quakes, [reach_km], leaf, sites.join)
+    celled = quakes.withColumn("cell", grid.cell_of(lat, lon, leaf))
+    exact = grid.with_distance(sites.join(edge, celled, ["cell"]))
+    found = exact.where(F.col("km") <= reach_km).select(*SITE, *quakes.columns)
+    for size, cells in inside:
+        top = _first_per(quakes.withColumn("cell", grid.cell_of(lat, lon, size)), ["cell"], newest, k)
+        found = found.unionByName(sites.join(cells, top, ["cell"]).select(*SITE, *quakes.columns))
+    return _first_per(found, SITE, newest, k)
+
+
 def quakes_near(
     locations: DataFrame,
     quakes: DataFrame,
@@ -288,7 +326,9 @@ def quakes_near(
 ) -> DataFrame:
     """Per location the newest k quakes of a minimum strength within reach, newest first.
 
-    A coordinate, or a cell wholly in reach, can add only its own newest k.
+    A coordinate, or a cell wholly in reach, can add only its own newest k. The newest part of all
+    quakes is looked at first: a site that finds k there needs no older ones. Only the other
+    sites meet the whole table.
     """
     sites = sites_of(locations.select("location_id", "latitude", "longitude"), sizing)
     newest = [F.col("timestamp").desc(), F.col("id")]
@@ -298,17 +338,25 @@ def quakes_near(
         "id", "title", "magnitude", "timestamp", "latitude", "longitude"
     )
     kept = settle(kept, "quake-spots")
-    leaf = grid.leaf_size(kept, sizing.points_per_cell)
-    inside, edge = grid.cover(sites.points, kept, [reach_km], leaf, sites.join)
-    celled = kept.withColumn("cell", grid.cell_of(lat, lon, leaf))
-    exact = grid.with_distance(sites.join(edge, celled, ["cell"]))
-    found = exact.where(F.col("km") <= reach_km).select(*SITE, *kept.columns)
-    for size, cells in inside:
-        top = _first_per(kept.withColumn("cell", grid.cell_of(lat, lon, size)), ["cell"], newest, k)
-        found = found.unionByName(sites.join(cells, top, ["cell"]).select(*SITE, *kept.columns))
-    ranked = _first_per(found, SITE, newest, k).withColumn(
-        "distance_km", F.round(haversine_km(lat, lon, *SITE), 2)
-    )
+    seconds = F.unix_seconds(F.col("timestamp").cast("timestamp"))
+    start = kept.agg(F.percentile_approx(seconds, 1 - RECENT_SHARE, 1000)).first()[0]
+    found = None
+    if start is not None:
+        recent = kept.where(seconds >= start)
+        found = settle(_newest_in_reach(sites, recent, reach_km, newest, k, sizing), "newest-in-reach")
+        full = found.groupBy(*SITE).agg(F.count("*").alias("n")).where(F.col("n") >= k).select(*SITE)
+        rest = settle(sites.points.join(full, SITE, "left_anti"), "sites-with-fewer")
+        if rest.isEmpty():
+            others = None
+        else:
+            found = found.join(full, SITE, "left_semi")
+            others = replace(sites, points=rest)
+    else:
+        others = sites
+    if others is not None:
+        more = _newest_in_reach(others, kept, reach_km, newest, k, sizing)
+        found = more if found is None else found.unionByName(more)
+    ranked = found.withColumn("distance_km", F.round(haversine_km(lat, lon, *SITE), 2))
     return sites.give_back(ranked.drop("latitude", "longitude")).select(
         "location_id", "id", "title", "magnitude", "timestamp", "distance_km"
     )

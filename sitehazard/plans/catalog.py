@@ -478,14 +478,14 @@ def _profile(t) -> DataFrame:
 
 @query
 def hazard_bands(t):
-    return _profile(t).select(
+    return spatial.band_counts(t.locations, t.all_hazards()).select(
         "location_id", "hazard_count_10km", "hazard_count_50km", "hazard_count_100km"
     )
 
 
 @query
 def hazard_types_near(t):
-    return _profile(t).select("location_id", "hazard_types")
+    return spatial.band_counts(t.locations, t.all_hazards()).select("location_id", "hazard_types")
 
 
 @query
