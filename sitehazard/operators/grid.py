@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sitehazard.functions.geo import EARTH_RADIUS_KM, haversine_km
 from sitehazard.operators.cleaning import valid_coordinates
+from sitehazard.session import settle
 
 PER_DEGREE = 64  # finest cells per degree
 SIZES = (960, 64, 16, 4, 1)  # cell sides in finest cells: 15°, 1°, 1/4°, 1/16°, 1/64°
@@ -161,6 +162,8 @@ def cover(
         judged = _judge(met, [*SITE, "cell"], "site_lat", "site_lon").where(
             F.col("_least") <= max(radii)
         )
+        # Each level is worked out once, for what is settled there and for the next one.
+        judged = settle(judged, "cells-around")
         on_edge = F.lit(False)
         for radius in radii:
             on_edge = on_edge | ((F.col("_least") <= radius) & (F.col("_most") > radius))
@@ -233,7 +236,7 @@ def nearest_cells(
         size = SIZES[SIZES.index(size) + 1]
         opened = _opened(found, _occupied(points, size), join)
         judged = _judge(opened, [*SITE, "cell", "_n"], "site_lat", "site_lon")
-        found = _keep_nearest(judged, SITE, k, slack_km).select(*SITE, "cell")
+        found = settle(_keep_nearest(judged, SITE, k, slack_km).select(*SITE, "cell"), "nearest-cells")
     return found
 
 

@@ -673,11 +673,13 @@ def place_lookup(t):
 
 @query
 def requested_locations(t):
+    """Coordinates as typed; of those that aren't given some are empty, some words, some missing."""
     given = F.col("c_acctbal") >= 0
+    other = F.when(F.col("c_custkey") % 4 == 0, "").when(F.col("c_custkey") % 4 == 1, "12 north")
     requests = t.customer.select(
         "c_custkey",
-        F.when(given, F.col("c_custkey") % 90).alias("lat"),
-        F.when(given, F.col("c_custkey") % 180).alias("lon"),
+        F.when(given, (F.col("c_custkey") % 90).cast("string")).otherwise(other).alias("lat"),
+        F.when(given, (F.col("c_custkey") % 180).cast("string")).otherwise("5").alias("lon"),
         F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise("").alias("name"),
     )
     return serving.requested_locations(requests)

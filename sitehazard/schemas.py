@@ -9,7 +9,7 @@ from sitehazard.config import WEATHER_PROVIDER
 
 
 def _struct(text: str) -> T.StructType:
-    return T._parse_datatype_string(text)
+    return T.StructType.fromDDL(text)
 
 
 # Column names, types and defaults of the stored tables.
