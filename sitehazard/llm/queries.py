@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sitehazard.llm import (
     bloom_lm,
@@ -115,28 +115,46 @@ def op8_licences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def captures(spark: SparkSession, folder: str) -> DataFrame:
-    """The pages as archive records, one a minute.
+    """Six captures of every page, a day apart, as archive records.
 
-    Every third page number is a revisit: of these, some state the digest of what they found,
-    some an entity tag made from the language in the URL, so that all outcomes occur.
+    A page's body changes on its fourth day. Full responses are on the first day (not of every
+    fourth page) and on the fourth; the others are revisits that state the digest, an entity tag or
+    the time of last modification, some of them of another body than the one last seen. Every fifth
+    page is captured under its site's front page, which so has very many captures.
     """
-    number = F.col("page_id")
-    revisit = F.coalesce(number % 3 == 2, F.lit(False))
-    digest = F.sha1(F.coalesce("html", F.lit("")))
-    tag = F.concat(F.lit('"'), F.regexp_extract("url", "/([a-z]{2})/", 1), F.lit('"'))
+    number, day = F.col("page_id"), F.col("day")
+    bodies = table(spark, folder, "pages").select(
+        "page_id",
+        F.when(number % 5 == 0, F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)).otherwise(F.col("url")).alias("url"),
+        F.sha1(F.coalesce("html", F.lit(""))).alias("first"),
+        F.sha1(F.concat(F.coalesce("html", F.lit("")), F.lit("again"))).alias("second"),
+        F.octet_length("html").cast("string").alias("size"),
+        F.explode(F.sequence(F.lit(0), F.lit(5))).alias("day"),
+    )
+    full = (day == 3) | ((day == 0) & (number % 4 != 1))
+    # The body that a record speaks of: on some days that of the other half.
+    other = ((day == 2) & (number % 4 == 2)) | ((day == 4) & (number % 4 == 3)) | ((day == 5) & (number % 2 == 1))
+    later = (day >= 3) != other
+    body = F.when(later, F.col("second")).otherwise(F.col("first"))
+    changed = F.date_format(F.timestamp_seconds(number * 60 + F.when(later, 3 * 86_400).otherwise(0)), "yyyy-MM-dd HH:mm")
+
+    def line(name: str, value: Column, when: Column) -> Column:
+        return F.when(when, F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
+
     block = F.concat(
-        F.when(number % 2 == 0, F.concat(F.lit("ETag: "), tag, F.lit("\r\n"))).otherwise(""),
-        F.concat(F.lit("Date: "), number.cast("string"), F.lit("\r\n")),
-        F.concat(F.lit("Content-Length: "), F.octet_length("html").cast("string"), F.lit("\r\n")),
+        line("ETag", F.concat(F.lit('W/"'), F.substring(body, 1, 12), F.lit('"')), full | (day == 2)),
+        line("Last-Modified", changed, full | (day == 4)),
+        line("Date", day.cast("string"), F.lit(True)),
+        line("Content-Length", F.coalesce("size", F.lit("0")), F.lit(True)),
     )
-    return table(spark, folder, "pages").select(
-        number.alias("record_id"),
+    return bodies.select(
+        (number * 6 + day).alias("record_id"),
         "url",
-        F.timestamp_seconds(number * 60).alias("ts"),
-        F.when(revisit, "revisit").otherwise("response").alias("kind"),
-        F.when(revisit, 304).otherwise(200).alias("http_status"),
+        F.timestamp_seconds(number * 60 + day * 86_400).alias("ts"),
+        F.when(full, "response").otherwise("revisit").alias("kind"),
+        F.when(full, 200).otherwise(304).alias("http_status"),
         warc.header_map(block).alias("headers"),
-        digest.alias("digest"),
+        F.when(full | day.isin(0, 1, 5), body).alias("digest"),
     )
 
 
@@ -145,10 +163,11 @@ def op5_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     found = warc.resolved(captures(spark, folder))
     headers = F.array_sort(F.map_entries("headers"))
     return found.select(
-        F.col("record_id").alias("page_id"),
+        "record_id",
+        F.expr("record_id div 6").alias("page_id"),
         "place",
         "status",
-        F.col("payload_record"),
+        "payload_record",
         F.array_join(F.transform(headers, lambda h: F.concat_ws("=", h["key"], h["value"])), ";").alias(
             "headers"
         ),

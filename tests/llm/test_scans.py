@@ -7,7 +7,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from sitehazard.llm import licences, pii, quality_rules, secrets, warc
+from sitehazard.llm import licences, pii, quality_rules, queries, secrets, warc
+from sitehazard.llm.common import importable
 
 SCHEMA = "doc_id long, text string, keep string, n_words string"
 
@@ -255,3 +256,40 @@ def test_licence_runs_by_brute_force(spark):
                         wanted[name] = max(wanted.get(name, 0), 2 * len(a & b) / (len(a) + len(b)))
         assert rows[i]["licences"] == sorted(wanted)
         assert (rows[i]["similarity"] or 0) == pytest.approx(max(wanted.values(), default=0))
+
+
+def test_archive_query_meets_every_outcome(spark):
+    """Each outcome has a part of the revisits, and is the one that plain Python finds."""
+    folder = "/root/testdata/sf0.001"
+    given = [r.asDict() for r in queries.captures(importable(spark), folder).withColumn("place", warc.canonical(F.col("url"))).collect()]
+    got = {r["record_id"]: r for r in queries.QUERIES["op5_warc_revisits"](spark, folder).collect()}
+    assert len(got) == len(given)
+    by_place = {}
+    for r in given:
+        by_place.setdefault(r["place"], []).append(r)
+    seen = Counter()
+    for place, rows in by_place.items():
+        last = None
+        for r in sorted(rows, key=lambda r: (r["ts"], r["kind"] != "response", r["record_id"])):
+            if r["kind"] == "response":
+                status, last = "full", r
+            elif last is None or place is None:
+                status = "orphan"
+            else:
+                mine, theirs = r["headers"], last["headers"]
+                if "etag" in mine:
+                    same = mine["etag"] == theirs["etag"]
+                elif "last-modified" in mine:
+                    same = mine["last-modified"] == theirs["last-modified"]
+                else:
+                    same = r["digest"] == last["digest"]
+                status = "resolved" if same else "changed"
+            found = got[r["record_id"]]
+            assert found["status"] == status
+            payload = r["record_id"] if status == "full" else last["record_id"] if status == "resolved" else None
+            assert found["payload_record"] == payload
+            seen[status] += 1
+    revisits = sum(seen.values()) - seen["full"]
+    assert all(seen[s] >= 0.05 * revisits for s in ("orphan", "changed", "resolved")), seen
+    hot = max(len(rows) for rows in by_place.values())
+    assert hot > 6
