@@ -206,11 +206,15 @@ def stripes(
 
 def merged(found: DataFrame) -> DataFrame:
     """Stripes merged element by element: (lang, prefix, word, n)."""
-    dealt = found.repartition("lang", "bucket").select("lang", "bucket", F.explode("stripes").alias("s"))
-    each = dealt.select("lang", "bucket", "s.prefix", F.explode(F.arrays_zip("s.words", "s.counts")).alias("e"))
+    elements = (
+        "flatten(transform(stripes, s -> zip_with(s.words, s.counts, "
+        "(w, n) -> struct(s.prefix AS prefix, w AS word, n AS n))))"
+    )
+    dealt = found.repartition("lang", "bucket")
     # The grouping refines how the stripes were dealt, so nothing is moved again.
     return (
-        each.select("lang", "bucket", "prefix", F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
+        dealt.select("lang", "bucket", F.explode(F.expr(elements)).alias("e"))
+        .select("lang", "bucket", "e.*")
         .groupBy("lang", "bucket", "prefix", "word")
         .agg(F.sum("n").alias("n"))
         .drop("bucket")
