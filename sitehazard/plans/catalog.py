@@ -12,6 +12,7 @@ from sitehazard.config import (
     HOME_SITE,
     HORIZONS,
     SHORT_KEY_RULES,
+    Sizing,
 )
 from sitehazard.functions import text
 from sitehazard.functions.scoring import with_risk
@@ -43,6 +44,8 @@ TRENDS = [
     "temp_3h_avg", "temp_6h_avg", "temp_1h_change", "temp_3h_change", "wind_3h_avg",
     "wind_1h_change", "precip_3h_sum",
 ]
+#: Bounds so low that the test tables exceed them.
+SMALL = Sizing(rows_per_task=60, points_per_cell=8)
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
@@ -168,6 +171,14 @@ def score_quality(t):
     return cleaning.score_quality(t.risk())
 
 
+@query
+def split_risk_scores(t):
+    """The scores by the ways for large data: long series cut, crowded cells opened, hot keys dealt."""
+    return features.risk_table(*t.feeds(), sizing=SMALL).select(
+        "location_id", "timestamp", "risk_score", "risk_band", "recommendation"
+    )
+
+
 # --- documents -------------------------------------------------------------------------------
 
 
@@ -806,16 +817,19 @@ def forecast_rows(t):
 
 @query
 def rf_forecast(t):
-    """Train both horizons, keep and reload the models, predict every row."""
-    work = shared_path(t.spark, "forecast")
-    facts = f"{work}/facts"
-    t.risk().write.parquet(facts)
-    risk = tables.read_table(t.spark, facts)
-    models, _ = forecast.train(risk, t.risk_series(), work)
-    forecast.save_models(models, f"{work}/models")
-    reloaded = forecast.load_models(f"{work}/models", list(models))
-    return forecast.predict(risk, reloaded).select(
-        "location_id", "timestamp", "risk_score", *[f"predicted_{m}" for m in reloaded]
+    """Every row predicted by the trained models and by the same ones saved and loaded again."""
+    risk, models, _ = _trained(t)
+    work = shared_path(t.spark, "models")
+    forecast.save_models(models, work)
+    names = {f"predicted_{target}": f"first_{target}" for target in models}
+    first = forecast.predict(risk, models).withColumnsRenamed(names)
+    again = forecast.predict(first, forecast.load_models(work, list(models)))
+    return again.select(
+        "location_id",
+        "timestamp",
+        "risk_score",
+        *(F.col(name).between(0, 100).alias(f"{name}_ok") for name in names),
+        *(F.col(name).eqNullSafe(F.col(held)).alias(f"{held}_kept") for name, held in names.items()),
     )
 
 
@@ -923,9 +937,16 @@ def loaded_hazards(t):
 
 @query
 def location_refresh_times(t):
+    """When each location was written: within the last hour, and spelt as the dashboard does."""
     path = shared_path(t.spark, "locations")
     tables.store(t.locations, path, 0)
-    return tables.last_refresh(t.spark, path)
+    times = tables.last_refresh(t.spark, path)
+    age = F.unix_seconds(F.current_timestamp()) - F.unix_seconds("at")
+    return times.select(
+        "location_slug",
+        age.between(-60, 3600).alias("fresh"),
+        (F.col("formatted") == F.date_format("at", "yyyy-MM-dd HH:mm 'UTC'")).alias("as_shown"),
+    )
 
 
 @query

@@ -584,6 +584,10 @@ FROM explained""",
         f"true AS explains FROM labelled"
         for n in (6, 12)
     ),
+    "rf_forecast": "SELECT location_id, timestamp, risk_score, true AS predicted_risk_6h_ok, true AS predicted_risk_12h_ok, "
+    "true AS first_risk_6h_kept, true AS first_risk_12h_kept FROM risk",
+    "location_refresh_times": "SELECT replace(lower(location_name), ' ', '_') AS location_slug, true AS fresh, "
+    "true AS as_shown FROM locations",
     "forecast_rows": "SELECT location_id, timestamp, risk_score, true AS predicted_risk_6h_ok, "
     "true AS predicted_risk_12h_ok FROM risk",
     "sql_query": "SELECT city, count(*) AS locations, round(max(latitude), 2) AS northmost FROM locations GROUP BY city",
@@ -592,6 +596,7 @@ FROM explained""",
     "refreshed_risk": "SELECT location_id, timestamp, risk_score, risk_band FROM risk",
 }
 QUERIES["active_hazards_view"] = QUERIES["active_hazards"]
+QUERIES["split_risk_scores"] = QUERIES["risk_scores"]
 
 # Helper columns some statements define for their own use.
 _HIDDEN = {"wind_alignment_first": ("angle", "turn")}
