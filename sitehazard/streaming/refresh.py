@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from sitehazard.config import DEFAULT_RULES, DEFAULT_SIZING, RiskRules, Sizing
 from sitehazard.functions.scoring import with_risk
@@ -18,6 +19,9 @@ from sitehazard.sources.tables import exists, latest_per
 
 #: Feeds that arrive, as named in ``Inputs``.
 FEEDS = ("hazards", "quakes", "weather", "air")
+#: Feeds with a location, kept in so many folders a batch, and the columns that folders stand for.
+BY_LOCATION, BUCKETS = ("weather", "air"), 32
+ADDED = ["batch", "location_bucket"]
 
 
 def _run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -84,7 +88,8 @@ def refresh_on_arrival(
     * Its hazards, against earlier versions of the same events, and its quakes give the changed
       spots. Only locations that these reach get a new profile.
     * Only locations whose profile differs from the one before, or with new weather or air
-      quality, are recomputed, from their own weather and air quality so far and their profile.
+      quality, are recomputed, from their own weather and air quality so far and their profile. Those are kept
+      by a hash of the location, so that only the folders of such locations are read.
 
     Each recomputed location is replaced whole, as the snapshot of the batch's number, and
     snapshots that no location needs any more are deleted. A batch that is run again reads what
@@ -95,27 +100,49 @@ def refresh_on_arrival(
         spark = batch.sparkSession
         if batch.isEmpty():
             return
-        for name, rows in arrivals(batch).items():
-            rows.write.mode("overwrite").parquet(f"{path}/raw/{name}/batch={number}")
-        new = {name: spark.read.parquet(f"{path}/raw/{name}/batch={number}") for name in FEEDS}
-        so_far = {name: _until(spark, f"{path}/raw/{name}", number + 1) for name in FEEDS}
+        arrived = arrivals(batch)
+        for name, rows in arrived.items():
+            _keep(rows, name, f"{path}/raw/{name}/batch={number}")
+        kinds = {name: rows.schema for name, rows in arrived.items()}
+        new = {name: _kept(spark, path, name, kinds[name]).where(F.col("batch") == number) for name in FEEDS}
+        so_far = {name: _kept(spark, path, name, kinds[name]).where(F.col("batch") <= number) for name in FEEDS}
         altered = _profiled(spark, path, number, locations, new, so_far, sizing)
         touched = new["weather"].select("location_id").unionByName(new["air"].select("location_id"))
         touched = settle(touched.unionByName(altered).distinct(), "touched")
         if not touched.isEmpty():
             wanted = locations.join(touched, "location_id", "left_semi")
             profile = stored_profiles(spark, path, number + 1).join(touched, "location_id", "left_semi")
-            for name in ("weather", "air"):
-                so_far[name] = so_far[name].join(touched, "location_id", "left_semi")
-            refresh(Inputs(wanted, **so_far), path, number, sizing=sizing, profile=profile)
+            # At most ``BUCKETS`` numbers; the folders of the others aren't read.
+            buckets = [r[0] for r in touched.select(_bucket()).distinct().collect()]
+            for name in BY_LOCATION:
+                there = so_far[name].where(F.col("location_bucket").isin(buckets))
+                so_far[name] = there.join(touched, "location_id", "left_semi")
+            inputs = {name: so_far[name].drop(*ADDED) for name in FEEDS}
+            refresh(Inputs(wanted, **inputs), path, number, sizing=sizing, profile=profile)
         purge(spark, path)
 
     return _run(stream, checkpoint, run)
 
 
-def _until(spark: SparkSession, path: str, number: int) -> DataFrame:
-    """What the batches before one with the number stored; whole folders are left out."""
-    return spark.read.parquet(path).where(F.col("batch") < number).drop("batch")
+def _bucket() -> Column:
+    number = F.xxhash64(F.col("location_id").cast("string"))
+    return F.pmod(number, F.lit(BUCKETS)).cast("int").alias("location_bucket")
+
+
+def _keep(rows: DataFrame, name: str, path: str) -> None:
+    """Store a batch's rows of a feed; those of locations in folders by a hash of the location."""
+    if name in BY_LOCATION:
+        bucketed = rows.select("*", _bucket()).hint("rebalance", "location_bucket")
+        bucketed.write.mode("overwrite").partitionBy("location_bucket").parquet(path)
+    else:
+        rows.write.mode("overwrite").parquet(path)
+
+
+def _kept(spark: SparkSession, path: str, name: str, kind: StructType) -> DataFrame:
+    """All stored rows of a feed with ``batch`` and, by location, ``location_bucket``, from folder names."""
+    folders = ADDED if name in BY_LOCATION else ADDED[:1]
+    fields = [*kind.fields, *(StructField(c, IntegerType()) for c in folders)]
+    return spark.read.schema(StructType(fields)).parquet(f"{path}/raw/{name}")
 
 
 def stored_profiles(spark: SparkSession, path: str, number: int) -> DataFrame:
@@ -143,7 +170,7 @@ def _profiled(
     before = settle(stored_profiles(spark, path, number), "profiles-before")
     stale = ids.join(before, "location_id", "left_anti")
     if not (new["hazards"].isEmpty() and new["quakes"].isEmpty()):
-        older = _until(spark, f"{path}/raw/hazards", number)
+        older = so_far["hazards"].where(F.col("batch") < number)
         arrived = new["hazards"].select(F.col("event_id").alias("arrived_id")).distinct()
         older = older.join(arrived, F.expr("event_id <=> arrived_id"), "left_semi")
         changed = changed_spots(

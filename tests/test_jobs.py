@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 from datetime import datetime
 
 import pytest
@@ -272,6 +273,11 @@ def test_refresh_recomputes_what_changed_and_no_more(spark, tmp_path):
     digits = {c: F.round(c, 6) for c, kind in whole.dtypes if kind == "double" and c in columns}
     same(facts.select(columns).withColumns(digits), whole.select(columns).withColumns(digits))
     same(pipeline.served(spark, path).select(columns), facts.select(columns))
+    # A location's arrivals are read from its folder alone.
+    kind = arrivals(spark.createDataFrame([], schema))["weather"].schema
+    one = streaming._kept(spark, path, "weather", kind).where(F.col("location_bucket").isin([3]))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*location_bucket#\d+ = 3", plan)
     # Snapshots that no location needs are gone, with all that belongs to them.
     kept = {int(n.split("=")[1]) for n in os.listdir(f"{path}/fact_environment_risk") if "=" in n}
     assert kept == {r[0] for r in facts_newest(spark, path)}
