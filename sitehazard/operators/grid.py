@@ -104,9 +104,12 @@ def distinct_sites(locations: DataFrame) -> DataFrame:
     )
 
 
-def leaf_size(points: DataFrame, limit: int) -> int:
-    """Largest cell side from 1° down at which no cell holds more than ``limit`` rows."""
-    if points.count() <= limit:
+def leaf_size(points: DataFrame, limit: int, rows: int | None = None) -> int:
+    """Largest cell side from 1° down at which no cell holds more than ``limit`` rows.
+
+    ``rows`` is their number, where it is known.
+    """
+    if (points.count() if rows is None else rows) <= limit:
         return DEGREE
     for size in SIZES[SIZES.index(DEGREE):]:
         cell = cell_of("latitude", "longitude", size)

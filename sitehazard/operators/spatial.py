@@ -26,7 +26,7 @@ from sitehazard.operators import grid
 from sitehazard.operators.cleaning import valid_coordinates
 from sitehazard.operators.grid import SITE
 from sitehazard.operators.skew import HotKeys, hot_keys, join_few
-from sitehazard.session import settle
+from sitehazard.session import settle, settle_measured
 
 
 #: The part of all quakes that is looked at first for the newest ones.
@@ -62,8 +62,9 @@ class Sites:
 
 
 def sites_of(locations: DataFrame, sizing: Sizing = DEFAULT_SIZING) -> Sites:
-    points = settle(grid.distinct_sites(locations), "sites")
-    size = points.agg(F.count("*").alias("n"), F.max("locations").alias("most")).first()
+    points, size = settle_measured(
+        grid.distinct_sites(locations), "sites", n=F.count(F.lit(1)), most=F.max("locations")
+    )
     limit = sizing.rows_per_task
     return Sites(
         locations, points.select(*SITE), size["n"] > limit, (size["most"] or 0) > limit, limit
@@ -117,6 +118,12 @@ def distinct_spots(hazards: DataFrame) -> DataFrame:
     )
 
 
+def _settled_spots(spots: DataFrame, name: str, sizing: Sizing) -> tuple[DataFrame, int]:
+    """The spots as a file, and the cell side that suits them."""
+    settled, size = settle_measured(spots, name, n=F.count(F.lit(1)))
+    return settled, grid.leaf_size(settled, sizing.points_per_cell, size["n"])
+
+
 def hazard_profile(
     locations: DataFrame,
     hazards: DataFrame,
@@ -130,8 +137,7 @@ def hazard_profile(
     go by feed, then ``seq``.
     """
     sites = sites_of(locations, sizing)
-    spots = settle(distinct_spots(hazards), "hazard-spots")
-    leaf = grid.leaf_size(spots, sizing.points_per_cell)
+    spots, leaf = _settled_spots(distinct_spots(hazards), "hazard-spots", sizing)
     near = in_bands(sites, spots, leaf, rules)
     nearest = nearest_spot(sites, spots, leaf)
     per_site = nearest.join(near, SITE, "left")
@@ -157,8 +163,8 @@ def band_counts(
 ) -> DataFrame:
     """The part of a location's profile that lies in the bands, without the nearest search."""
     sites = sites_of(locations, sizing)
-    spots = settle(distinct_spots(hazards), "hazard-spots")
-    near = in_bands(sites, spots, grid.leaf_size(spots, sizing.points_per_cell), rules)
+    spots, leaf = _settled_spots(distinct_spots(hazards), "hazard-spots", sizing)
+    near = in_bands(sites, spots, leaf, rules)
     return sites.give_back(near, "left").select(*locations.columns, *_band_columns(rules))
 
 
@@ -222,8 +228,7 @@ def max_quake_magnitude(
 ) -> DataFrame:
     """Strongest quake within the widest band of every location, else 0."""
     sites = sites_of(locations, sizing)
-    spots = settle(distinct_spots(quakes), "quake-spots")
-    leaf = grid.leaf_size(spots, sizing.points_per_cell)
+    spots, leaf = _settled_spots(distinct_spots(quakes), "quake-spots", sizing)
     near = in_bands(sites, spots, leaf, DEFAULT_RULES).select(*SITE, "magnitude")
     return sites.give_back(near, "left").select(
         *locations.columns, F.coalesce("magnitude", F.lit(0.0)).alias("max_eq_magnitude")
@@ -337,9 +342,9 @@ def quakes_near(
     kept = _first_per(strong, ["latitude", "longitude"], newest, k).select(
         "id", "title", "magnitude", "timestamp", "latitude", "longitude"
     )
-    kept = settle(kept, "quake-spots")
     seconds = F.unix_seconds(F.col("timestamp").cast("timestamp"))
-    start = kept.agg(F.percentile_approx(seconds, 1 - RECENT_SHARE, 1000)).first()[0]
+    kept, size = settle_measured(kept, "quake-spots", start=F.percentile_approx(seconds, 1 - RECENT_SHARE, 1000))
+    start = size["start"]
     found = None
     if start is not None:
         recent = kept.where(seconds >= start)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -43,6 +43,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def settle_measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """As :func:`settle`, with aggregates that are taken while the rows are written."""
+    seen = Observation()
+    settled = settle(df.observe(seen, *(value.alias(name) for name, value in measures.items())), name)
+    return settled, seen.get
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a reduced intermediate table to the shared folder and go on from the files.
 
