@@ -51,8 +51,6 @@ SHINGLE = 4
 FREQUENT = 32
 #: Columns of the parity sketch, of 64 bits each.
 SKETCH = [f"sketch_{i}" for i in range(32)]
-#: What signatures are combined with for the orders in which documents compare their least ones.
-ORDERS = [0, 1 << 62, 1 << 61, 3 << 61]
 #: Sets of more tokens have the second sketch.
 LARGE = 1024
 #: Tokens that a worker counts at a time.
@@ -415,24 +413,18 @@ def links(
     # took three times as long, probably for its length.
     sketches = base.where("n_shingles > 0").select("key", *SKETCH).dropDuplicates(["key"])
     sketches = sketches.select("key", *(F.coalesce(c, F.lit(0)).alias(c) for c in SKETCH))
-    own = settle(own.join(apart, "sig", "left_semi"), "apart")
-    # Similar documents share many signatures. Where both have the same least one of a kind, in one
-    # of four orders, only that one brings them together. Else all do that pass the bound on the first
-    # shared place, which are few. A shared rare token makes the combinations needless.
-    leasts = {
-        f"{kind}_{i}": F.min(F.expr(f"CASE WHEN sig % 2 {test} 0 THEN sig ^ {c}L END"))
-        for kind, test in (("token", "<>"), ("pair", "="))
-        for i, c in enumerate(ORDERS)
-    }
-    least = own.groupBy("key").agg(*(value.alias(name) for name, value in leasts.items()))
-    own = own.join(sketches, "key").join(least, "key")
-
-    def alone(kind: str) -> str:
-        return " ".join(
-            f"WHEN x_{kind}_{i} = y_{kind}_{i} THEN x_sig ^ {c}L = x_{kind}_{i}" for i, c in enumerate(ORDERS)
-        )
-
-    once = f"CASE {alone('token')} WHEN x_sig % 2 <> 0 THEN {early} {alone('pair')} ELSE {early} END"
+    # Similar documents share many signatures. Where both have the same least one of a kind, only that
+    # one brings them together, else all do that pass the bound on the first shared place. A shared
+    # rare token makes the combinations needless.
+    least = own.groupBy("key").agg(
+        F.min(F.expr("CASE WHEN sig % 2 <> 0 THEN sig END")).alias("token"),
+        F.min(F.expr("CASE WHEN sig % 2 = 0 THEN sig END")).alias("pair"),
+    )
+    own = own.join(apart, "sig", "left_semi").join(sketches, "key").join(least, "key")
+    once = (
+        "CASE WHEN x_token = y_token THEN x_sig = x_token "
+        f"WHEN x_sig % 2 = 0 AND x_pair = y_pair THEN x_sig = x_pair ELSE {early} END"
+    )
     left = own.select(*(F.col(c).alias(f"x_{c}") for c in own.columns))
     right = own.select(*(F.col(c).alias(f"y_{c}") for c in own.columns))
     second = (
