@@ -53,6 +53,8 @@ FREQUENT = 32
 SKETCH = [f"sketch_{i}" for i in range(32)]
 #: Sets of more tokens have the second sketch.
 LARGE = 1024
+#: Words whose hashes a task remembers.
+REMEMBERED = 100_000
 #: Tokens that a worker counts at a time.
 CHUNK = 2_000_000
 FIRST, LAST = np.uint64(1), np.uint64(2**64 - 2)
@@ -142,7 +144,7 @@ def _frequent(docs: DataFrame, rest: list[str], shingle: int) -> tuple[DataFrame
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size, seen = WordHashes(), [], 0, set()
+        hashes, held, size, seen = WordHashes(REMEMBERED), [], 0, set()
 
         def report() -> pa.RecordBatch:
             all_tokens = np.sort(np.concatenate(held))
@@ -197,7 +199,7 @@ def _shared(docs: DataFrame, frequent: BitFilter, percent: int, shingle: int) ->
     buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = WordHashes(REMEMBERED)
         for batch in batches:
             parts, seen = [], set()
             for key, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -303,12 +305,12 @@ def _sets(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(keys, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = WordHashes(REMEMBERED)
         for batch in batches:
             raw = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             at = np.flatnonzero(wanted.value.has(raw))
-            for start in range(0, len(at), 500):
-                part = at[start : start + 500]
+            for start in range(0, len(at), 64):
+                part = at[start : start + 64]
                 sets = [tokens(batch.column(1)[int(i)].as_py(), hashes, shingle).tobytes() for i in part]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(raw[part].view(np.int64)), pa.array(sets, pa.binary())], ["key", "tokens"]
