@@ -35,6 +35,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from sitehazard.llm.common import give_back
+
 #: The splitting pattern of byte-level BPE.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The characters with the property White_Space.
@@ -293,8 +295,8 @@ def _run(docs, spec, keep, text, schema, most, whole) -> DataFrame:
             columns = [batch.column(i) for i in range(len(keep))]
             columns += [pa.array(out[c], kinds.get(c, pa.string())) for c in added]
             yield pa.RecordBatch.from_arrays(columns, [*own, *added])
-        # The worker stays, for other work.
+        del tokenizer
         _held.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return source.mapInArrow(run, fields).toDF(*keep, *added)

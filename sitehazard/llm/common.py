@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 
+import pyarrow as pa
 import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sitehazard.session import settle
 
 __all__ = [
-    "WordHashes", "documents", "folded_words", "importable", "named_as", "numbered", "placed", "settle",
+    "WordHashes", "documents", "folded_words", "give_back", "importable", "named_as", "numbered", "placed", "settle",
     "table", "text_key",
 ]
 
@@ -74,6 +77,15 @@ def placed(df: DataFrame) -> DataFrame:
     return rows.select("*", place)
 
 
+def give_back() -> None:
+    """Return a worker's unused memory to the machine; the worker stays, for other work."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def folded_words(text: str | None) -> list[bytes]:
     """Words between ASCII white space, with A-Z in lower case; none for null."""
     return text.encode("utf-8", "replace").lower().split() if text else []

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from sitehazard.llm.bits import BitFilter, bit_filter
-from sitehazard.llm.common import WordHashes, folded_words, named_as, placed, settle, text_key
+from sitehazard.llm.common import WordHashes, folded_words, give_back, named_as, placed, settle, text_key
 from sitehazard.llm.components import components
 
 #: Words in a shingle, unless the caller says otherwise.
@@ -182,6 +182,8 @@ def _frequent(docs: DataFrame, rest: list[str], shingle: int) -> tuple[DataFrame
             yield pa.RecordBatch.from_arrays(columns, names)
         if held:
             yield report()
+        held, hashes = [], None
+        give_back()
 
     both = settle(docs.select(*rest, "key", "_text").mapInArrow(run, schema), "tokens")
     base = both.where("n_shingles IS NOT NULL").select(*rest, "key", *own_columns, "wide")
@@ -238,6 +240,8 @@ def _shared(docs: DataFrame, frequent: BitFilter, percent: int, shingle: int) ->
                 [pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())],
                 ["bucket", "rows"],
             )
+        hashes = None
+        give_back()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -315,6 +319,8 @@ def _sets(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(raw[part].view(np.int64)), pa.array(sets, pa.binary())], ["key", "tokens"]
                 )
+        hashes = None
+        give_back()
 
     found = docs.select("key", "_text").mapInArrow(run, "key bigint, tokens binary")
     # Both sides of the verification read this one exchange, which already is by key.
