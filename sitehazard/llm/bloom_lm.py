@@ -1,20 +1,33 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-The model: a word's probability is (q(w) + V p(w)) / (Q + V). q is the word's training count, Q
-the sum of all, V the number of different words, and p the probability of its spelling under a
-byte trigram model that also gives unseen words their due. Counts of words, spelling trigrams
-and their two-byte contexts, both over all training tokens, are n-grams of one filter. Each count is quantised to a level, a
-logarithm to base 1.5, and the n-gram is entered once for each level up to its own; reading a
-count is probing level after level until one is missing. A false positive can only raise a
-count, by a level with the filter's error rate.
+The model counts single words, pairs and triples of words in a row, within a text: its first word
+follows an end token. A token w after u and v has
+
+    p(w | u v) = (q(u v w) + T p(w | v)) / (q(u v) + T)
+    p(w | v) = (q(v w) + P p(w)) / (q(v) + P)
+    p(w) = (q(w) + V s(w)) / (Q + V)
+
+q are training counts, read from the filter, Q the sum over all words, V the number of different
+words, P and T fixed weights. A history that was never seen leaves the shorter one's probability. s
+is the probability of the word's spelling under a byte trigram model, which gives unseen words their
+due. Each count is quantised to a level, a logarithm to base 1.5, and the n-gram is entered once for
+each level up to its own; reading a count is probing level after level until one is missing. A false
+positive can only raise a count, by a level with the filter's error rate. The count of a pair or
+triple is kept to those of its parts, which are always at least as high, so a false positive of an
+n-gram with an unseen part has no effect. Counts are those of levels, so the probabilities of all
+words after a history add up to about one, not to one exactly.
 
 Spark's part: workers number the words of a chunk of documents. Each chunk sends its words'
 counts to buckets by hash; a bucket adds them up, answers each chunk, and builds its own block
-of the filter. The blocks are put together and broadcast; 12 bits are kept for each entry, up to
+of the filter. The blocks of words and spelling are put together and broadcast; 12 bits are kept for each entry, up to
 2^31 bits in all (256 MB), which is the bound on what is broadcast: beyond it all n-grams are
-still entered, the error rate rises, and with a full block every count reads as the highest. Scores are then computed per chunk, for each different
-word once. Texts are read a single time and nothing larger than the filter meets in one place;
-counts, answers and numbered texts are files in the shared folder.
+still entered, the error rate rises, and with a full block every count reads as the highest. Pairs and
+triples are far more. Their blocks, 12 bits an entry without a bound, stay with the buckets: a chunk
+sends its different pairs and triples as sorted fingerprints, and gets their levels back in that
+order, read from the block. Fingerprints have 40 bits; two n-grams share one with probability 2^-40,
+which raises a count as a false positive does. Scores are then computed per chunk. Texts are read a
+single time and no more than the filter of words, a bucket or a chunk meets in one place; counts,
+answers and numbered texts are files in the shared folder.
 
 The base score uses the exact counts that the buckets answer, not the filter.
 
@@ -48,7 +61,13 @@ END = b"\n"
 GRAM = np.dtype([("hash", "<u8"), ("count", "<u4"), ("code", "<u4")])
 ANSWER = np.dtype([("code", "<u4"), ("total", "<u8")])
 COUNT = np.dtype([("hash", "<u8"), ("total", "<u8")])
+PHRASE = np.dtype([("step", "<u8"), ("count", "<u4")])
 NO_CODE = 2**32 - 1
+#: Bits of the fingerprint of a pair or triple, and how many buckets of these one task has in turn.
+PRINT_BITS = 40
+BUCKETS_A_TASK = 8
+#: The weights of p(w) beside a pair's history and of p(w | v) beside a triple's, as counts.
+PAIR_WEIGHT, TRIPLE_WEIGHT = 16.0, 16.0
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,6 +89,46 @@ def shuffled(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def planes(rows: np.ndarray) -> bytes:
+    """All first bytes of the rows, then all second ones and so on, which compress better."""
+    raw = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), rows.itemsize)
+    return np.ascontiguousarray(raw.T).tobytes()
+
+
+def whole(raw: bytes, kind: np.dtype | str) -> np.ndarray:
+    """The rows that ``planes`` took apart."""
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+def phrase_prints(hashes: np.ndarray, starts: np.ndarray, end: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the pair and the triple that end at each token of texts in a row.
+
+    ``hashes`` are the tokens', ``starts`` the places of the texts' first ones, whose pair is with
+    the end token and which have no triple: theirs is that of the pair.
+    """
+    before = np.empty_like(hashes)
+    before[1:] = hashes[:-1]
+    before[starts] = end
+    pairs = shuffled(shuffled(before * ODD + hashes))
+    triples = np.empty_like(pairs)
+    triples[1:] = shuffled(shuffled(pairs[:-1] * ODD + hashes[1:] + np.uint64(1)))
+    triples[starts] = pairs[starts]
+    return pairs >> np.uint64(64 - PRINT_BITS), triples >> np.uint64(64 - PRINT_BITS)
+
+
+def phrase_table(pairs: np.ndarray, triples: np.ndarray, starts: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different fingerprints in order and how often each comes up in tokens that aren't held out."""
+    inside = np.ones(len(triples), bool)
+    inside[starts] = False
+    both = np.concatenate([pairs, triples[inside]]) << np.uint64(1)
+    both |= np.concatenate([held, held[inside]]).astype(np.uint64)
+    both.sort()
+    prints = both >> np.uint64(1)
+    first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
+    return prints[first], np.add.reduceat((both & np.uint64(1)) ^ np.uint64(1), first)
+
+
 def buckets_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -106,7 +165,11 @@ class Model:
     top: int
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Dequantised counts of n-grams, by membership probes until the first miss."""
+        """Dequantised counts of n-grams."""
+        return middle(self.levels(hashes))
+
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        """Levels of n-grams, by membership probes until the first miss."""
         levels = np.zeros(len(hashes), np.int64)
         alive = np.arange(len(hashes))
         start = buckets_of(hashes, self.buckets).astype(np.uint64) * np.uint64(self.bits)
@@ -119,10 +182,10 @@ class Model:
                 there &= (self.words[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
             alive = alive[there]
             levels[alive] = step
-        return middle(levels)
+        return levels
 
-    def log10(self, vocabulary: list[bytes]) -> np.ndarray:
-        """log10 of the probabilities of words."""
+    def single(self, vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of words, and the logarithms of their probabilities by themselves."""
         own = self.counts(word_hashes(vocabulary))
         three, two, start = spelling(vocabulary)
         grams, back = np.unique(three, return_inverse=True)
@@ -133,7 +196,40 @@ class Model:
         if total:
             with np.errstate(divide="ignore"):
                 spelt = np.logaddexp(np.log(own), math.log(self.types) + spelt) - math.log(total)
-        return spelt / math.log(10)
+        return own, spelt
+
+
+def blend(count: np.ndarray, history: np.ndarray, shorter: np.ndarray, weight: float) -> np.ndarray:
+    """Logarithms of (count + weight p) / (history + weight), p being the shorter n-gram's."""
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(count), math.log(weight) + shorter) - np.log(history + weight)
+
+
+def token_scores(
+    codes: np.ndarray, starts: np.ndarray, vocabulary: list[bytes], levels: np.ndarray, model: Model
+) -> np.ndarray:
+    """log10 of the probability of each token of a chunk's texts.
+
+    ``levels`` are those of the chunk's different pairs and triples in the order of their fingerprints.
+    """
+    own, alone = model.single(vocabulary)
+    end = vocabulary.index(END)
+    hashes = word_hashes(vocabulary)
+    pairs, triples = phrase_prints(hashes[codes], starts, hashes[end])
+    prints, _ = phrase_table(pairs, triples, starts, np.zeros(len(codes), bool))
+    values = middle(levels)
+    before = np.empty_like(codes)
+    before[1:] = codes[:-1]
+    before[starts] = end
+    count, history = own[codes], own[before]
+    pair = np.minimum(values[np.searchsorted(prints, pairs)], np.minimum(count, history))
+    result = blend(pair, history, alone[codes], PAIR_WEIGHT)
+    before = np.empty_like(pair)
+    before[1:] = pair[:-1]
+    triple = np.minimum(values[np.searchsorted(prints, triples)], np.minimum(pair, before))
+    longer = blend(triple, before, result, TRIPLE_WEIGHT)
+    longer[starts] = result[starts]
+    return longer / math.log(10)
 
 
 def word_hashes(vocabulary: list[bytes]) -> np.ndarray:
@@ -158,10 +254,11 @@ def spelling(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return shuffled(three * ODD) & even, shuffled((two + np.uint64(1 << 40)) * ODD) & even, np.cumsum(counted) - counted
 
 
+KEPT = ["id", "held_out", "n_tokens"]
 ENCODED = "kind string, chunk bigint, bucket int, {}, held_out boolean, n_tokens bigint, data binary"
 
 
-def _encode(docs: DataFrame, id_column: str, id_type: str, buckets: int) -> DataFrame:
+def _encode(docs: DataFrame, id_column: str, id_type: str, buckets: int, phrase_buckets: int) -> DataFrame:
     """Numbered texts, each chunk's words, and n-gram counts by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,6 +268,7 @@ def _encode(docs: DataFrame, id_column: str, id_type: str, buckets: int) -> Data
         codes: dict[bytes, int] = {}
         counted = np.zeros(0, np.int64)
         size = 0
+        tokens, outs = [], []
         id_kind = None
 
         def rows(kind: str, bucket: list, data: list) -> pa.RecordBatch:
@@ -215,7 +313,18 @@ def _encode(docs: DataFrame, id_column: str, id_type: str, buckets: int) -> Data
             grams, place = grams[order], place[order]
             edges = np.searchsorted(place, np.arange(buckets + 1))
             full = [b for b in range(buckets) if edges[b + 1] > edges[b]]
-            yield rows("gram", full, [grams[edges[b] : edges[b + 1]].tobytes() for b in full])
+            yield rows("gram", full, [pack(planes(grams[edges[b] : edges[b + 1]])) for b in full])
+            sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            starts = np.cumsum(sizes) - sizes
+            hashes = word_hashes(vocabulary)
+            pairs, triples = phrase_prints(hashes[np.concatenate(tokens)], starts, hashes[codes[END]])
+            prints, n = phrase_table(pairs, triples, starts, np.repeat(np.array(outs, bool), sizes))
+            edges = np.searchsorted(prints, _bucket_starts(phrase_buckets))
+            full = [b for b in range(phrase_buckets) if edges[b + 1] > edges[b]]
+            phrases = np.empty(len(prints), PHRASE)
+            phrases["step"], phrases["count"] = np.diff(prints, prepend=np.uint64(0)), n
+            phrases["step"][edges[full]] = prints[edges[full]]
+            yield rows("phrase", full, [pack(planes(phrases[edges[b] : edges[b + 1]])) for b in full])
 
         for batch in batches:
             id_kind = batch.schema.field(0).type
@@ -233,7 +342,9 @@ def _encode(docs: DataFrame, id_column: str, id_type: str, buckets: int) -> Data
                 if not out:
                     np.add.at(counted, own, 1)
                 numbers.append(len(words))
-                data.append(pack(own.tobytes()))
+                data.append(pack(planes(own)))
+                tokens.append(own)
+                outs.append(bool(out))
                 size += len(words)
                 if size >= CHUNK or i + 1 == len(held):
                     n = len(numbers)
@@ -253,6 +364,7 @@ def _encode(docs: DataFrame, id_column: str, id_type: str, buckets: int) -> Data
                 if size >= CHUNK:
                     yield from close()
                     codes, counted, size = {}, np.zeros(0, np.int64), 0
+                    tokens, outs = [], []
                     number += 1
         if codes:
             yield from close()
@@ -265,10 +377,11 @@ def _count(encoded: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
+        unpack = zstandard.ZstdDecompressor().decompress
         held: dict[int, list[tuple[int, np.ndarray]]] = {}
         for batch in batches:
             for bucket, chunk, cell in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                held.setdefault(bucket, []).append((chunk, np.frombuffer(cell, GRAM)))
+                held.setdefault(bucket, []).append((chunk, whole(unpack(cell), GRAM)))
         for bucket, parts in held.items():
             all_rows = np.concatenate([rows for _, rows in parts])
             unique, back = np.unique(all_rows["hash"], return_inverse=True)
@@ -283,7 +396,7 @@ def _count(encoded: DataFrame, buckets: int) -> DataFrame:
                 answer["total"] = sums[at : at + len(rows)][word]
                 at += len(rows)
                 chunks.append(chunk)
-                data.append(pack(answer.tobytes()))
+                data.append(pack(planes(answer)))
             there = total > 0
             counts = np.empty(int(there.sum()), COUNT)
             counts["hash"], counts["total"] = unique[there], total[there]
@@ -313,6 +426,53 @@ def _count(encoded: DataFrame, buckets: int) -> DataFrame:
     )
 
 
+def _bucket_starts(buckets: int) -> np.ndarray:
+    """The least fingerprint of each bucket, and one above all."""
+    return np.array([-(-(b << PRINT_BITS) // buckets) for b in range(buckets + 1)], np.uint64)
+
+
+def _phrase_answers(encoded: DataFrame, buckets: int) -> DataFrame:
+    """The levels of each chunk's pairs and triples, read from the block of each bucket."""
+
+    def answers(bucket: int, parts: list[tuple[int, np.ndarray, np.ndarray]], pack) -> pa.RecordBatch:
+        prints, back = np.unique(np.concatenate([own for _, own, _ in parts]), return_inverse=True)
+        total = np.bincount(back, np.concatenate([n for *_, n in parts]), len(prints))
+        levels = level(total)
+        bits = max(1024, -(-BITS_PER_ENTRY * int(levels.sum()) // 8) * 8)
+        there = levels > 0
+        words = np.frombuffer(block(prints[there], levels[there], bits), np.uint8)
+        shard = Model(words, 1, bits, 0, 0, 0.0, int(levels.max(initial=0)))
+        read = shard.levels(prints).astype(np.uint8)[back]
+        chunks, data, at = [], [], 0
+        for chunk, own, _ in parts:
+            chunks.append(chunk)
+            data.append(pack(read[at : at + len(own)].tobytes()))
+            at += len(own)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(chunks, pa.int64()), pa.array([bucket] * len(chunks), pa.int32()), pa.array(data, pa.binary())],
+            ["chunk", "bucket", "data"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        unpack = zstandard.ZstdDecompressor().decompress
+        held, parts = None, []
+        for batch in batches:
+            for bucket, chunk, cell in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if parts and bucket != held:
+                    yield answers(held, parts, pack)
+                    parts = []
+                held = bucket
+                rows = whole(unpack(cell), PHRASE)
+                parts.append((chunk, np.cumsum(rows["step"]), rows["count"]))
+        if parts:
+            yield answers(held, parts, pack)
+
+    phrases = encoded.where("kind = 'phrase'").select("bucket", "chunk", "data")
+    dealt = phrases.repartition(buckets // BUCKETS_A_TASK, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "chunk bigint, bucket int, data binary")
+
+
 def _model(counted: DataFrame, buckets: int) -> Model:
     """The blocks, built where the counts are, put together on the driver."""
     own = counted.where("kind = 'count'")
@@ -348,7 +508,8 @@ def scores(docs: DataFrame, id_column: str, held_out, text: str = "text") -> Dat
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = docs.schema[id_column].dataType.simpleString()
     source = docs.select(id_column, held_out.alias("held_out"), F.col(text).alias("_text"))
-    encoded = settle(_encode(source, id_column, id_type, buckets), "encoded")
+    phrase_buckets = BUCKETS_A_TASK * buckets // 2
+    encoded = settle(_encode(source, id_column, id_type, buckets, phrase_buckets), "encoded")
     counted = settle(_count(encoded, buckets), "counted")
     model = _model(counted, buckets)
     sent = spark.sparkContext.broadcast(model)
@@ -356,61 +517,82 @@ def scores(docs: DataFrame, id_column: str, held_out, text: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         model = sent.value
-        chunk, answers = None, []
-        base = score = known = None
+        chunk, vocabulary = None, []
+        answers, levels, texts, given = [], [], [], []
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(vocabulary), np.uint64)
+            for part in answers:
+                total[part["code"]] = part["total"]
+            known = total > 0
+            base = np.log10((total + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
+            codes = np.concatenate(texts)
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            starts = np.cumsum(sizes) - sizes
+            score = token_scores(codes, starts, vocabulary, np.concatenate(levels), model)
+            at = 0
+            sums = [np.add.reduceat(v, starts) for v in (known[codes].astype(np.int64), base[codes], score)]
+            for rows in given:
+                n = rows.num_rows
+                own = [v[at : at + n] for v in sums]
+                at += n
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *rows.columns,
+                        pa.array(own[0], pa.int64()),
+                        pa.array([model.tokens] * n, pa.int64()),
+                        pa.array(own[1], pa.float64()),
+                        pa.array(own[2], pa.float64()),
+                    ],
+                    [id_column, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("at", "known", "base", "score")}
             kinds, chunks, data = (batch.column(i).to_pylist() for i in (0, 1, 5))
+            at: list[int] = []
             for i, (kind, own, cell) in enumerate(zip(kinds, chunks, data, strict=True)):
                 if own != chunk:
-                    chunk, answers = own, []
+                    if texts:
+                        given.append(pa.RecordBatch.from_arrays(batch.take(pa.array(at, pa.int64())).columns[2:5], KEPT))
+                        yield from scored()
+                    chunk, at = own, []
+                    answers, levels, texts, given = [], [], [], []
                 raw = unpack(cell)
                 if kind == "a_answer":
-                    answers.append(np.frombuffer(raw, ANSWER))
+                    answers.append(whole(raw, ANSWER))
+                elif kind == "a_phrase":
+                    levels.append(np.frombuffer(raw, np.uint8).astype(np.int64))
                 elif kind == "b_words":
                     vocabulary = raw.split(b" ")
-                    total = np.zeros(len(vocabulary), np.uint64)
-                    for part in answers:
-                        total[part["code"]] = part["total"]
-                    answers = []
-                    known = total > 0
-                    base = np.log10((total + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
-                    score = model.log10(vocabulary)
                 else:
-                    codes = np.frombuffer(raw, "<u4")
-                    out["at"].append(i)
-                    out["known"].append(int(known[codes].sum()))
-                    out["base"].append(float(base[codes].sum()))
-                    out["score"].append(float(score[codes].sum()))
-            rows = batch.take(pa.array(out["at"], pa.int64()))
-            n = len(out["at"])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column(2),
-                    rows.column(3),
-                    rows.column(4),
-                    pa.array(out["known"], pa.int64()),
-                    pa.array([model.tokens] * n, pa.int64()),
-                    pa.array(out["base"], pa.float64()),
-                    pa.array(out["score"], pa.float64()),
-                ],
-                [id_column, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+                    texts.append(whole(raw, "<u4"))
+                    at.append(i)
+            if at:
+                given.append(pa.RecordBatch.from_arrays(batch.take(pa.array(at, pa.int64())).columns[2:5], KEPT))
+        if texts:
+            yield from scored()
+
+    columns = ["kind", "chunk", f"`{id_column}`", "held_out", "n_tokens", "data", "bucket"]
+    texts = encoded.where("kind IN ('b_words', 'c_text')").select(*columns)
+
+    def answered(rows: DataFrame, kind: str) -> DataFrame:
+        return rows.select(
+            F.lit(kind).alias("kind"),
+            "chunk",
+            F.lit(None).cast(id_type).alias(id_column),
+            F.lit(None).cast("boolean").alias("held_out"),
+            F.lit(None).cast("bigint").alias("n_tokens"),
+            "data",
+            "bucket",
+        )
 
-    columns = ["kind", "chunk", f"`{id_column}`", "held_out", "n_tokens", "data"]
-    texts = encoded.where("kind <> 'gram'").select(*columns)
-    answers = counted.where("kind = 'a_answer'").select(
-        "kind",
-        "chunk",
-        F.lit(None).cast(id_type).alias(id_column),
-        F.lit(None).cast("boolean").alias("held_out"),
-        F.lit(None).cast("bigint").alias("n_tokens"),
-        "data",
-    )
+    answers = answered(counted.where("kind = 'a_answer'"), "a_answer")
+    phrases = answered(_phrase_answers(encoded, phrase_buckets), "a_phrase")
     return (
         texts.unionByName(answers)
+        .unionByName(phrases)
         .repartition(buckets // 2, "chunk")
-        .sortWithinPartitions("chunk", "kind")
+        .sortWithinPartitions("chunk", "kind", "bucket")
         .mapInArrow(
             run,
             f"`{id_column}` {id_type}, held_out boolean, n_tokens bigint, n_known bigint, "

@@ -389,3 +389,43 @@ def test_a_full_filter_ends_and_a_small_one_reads_counts():
     full = bloom_lm.Model(np.full(128, 255, np.uint8), 1, 1024, 1, 1, 1.0, top)
     assert set(full.counts(hashes)) == {bloom_lm.middle(np.array([top]))[0]}
     assert set(bloom_lm.Model(np.full(128, 255, np.uint8), 1, 1024, 0, 0, 0.0, 0).counts(hashes)) == {0.0}
+
+
+def test_language_model_knows_word_order(spark):
+    """Scores of held-out texts equal pairs and triples counted in plain Python, and order matters."""
+    rng = random.Random(8)
+    line = "the cat sat on the mat and the dog lay by the door".split()
+    texts = [" ".join(line[a : a + rng.randrange(3, 9)]) for a in (rng.randrange(9) for _ in range(300))]
+    texts += ["the cat sat on the mat", "mat the on sat cat the", "the cat flew", "", None, "cat"]
+    rows = {r["doc_id"]: r for r in bloom_lm.scores(frame(spark, texts), "doc_id", F.col("doc_id") >= 300).collect()}
+    assert rows[300]["base_score"] == pytest.approx(rows[301]["base_score"])
+    assert rows[300]["score"] > rows[301]["score"] + 3
+    split = [(t or "").split() + ["\n"] for t in texts]
+    counts = Counter()
+    for words in split[:300]:
+        longer = ["\n", *words]
+        counts.update(words)
+        counts.update(zip(longer, words))
+        counts.update(zip(longer, words, words[1:]))
+    q = lambda *w: float(bloom_lm.middle(bloom_lm.level(np.array([counts[w if len(w) > 1 else w[0]]])))[0])
+    types = sum(isinstance(w, str) for w in counts)
+    mass = sum(q(w) for w in counts if isinstance(w, str))
+    pair_weight, triple_weight = bloom_lm.PAIR_WEIGHT, bloom_lm.TRIPLE_WEIGHT
+
+    def plain(words):
+        total, before, last = 0.0, "\n", None
+        for w in words:
+            alone = q(w) / (mass + types)  # the spelling's share is left out: it is what bounds the rest
+            pair = min(q(before, w), q(w), q(before))
+            p = (pair + pair_weight * alone) / (q(before) + pair_weight)
+            if last is not None:
+                triple = min(q(*last, w), pair, seen)
+                p = (triple + triple_weight * p) / (seen + triple_weight)
+            total += math.log10(p)
+            last, before, seen = (before, w), w, pair
+        return total
+
+    for i in (300, 301, 303, 304, 305):
+        assert rows[i]["score"] == pytest.approx(plain(split[i]), abs=0.15 * len(split[i]))
+        assert rows[i]["score"] >= plain(split[i]) - 1e-6
+    assert rows[303]["score"] == rows[304]["score"]
