@@ -49,13 +49,15 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from sitehazard.llm.common import folded_words, settle
+from sitehazard.llm.common import folded_words, give_back, settle
 
 BASE = 1.5
 PROBES = 5
 BITS_PER_ENTRY = 12
 MOST_BITS = 2**31
 CHUNK = 2_000_000
+#: Tokens of a chunk that are scored at once.
+STRETCH = 200_000
 #: A text's last token; no word, as words hold no line break.
 END = b"\n"
 GRAM = np.dtype([("hash", "<u8"), ("count", "<u4"), ("code", "<u4")])
@@ -63,8 +65,10 @@ ANSWER = np.dtype([("code", "<u4"), ("total", "<u8")])
 COUNT = np.dtype([("hash", "<u8"), ("total", "<u8")])
 PHRASE = np.dtype([("step", "<u8"), ("count", "<u4")])
 NO_CODE = 2**32 - 1
-#: Bits of the fingerprint of a pair or triple, and how many buckets of these one task has in turn.
+#: Bits of the fingerprint of a pair or triple, those that tell the ranges a chunk does one after
+#: another, and how many buckets of fingerprints one task has in turn.
 PRINT_BITS = 40
+RANGE_BITS = 2
 BUCKETS_A_TASK = 8
 #: The weights of p(w) beside a pair's history and of p(w | v) beside a triple's, as counts.
 PAIR_WEIGHT, TRIPLE_WEIGHT = 16.0, 16.0
@@ -117,38 +121,83 @@ def phrase_prints(hashes: np.ndarray, starts: np.ndarray, end: np.uint64) -> tup
     return pairs >> np.uint64(64 - PRINT_BITS), triples >> np.uint64(64 - PRINT_BITS)
 
 
-def phrase_table(pairs: np.ndarray, triples: np.ndarray, starts: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different fingerprints in order and how often each comes up in tokens that aren't held out."""
-    inside = np.ones(len(triples), bool)
-    inside[starts] = False
-    both = np.concatenate([pairs, triples[inside]]) << np.uint64(1)
-    both |= np.concatenate([held, held[inside]]).astype(np.uint64)
+def in_order(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints sorted, and the place that each had."""
+    if len(prints) >= 1 << (64 - PRINT_BITS):
+        order = np.argsort(prints)
+        return prints[order], order
+    both = prints << np.uint64(64 - PRINT_BITS)
+    both |= np.arange(len(prints), dtype=np.uint64)
+    both.sort()
+    return both >> np.uint64(64 - PRINT_BITS), (both & np.uint64((1 << (64 - PRINT_BITS)) - 1)).astype(np.int64)
+
+
+def firsts(prints: np.ndarray) -> np.ndarray:
+    """Which of sorted fingerprints differ from the one before."""
+    new = np.ones(len(prints), bool)
+    np.not_equal(prints[1:], prints[:-1], out=new[1:])
+    return new
+
+
+def places_in(prints: np.ndarray, part: int) -> np.ndarray:
+    """Where the fingerprints of one of the equal ranges are; a chunk does one range after another."""
+    return np.flatnonzero(prints >> np.uint64(PRINT_BITS) - np.uint64(RANGE_BITS) == np.uint64(part))
+
+
+def phrase_counts(
+    pairs: np.ndarray, triples: np.ndarray, inside: np.ndarray, held: np.ndarray, part: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The different fingerprints of a range in order, and how often each has a token that isn't held out."""
+    one, two = places_in(pairs, part), places_in(triples, part)
+    two = two[inside[two]]
+    both = np.concatenate([pairs[one], triples[two]]) << np.uint64(1)
+    both |= np.concatenate([held[one], held[two]]).astype(np.uint64)
     both.sort()
     prints = both >> np.uint64(1)
-    first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
+    first = np.flatnonzero(firsts(prints))
+    if not len(first):
+        return prints, np.zeros(0, np.uint64)
     return prints[first], np.add.reduceat((both & np.uint64(1)) ^ np.uint64(1), first)
 
 
+def phrase_levels(
+    pairs: np.ndarray, triples: np.ndarray, inside: np.ndarray, levels: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The level of each pair and triple, from those of the different ones in order."""
+    result = np.zeros(len(pairs), np.uint8), np.zeros(len(pairs), np.uint8)
+    at = 0
+    for part in range(1 << RANGE_BITS):
+        one, two = places_in(pairs, part), places_in(triples, part)
+        two = two[inside[two]]
+        prints, order = in_order(np.concatenate([pairs[one], triples[two]]))
+        rank = np.cumsum(firsts(prints), dtype=np.int64)
+        found = np.empty(len(prints), np.uint8)
+        found[order] = levels[at + rank - 1]
+        result[0][one], result[1][two] = found[: len(one)], found[len(one) :]
+        at += int(rank[-1]) if len(rank) else 0
+    return result
+
+
 def buckets_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def spots(hashes: np.ndarray, step: int, bits: int) -> list[np.ndarray]:
+def spots(hashes: np.ndarray, step: int, bits: int) -> Iterator[np.ndarray]:
     """Places of n-grams at one level, within a block of so many bits."""
     first = shuffled(hashes + np.array([step], np.uint64) * ODD)
     second = shuffled(first ^ ODD) | np.uint64(1)
-    return [(first + np.uint64(k) * second) % np.uint64(bits) for k in range(PROBES)]
+    for k in range(PROBES):
+        yield (first + np.uint64(k) * second) % np.uint64(bits)
 
 
 def block(hashes: np.ndarray, levels: np.ndarray, bits: int) -> bytes:
     """A block of the filter, holding n-grams up to their levels."""
-    words = np.zeros(bits // 8, np.uint8)
+    flags = np.zeros(bits, bool)
     for step in range(1, int(levels.max(initial=0)) + 1):
-        for place in spots(hashes[levels >= step], step, bits):
-            np.bitwise_or.at(
-                words, place >> np.uint64(3), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8)
-            )
-    return words.tobytes()
+        hashes, levels = hashes[levels >= step], levels[levels >= step]
+        for place in spots(hashes, step, bits):
+            flags[place] = True
+    return np.packbits(flags, bitorder="little").tobytes()
 
 
 @dataclass(frozen=True)
@@ -176,14 +225,18 @@ class Model:
         step = 0
         while len(alive) and step < self.top:
             step += 1
-            there = np.ones(len(alive), bool)
-            for place in spots(hashes[alive], step, self.bits):
-                place = place + start[alive]
-                there &= (self.words[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            alive = alive[there]
+            # Most that are missing are so at the first place; only the rest is looked up further.
+            sure = alive[self._set(next(spots(hashes[alive], step, self.bits)) + start[alive])]
+            there = np.ones(len(sure), bool)
+            for place in spots(hashes[sure], step, self.bits):
+                there &= self._set(place + start[sure])
+            alive = sure[there]
             levels[alive] = step
         return levels
 
+    def _set(self, place: np.ndarray) -> np.ndarray:
+        return (self.words[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
     def single(self, vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Counts of words, and the logarithms of their probabilities by themselves."""
         own = self.counts(word_hashes(vocabulary))
@@ -214,22 +267,24 @@ def token_scores(
     """
     own, alone = model.single(vocabulary)
     end = vocabulary.index(END)
+    inside = np.ones(len(codes), bool)
+    inside[starts] = False
     hashes = word_hashes(vocabulary)
-    pairs, triples = phrase_prints(hashes[codes], starts, hashes[end])
-    prints, _ = phrase_table(pairs, triples, starts, np.zeros(len(codes), bool))
-    values = middle(levels)
-    before = np.empty_like(codes)
-    before[1:] = codes[:-1]
-    before[starts] = end
-    count, history = own[codes], own[before]
-    pair = np.minimum(values[np.searchsorted(prints, pairs)], np.minimum(count, history))
-    result = blend(pair, history, alone[codes], PAIR_WEIGHT)
-    before = np.empty_like(pair)
-    before[1:] = pair[:-1]
-    triple = np.minimum(values[np.searchsorted(prints, triples)], np.minimum(pair, before))
-    longer = blend(triple, before, result, TRIPLE_WEIGHT)
-    longer[starts] = result[starts]
-    return longer / math.log(10)
+    two, three = phrase_levels(*phrase_prints(hashes[codes], starts, hashes[end]), inside, levels)
+    values = middle(np.arange(int(levels.max(initial=0)) + 1))
+    result = np.empty(len(codes))
+    for a in range(0, len(codes), STRETCH):
+        # One token more before the stretch, for the pair that is its first triple's history.
+        at = np.arange(max(a - 1, 0), min(a + STRETCH, len(codes)))
+        before = np.where(inside[at], codes[at - 1], end)
+        count, history = own[codes[at]], own[before]
+        pair = np.minimum(values[two[at]], np.minimum(count, history))
+        shorter = blend(pair, history, alone[codes[at]], PAIR_WEIGHT)
+        last = np.concatenate([[0.0], pair[:-1]])
+        triple = np.minimum(values[three[at]], np.minimum(pair, last))
+        longer = np.where(inside[at], blend(triple, last, shorter, TRIPLE_WEIGHT), shorter)
+        result[at[at >= a]] = longer[at >= a]
+    return result / math.log(10)
 
 
 def word_hashes(vocabulary: list[bytes]) -> np.ndarray:
@@ -314,17 +369,23 @@ def _encode(docs: DataFrame, id_column: str, id_type: str, buckets: int, phrase_
             edges = np.searchsorted(place, np.arange(buckets + 1))
             full = [b for b in range(buckets) if edges[b + 1] > edges[b]]
             yield rows("gram", full, [pack(planes(grams[edges[b] : edges[b + 1]])) for b in full])
+            del grams, place, order, spelt, trained
             sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
             starts = np.cumsum(sizes) - sizes
             hashes = word_hashes(vocabulary)
+            inside = np.ones(int(sizes.sum()), bool)
+            inside[starts] = False
+            held = np.repeat(np.array(outs, bool), sizes)
             pairs, triples = phrase_prints(hashes[np.concatenate(tokens)], starts, hashes[codes[END]])
-            prints, n = phrase_table(pairs, triples, starts, np.repeat(np.array(outs, bool), sizes))
-            edges = np.searchsorted(prints, _bucket_starts(phrase_buckets))
-            full = [b for b in range(phrase_buckets) if edges[b + 1] > edges[b]]
-            phrases = np.empty(len(prints), PHRASE)
-            phrases["step"], phrases["count"] = np.diff(prints, prepend=np.uint64(0)), n
-            phrases["step"][edges[full]] = prints[edges[full]]
-            yield rows("phrase", full, [pack(planes(phrases[edges[b] : edges[b + 1]])) for b in full])
+            edge = _bucket_starts(phrase_buckets)
+            for part in range(1 << RANGE_BITS):
+                prints, n = phrase_counts(pairs, triples, inside, held, part)
+                edges = np.searchsorted(prints, edge)
+                full = np.flatnonzero(np.diff(edges)).tolist()
+                phrases = np.empty(len(prints), PHRASE)
+                phrases["step"], phrases["count"] = np.diff(prints, prepend=np.uint64(0)), n
+                phrases["step"][edges[full]] = prints[edges[full]]
+                yield rows("phrase", full, [pack(planes(phrases[edges[b] : edges[b + 1]])) for b in full])
 
         for batch in batches:
             id_kind = batch.schema.field(0).type
@@ -368,6 +429,8 @@ def _encode(docs: DataFrame, id_column: str, id_type: str, buckets: int, phrase_
                     number += 1
         if codes:
             yield from close()
+        codes, counted, tokens = {}, None, []
+        give_back()
 
     return docs.mapInArrow(run, ENCODED.format(f"`{id_column}` {id_type}"))
 
@@ -435,14 +498,18 @@ def _phrase_answers(encoded: DataFrame, buckets: int) -> DataFrame:
     """The levels of each chunk's pairs and triples, read from the block of each bucket."""
 
     def answers(bucket: int, parts: list[tuple[int, np.ndarray, np.ndarray]], pack) -> pa.RecordBatch:
-        prints, back = np.unique(np.concatenate([own for _, own, _ in parts]), return_inverse=True)
-        total = np.bincount(back, np.concatenate([n for *_, n in parts]), len(prints))
+        prints, order = in_order(np.concatenate([own for _, own, _ in parts]))
+        new = firsts(prints)
+        rank, prints = np.cumsum(new) - 1, prints[new]
+        counts = np.concatenate([n for *_, n in parts]).astype(np.uint64)
+        total = np.add.reduceat(counts[order], np.flatnonzero(new))
         levels = level(total)
         bits = max(1024, -(-BITS_PER_ENTRY * int(levels.sum()) // 8) * 8)
         there = levels > 0
         words = np.frombuffer(block(prints[there], levels[there], bits), np.uint8)
         shard = Model(words, 1, bits, 0, 0, 0.0, int(levels.max(initial=0)))
-        read = shard.levels(prints).astype(np.uint8)[back]
+        read = np.empty(len(order), np.uint8)
+        read[order] = shard.levels(prints).astype(np.uint8)[rank]
         chunks, data, at = [], [], 0
         for chunk, own, _ in parts:
             chunks.append(chunk)
@@ -467,6 +534,7 @@ def _phrase_answers(encoded: DataFrame, buckets: int) -> DataFrame:
                 parts.append((chunk, np.cumsum(rows["step"]), rows["count"]))
         if parts:
             yield answers(held, parts, pack)
+        give_back()
 
     phrases = encoded.where("kind = 'phrase'").select("bucket", "chunk", "data")
     dealt = phrases.repartition(buckets // BUCKETS_A_TASK, "bucket").sortWithinPartitions("bucket")
@@ -561,7 +629,7 @@ def scores(docs: DataFrame, id_column: str, held_out, text: str = "text") -> Dat
                 if kind == "a_answer":
                     answers.append(whole(raw, ANSWER))
                 elif kind == "a_phrase":
-                    levels.append(np.frombuffer(raw, np.uint8).astype(np.int64))
+                    levels.append(np.frombuffer(raw, np.uint8))
                 elif kind == "b_words":
                     vocabulary = raw.split(b" ")
                 else:
@@ -571,6 +639,8 @@ def scores(docs: DataFrame, id_column: str, held_out, text: str = "text") -> Dat
                 given.append(pa.RecordBatch.from_arrays(batch.take(pa.array(at, pa.int64())).columns[2:5], KEPT))
         if texts:
             yield from scored()
+        answers, levels, texts, given, vocabulary = [], [], [], [], []
+        give_back()
 
     columns = ["kind", "chunk", f"`{id_column}`", "held_out", "n_tokens", "data", "bucket"]
     texts = encoded.where("kind IN ('b_words', 'c_text')").select(*columns)
