@@ -69,7 +69,7 @@ NO_CODE = 2**32 - 1
 #: another, and how many buckets of fingerprints one task has in turn.
 PRINT_BITS = 40
 RANGE_BITS = 2
-BUCKETS_A_TASK = 8
+BUCKETS_A_TASK = 4
 #: The weights of p(w) beside a pair's history and of p(w | v) beside a triple's, as counts.
 PAIR_WEIGHT, TRIPLE_WEIGHT = 16.0, 16.0
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -93,16 +93,29 @@ def shuffled(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def planes(rows: np.ndarray) -> bytes:
-    """All first bytes of the rows, then all second ones and so on, which compress better."""
+def bundle(parts: list[bytes]) -> bytes:
+    """Parts one after another, with their number and sizes in front."""
+    return np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
+
+
+def parts_of(cell: bytes) -> list[bytes]:
+    n = int(np.frombuffer(cell, "<u4", 1)[0])
+    ends = np.cumsum(np.frombuffer(cell, "<u4", n, 4), dtype=np.int64) + 4 * (n + 1)
+    return [cell[a:b] for a, b in zip([4 * (n + 1), *ends[:-1]], ends, strict=True)]
+
+
+def squeezed(rows: np.ndarray, pack) -> bytes:
+    """All first bytes of the rows, then all second ones and so on, each compressed by itself if many."""
     raw = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), rows.itemsize)
-    return np.ascontiguousarray(raw.T).tobytes()
+    planes = np.ascontiguousarray(raw.T)
+    return bundle([pack(p.tobytes()) for p in (planes if len(rows) >= 256 else planes[None])])
 
 
-def whole(raw: bytes, kind: np.dtype | str) -> np.ndarray:
-    """The rows that ``planes`` took apart."""
+def whole(cell: bytes, kind: np.dtype | str, unpack) -> np.ndarray:
+    """The rows that ``squeezed`` took apart."""
     kind = np.dtype(kind)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+    raw = np.frombuffer(b"".join(map(unpack, parts_of(cell))), np.uint8)
+    return np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
 def phrase_prints(hashes: np.ndarray, starts: np.ndarray, end: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -313,8 +326,8 @@ KEPT = ["id", "held_out", "n_tokens"]
 ENCODED = "kind string, chunk bigint, bucket int, {}, held_out boolean, n_tokens bigint, data binary"
 
 
-def _encode(docs: DataFrame, id_column: str, id_type: str, buckets: int, phrase_buckets: int) -> DataFrame:
-    """Numbered texts, each chunk's words, and n-gram counts by bucket."""
+def _encode(docs: DataFrame, id_column: str, id_type: str, buckets: int) -> DataFrame:
+    """Texts, each chunk's words and its texts in their numbers, and n-gram counts by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -343,7 +356,9 @@ def _encode(docs: DataFrame, id_column: str, id_type: str, buckets: int, phrase_
 
         def close() -> Iterator[pa.RecordBatch]:
             vocabulary = list(codes)
-            yield rows("b_words", [None], [pack(b" ".join(vocabulary))])
+            sizes = np.fromiter(map(len, tokens), np.uint32, len(tokens))
+            texts = [squeezed(v, pack) for v in (np.concatenate(tokens), sizes, np.array(outs, np.uint8))]
+            yield rows("b_words", [None], [bundle([pack(b" ".join(vocabulary)), *texts])])
             grams = np.empty(len(vocabulary), GRAM)
             grams["hash"] = word_hashes(vocabulary)
             grams["count"] = counted[: len(vocabulary)]
@@ -368,28 +383,11 @@ def _encode(docs: DataFrame, id_column: str, id_type: str, buckets: int, phrase_
             grams, place = grams[order], place[order]
             edges = np.searchsorted(place, np.arange(buckets + 1))
             full = [b for b in range(buckets) if edges[b + 1] > edges[b]]
-            yield rows("gram", full, [pack(planes(grams[edges[b] : edges[b + 1]])) for b in full])
-            del grams, place, order, spelt, trained
-            sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            starts = np.cumsum(sizes) - sizes
-            hashes = word_hashes(vocabulary)
-            inside = np.ones(int(sizes.sum()), bool)
-            inside[starts] = False
-            held = np.repeat(np.array(outs, bool), sizes)
-            pairs, triples = phrase_prints(hashes[np.concatenate(tokens)], starts, hashes[codes[END]])
-            edge = _bucket_starts(phrase_buckets)
-            for part in range(1 << RANGE_BITS):
-                prints, n = phrase_counts(pairs, triples, inside, held, part)
-                edges = np.searchsorted(prints, edge)
-                full = np.flatnonzero(np.diff(edges)).tolist()
-                phrases = np.empty(len(prints), PHRASE)
-                phrases["step"], phrases["count"] = np.diff(prints, prepend=np.uint64(0)), n
-                phrases["step"][edges[full]] = prints[edges[full]]
-                yield rows("phrase", full, [pack(planes(phrases[edges[b] : edges[b + 1]])) for b in full])
+            yield rows("gram", full, [squeezed(grams[edges[b] : edges[b + 1]], pack) for b in full])
 
         for batch in batches:
             id_kind = batch.schema.field(0).type
-            numbers, data = [], []
+            numbers = []
             at = 0
             held = batch.column(1).to_pylist()
             for i, (out, cell) in enumerate(zip(held, batch.column(2), strict=True)):
@@ -403,7 +401,6 @@ def _encode(docs: DataFrame, id_column: str, id_type: str, buckets: int, phrase_
                 if not out:
                     np.add.at(counted, own, 1)
                 numbers.append(len(words))
-                data.append(pack(planes(own)))
                 tokens.append(own)
                 outs.append(bool(out))
                 size += len(words)
@@ -413,15 +410,15 @@ def _encode(docs: DataFrame, id_column: str, id_type: str, buckets: int, phrase_
                         [
                             pa.array(["c_text"] * n, pa.string()),
                             pa.array([number] * n, pa.int64()),
-                            pa.nulls(n, pa.int32()),
+                            pa.array(range(len(tokens) - n, len(tokens)), pa.int32()),
                             batch.column(0).slice(at, n),
                             batch.column(1).slice(at, n),
                             pa.array(numbers, pa.int64()),
-                            pa.array(data, pa.binary()),
+                            pa.nulls(n, pa.binary()),
                         ],
                         names,
                     )
-                    at, numbers, data = i + 1, [], []
+                    at, numbers = i + 1, []
                 if size >= CHUNK:
                     yield from close()
                     codes, counted, size = {}, np.zeros(0, np.int64), 0
@@ -444,7 +441,7 @@ def _count(encoded: DataFrame, buckets: int) -> DataFrame:
         held: dict[int, list[tuple[int, np.ndarray]]] = {}
         for batch in batches:
             for bucket, chunk, cell in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                held.setdefault(bucket, []).append((chunk, whole(unpack(cell), GRAM)))
+                held.setdefault(bucket, []).append((chunk, whole(cell, GRAM, unpack)))
         for bucket, parts in held.items():
             all_rows = np.concatenate([rows for _, rows in parts])
             unique, back = np.unique(all_rows["hash"], return_inverse=True)
@@ -459,7 +456,7 @@ def _count(encoded: DataFrame, buckets: int) -> DataFrame:
                 answer["total"] = sums[at : at + len(rows)][word]
                 at += len(rows)
                 chunks.append(chunk)
-                data.append(pack(planes(answer)))
+                data.append(squeezed(answer, pack))
             there = total > 0
             counts = np.empty(int(there.sum()), COUNT)
             counts["hash"], counts["total"] = unique[there], total[there]
@@ -494,6 +491,51 @@ def _bucket_starts(buckets: int) -> np.ndarray:
     return np.array([-(-(b << PRINT_BITS) // buckets) for b in range(buckets + 1)], np.uint64)
 
 
+def _phrases(encoded: DataFrame, buckets: int) -> DataFrame:
+    """Each chunk's different pairs and triples and their counts, by bucket."""
+    edge = _bucket_starts(buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for chunk, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                vocabulary, codes, sizes, outs = opened(cell.as_py(), unpack)
+                starts = np.cumsum(sizes) - sizes
+                inside = np.ones(len(codes), bool)
+                inside[starts] = False
+                held = np.repeat(outs.astype(bool), sizes)
+                hashes = word_hashes(vocabulary)
+                pairs, triples = phrase_prints(hashes[codes], starts, hashes[vocabulary.index(END)])
+                for part in range(1 << RANGE_BITS):
+                    prints, n = phrase_counts(pairs, triples, inside, held, part)
+                    edges = np.searchsorted(prints, edge)
+                    full = np.flatnonzero(np.diff(edges))
+                    rows = np.empty(len(prints), PHRASE)
+                    rows["step"], rows["count"] = np.diff(prints, prepend=np.uint64(0)), n
+                    rows["step"][edges[full]] = prints[edges[full]]
+                    data = [squeezed(rows[edges[b] : edges[b + 1]], pack) for b in full]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array(data, pa.binary())],
+                        ["bucket", "chunk", "data"],
+                    )
+        give_back()
+
+    chunks = encoded.where("kind = 'b_words'").select("chunk", "data")
+    return chunks.mapInArrow(run, "bucket int, chunk bigint, data binary")
+
+
+def opened(cell: bytes, unpack) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's words, its texts in their numbers, and the size and held-out flag of each text."""
+    words, codes, sizes, outs = parts_of(cell)
+    return (
+        unpack(words).split(b" "),
+        whole(codes, "<u4", unpack),
+        whole(sizes, "<u4", unpack).astype(np.int64),
+        whole(outs, "u1", unpack),
+    )
+
+
 def _phrase_answers(encoded: DataFrame, buckets: int) -> DataFrame:
     """The levels of each chunk's pairs and triples, read from the block of each bucket."""
 
@@ -530,14 +572,13 @@ def _phrase_answers(encoded: DataFrame, buckets: int) -> DataFrame:
                     yield answers(held, parts, pack)
                     parts = []
                 held = bucket
-                rows = whole(unpack(cell), PHRASE)
+                rows = whole(cell, PHRASE, unpack)
                 parts.append((chunk, np.cumsum(rows["step"]), rows["count"]))
         if parts:
             yield answers(held, parts, pack)
         give_back()
 
-    phrases = encoded.where("kind = 'phrase'").select("bucket", "chunk", "data")
-    dealt = phrases.repartition(buckets // BUCKETS_A_TASK, "bucket").sortWithinPartitions("bucket")
+    dealt = _phrases(encoded, buckets).repartition(buckets // BUCKETS_A_TASK, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "chunk bigint, bucket int, data binary")
 
 
@@ -577,7 +618,7 @@ def scores(docs: DataFrame, id_column: str, held_out, text: str = "text") -> Dat
     id_type = docs.schema[id_column].dataType.simpleString()
     source = docs.select(id_column, held_out.alias("held_out"), F.col(text).alias("_text"))
     phrase_buckets = BUCKETS_A_TASK * buckets // 2
-    encoded = settle(_encode(source, id_column, id_type, buckets, phrase_buckets), "encoded")
+    encoded = settle(_encode(source, id_column, id_type, buckets), "encoded")
     counted = settle(_count(encoded, buckets), "counted")
     model = _model(counted, buckets)
     sent = spark.sparkContext.broadcast(model)
@@ -585,17 +626,19 @@ def scores(docs: DataFrame, id_column: str, held_out, text: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         model = sent.value
-        chunk, vocabulary = None, []
-        answers, levels, texts, given = [], [], [], []
+        chunk, texts = None, b""
+        answers, levels, given = [], [], []
+
+        def kept(batch: pa.RecordBatch, at: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(batch.take(pa.array(at, pa.int64())).columns[2:5], KEPT)
 
         def scored() -> Iterator[pa.RecordBatch]:
+            vocabulary, codes, sizes, _ = opened(texts, unpack)
             total = np.zeros(len(vocabulary), np.uint64)
             for part in answers:
                 total[part["code"]] = part["total"]
             known = total > 0
             base = np.log10((total + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
-            codes = np.concatenate(texts)
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
             starts = np.cumsum(sizes) - sizes
             score = token_scores(codes, starts, vocabulary, np.concatenate(levels), model)
             at = 0
@@ -621,25 +664,22 @@ def scores(docs: DataFrame, id_column: str, held_out, text: str = "text") -> Dat
             for i, (kind, own, cell) in enumerate(zip(kinds, chunks, data, strict=True)):
                 if own != chunk:
                     if texts:
-                        given.append(pa.RecordBatch.from_arrays(batch.take(pa.array(at, pa.int64())).columns[2:5], KEPT))
+                        given.append(kept(batch, at))
                         yield from scored()
                     chunk, at = own, []
-                    answers, levels, texts, given = [], [], [], []
-                raw = unpack(cell)
+                    texts, answers, levels, given = b"", [], [], []
                 if kind == "a_answer":
-                    answers.append(whole(raw, ANSWER))
+                    answers.append(whole(cell, ANSWER, unpack))
                 elif kind == "a_phrase":
-                    levels.append(np.frombuffer(raw, np.uint8))
+                    levels.append(np.frombuffer(unpack(cell), np.uint8))
                 elif kind == "b_words":
-                    vocabulary = raw.split(b" ")
+                    texts = cell
                 else:
-                    texts.append(whole(raw, "<u4"))
                     at.append(i)
-            if at:
-                given.append(pa.RecordBatch.from_arrays(batch.take(pa.array(at, pa.int64())).columns[2:5], KEPT))
+            given.append(kept(batch, at))
         if texts:
             yield from scored()
-        answers, levels, texts, given, vocabulary = [], [], [], [], []
+        texts, answers, levels, given = b"", [], [], []
         give_back()
 
     columns = ["kind", "chunk", f"`{id_column}`", "held_out", "n_tokens", "data", "bucket"]
