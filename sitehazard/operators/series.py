@@ -13,6 +13,7 @@ from sitehazard.config import AIR_MATCH_HOURS
 from sitehazard.operators.skew import (
     Series,
     chunk_carry,
+    dealt,
     mark_chunks,
     micros,
     with_neighbour_rows,
@@ -183,7 +184,7 @@ def match_nearest(
     )
     if series.cuts is not None:  # a burst at one instant can't be cut
         stamped = _ends_of_instants(stamped, key, ts)
-    known = mark_chunks(stamped, series)
+    known = mark_chunks(dealt(stamped, series), series)
     in_order = series.window(F.col(ts), F.col("_turn"))
     linked = known.withColumns(
         {"_next": F.lead("_right").over(in_order), "_nth": F.row_number().over(in_order)}

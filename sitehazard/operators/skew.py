@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -74,13 +75,15 @@ class Series:
 
     ``cuts`` holds one row (key, start, width) per series with more rows than one task should
     take, so at most rows / limit rows. None means that every series fits one task. ``hot`` are
-    the same keys, for joins on the key.
+    the same keys, for joins on the key. ``parts`` is how many tasks the rows are dealt to; None
+    leaves it to the session.
     """
 
     key: str
     ts: str
     cuts: DataFrame | None = None
     hot: HotKeys | None = None
+    parts: int | None = None
 
     @property
     def group(self) -> list[str]:
@@ -96,6 +99,15 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def parts_for(rows: int, limit: int) -> int | None:
+    """How many tasks take at most so many rows each, as a power of two; None for few rows.
+
+    The session goes by the bytes of what is shuffled, not by the rows that become of it later.
+    Two counts of nearly the same rows mostly give the same number, so the second shuffle is none.
+    """
+    return None if rows <= 8 * limit else 1 << math.ceil(math.log2(rows / limit))
+
+
 def measure_series(df: DataFrame, key: str, ts: str, limit: int) -> Series:
     """Find the series with more than ``limit`` rows and cut them into time chunks.
 
@@ -103,9 +115,11 @@ def measure_series(df: DataFrame, key: str, ts: str, limit: int) -> Series:
     Chunk numbers are integer arithmetic on the timestamp: any re-run of a
     task finds the same ones.
     """
+    sizes = df.groupBy(key).agg(F.count("*").alias("_rows"))
+    most, rows = sizes.agg(F.max("_rows"), F.sum("_rows")).first()
+    if (most or 0) <= limit:
+        return Series(key, ts, parts=parts_for(rows or 0, limit))
     hot = hot_keys(df, key, limit)
-    if hot is None:
-        return Series(key, ts)
     stamps = (
         df.join(F.broadcast(hot.table.select(key)), key, "left_semi")
         .where(F.col(ts).isNotNull())
@@ -158,7 +172,14 @@ def bring_together(df: DataFrame, series: Series) -> DataFrame:
     Deduplication by (key, time) and all windows by key then run on that one shuffle. With
     long series the rows stay as they are: copies are thinned out before they are moved.
     """
-    return df.repartition(series.key) if series.cuts is None else df
+    if series.cuts is not None:
+        return df
+    return df.repartition(series.parts, series.key) if series.parts else df.repartition(series.key)
+
+
+def dealt(df: DataFrame, series: Series) -> DataFrame:
+    """The rows in the series' parts if it names a number, so that they meet others without a shuffle."""
+    return bring_together(df, series) if series.parts else df
 
 
 def mark_chunks(df: DataFrame, series: Series) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
 from sitehazard.config import DEFAULT_SIZING, Sizing
 from sitehazard.operators.cleaning import keep_last
-from sitehazard.operators.series import hourly_grid
-from sitehazard.operators.skew import join_few, hot_keys, measure_series
+from sitehazard.operators.series import HOUR_US, hourly_grid
+from sitehazard.operators.skew import bring_together, dealt, hot_keys, join_few, measure_series, micros, parts_for
+from sitehazard.session import settle
 from sitehazard.sources import feeds
 from sitehazard.sources.tables import enrich
 
@@ -52,10 +53,17 @@ def weather(
     current, bad_currents = opened(currents, "current")
     keep = ["location_id", "seq"]
     readings = keep_last(feeds.flatten_forecast(forecast, keep), ["location_id", "forecast_timestamp"])
+    # Opened once: the measures and the grid read the files.
+    readings = settle(readings, "readings")
     series = measure_series(readings, "location_id", "forecast_timestamp", sizing.rows_per_task)
-    hourly = hourly_grid(readings, series, NUMBERS, TEXTS)
+    # The grid's hours are what the tasks sort from here on, not the readings.
+    at = micros(F.col("forecast_timestamp"))
+    spans = readings.groupBy("location_id").agg(((F.max(at) - F.min(at)) / HOUR_US + 1).alias("hours"))
+    hours = int(spans.agg(F.sum("hours")).first()[0] or 0)
+    series = replace(series, parts=parts_for(hours, sizing.rows_per_task))
+    hourly = hourly_grid(bring_together(readings, series), series, NUMBERS, TEXTS)
     newest = keep_last(feeds.flatten_current(current, keep), ["location_id"]).drop("seq")
-    rows = feeds.fall_back_to_current(hourly, newest)
+    rows = feeds.fall_back_to_current(hourly, dealt(newest, series))
     # Rows of one location differ in time, which orders them.
     numbered = rows.withColumn("seq", F.unix_seconds(F.col("forecast_timestamp").cast("timestamp")))
     rejected = bad_forecasts.withColumn("feed", F.lit("forecast")).unionByName(

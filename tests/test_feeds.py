@@ -261,3 +261,14 @@ def test_hot_copies_are_reduced_before_the_shuffle(spark):
     df = hazards(spark, [("a", "F", "t", 1.0, 1.0, None, "open", 1)])
     plan = cleaning.keep_last(df, ["event_id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Partial") > plan.index("Exchange") and "WindowGroupLimit" in plan
+
+
+def test_hours_are_dealt_to_tasks_by_their_number(spark):
+    """Readings days apart become many hours; the grid's tasks are as many as these need, not the readings."""
+    text = lambda place: json.dumps({"list": [{"dt": 1704067200 + 3600 * hour, "main": {"temp": float(place)}} for hour in (0, 40)]})
+    forecasts = spark.createDataFrame([(i, i, text(i)) for i in range(30)], "location_id long, seq long, document string")
+    currents = forecasts.where("false")
+    places = spark.createDataFrame([(i, 1.0, 2.0) for i in range(30)], "location_id long, latitude double, longitude double")
+    rows = plans.weather(forecasts, currents, places, Sizing(rows_per_task=60)).rows
+    assert rows.count() == 30 * 41 and rows.where("temperature <> location_id").isEmpty()
+    assert rows.rdd.getNumPartitions() >= 30 * 41 / 60
