@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
-from sitehazard.config import FOREST, HORIZONS, MIN_TRAINING_ROWS, TEST_PERCENT
+from sitehazard.config import DEFAULT_SIZING, FOREST, HORIZONS, MIN_TRAINING_ROWS, TEST_PERCENT
 from sitehazard.operators.series import horizon_labels
 from sitehazard.operators.skew import Series
 
@@ -71,6 +73,16 @@ def is_test_row(percent: int = TEST_PERCENT):
     return F.coalesce(dealt < percent, F.lit(False))
 
 
+def dealt_evenly(rows: DataFrame, number: int, limit: int = DEFAULT_SIZING.rows_per_task) -> DataFrame:
+    """So many rows over all tasks that can run at once, or more if these would have too many each.
+
+    A forest passes over its rows once a level, as slowly as the fullest task. Place and order
+    depend on the rows alone, so a re-run draws the same samples.
+    """
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(number / limit))
+    return rows.repartition(tasks, "location_id", "timestamp").sortWithinPartitions(*rows.columns)
+
+
 def train(risk: DataFrame, series: Series, work: str, direction: str = "lead"):
     """Fit one forest per horizon. Returns ({target: model}, metrics table or None).
 
@@ -99,7 +111,7 @@ def train(risk: DataFrame, series: Series, work: str, direction: str = "lead"):
         )
         pipeline = Pipeline(stages=[VectorAssembler(inputCols=INPUTS, outputCol="inputs"), forest])
         trained = known.where(~is_test_row())
-        models[target] = pipeline.fit(trained)
+        models[target] = pipeline.fit(dealt_evenly(trained, sizes[target]))
         scored = models[target].transform(known.where(is_test_row()))
         mean = trained.agg(F.avg(target)).first()[0]
         scored = scored.withColumn("mean", F.lit(mean).cast("double"))

@@ -337,3 +337,12 @@ def test_measured_series_cover_both_feeds(spark):
     series = features.weather_series(weather, air, Sizing(rows_per_task=10))
     assert series.cuts is not None and series.hot is not None
     assert measure_series(weather, "location_id", "forecast_timestamp", 10_000).cuts is None
+
+
+def test_training_rows_are_dealt_evenly(spark):
+    """A few files of unlike sizes become as many even tasks as can run, or as many as the rows need."""
+    rows = spark.range(4000).select((F.col("id") % 40).alias("location_id"), F.col("id").alias("timestamp")).coalesce(1)
+    for limit, least in ((10_000, spark.sparkContext.defaultParallelism), (200, 20)):
+        dealt = forecast.dealt_evenly(rows, 4000, limit)
+        sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) >= least and sum(sizes) == 4000 and max(sizes) < 2 * 4000 / len(sizes)
