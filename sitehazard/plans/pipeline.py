@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sitehazard.config import DEFAULT_RULES, DEFAULT_SIZING, FORECAST_LIMIT, RiskRules, Sizing
+from sitehazard.functions.scoring import with_risk
 from sitehazard.operators.explain import explain, with_explanation
-from sitehazard.operators.features import risk_table
+from sitehazard.operators.features import feature_table, risk_table
 from sitehazard.operators.forecast import predict
 from sitehazard.operators.skew import hot_keys, join_few
 from sitehazard.schemas import align_to_table
-from sitehazard.sources.tables import latest_snapshot, newest_rows, read_table, store
+from sitehazard.sources.tables import LAYOUT, latest_snapshot, newest_rows, read_table, store
 
 SNAPSHOT_COLUMNS = ["snapshot", "location_bucket", "location_hash"]
 
@@ -52,7 +54,11 @@ def fact_table(
         profile=profile,
     )
     forecast = predict(risk, models) if models else risk
-    return align_to_table(with_explanation(forecast), "fact_environment_risk", timestamps)
+    return _explained(forecast, timestamps)
+
+
+def _explained(scored: DataFrame, timestamps: str = "timestamp_ntz", keep: Sequence[str] = ()) -> DataFrame:
+    return align_to_table(with_explanation(scored), "fact_environment_risk", timestamps, keep)
 
 
 def refresh(
@@ -67,16 +73,31 @@ def refresh(
 
     Readers take each location's newest snapshot, so locations not given keep their rows, and
     running the same snapshot again changes nothing. The stored facts feed the explanations,
-    so they are computed once.
+    so they are computed once. Scores and texts follow from a row's features, which alone are
+    moved to the stored layout.
     """
-    facts = fact_table(inputs, models, sizing=sizing, profile=profile)
+    rows = feature_table(
+        inputs.locations,
+        inputs.hazards,
+        inputs.quakes,
+        inputs.weather,
+        inputs.air,
+        sizing=sizing,
+        profile=profile,
+    )
+    if models:  # these read scored rows
+        rows = predict(with_risk(rows), models)
     names = inputs.locations.select("location_id", "location_name")
     hot = hot_keys(inputs.weather, "location_id", sizing.rows_per_task)
-    named = join_few(facts, names, ["location_id"], hot, "left")
-    store(named, f"{path}/fact_environment_risk", snapshot)
-    stored = read_table(facts.sparkSession, f"{path}/fact_environment_risk/snapshot={snapshot}")
+    named = join_few(rows, names, ["location_id"], hot, "left")
+
+    def finish(laid: DataFrame) -> DataFrame:
+        return _explained(laid if models else with_risk(laid), keep=["location_name", *LAYOUT])
+
+    store(named, f"{path}/fact_environment_risk", snapshot, finish=finish)
+    stored = read_table(rows.sparkSession, f"{path}/fact_environment_risk/snapshot={snapshot}")
     store(explain(stored), f"{path}/explanations", snapshot, name=None)
-    newest = newest_rows(stored, "location_id", "timestamp", FORECAST_LIMIT)
+    newest = newest_rows(stored, "location_id", "timestamp", FORECAST_LIMIT, sizing.rows_per_task)
     store(newest.drop(*SNAPSHOT_COLUMNS), f"{path}/newest", snapshot, name=None)
 
 

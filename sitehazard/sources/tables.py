@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
-from sitehazard.config import WEATHER_PROVIDER
+from sitehazard.config import DEFAULT_SIZING, WEATHER_PROVIDER
 from sitehazard.functions.text import refresh_stamp, slug
 from sitehazard.operators.skew import HotKeys, join_few
 from sitehazard.schemas import align_to_table
+from sitehazard.session import settle_measured
 
 BUCKETS = 256
+#: What ``store`` adds by name to each row.
+LAYOUT = ["location_slug", "location_hash", "location_bucket"]
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -28,7 +32,13 @@ def bucket_of(location_slug: Column) -> Column:
     return F.pmod(F.xxhash64(location_slug), F.lit(BUCKETS)).cast("int")
 
 
-def store(df: DataFrame, path: str, snapshot: int | str, name: str | None = "location_name") -> str:
+def store(
+    df: DataFrame,
+    path: str,
+    snapshot: int | str,
+    name: str | None = "location_name",
+    finish: Callable[[DataFrame], DataFrame] | None = None,
+) -> str:
     """Write one snapshot of a table, laid out for per-location reads.
 
     A folder per location would mean millions of folders, so locations share a fixed number of
@@ -36,6 +46,9 @@ def store(df: DataFrame, path: str, snapshot: int | str, name: str | None = "loc
     statistics of their row groups, each a narrow range of it, skip all but a location's own.
     ``rebalance`` splits the bucket of a very large location over several files and keeps small
     ones whole. Writing the same snapshot again replaces it, so a retried job is harmless.
+
+    ``finish`` adds what follows from each row alone once the rows lie in order, so that it is
+    neither moved nor sorted; it keeps the ``LAYOUT`` columns.
     """
     target = f"{path}/snapshot={snapshot}"
     if name is None:
@@ -45,13 +58,9 @@ def store(df: DataFrame, path: str, snapshot: int | str, name: str | None = "loc
     laid = slugged.withColumn("location_hash", F.xxhash64("location_slug")).withColumn(
         "location_bucket", bucket_of(F.col("location_slug"))
     )
-    (
-        laid.hint("rebalance", "location_bucket")
-        .sortWithinPartitions("location_bucket", "location_hash")
-        .write.mode("overwrite")
-        .partitionBy("location_bucket")
-        .parquet(target)
-    )
+    ordered = laid.hint("rebalance", "location_bucket").sortWithinPartitions("location_bucket", "location_hash")
+    whole = ordered if finish is None else finish(ordered)
+    whole.write.mode("overwrite").partitionBy("location_bucket").parquet(target)
     return target
 
 
@@ -165,7 +174,35 @@ def latest_per(df: DataFrame, key: str, ts: str, tie: str | None = None) -> Data
     return ranked.where("_nth = 1").drop("_nth")
 
 
-def newest_rows(df: DataFrame, key: str, ts: str, most: int) -> DataFrame:
-    """The last rows of every key by time, ``most`` at most; cut before the shuffle as well."""
+def newest_rows(
+    df: DataFrame, key: str, ts: str, most: int, limit: int = DEFAULT_SIZING.rows_per_task
+) -> DataFrame:
+    """The last rows of every key by time, ``most`` at most.
+
+    Only keys and times are ranked, which gives the time that the newest rows of each key with
+    more than ``most`` begin at. Whole rows are kept by that and stay where they are. They are
+    ranked themselves, and cut before the shuffle as well, where some of a key have the very time
+    that it is cut at, or where more than ``limit`` keys are to be cut.
+    """
     newest = Window.partitionBy(key).orderBy(F.col(ts).desc())
-    return df.withColumn("_nth", F.row_number().over(newest)).where(F.col("_nth") <= most).drop("_nth")
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_nth", F.row_number().over(newest)).where(F.col("_nth") <= most).drop("_nth")
+
+    times = df.select(key, ts).withColumn("_nth", F.row_number().over(newest))
+    ends = times.where(F.col("_nth").between(most, most + 1)).groupBy(F.col(key).alias("_key"))
+    cuts = ends.agg(
+        F.max(F.when(F.col("_nth") == most, F.col(ts))).alias("_from"),
+        F.max(F.when(F.col("_nth") > most, F.col(ts))).alias("_after"),
+        F.count("*").alias("_ends"),
+    ).where("_ends = 2")
+    cuts = cuts.select("_key", "_from", F.expr("_from <=> _after").alias("_tied"))
+    cuts, size = settle_measured(cuts, "newest-from", keys=F.count(F.lit(1)), tied=F.count_if("_tied"))
+    if not size["keys"]:
+        return df
+    if size["keys"] > limit:
+        return ranked(df)
+    met = df.join(F.broadcast(cuts), F.col(key).eqNullSafe(F.col("_key")), "left")
+    kept = met.where(F.col("_tied").isNull() | F.col("_from").isNull() | (F.col(ts) >= F.col("_from")))
+    kept = kept.select(*[F.col(f"`{c}`") for c in df.columns])
+    return ranked(kept) if size["tied"] else kept

@@ -78,6 +78,48 @@ def test_newest_rows(spark):
     assert got == [(1, 6), (1, 7), (1, 8), (2, 15), (2, 16), (2, 17)]
 
 
+def test_newest_rows_stay_where_they_are(spark):
+    """Only keys and times are ranked: whole rows are neither moved nor sorted, unless some are tied at the cut."""
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    rows = [(k, t, f"{k}-{t}") for k in (1, 2, None) for t in range(3 if k == 1 else 8)]
+    few = spark.createDataFrame(rows, "k int, t int, text string")
+    for most, left in ((8, 19), (5, 13), (3, 9)):
+        newest = tables.newest_rows(few, "k", "t", most)
+        assert newest.columns == few.columns and newest.count() == left
+        assert not re.search(r"Exchange hashpartitioning|Window|Sort", plan(newest))
+    want = [(k, t) for k in (1, 2, None) for t in ((0, 1, 2) if k == 1 else (5, 6, 7))]
+    key = lambda row: (row[0] or 0, row[1])
+    assert sorted(((r["k"], r["t"]) for r in newest.collect()), key=key) == sorted(want, key=key)
+    assert sorted(((r["k"], r["t"]) for r in tables.newest_rows(few, "k", "t", 3, limit=1).collect()), key=key) == sorted(want, key=key)
+
+
+def test_newest_rows_tied_or_without_time(spark):
+    rows = [(1, 9), (1, 7), (1, 7), (1, 7), (2, 4), (2, None), (2, None), (2, None), (3, None), (4, 1), (4, 2)]
+    newest = tables.newest_rows(spark.createDataFrame(rows, "k int, t int"), "k", "t", 2)
+    got = sorted(((r["k"], r["t"]) for r in newest.collect()), key=lambda row: (row[0], row[1] or 0))
+    assert got == [(1, 7), (1, 9), (2, None), (2, 4), (3, None), (4, 1), (4, 2)]
+
+
+def test_rows_are_finished_after_they_are_laid_out(spark, tmp_path):
+    """What ``finish`` adds is stored with the rows, in the same layout as without it."""
+    path = str(tmp_path / "places")
+
+    def finish(laid):
+        assert "Sort [location_bucket" in laid._jdf.queryExecution().optimizedPlan().toString()
+        return laid.withColumn("text", F.concat(F.lit("At "), "location_name"))
+
+    tables.store(places(spark), path, 0, finish=finish)
+    stored = tables.read_table(spark, path)
+    assert stored.where("text = concat('At ', location_name)").count() == 4
+    tables.store(places(spark), path, 1)
+    where = ["location_id", "location_slug", "location_hash", "location_bucket"]
+    plain = spark.read.parquet(path).where("snapshot = 1").select(*where)
+    assert sorted(map(tuple, stored.select(*where).collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_storing_a_snapshot_again_replaces_it(spark, tmp_path):
     path = str(tmp_path / "places")
     tables.store(places(spark), path, 0)
