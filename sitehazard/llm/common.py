@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
 
 import pyarrow as pa
 import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitehazard.session import settle
+from sitehazard.session import importable, settle
 
 __all__ = [
     "WordHashes", "documents", "folded_words", "give_back", "importable", "named_as", "numbered", "placed", "settle",
@@ -22,18 +21,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD_GAP = "[ \\t-\\r]+"
 
 
-def importable(spark: SparkSession) -> SparkSession:
-    """Lets Python workers on this machine import the package from where the driver has it.
-
-    On a cluster the package is shipped with the job; a folder that isn't there does no harm.
-    """
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, root]))
-    return spark
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml import PipelineModel
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sitehazard.config import DEFAULT_SIZING, FOREST, HORIZONS, MIN_TRAINING_ROWS, TEST_PERCENT
+from sitehazard.operators import forest
 from sitehazard.operators.series import horizon_labels
 from sitehazard.operators.skew import Series
 
@@ -26,19 +26,21 @@ INPUTS = [
 PRIME = 1_000_003
 
 
+def _filled(df: DataFrame) -> dict[str, Column]:
+    return {
+        name: F.coalesce(F.nanvl(F.col(name).cast("double"), F.lit(0.0)), F.lit(0.0))
+        if name in df.columns
+        else F.lit(0.0)
+        for name in INPUTS
+    }
+
+
 def model_inputs(df: DataFrame) -> DataFrame:
     """Every input as a number: absent columns and missing values are 0.
 
     That makes an unknown nearest distance read as 0 km.
     """
-    return df.withColumns(
-        {
-            name: F.coalesce(F.nanvl(F.col(name).cast("double"), F.lit(0.0)), F.lit(0.0))
-            if name in df.columns
-            else F.lit(0.0)
-            for name in INPUTS
-        }
-    )
+    return df.withColumns(_filled(df))
 
 
 def labelled(risk: DataFrame, series: Series, direction: str = "lead") -> DataFrame:
@@ -106,14 +108,12 @@ def train(risk: DataFrame, series: Series, work: str, direction: str = "lead"):
         if sizes[target] < MIN_TRAINING_ROWS:
             continue
         known = rows.where(F.col(target).isNotNull())
-        forest = RandomForestRegressor(
-            featuresCol="inputs", labelCol=target, predictionCol="predicted", **FOREST
-        )
-        pipeline = Pipeline(stages=[VectorAssembler(inputCols=INPUTS, outputCol="inputs"), forest])
         trained = known.where(~is_test_row())
-        models[target] = pipeline.fit(dealt_evenly(trained, sizes[target]))
-        scored = models[target].transform(known.where(is_test_row()))
-        mean = trained.agg(F.avg(target)).first()[0]
+        number, mean = trained.agg(F.count("*"), F.avg(target)).first()
+        settled = partial(dealt_evenly, number=number)
+        models[target] = forest.fit(trained, INPUTS, target, number, mean, work, settled, **FOREST)
+        tested = known.where(is_test_row())
+        scored = tested.withColumn("predicted", forest.predicted(spark, models[target], _filled(tested)))
         scored = scored.withColumn("mean", F.lit(mean).cast("double"))
         by_mean = errors(scored, target, "mean").select(F.col("mae").alias("mean_mae"))
         quality = errors(scored, target, "predicted").join(by_mean).select(
@@ -140,11 +140,6 @@ def load_models(path: str, targets: list[str] | None = None) -> dict[str, Pipeli
 
 def predict(df: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
     """Add ``predicted_<target>``, rounded to 1 place, to every row."""
-    kept = df.columns
-    result = df
-    for target, model in models.items():
-        # The forest reads its inputs under their own names, so they are filled beside the row.
-        packed = result.withColumn("_row", F.struct(*[F.col(c) for c in result.columns]))
-        scored = model.transform(packed.transform(model_inputs))
-        result = scored.select("_row.*", F.round("predicted", 1).alias(f"predicted_{target}"))
-    return result.select(*kept, *[f"predicted_{t}" for t in models])
+    inputs = _filled(df)
+    found = {f"predicted_{t}": F.round(forest.predicted(df.sparkSession, m, inputs), 1) for t, m in models.items()}
+    return df.select(*df.columns, *[value.alias(name) for name, value in found.items()])
