@@ -78,8 +78,7 @@ def is_test_row(percent: int = TEST_PERCENT):
 def dealt_evenly(rows: DataFrame, number: int, limit: int = DEFAULT_SIZING.rows_per_task) -> DataFrame:
     """So many rows over all tasks that can run at once, or more if these would have too many each.
 
-    A forest passes over its rows once a level, as slowly as the fullest task. Place and order
-    depend on the rows alone, so a re-run draws the same samples.
+    Place and order depend on the rows alone, so files of them are alike and a re-run draws the same samples.
     """
     tasks = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(number / limit))
     return rows.repartition(tasks, "location_id", "timestamp").sortWithinPartitions(*rows.columns)
